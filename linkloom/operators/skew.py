@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 512
+HOT_KEYS = 8192
 
 
 def hot_join(big: DataFrame, side: DataFrame, key: str, count: str, total: int) -> DataFrame:
