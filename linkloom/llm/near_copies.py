@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,9 @@ from linkloom.llm.words import hashed, mix, runs
 from linkloom.runtime import materialize, spread, write_table
 
 SHINGLE, THRESHOLD, MIN_WORDS = 3, 0.5, 20
-#: Counters of the frequency sketch (bytes that stop at 255 in a task), and the parts in which tasks send them.
-SKETCH, SKETCH_PARTS = 1 << 22, 16
+#: Bits of a slot of the frequency sketch, whose counters are bytes that stop at 255, and the parts in which tasks send it, compressed.
+SKETCH_BITS, SKETCH_PARTS = 24, 16
+SKETCH = 1 << SKETCH_BITS
 #: Bits of the filter that keeps classes in no candidate pair out of the last shuffle; only its size is bounded.
 FILTER_BITS = 1 << 24
 #: Bits of a class's bitmap.
@@ -74,7 +76,7 @@ class Sets:
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(64 - 22)).astype(np.int64)
+    return (key >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _count(shingle: int, min_words: int):
@@ -93,7 +95,7 @@ def _count(shingle: int, min_words: int):
         if known:
             parts = sketch.reshape(SKETCH_PARTS, -1)
             null = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([null, null, null, pa.nulls(SKETCH_PARTS, pa.int32()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([null, null, null, pa.nulls(SKETCH_PARTS, pa.int32()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], schema=schema)
 
     return run
 
@@ -102,18 +104,18 @@ def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for part, data in zip(b.column("part").to_pylist(), b.column("sketch"), strict=True):
-            x = np.frombuffer(data.as_buffer(), np.uint8)
-            total[part] = np.minimum(total.get(part, 0) + x.astype(np.uint32), 65535)
+            x = np.frombuffer(zstandard.decompress(data.as_py()), np.uint8)
+            total[part] = np.minimum(total.get(part, 0) + x.astype(np.uint16), 255)
     for part, x in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.astype(np.uint16).tobytes()], pa.binary())], names=["part", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(x.astype(np.uint8).tobytes(), 1)], pa.binary())], names=["part", "sketch"])
 
 
 def _frequencies(counted: DataFrame) -> np.ndarray:
-    """The sketch of all records, of fixed size (two bytes a counter) whatever the input."""
+    """The sketch of all records, of fixed size (SKETCH bytes) whatever the input."""
     rows = counted.filter("part is not null").select("part", "sketch").repartition(SKETCH_PARTS, "part").mapInArrow(_add_sketches, "part int, sketch binary").collect()
-    out = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.uint16)
+    out = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.uint8)
     for part, data in rows:
-        out[part] = np.frombuffer(data, np.uint16)
+        out[part] = np.frombuffer(zstandard.decompress(data), np.uint8)
     return out.ravel()
 
 
@@ -142,13 +144,13 @@ def _prefixes(sketch, tiles: int, shingle: int, min_words: int, threshold: float
             key, owner, tile = key[order], owner[order], tile[order]
             at, first = np.unique(tile, return_index=True)
             last = np.append(first[1:], len(tile))
-            hi, lo = s.hi[which], s.lo[which]
+            lo = s.lo[which]
             cols: list[list] = [[], [], [], []]
             for a, z in zip(first, last, strict=True):
                 classes, local = np.unique(owner[a:z], return_inverse=True)
                 cols[0].append((key[a:z] >> np.uint64(32)).astype(np.uint32).tobytes())
                 cols[1].append(local.astype(np.uint16).tobytes())
-                cols[2].append(np.stack([hi[classes], lo[classes]]).tobytes())
+                cols[2].append(lo[classes].tobytes())
                 cols[3].append(n[classes].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["tile", "elements", "local", "classes", "sizes"])
 
@@ -156,21 +158,24 @@ def _prefixes(sketch, tiles: int, shingle: int, min_words: int, threshold: float
 
 
 def _compare(threshold: float):
-    """Distinct candidate pairs of the classes of a tile: same element, and size bands that allow the threshold."""
-    names = ["a_hi", "a_lo", "b_hi", "b_lo"]
+    """Distinct candidate pairs of the classes of a tile: same element, and size bands that allow the threshold.
+
+    A class goes by the lower half of its key here; should two classes share it, both are verified.
+    """
+    names = ["a_lo", "b_lo"]
 
     def tile_pairs(blobs: list[tuple]) -> Iterator[pa.RecordBatch]:
         element = np.concatenate([np.frombuffer(x[0], np.uint32) for x in blobs])
-        cls = np.concatenate([np.frombuffer(x[2], np.int64).reshape(2, -1) for x in blobs], axis=1)
+        cls = np.concatenate([np.frombuffer(x[2], np.int64) for x in blobs])
         size = np.concatenate([np.frombuffer(x[3], np.int32) for x in blobs])
         base = np.cumsum([0, *(len(x[3]) // 4 for x in blobs)])[:-1]
         local = np.concatenate([np.frombuffer(x[1], np.uint16).astype(np.int64) + k for x, k in zip(blobs, base, strict=True)])
         # one number for each class, in the order of the class keys
-        order = np.lexsort((cls[1], cls[0]))
-        new = np.append(True, (np.diff(cls[:, order]) != 0).any(0)) if len(order) else np.empty(0, bool)
+        order = np.argsort(cls, kind="stable")
+        new = np.append(True, np.diff(cls[order]) != 0) if len(order) else np.empty(0, bool)
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
-        cls, size = cls[:, order[new]], size[order[new]]
+        cls, size = cls[order[new]], size[order[new]]
         who = number[local]
         order = np.lexsort((who, size[who], element))
         element, who = element[order], who[order]
@@ -194,7 +199,7 @@ def _compare(threshold: float):
                 code = np.setdiff1d(code, seen, assume_unique=True)
                 seen = np.union1d(seen, code)
             x, y = code // len(size), code % len(size)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cls[0, x], cls[1, x], cls[0, y], cls[1, y])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cls[x], cls[y])], names=names)
             lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +289,9 @@ def near_copy_classes(records: DataFrame, id_col: str = "method_id", text_col: s
     membership = counted.filter("_id is not null").select(F.col("_id").alias("id"), "hi", "lo").distinct()
     sketch = spark.sparkContext.broadcast(_frequencies(counted))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = 4 * parts
+    tiles = parts
     postings = src.mapInArrow(_prefixes(sketch, tiles, shingle, min_words, threshold), "tile int, elements binary, local binary, classes binary, sizes binary")
-    found = postings.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_compare(threshold), "a_hi long, a_lo long, b_hi long, b_lo long")
+    found = postings.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_compare(threshold), "a_lo long, b_lo long")
     candidates = materialize(found.distinct(), "candidates")
     ends = candidates.select(F.col("a_lo").alias("lo")).union(candidates.select(F.col("b_lo").alias("lo")))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -294,14 +299,15 @@ def near_copy_classes(records: DataFrame, id_col: str = "method_id", text_col: s
         bits |= np.frombuffer(data, np.uint8)
     wanted = spark.sparkContext.broadcast(bits.tobytes())
     words = [f"w{k}" for k in range(BITMAP_WORDS)]
-    sets = src.mapInArrow(_members(wanted, shingle, min_words), ", ".join(["hi long", "lo long", "size int", *(f"{w} long" for w in words), "elements array<long>"])).dropDuplicates(["hi", "lo"])
-    side = lambda p: sets.select(*(F.col(c).alias(f"{p}_{c}") for c in ("hi", "lo", "size", *words, "elements")))
-    joined = candidates.join(side("a"), ["a_hi", "a_lo"]).join(side("b"), ["b_hi", "b_lo"])
+    sets = materialize(src.mapInArrow(_members(wanted, shingle, min_words), ", ".join(["hi long", "lo long", "size int", *(f"{w} long" for w in words), "elements array<long>"])), "sets")
+    side = lambda p, *cols: sets.dropDuplicates(["hi", "lo"]).select(*(F.col(c).alias(f"{p}_{c}") for c in ("hi", "lo", *cols)))
+    signed = candidates.join(side("a", "size", *words), "a_lo").join(side("b", "size", *words), "b_lo")
     differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words[1:]), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
     # elements of only one set make at most as many bits differ as there are of them
     bound = (F.col("a_size") + F.col("b_size") - differ) / 2
-    kept = joined.filter(bound * (1 + threshold) >= threshold * (F.col("a_size") + F.col("b_size")))
-    pairs = kept.select("a_hi", "a_lo", "b_hi", "b_lo", "a_elements", "b_elements").mapInArrow(_verify(threshold), "a_hi long, a_lo long, b_hi long, b_lo long, similarity double")
+    kept = signed.filter(bound * (1 + threshold) >= threshold * (F.col("a_size") + F.col("b_size"))).select("a_hi", "a_lo", "b_hi", "b_lo")
+    full = kept.join(side("a", "elements"), ["a_hi", "a_lo"]).join(side("b", "elements"), ["b_hi", "b_lo"])
+    pairs = full.select("a_hi", "a_lo", "b_hi", "b_lo", "a_elements", "b_elements").mapInArrow(_verify(threshold), "a_hi long, a_lo long, b_hi long, b_lo long, similarity double")
     return membership, pairs
 
 
