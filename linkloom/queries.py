@@ -2,10 +2,388 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from linkloom.functions import text as T
+from linkloom.functions import vectors as V
+from linkloom.operators import evolve, features, graph, sampling, similarity
+from linkloom.operators import links as L
+from linkloom.operators import metrics as M
+from linkloom.operators.code_parser import parse_sources
+from linkloom.plans import domain as D
+from linkloom.plans import techniques
+from linkloom.plans.datasets import DATASETS, ENGLISH_HEADERS
+from linkloom.runtime import first_delivery, load, materialize, shared_dir, spread
+from linkloom.sources import readers as R
+from linkloom.sources import writers as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
+
+
+# --- token functions -------------------------------------------------------------------------------------------
+
+
+def _tokens(name: str, view: str, step: T.Step, sql: str) -> None:
+    """A step over the tokens of all identifiers or all texts; sql is the twin over the list t."""
+    source, key, cte = (D.identifiers, "method_id", D.IDENT_SQL) if view == "ident" else (D.text_tokens, "doc_id", D.TOKENS_SQL)
+    query(name, f"WITH {cte} SELECT {key}, array_to_string({sql}, ' ') AS tokens FROM {view}")(lambda spark, d: spread(source(spark, d)).select(key, F.array_join(step(F.col("t")), " ").alias("tokens")))
+
+
+def _map(expr: str, t: str = "t") -> str:
+    return f"list_transform({t}, lambda x: {expr})"
+
+
+def _lit(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
+
+
+_CAMEL = "list_filter(flatten(list_transform({t}, lambda x: string_split_regex(regexp_replace(regexp_replace(x, '([A-Z]+)', ' \\1', 'g'), '([A-Z][a-z]+)', ' \\1', 'g'), '\\s+'))), lambda x: x <> '')"
+_SPLIT = "flatten(list_transform({t}, lambda x: string_split_regex(x, '[/._]')))"
+_WS = "[ \\t\\n\\r\\f\\x0b]+"
+_CODE_CHAIN = "list_filter(list_filter({t}, lambda x: NOT list_contains(" + _lit(T.ENGLISH_STOP_WORDS) + ", x)), lambda x: length(x) > 2)"
+_LETTERS = "regexp_replace(x, '[^a-zA-Z -]', '', 'g')"
+_tokens("fn01_camel", "ident", T.camel_case, _CAMEL.format(t="t"))
+_tokens("fn02_separator", "ident", T.separate, _SPLIT.format(t="t"))
+_tokens("fn03_lower", "ident", T.lower_case, _map("lower(x)"))
+_tokens("fn04_nonletter", "toks", T.letters_only, _map(_LETTERS))
+_tokens("fn05_url", "toks", T.no_urls, _map("regexp_replace(x, 'https?://[^ \\t\\n\\r\\f\\x0b]+|www\\.[^ \\t\\n\\r\\f\\x0b]+', '', 'g')"))
+_tokens("fn06_stopwords", "toks", T.stop_words(T.ENGLISH_STOP_WORDS), f"list_filter(t, lambda x: NOT list_contains({_lit(T.ENGLISH_STOP_WORDS)}, x))")
+_tokens("fn07_code_stopwords", "ident", T.stop_words(T.CODE_STOP_WORDS), f"list_filter(t, lambda x: NOT list_contains({_lit(T.CODE_STOP_WORDS)}, x))")
+_tokens("fn09_token_filter", "toks", T.keep(lambda x: x.startswith("r")), "list_filter(t, lambda x: starts_with(x, 'r'))")
+_tokens("fn11_javadoc_filter", "toks", T.javadoc_filter, f"list_filter(flatten(list_transform(list_filter(t, lambda x: NOT regexp_matches(x, '(?i)@(throws|author|version)')), lambda x: string_split_regex(regexp_replace(x, '(?i)@(param|return|link)', '', 'g'), '{_WS}'))), lambda x: x <> '')")
+_tokens("fn12_white_space", "toks", T.one_space, _map(f"trim(regexp_replace(x, '{_WS}', ' ', 'g'))"))
+_tokens("fn13_fullstop", "toks", T.full_stop, _map("CASE WHEN x = '' OR regexp_matches(x, '[.!;?]\\n?$') THEN x ELSE x || '.' END"))
+_tokens("fn14_last_mark", "ident", T.no_last_mark, _map("regexp_replace(x, '[.!;?]$', '')"))
+_tokens("fn15_length", "ident", T.longer_than(8), "list_filter(t, lambda x: length(x) > 8)")
+_tokens("fn16_empty", "ident", T.drop_empty, "list_filter(t, lambda x: x <> '')")
+_tokens("fn18_chain_code_en", "ident", T.CHAINS["code_en"], _CODE_CHAIN.format(t=_map("lower(x)", f"list_filter({_CAMEL.format(t=_map(_LETTERS, _SPLIT.format(t='t')))}, lambda x: NOT list_contains({_lit(T.CODE_STOP_WORDS)}, x))")))
+
+
+@query("fn08_tfidf_filter", f"WITH {D.WORDS_SQL}, tf AS (SELECT file, word, count(*) AS c FROM dw WHERE length(word) >= 2 GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT file, word, c * (ln((1 + (SELECT count(DISTINCT file) FROM tf)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (word)), wt AS (SELECT file, word, x / sqrt(sum(x * x) OVER (PARTITION BY file)) AS weight FROM raw) SELECT file, count(*) AS kept FROM dw JOIN wt USING (file, word) WHERE weight > 0.123456 GROUP BY file")
+def fn08(spark, d):
+    t = materialize(D.doc_words(spark, d), "tokens")
+    return features.tfidf_filter(t, features.tfidf(t), 0.123456).groupBy("file").agg(F.count("*").alias("kept"))
+
+
+@query("fn10_lemmas", f"WITH {D.METHOD_SQL}, lem AS (SELECT DISTINCT word, substr(word, 1, 4) AS lemma FROM mw WHERE length(word) > 6) SELECT coalesce(lemma, word) AS lemma, count(*) AS n FROM mw LEFT JOIN lem USING (word) GROUP BY 1")
+def fn10(spark, d):
+    """Lookup form of the lemmatiser: the lemma table is joined, unknown words stay."""
+    w = D.method_words(spark, d)
+    lem = w.select("word").distinct().filter(F.length("word") > 6).withColumn("lemma", F.substring("word", 1, 4))
+    return w.groupBy("word").agg(F.count("*").alias("c")).join(lem, "word", "left").groupBy(F.coalesce("lemma", "word").alias("lemma")).agg(F.sum("c").alias("n"))
+
+
+@query("fn19_paths", "SELECT file_id, list_last(string_split_regex(p, '[/\\\\]')) AS file_name, regexp_replace(list_last(string_split_regex(p, '[/\\\\]')), '\\.[^.]*$', '') || '.txt' AS renamed FROM (SELECT file_id, any_value(file_path) AS p FROM code_file GROUP BY file_id)")
+def fn19(spark, d):
+    f = load(spark, d, "code_file").select("file_id", "file_path").distinct()
+    return f.select("file_id", T.file_name(F.col("file_path")).alias("file_name"), T.with_extension(T.file_name(F.col("file_path")), "txt").alias("renamed"))
+
+
+@query("fn20_call_keys", "SELECT method_id, any_value(class_name) || '.' || any_value(method_name) || '(' || array_to_string(list_transform(coalesce(any_value(params), []), lambda x: regexp_replace(regexp_replace(x, '<.*>|\\s', '', 'g'), '^.*\\.', '')), ',') || ')' AS key FROM code_method GROUP BY method_id")
+def fn20(spark, d):
+    m = load(spark, d, "code_method").select("method_id", "class_name", "method_name", "params").dropDuplicates(["method_id"])
+    return m.select("method_id", T.call_key(F.col("method_name"), F.coalesce("params", F.array().cast("array<string>")), F.col("class_name")).alias("key"))
+
+
+# --- tokenizers ------------------------------------------------------------------------------------------------
+
+_TOK = "regexp_extract_all({0}, '[A-Za-z0-9]+|[^\\t\\n\\r\\f\\x0b A-Za-z0-9]')"
+
+
+@query("tok01_words", f"SELECT doc_id, len({_TOK.format('text')}) AS n, array_to_string({_TOK.format('text')}, ' ') AS tokens FROM documents WHERE text IS NOT NULL")
+def tok01(spark, d):
+    t = load(spark, d, "documents").filter("text is not null").select("doc_id", T.word_tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
+
+
+@query("tok01_words_italian", f"SELECT doc_id, len({_TOK.format(chr(34) + 'x' + chr(34))}) AS n FROM (SELECT doc_id, regexp_replace(text, '''', ''' ', 'g') AS x FROM documents WHERE lower(lang) = 'it' AND text IS NOT NULL)")
+def tok01_it(spark, d):
+    return load(spark, d, "documents").filter("lower(lang) = 'it' and text is not null").select("doc_id", F.size(T.word_tokens(F.col("text"), italian=True)).cast("long").alias("n"))
+
+
+_SENT = "list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\x0b]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
+
+
+@query("tok02_sentences", f"SELECT doc_id, i - 1 AS pos, s[i] AS sentence FROM (SELECT doc_id, {_SENT} AS s, unnest(range(1, len({_SENT}) + 1)) AS i FROM documents WHERE text IS NOT NULL)")
+def tok02(spark, d):
+    return load(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("tok03_words_by_sentence", f"SELECT doc_id, len(s) AS sentences, list_sum(list_transform(s, lambda x: len({_TOK.format('x')})))::BIGINT AS words FROM (SELECT doc_id, {_SENT} AS s FROM documents WHERE text IS NOT NULL) WHERE len(s) > 0")
+def tok03(spark, d):
+    t = load(spark, d, "documents").filter("text is not null").select("doc_id", T.words_by_sentence(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    return t.select("doc_id", F.size("s").cast("long").alias("sentences"), F.size(F.flatten("s")).cast("long").alias("words"))
+
+
+def _headers_sql(h: dict[str, str], col: str = "line") -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({col}, '(?i)^{p}') THEN '{n}'" for n, p in reversed(h.items())) + " END"
+
+
+@query("tok04_usecase_sections", f"""
+WITH ln AS (SELECT doc_id AS file, i - 1 AS pos, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE artefact_kind = 'use_case' AND text IS NOT NULL))),
+tg AS (SELECT *, {_headers_sql(ENGLISH_HEADERS)} AS tag FROM ln)
+SELECT file, section, count(*) AS lines FROM (SELECT file, coalesce(last_value(tag IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING), 'description') AS section FROM tg) GROUP BY file, section""")
+def tok04(spark, d):
+    docs = load(spark, d, "documents").filter("artefact_kind = 'use_case' and text is not null")
+    lines = docs.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return graph.use_case_sections(lines, ENGLISH_HEADERS).groupBy("file", "section").agg(F.count("*").alias("lines"))
+
+
+@query("tok05_templates")
+def tok05(spark, d):
+    return spark.createDataFrame([(c.name, c.language, k, v) for c in DATASETS.values() for k, v in sorted(c.headers.items())], "dataset string, language string, section string, pattern string")
+
+
+@query("tok06_javadoc", "SELECT file_id, i - 1 AS pos, regexp_replace(c[i], '(?is)@(param|throws|author|version|return).*$', '') AS description FROM (SELECT file_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT file_id, regexp_extract_all(any_value(content), '(?s)/\\*\\*.*?\\*/') AS c FROM code_file GROUP BY file_id))")
+def tok06(spark, d):
+    f = first_delivery(load(spark, d, "code_file").select("file_id", "content", "loaded_at"), "file_id")
+    c = f.select("file_id", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)(/\*\*.*?\*/)"), 1)).alias("pos", "c"))
+    return c.select("file_id", F.col("pos").cast("long").alias("pos"), T.javadoc_description(F.col("c")).alias("description"))
+
+
+def _parsed(spark, d):
+    f = first_delivery(load(spark, d, "code_file").select("file_id", "file_name", "content", "loaded_at"), "file_id")
+    return parse_sources(f.select(F.concat_ws("/", F.col("file_id").cast("string"), "file_name").alias("file"), "content"))
+
+
+@query("tok07_declarations")
+def tok07(spark, d):
+    return _parsed(spark, d).select("file", "ord", "kind", "class_path", "name", "type", F.array_join("params", ",").alias("params"), F.array_join("supers", ",").alias("supers"), "line")
+
+
+@query("tok09_comment_owner", """
+WITH ln AS (SELECT file_id AS file, i AS line, s[i] AS t FROM (SELECT file_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT file_id, string_split(replace(any_value(content), chr(13), ''), chr(10)) AS s FROM code_file WHERE file_name LIKE '%.java' GROUP BY file_id))),
+def AS (SELECT file, line, t AS definition, contains(t, 'class ') AS is_enum FROM ln WHERE regexp_matches(t, '^ *public .*[{]$')),
+com AS (SELECT file, line, line AS end_line, t AS comment FROM ln WHERE regexp_matches(t, '^ */[*].*[*]/$')),
+direct AS (SELECT c.file, c.comment, c.line, f.definition FROM com c JOIN def f ON f.file = c.file AND f.line = c.end_line + 1),
+above AS (SELECT c.file, c.comment, c.line, f.definition, f.is_enum FROM (SELECT c.* FROM com c WHERE NOT EXISTS (SELECT 1 FROM def f WHERE f.file = c.file AND f.line = c.end_line + 1)) c ASOF JOIN def f ON f.file = c.file AND c.line >= f.line)
+SELECT * FROM direct UNION ALL SELECT file, comment, line, definition FROM above WHERE NOT is_enum""")
+def tok09(spark, d):
+    f = first_delivery(load(spark, d, "code_file").select("file_id", "file_name", "content", "loaded_at").filter("file_name like '%.java'"), "file_id")
+    ln = f.select(F.col("file_id").alias("file"), F.posexplode(F.split(F.regexp_replace("content", "\r", ""), "\n", -1)).alias("p", "t")).select("file", (F.col("p") + 1).cast("long").alias("line"), "t")
+    defs = ln.filter(F.col("t").rlike("^ *public .*[{]$")).select("file", "line", F.col("t").alias("definition"), F.col("t").contains("class ").alias("is_enum"))
+    com = ln.filter(F.col("t").rlike("^ */[*].*[*]/$")).select("file", "line", F.col("line").alias("end_line"), F.col("t").alias("comment"))
+    return graph.nearest_definition(com, defs)
+
+
+@query("tok10_array_suffix", "SELECT p_partkey, p_type || repeat('[]', p_size % 3) AS t FROM part")
+def tok10(spark, d):
+    return load(spark, d, "part").select("p_partkey", T.array_suffix(F.col("p_type"), (F.col("p_size") % 3).cast("int")).alias("t"))
+
+
+@query("tok12_chosen_words", f"WITH {D.IDENT_SQL} SELECT method_id, array_to_string(t[1:2], ' ') AS words FROM ident")
+def tok12(spark, d):
+    t = D.identifiers(spark, d)
+    return t.select("method_id", F.array_join(T.choose_words({"class": F.slice("t", 1, 1), "method": F.slice("t", 2, 1), "params": F.slice("t", 3, 100)}, ["class", "method"]), " ").alias("words"))
+
+
+@query("tok13_comments_by_class")
+def tok13(spark, d):
+    return _parsed(spark, d).groupBy("file").agg(F.sum(F.when(F.col("comment") != "", 1).otherwise(0)).alias("comments"), F.sum(F.when(F.col("kind") == "method", 1).otherwise(0)).alias("methods"), F.sum(F.size("left_side")).alias("left_sides"))
+
+
+# --- numbers and vectors ---------------------------------------------------------------------------------------
+
+_PAIRS = f"WITH {D.SQL}"
+
+
+@query("num01_cosine", f"{_PAIRS} SELECT elem, part, round(sim, 6) AS sim FROM pairs")
+def num01(spark, d):
+    return D.pairs(spark, d).select("elem", "part", F.round("sim", 6).alias("sim"))
+
+
+@query("num02_mean_vector", f"{_PAIRS}, x AS (SELECT code, unnest(vec) AS x, unnest(range(64)) AS i FROM code_el) SELECT code, i, round(avg(x), 6) AS x FROM x GROUP BY code, i")
+def num02(spark, d):
+    m = V.mean_vector(D.code_elements(spark, d), ["code"], "vec")
+    return m.select("code", F.posexplode("vec").alias("i", "x")).select("code", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("num03_weighted_mean", f"{_PAIRS}, x AS (SELECT code, elem % 7 + 1 AS w, unnest(vec) AS x, unnest(range(64)) AS i FROM code_el) SELECT code, i, round(sum(x * w) / sum(w), 6) AS x FROM x GROUP BY code, i")
+def num03(spark, d):
+    m = V.mean_vector(D.code_elements(spark, d).withColumn("w", F.col("elem") % 7 + 1), ["code"], "vec", "w")
+    return m.select("code", F.posexplode("vec").alias("i", "x")).select("code", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("num04_map_range", "SELECT p_partkey, round((p_retailprice - 900) / (2100 - 900), 6) AS v FROM part")
+def num04(spark, d):
+    return load(spark, d, "part").select("p_partkey", F.round(V.min_max(F.col("p_retailprice"), 900, 2100), 6).alias("v"))
+
+
+@query("num05_minmax", f"WITH {D.TRACE_SQL} SELECT req, code, round((sim - (SELECT min(sim) FROM scores)) / ((SELECT max(sim) FROM scores) - (SELECT min(sim) FROM scores)), 6) AS sim FROM scores")
+def num05(spark, d):
+    return L.normalise(D.trace_scores(spark, d)).select("req", "code", F.round("sim", 6).alias("sim"))
+
+
+@query("num06_range", "SELECT round(0.2 + i * 0.05, 2) AS t FROM range(13) r(i)")
+def num06(spark, d):
+    return V.threshold_range(spark, 0.2, 0.8, 0.05)
+
+
+@query("num07_top_percent", "SELECT n_nationkey::BIGINT AS n, round_even(n_nationkey * 0.1, 0)::BIGINT AS k FROM nation")
+def num07(spark, d):
+    n = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n"))
+    return n.select("n", V.top_percent(F.col("n"), 0.1).alias("k"))
+
+
+@query("num08_complement", "SELECT n_nationkey, round_even(1 - n_nationkey / 40, 2) AS c FROM nation")
+def num08(spark, d):
+    return load(spark, d, "nation").select("n_nationkey", V.complement(F.col("n_nationkey") / 40).alias("c"))
+
+
+@query("num09_jaccard", f"WITH {D.IDENT_SQL} SELECT method_id, round(CASE WHEN len(list_distinct(t || p)) = 0 THEN 0 ELSE len(list_intersect(t, p)) / len(list_distinct(t || p)) END, 6) AS sim FROM (SELECT method_id, t, lead(t, 1, []) OVER (ORDER BY method_id) AS p FROM ident)")
+def num09(spark, d):
+    t = D.identifiers(spark, d)
+    ids = t.select("method_id")
+    nxt = ids.withColumn("n", F.lead("method_id").over(Window.orderBy("method_id")))
+    empty = F.array().cast("array<string>")
+    x = t.join(nxt, "method_id").join(t.select(F.col("method_id").alias("n"), F.col("t").alias("p")), "n", "left")
+    return x.select("method_id", F.round(V.jaccard(F.col("t"), F.coalesce("p", empty)), 6).alias("sim"))
+
+
+@query("num11_subword", "WITH w AS (SELECT DISTINCT p_brand AS word FROM part), g AS (SELECT word, '<' || word || '>' AS x, unnest([3, 4, 5, 6]) AS n FROM w), h AS (SELECT word, substr(x, i, n) AS gram FROM (SELECT word, x, n, unnest(range(1, length(x) - n + 2)) AS i FROM g)), v AS (SELECT word, gram, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM h JOIN embeddings ON vec_id = (ascii(gram) * 31 + length(gram)) % 500) SELECT word, i, round(avg(x), 6) AS x FROM v GROUP BY word, i")
+def num11(spark, d):
+    words = load(spark, d, "part").select(F.col("p_brand").alias("word")).distinct()
+    w = F.concat(F.lit("<"), "word", F.lit(">"))
+    grams = words.select(F.explode(F.array(*(F.lit(n) for n in (3, 4, 5, 6)))).alias("n"), w.alias("x")).filter("length(x) >= n").select(F.explode(F.expr("transform(sequence(1, length(x) - n + 1), i -> substring(x, i, n))")).alias("word")).distinct()
+    e = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    vecs = grams.withColumn("vec_id", ((F.ascii("word") * 31 + F.length("word")) % 500).cast("long")).join(e, "vec_id").select("word", "vec")
+    out = similarity.subword_vectors(words, vecs, 64)
+    return out.select("word", F.posexplode("vec").alias("i", "x")).select("word", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("num12_reduce", f"{_PAIRS} SELECT code, req, round(max(sim), 6) AS mx, round(min(sim), 6) AS mn, round(avg(sim), 6) AS mean FROM pairs GROUP BY code, req")
+def num12(spark, d):
+    p = D.pairs(spark, d).groupBy("code", "req")
+    return p.agg(*(F.round(V.reduce_by(h)("sim"), 6).alias(a) for h, a in (("max", "mx"), ("min", "mn"), ("mean", "mean"))))
+
+
+@query("num13_mock_vectors")
+def num13(spark, d):
+    return similarity.hashed_vectors(D.method_words(spark, d), 16).select("word", F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"))
+
+
+def _wmd_inputs(spark, d):
+    """Methods of the classes of repository objects against the ten first requirements' words, by key."""
+    w = materialize(D.method_words(spark, d), "method-words")
+    vec = materialize(D.word_vec(spark, d), "word-vectors")
+    a = w.filter(F.col("elem") % 20 == 0).select(F.col("elem").alias("a"), "word")
+    b = w.filter(F.col("elem") % 20 == 7).select(F.col("elem").alias("b"), "word")
+    pairs = a.join(b, "word").select("a", "b").distinct()
+    return a, b, vec, pairs
+
+
+_WMD_SQL = f"""WITH {D.METHOD_SQL}, a AS (SELECT elem AS a, word FROM mw WHERE elem % 20 = 0), b AS (SELECT elem AS b, word FROM mw WHERE elem % 20 = 7), p AS (SELECT DISTINCT a, b FROM a JOIN b USING (word)),
+va AS (SELECT a, word AS wa, vec AS xa, count(*) AS na FROM a JOIN wv USING (word) GROUP BY ALL), vb AS (SELECT b, word AS wb, vec AS xb, count(*) AS nb FROM b JOIN wv USING (word) GROUP BY ALL),
+x AS (SELECT a, b, wa, na, wb, nb, list_distance(xa, xb) AS d FROM p JOIN va USING (a) JOIN vb USING (b)),
+o AS (SELECT a, b, sum(d * na) / sum(na) AS c FROM (SELECT a, b, wa, na, min(d) AS d FROM x GROUP BY ALL) GROUP BY a, b), t AS (SELECT a, b, sum(d * nb) / sum(nb) AS c FROM (SELECT a, b, wb, nb, min(d) AS d FROM x GROUP BY ALL) GROUP BY a, b)
+SELECT a, b, round(greatest(o.c, t.c), 6) AS rwmd FROM o JOIN t USING (a, b)"""
+
+
+@query("num10_relaxed_wmd", _WMD_SQL)
+def num10r(spark, d):
+    a, b, vec, pairs = _wmd_inputs(spark, d)
+    return similarity.relaxed_wmd(a, b, vec, pairs).select("a", "b", F.round("rwmd", 6).alias("rwmd"))
+
+
+@query("num10_exact_wmd")
+def num10(spark, d):
+    """Exact distances of the pairs, with the share of them that is not below the relaxed bound (always 1)."""
+    a, b, vec, pairs = _wmd_inputs(spark, d)
+    bag = lambda t, k: t.groupBy(k).agg(F.collect_list("word").alias(f"{k}_words"))
+    exact = similarity.wmd_pairs(pairs.join(bag(a, "a"), "a").join(bag(b, "b"), "b"), vec)
+    return exact.select("a", "b", F.round("wmd", 6).alias("wmd"))
+
+
+# --- features --------------------------------------------------------------------------------------------------
+
+_MEAN_W = f"WITH {D.METHOD_SQL}, x AS (SELECT file, elem, word, unnest(vec) AS x, unnest(range(64)) AS i FROM mw JOIN wv USING (word))"
+
+
+def _first_dims(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.posexplode("vec").alias("i", "x")).select(*keys, F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("emb02_lookup", f"WITH {D.METHOD_SQL} SELECT elem, word, round(vec[1], 6) AS x FROM mw JOIN wv USING (word)")
+def emb02(spark, d):
+    return features.lookup(D.method_words(spark, d), D.word_vec(spark, d), ["elem"]).select("elem", "word", F.round(F.element_at("vec", 1), 6).alias("x"))
+
+
+@query("emb03_word_mean", f"{_MEAN_W} SELECT file, i, round(avg(x), 6) AS x FROM x GROUP BY file, i")
+def emb03(spark, d):
+    return _first_dims(features.word_mean(D.method_words(spark, d), D.word_vec(spark, d), ["file"]), "file")
+
+
+@query("emb04_mean_of_means", f"{_MEAN_W}, s AS (SELECT file, elem, i, avg(x) AS x FROM x GROUP BY file, elem, i) SELECT file, i, round(avg(x), 6) AS x FROM s GROUP BY file, i")
+def emb04(spark, d):
+    return _first_dims(features.mean_of_means(D.method_words(spark, d), D.word_vec(spark, d), ["file", "elem"], ["file"]), "file")
+
+
+@query("emb08_flags")
+def emb08(spark, d):
+    """The number of tokens each flag set of the class-element embeddings takes from the declarations of a file."""
+    p = materialize(_parsed(spark, d), "declarations")
+    word = lambda c: F.array_compact(F.array(c))
+    parts = {"class_name": F.when(F.col("kind").isin("class", "interface", "enum"), word(F.col("name"))), "super": F.col("supers"), "methods": F.when(F.col("kind") == "method", F.concat(word(F.col("name")), "params", "param_names")), "attributes": F.when(F.col("kind") == "attribute", word(F.col("name"))), "class_comment": F.when(F.col("kind") == "class", F.split("comment", " ")), "method_comment": F.when(F.col("kind") == "method", F.split("comment", " ")), "method_body": F.when(F.col("kind") == "method", F.col("body_words"))}
+    cols = [F.sum(F.size(features.element_text({f: f in flags for f in techniques.ELEMENT_FLAGS}, parts))).alias(name) for name, flags in sorted(techniques.element_techniques().items())]
+    return p.groupBy("file").agg(*cols)
+
+
+@query("emb10_distinct_words", f"{_MEAN_W}, s AS (SELECT DISTINCT file, word, i, x FROM x) SELECT file, i, round(avg(x), 6) AS x FROM s GROUP BY file, i")
+def emb10(spark, d):
+    return _first_dims(features.word_mean(D.method_words(spark, d), D.word_vec(spark, d), ["file"], distinct=True), "file")
+
+
+_TFIDF = "tf AS (SELECT file, word, count(*) AS c FROM {0} WHERE length(word) >= 2 GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT file, word, c * (ln((1 + (SELECT count(DISTINCT file) FROM tf)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (word)), wt AS (SELECT file, word, x / sqrt(sum(x * x) OVER (PARTITION BY file)) AS weight FROM raw)"
+
+
+@query("emb07_tfidf_mean", f"WITH {D.METHOD_SQL}, {_TFIDF.format('mw')}, x AS (SELECT file, weight, unnest(vec) AS x, unnest(range(64)) AS i FROM wt JOIN wv USING (word)) SELECT file, i, round(sum(x * weight) / sum(weight), 6) AS x FROM x GROUP BY file, i")
+def emb07(spark, d):
+    w = D.method_words(spark, d)
+    return _first_dims(features.weighted_word_mean(w, D.word_vec(spark, d), features.tfidf(w), ["file"]), "file")
+
+
+@query("emb13_class_voter", f"{_PAIRS} SELECT code, elem FROM code_el WHERE code % 3 <> 0 UNION ALL SELECT file, -file - 1 FROM files WHERE file % 3 = 0")
+def emb13(spark, d):
+    methods = D.code_elements(spark, d).filter("code % 3 <> 0")
+    names = D.elem(spark, d).groupBy(F.col("file").alias("code")).agg(F.first("vec").alias("vec")).select("code", (-F.col("code") - 1).alias("elem"), "vec")
+    return features.voters(methods, names, "optional").select("code", "elem")
+
+
+@query("emb15_tfidf", f"WITH {D.WORDS_SQL}, {_TFIDF.format('dw')} SELECT file, word, round(weight, 6) AS weight FROM wt")
+def emb15(spark, d):
+    return features.tfidf(D.doc_words(spark, d)).select("file", "word", F.round("weight", 6).alias("weight"))
+
+
+@query("emb16_tfidf_cosine", f"WITH {D.METHOD_SQL}, {_TFIDF.format('mw')} SELECT p.file AS a, q.file AS b, round(sum(p.weight * q.weight), 6) AS sim FROM wt p JOIN wt q ON p.word = q.word AND p.file LIKE 'DB%' AND q.file NOT LIKE 'DB%' GROUP BY 1, 2")
+def emb16(spark, d):
+    w = materialize(features.tfidf(D.method_words(spark, d)), "tfidf")
+    return features.sparse_cosine(w.filter("file like 'DB%'"), w.filter("file not like 'DB%'")).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query("emb17_jaccard", f"WITH {D.METHOD_SQL}, x AS (SELECT DISTINCT file, word FROM mw), n AS (SELECT file, count(*) AS n FROM x GROUP BY 1), c AS (SELECT p.file AS a, q.file AS b, count(*) AS c FROM x p JOIN x q ON p.word = q.word AND p.file LIKE 'DB%' AND q.file NOT LIKE 'DB%' GROUP BY 1, 2) SELECT a, b, round(c / (m.n + k.n - c), 6) AS sim FROM c JOIN n m ON m.file = a JOIN n k ON k.file = b")
+def emb17(spark, d):
+    w = D.method_words(spark, d).select("file", "word").distinct()
+    return features.sparse_jaccard(w.filter("file like 'DB%'").withColumnRenamed("file", "a"), w.filter("file not like 'DB%'").withColumnRenamed("file", "b")).select("a", "b", F.round("sim", 6).alias("sim"))
