@@ -48,8 +48,8 @@ lower_case = each(F.lower)
 letters_only = each(lambda x: F.regexp_replace(x, "[^a-zA-Z -]", ""))
 no_urls = each(lambda x: F.regexp_replace(x, URL, ""))
 one_space = each(lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-full_stop = each(lambda x: F.when(x.rlike(r"[.!;?]$") | (x == ""), x).otherwise(F.concat(x, F.lit("."))))
-no_last_mark = each(lambda x: F.regexp_replace(x, r"[.!;?]$", ""))
+full_stop = each(lambda x: F.when(x.rlike(r"[.!;?]\z") | (x == ""), x).otherwise(F.concat(x, F.lit("."))))
+no_last_mark = each(lambda x: F.regexp_replace(x, r"[.!;?]\z", ""))
 drop_empty = keep(lambda x: x != "")
 
 
@@ -100,7 +100,7 @@ def sentences(text: Column) -> Column:
 
 
 def words_by_sentence(text: Column) -> Column:
-    return F.transform(sentences(text), word_tokens)
+    return F.transform(sentences(text), lambda s: word_tokens(s))
 
 
 def javadoc_description(text: Column) -> Column:

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.runtime import materialize
+
 Gene = tuple[str, str]
 
 
@@ -35,22 +37,22 @@ def first_front(points: DataFrame, dims: list[str], key: str = "ind") -> DataFra
     can't be in the front, so only block winners meet in the final comparison.
     """
     def undominated(df: DataFrame, on: list[str]) -> DataFrame:
-        other = df.select(*on, *(F.col(d).alias(f"_{d}") for d in dims)).distinct()
+        other = df.select(*on, *(F.col(d).alias(f"__{d}") for d in dims)).distinct()
         ge, gt = F.lit(True), F.lit(False)
         for d in dims:
-            ge, gt = ge & (F.col(f"_{d}") >= F.col(d)), gt | (F.col(f"_{d}") > F.col(d))
+            ge, gt = ge & (F.col(f"__{d}") >= F.col(d)), gt | (F.col(f"__{d}") > F.col(d))
         joined = df.alias("l").join(other.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [ge & gt], "left_anti")
         return joined.select(df.columns)
 
-    local = undominated(points.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(64))), ["_b"])
-    return undominated(local.withColumn("_b", F.lit(0)), ["_b"]).drop("_b")
+    local = undominated(points.withColumn("block_", F.pmod(F.xxhash64(key), F.lit(64))), ["block_"])
+    return undominated(local.withColumn("block_", F.lit(0)), ["block_"]).drop("block_")
 
 
 def fronts(points: DataFrame, dims: list[str], key: str = "ind", most: int = 50) -> DataFrame:
     """points with `front`, peeled one front after the other; what is left after `most` fronts has none."""
     left, out = points, None
     for k in range(1, most + 1):
-        front = first_front(left, dims, key).withColumn("front", F.lit(k)).checkpoint() if left.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else first_front(left, dims, key).withColumn("front", F.lit(k)).persist()
+        front = materialize(first_front(left, dims, key).withColumn("front", F.lit(k)), "front")
         if front.isEmpty():
             break
         out = front if out is None else out.unionByName(front)

@@ -74,8 +74,8 @@ _tokens("fn06_stopwords", "toks", T.stop_words(T.ENGLISH_STOP_WORDS), f"list_fil
 _tokens("fn07_code_stopwords", "ident", T.stop_words(T.CODE_STOP_WORDS), f"list_filter(t, lambda x: NOT list_contains({_lit(T.CODE_STOP_WORDS)}, x))")
 _tokens("fn09_token_filter", "toks", T.keep(lambda x: x.startswith("r")), "list_filter(t, lambda x: starts_with(x, 'r'))")
 _tokens("fn11_javadoc_filter", "toks", T.javadoc_filter, f"list_filter(flatten(list_transform(list_filter(t, lambda x: NOT regexp_matches(x, '(?i)@(throws|author|version)')), lambda x: string_split_regex(regexp_replace(x, '(?i)@(param|return|link)', '', 'g'), '{_WS}'))), lambda x: x <> '')")
-_tokens("fn12_white_space", "toks", T.one_space, _map(f"trim(regexp_replace(x, '{_WS}', ' ', 'g'))"))
-_tokens("fn13_fullstop", "toks", T.full_stop, _map("CASE WHEN x = '' OR regexp_matches(x, '[.!;?]\\n?$') THEN x ELSE x || '.' END"))
+_tokens("fn12_white_space", "toks", T.one_space, _map(f"regexp_replace(regexp_replace(x, '{_WS}', ' ', 'g'), '^ | $', '', 'g')"))
+_tokens("fn13_fullstop", "toks", T.full_stop, _map("CASE WHEN x = '' OR regexp_matches(x, '[.!;?]$') THEN x ELSE x || '.' END"))
 _tokens("fn14_last_mark", "ident", T.no_last_mark, _map("regexp_replace(x, '[.!;?]$', '')"))
 _tokens("fn15_length", "ident", T.longer_than(8), "list_filter(t, lambda x: length(x) > 8)")
 _tokens("fn16_empty", "ident", T.drop_empty, "list_filter(t, lambda x: x <> '')")
@@ -237,7 +237,7 @@ def num05(spark, d):
     return L.normalise(D.trace_scores(spark, d)).select("req", "code", F.round("sim", 6).alias("sim"))
 
 
-@query("num06_range", "SELECT round(0.2 + i * 0.05, 2) AS t FROM range(13) r(i)")
+@query("num06_range", "SELECT round(0.2 + i * 0.05, 2)::DOUBLE AS t FROM range(13) r(i)")
 def num06(spark, d):
     return V.threshold_range(spark, 0.2, 0.8, 0.05)
 
@@ -248,9 +248,9 @@ def num07(spark, d):
     return n.select("n", V.top_percent(F.col("n"), 0.1).alias("k"))
 
 
-@query("num08_complement", "SELECT n_nationkey, round_even(1 - n_nationkey / 40, 2) AS c FROM nation")
+@query("num08_complement", "SELECT n_nationkey, round_even(1 - n_nationkey / 30, 2) AS c FROM nation")
 def num08(spark, d):
-    return load(spark, d, "nation").select("n_nationkey", V.complement(F.col("n_nationkey") / 40).alias("c"))
+    return load(spark, d, "nation").select("n_nationkey", V.complement(F.col("n_nationkey") / 30).alias("c"))
 
 
 @query("num09_jaccard", f"WITH {D.IDENT_SQL} SELECT method_id, round(CASE WHEN len(list_distinct(t || p)) = 0 THEN 0 ELSE len(list_intersect(t, p)) / len(list_distinct(t || p)) END, 6) AS sim FROM (SELECT method_id, t, lead(t, 1, []) OVER (ORDER BY method_id) AS p FROM ident)")
@@ -387,3 +387,800 @@ def emb16(spark, d):
 def emb17(spark, d):
     w = D.method_words(spark, d).select("file", "word").distinct()
     return features.sparse_jaccard(w.filter("file like 'DB%'").withColumnRenamed("file", "a"), w.filter("file not like 'DB%'").withColumnRenamed("file", "b")).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+# --- joins -----------------------------------------------------------------------------------------------------
+
+
+@query("jn01_pairs", f"{_PAIRS} SELECT code, req, count(*) AS n, round(sum(sim), 6) AS total FROM pairs GROUP BY code, req")
+def jn01(spark, d):
+    return D.pairs(spark, d).groupBy("code", "req").agg(F.count("*").alias("n"), F.round(F.sum("sim"), 6).alias("total"))
+
+
+@query("jn02_file_pairs", f"{_PAIRS}, x AS (SELECT file, is_req, unnest(vec) AS x, unnest(range(64)) AS i FROM elem), m AS (SELECT file, is_req, i, avg(x) AS x FROM x GROUP BY ALL), n AS (SELECT file, is_req, sqrt(sum(x * x)) AS n FROM m GROUP BY ALL) SELECT a.file AS code, b.file AS req, round(sum(a.x * b.x) / any_value(p.n * q.n), 6) AS sim FROM m a JOIN m b ON a.i = b.i AND NOT a.is_req AND b.is_req JOIN n p ON p.file = a.file AND NOT p.is_req JOIN n q ON q.file = b.file AND q.is_req GROUP BY 1, 2")
+def jn02(spark, d):
+    c = V.mean_vector(D.code_elements(spark, d), ["code"], "vec").withColumn("elem", F.col("code"))
+    r = V.mean_vector(D.req_parts(spark, d), ["req"], "vec").withColumn("part", F.col("req"))
+    return similarity.cosine_pairs(c, r).select("code", "req", F.round("sim", 6).alias("sim"))
+
+
+@query("jn03_selected_parts", f"{_PAIRS} SELECT elem, part, round(sim, 6) AS sim FROM pairs WHERE part % 20 IN (0, 5)")
+def jn03(spark, d):
+    r = D.req_parts(spark, d).filter("part % 20 in (0, 5)")
+    return similarity.cosine_pairs(D.code_elements(spark, d), r).select("elem", "part", F.round("sim", 6).alias("sim"))
+
+
+@query("jn05_combination", f"{_PAIRS}, a AS (SELECT code, count(*) AS ids FROM pairs WHERE sim > 0.2 GROUP BY code), b AS (SELECT code, count(*) AS comments FROM pairs WHERE sim > 0.35 GROUP BY code) SELECT code, ids, coalesce(comments, 0) AS comments FROM a LEFT JOIN b USING (code)")
+def jn05(spark, d):
+    p = D.pairs(spark, d)
+    a, b = p.filter("sim > 0.2").groupBy("code").agg(F.count("*").alias("ids")), p.filter("sim > 0.35").groupBy("code").agg(F.count("*").alias("comments"))
+    return a.join(b, "code", "left").select("code", "ids", F.coalesce("comments", F.lit(0)).alias("comments"))
+
+
+_RED = "red AS (SELECT code, elem, req, max(sim) AS sim FROM pairs WHERE sim > 0.05 GROUP BY ALL)"
+_NEAR = _RED + ", cgb AS (SELECT caller AS elem, callee AS other FROM cg UNION ALL SELECT callee, caller FROM cg), nr AS (SELECT code, elem, req, sim, FALSE AS near FROM red UNION ALL SELECT o.code, o.elem, r.req, r.sim, TRUE FROM (SELECT DISTINCT code, elem FROM red) o JOIN cgb USING (elem) JOIN red r ON r.elem = cgb.other)"
+
+
+def _reduced(spark, d):
+    return L.reduce_requirements(L.threshold(D.pairs(spark, d), F.lit(0.05)), "max")
+
+
+def _rows(spark, d, direction="both"):
+    return L.neighbour_rows(materialize(_reduced(spark, d), "reduced"), D.call_edges(spark, d), direction)
+
+
+@query("jn06_neighbours", f"{_PAIRS}, {_NEAR} SELECT elem, req, near, count(*) AS n, round(sum(sim), 6) AS total FROM nr GROUP BY ALL")
+def jn06(spark, d):
+    return _rows(spark, d).groupBy("elem", "req", "near").agg(F.count("*").alias("n"), F.round(F.sum("sim"), 6).alias("total"))
+
+
+@query("jn07_semi", f"WITH {D.TRACE_SQL} SELECT req, code, round(sim, 6) AS sim FROM hits WHERE hit = 1")
+def jn07(spark, d):
+    return M.with_hits(D.trace_scores(spark, d), D.trace_gold(spark, d)).filter("hit = 1").select("req", "code", F.round("sim", 6).alias("sim"))
+
+
+@query("jn08_completion", f"WITH {D.TRACE_SQL}, r AS (SELECT DISTINCT req FROM scores WHERE req LIKE 'st-1%'), c AS (SELECT DISTINCT code FROM scores WHERE code LIKE 'db%') SELECT req, code, round(coalesce(sim, 0), 6) AS sim FROM (SELECT * FROM r, c) LEFT JOIN scores USING (req, code)")
+def jn08(spark, d):
+    s = D.trace_scores(spark, d).filter("req like 'st-1%' and code like 'db%'")
+    all_ = D.trace_scores(spark, d)
+    return M.complete(s, all_.filter("req like 'st-1%'"), all_.filter("code like 'db%'")).select("req", "code", F.round("sim", 6).alias("sim"))
+
+
+@query("jn09_inheritance_rule", f"{_PAIRS}, l AS (SELECT code, req, max(sim) AS sim FROM pairs GROUP BY ALL HAVING max(sim) > 0.3) SELECT code, req, round(sim, 6) AS sim FROM l UNION ALL SELECT super, req, NULL FROM l JOIN inh ON sub = code")
+def jn09(spark, d):
+    links = D.pairs(spark, d).groupBy("code", "req").agg(F.max("sim").alias("sim")).filter("sim > 0.3")
+    return L.rule_links(links, D.inherits(spark, d), "up").withColumn("sim", F.round("sim", 6))
+
+
+@query("jn10_call_rule", f"{_PAIRS}, l AS (SELECT code, req, max(sim) AS sim FROM pairs GROUP BY ALL HAVING max(sim) > 0.3), cc AS (SELECT DISTINCT caller // 20 AS a, callee // 20 AS b FROM cg WHERE caller // 20 <> callee // 20) SELECT code, req, round(sim, 6) AS sim FROM l UNION ALL SELECT b, req, NULL FROM l JOIN cc ON a = code UNION ALL SELECT a, req, NULL FROM l JOIN cc ON b = code")
+def jn10(spark, d):
+    links = D.pairs(spark, d).groupBy("code", "req").agg(F.max("sim").alias("sim")).filter("sim > 0.3")
+    cls = D.call_edges(spark, d).select(F.floor(F.col("caller") / 20).cast("long").alias("sub"), F.floor(F.col("callee") / 20).cast("long").alias("super")).filter("sub <> super").distinct()
+    return L.rule_links(links, cls, "both").withColumn("sim", F.round("sim", 6))
+
+
+@query("jn11_class_files", "WITH f AS (SELECT file_id, any_value(class_name) AS class_name, any_value(file_name) AS file FROM code_file GROUP BY file_id) SELECT class_name, arg_max(file, file_id) AS file FROM f WHERE class_name IS NOT NULL GROUP BY class_name")
+def jn11(spark, d):
+    f = load(spark, d, "code_file").filter("class_name is not null").select("class_name", F.col("file_name").alias("file"), F.col("file_id").alias("ord"))
+    return graph.class_files(f)
+
+
+@query("jn12_file_word_weight", f"WITH {D.WORDS_SQL}, {_TFIDF.format('dw')} SELECT file, round(sum(weight), 6) AS total FROM dw JOIN wt USING (file, word) GROUP BY file")
+def jn12(spark, d):
+    t = D.doc_words(spark, d)
+    return t.join(features.tfidf(t), ["file", "word"]).groupBy("file").agg(F.round(F.sum("weight"), 6).alias("total"))
+
+
+_ISSUE = "iss AS (SELECT req_id, any_value(req_filename) AS req, any_value(req_text) AS txt, any_value(code) AS code FROM issue_entry GROUP BY req_id)"
+
+
+@query("jn14_labelled_pairs", "WITH g AS (SELECT DISTINCT lower(req_filename) AS req, lower(code_filename) AS code FROM trace_link WHERE req_filename IS NOT NULL AND code_filename IS NOT NULL), r AS (SELECT DISTINCT req FROM g WHERE req LIKE 'dd-1%'), c AS (SELECT DISTINCT code FROM g WHERE code LIKE 'db%') SELECT 'r ' || r.req AS requirement, 'c ' || c.code AS code_entry, CASE WHEN g.req IS NULL THEN 0 ELSE 1 END AS valid, r.req AS requirement_filename, c.code AS code_filename, 'all' AS dataset FROM r, c LEFT JOIN g ON g.req = r.req AND g.code = c.code")
+def jn14(spark, d):
+    g = D.trace_gold(spark, d)
+    r = g.filter("req like 'dd-1%'").select("req").distinct().withColumn("requirement", F.concat(F.lit("r "), "req"))
+    c = g.filter("code like 'db%'").select("code").distinct().withColumn("code_entry", F.concat(F.lit("c "), "code"))
+    return sampling.labelled_pairs(r, c, g, "all")
+
+
+@query("jn15_difference", f"WITH {D.TRACE_SQL} SELECT req, code FROM scores EXCEPT SELECT req, code FROM gold")
+def jn15(spark, d):
+    return D.trace_scores(spark, d).select("req", "code").join(D.trace_gold(spark, d), ["req", "code"], "left_anti").distinct()
+
+
+_POINTS = "pt AS (SELECT l_orderkey AS ind, sum(l_quantity) AS a, round(sum(l_discount), 4) AS b FROM lineitem GROUP BY 1)"
+
+
+def _points(spark, d):
+    return load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("ind")).agg(F.sum("l_quantity").alias("a"), F.round(F.sum("l_discount"), 4).alias("b"))
+
+
+@query("jn16_domination", f"WITH {_POINTS} SELECT count(*) AS pairs FROM pt x JOIN pt y ON x.ind % 40 = y.ind % 40 AND x.a >= y.a AND x.b >= y.b AND (x.a > y.a OR x.b > y.b)")
+def jn16(spark, d):
+    """Pairs of points of one group of which the first dominates the second."""
+    x = _points(spark, d).withColumn("g", F.col("ind") % 40)
+    y = x.select("g", F.col("a").alias("c"), F.col("b").alias("e"))
+    return x.join(y, "g").filter("a >= c and b >= e and (a > c or b > e)").agg(F.count("*").alias("pairs"))
+
+
+# --- filters ---------------------------------------------------------------------------------------------------
+
+
+@query("flt01_direction", f"{_PAIRS} SELECT req, count(*) FILTER (WHERE sim > 0.123456) AS above, count(*) FILTER (WHERE sim < 0.123456) AS below FROM pairs GROUP BY req")
+def flt01(spark, d):
+    p, t = D.pairs(spark, d), F.lit(0.123456)
+    return p.groupBy("req").agg(F.count(F.when(V.better(F.col("sim"), t), 1)).alias("above"), F.count(F.when(V.better(F.col("sim"), t, True), 1)).alias("below"))
+
+
+@query("flt04_file_threshold", f"WITH {D.TRACE_SQL} SELECT count(*) FILTER (WHERE sim > 0.5) AS larger, count(*) FILTER (WHERE sim <= 0.5) AS reverse FROM scores")
+def flt04(spark, d):
+    s = D.trace_scores(spark, d)
+    t = F.lit(0.5)
+    x = L.file_threshold(s, t).select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(L.file_threshold(s, t, True).select(F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return x.agg(F.sum("a").alias("larger"), F.sum("b").alias("reverse"))
+
+
+@query("flt05_finite", "SELECT tool, count(*) AS n FROM trace_score WHERE score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score) GROUP BY tool")
+def flt05(spark, d):
+    return L.finite(load(spark, d, "trace_score"), "score").groupBy("tool").agg(F.count("*").alias("n"))
+
+
+_GRID = "ge AS (SELECT unnest([0.05, 0.1, 0.2, 0.25])::DOUBLE AS e), gm AS (SELECT unnest([0.1, 0.15, 0.2, 0.25])::DOUBLE AS m), gf AS (SELECT unnest([0.1, 0.2, 0.25, 0.3, 0.35])::DOUBLE AS f), grid AS (SELECT e, m, f FROM ge, gm, gf WHERE e <= m AND m <= f)"
+
+
+def _grid(spark):
+    lists = ([0.05, 0.1, 0.2, 0.25], [0.1, 0.15, 0.2, 0.25], [0.1, 0.2, 0.25, 0.3, 0.35])
+    return spark.createDataFrame([(e, m, f) for e in lists[0] for m in lists[1] for f in lists[2]], "e double, m double, f double")
+
+
+@query("flt06_valid_cells", f"WITH {_GRID} SELECT e, m, f FROM grid")
+def flt06(spark, d):
+    return techniques.valid_cells(_grid(spark))
+
+
+@query("flt11_voters", f"{_PAIRS} SELECT file AS code, count(*) FILTER (WHERE NOT is_req) AS methods FROM elem GROUP BY file HAVING count(*) FILTER (WHERE NOT is_req) > 0")
+def flt11(spark, d):
+    return features.voters(D.code_elements(spark, d), D.code_elements(spark, d), "optional").groupBy("code").agg(F.count("*").alias("methods"))
+
+
+# --- link creation ---------------------------------------------------------------------------------------------
+
+
+def _majority_sql(source: str, how: str = "max") -> str:
+    return f"SELECT code, req, votes, round(sim, 6) AS sim FROM (SELECT *, max(votes) OVER (PARTITION BY code) AS mx FROM (SELECT code, req, count(*) AS votes, {how}(sim) AS sim FROM {source} GROUP BY code, req)) WHERE votes = mx"
+
+
+def _links(df: DataFrame) -> DataFrame:
+    return df.select("code", "req", F.col("votes").cast("long").alias("votes"), F.round("sim", 6).alias("sim"))
+
+
+@query("agg01_req_reduce", f"{_PAIRS}, {_RED} SELECT code, elem, req, round(sim, 6) AS sim FROM red")
+def agg01(spark, d):
+    return _reduced(spark, d).withColumn("sim", F.round("sim", 6))
+
+
+@query("agg02_majority", f"{_PAIRS}, {_RED}, v AS (SELECT * FROM red WHERE sim > 0.15) {_majority_sql('v')}")
+def agg02(spark, d):
+    return _links(L.majority_links(D.pairs(spark, d), F.lit(0.05), F.lit(0.15)))
+
+
+@query("agg02_majority_reverse", f"{_PAIRS}, red AS (SELECT code, elem, req, min(1 - sim) AS sim FROM pairs WHERE 1 - sim < 0.95 GROUP BY ALL), v AS (SELECT * FROM red WHERE sim < 0.85) {_majority_sql('v', 'min')}")
+def agg02r(spark, d):
+    p = D.pairs(spark, d).withColumn("sim", 1 - F.col("sim"))
+    return _links(L.majority_links(p, F.lit(0.95), F.lit(0.85), "min", "min", reverse=True))
+
+
+@query("agg03_statistics", f"{_PAIRS}, {_RED}, v AS (SELECT * FROM red WHERE sim > 0.15), l AS ({_majority_sql('v')}), w AS (SELECT code, count(*) AS w FROM l GROUP BY 1), c AS (SELECT code, count(DISTINCT req) AS c FROM v GROUP BY 1) SELECT round(avg(w), 6) AS mean_winners, median(w)::DOUBLE AS median_winners, round(avg(c), 6) AS mean_candidates, median(c)::DOUBLE AS median_candidates FROM w JOIN c USING (code)")
+def agg03(spark, d):
+    votes = materialize(L.threshold(_reduced(spark, d), F.lit(0.15)), "votes")
+    s = L.majority_statistics(L.majority(votes), votes)
+    return s.select(*(F.round(c, 6).alias(c) for c in s.columns))
+
+
+@query("agg04_topn", f"{_PAIRS}, {_RED}, v AS (SELECT code, elem, req, sim FROM (SELECT *, row_number() OVER (PARTITION BY code, elem ORDER BY sim DESC, req) AS r FROM red) WHERE r <= 2) {_majority_sql('v')}")
+def agg04(spark, d):
+    return _links(L.top_n_links(D.pairs(spark, d), F.lit(0.05), 2))
+
+
+@query("agg05_file_level", f"{_PAIRS} SELECT code, req, round(avg(sim), 6) AS sim FROM pairs GROUP BY code, req")
+def agg05(spark, d):
+    return D.pairs(spark, d).groupBy("code", "req").agg(F.round(F.avg("sim"), 6).alias("sim"))
+
+
+@query("agg06_direction_counts", f"{_PAIRS}, {_RED} SELECT 'down' AS direction, count(*) AS n FROM (SELECT DISTINCT code, elem FROM red) o JOIN cg ON cg.caller = o.elem JOIN red r ON r.elem = cg.callee UNION ALL SELECT 'up', count(*) FROM (SELECT DISTINCT code, elem FROM red) o JOIN cg ON cg.callee = o.elem JOIN red r ON r.elem = cg.caller")
+def agg06(spark, d):
+    out = [_rows(spark, d, x).filter("near").agg(F.count("*").alias("n")).select(F.lit(x).alias("direction"), "n") for x in ("down", "up")]
+    return out[0].unionByName(out[1])
+
+
+@query("agg07_replicated", f"{_PAIRS}, {_NEAR}, c AS (SELECT *, sum(CASE WHEN near THEN 0 ELSE 1 END) OVER w AS nc, sum(CASE WHEN near THEN 1 ELSE 0 END) OVER w AS nn FROM nr WINDOW w AS (PARTITION BY code, elem)), v AS (SELECT code, req, sim, CASE WHEN near OR nn = 0 THEN 1 ELSE 1 + greatest(0, round_even(3.0 * nn, 0) - nc) END AS n FROM c) SELECT code, req, votes, round(sim, 6) AS sim FROM (SELECT *, max(votes) OVER (PARTITION BY code) AS mx FROM (SELECT code, req, sum(n)::BIGINT AS votes, max(sim) AS sim FROM v GROUP BY ALL)) WHERE votes = mx")
+def agg07(spark, d):
+    return _links(L.replicated_votes(_rows(spark, d), 0.75))
+
+
+@query("agg08_double_majority", f"{_PAIRS}, {_NEAR}, v AS (SELECT code, elem, near, req, max(sim) AS sim FROM nr GROUP BY ALL), i AS (SELECT code, elem, req, count(*) AS votes, max(sim) AS sim FROM v GROUP BY ALL), w AS (SELECT * FROM (SELECT *, max(votes) OVER (PARTITION BY code, elem) AS mx FROM i) WHERE votes = mx), b AS (SELECT * FROM (SELECT *, max(sim) OVER (PARTITION BY code, elem) AS ms FROM w) WHERE sim = ms) {_majority_sql('b')}")
+def agg08(spark, d):
+    return _links(L.double_majority(_rows(spark, d)))
+
+
+@query("agg09_all_call", f"{_PAIRS}, {_NEAR} {_majority_sql('nr')}")
+def agg09(spark, d):
+    return _links(L.all_call_majority(_rows(spark, d)))
+
+
+_SUMS = "ws AS (SELECT code, elem, req, CASE WHEN o IS NULL THEN n WHEN n IS NULL THEN o ELSE 0.8 * o + 0.2 * n END AS sim FROM (SELECT code, elem, req, max(sim) FILTER (WHERE NOT near) AS o, avg(sim) FILTER (WHERE near) AS n FROM nr GROUP BY ALL))"
+
+
+@query("agg10_weighted_sum", f"{_PAIRS}, {_NEAR}, {_SUMS} SELECT elem, req, round(sim, 6) AS sim FROM ws")
+def agg10(spark, d):
+    return L.weighted_sums(_rows(spark, d), 0.8).select("elem", "req", F.round("sim", 6).alias("sim"))
+
+
+@query("agg11_element_level", f"{_PAIRS}, {_NEAR}, {_SUMS}, v AS (SELECT * FROM ws WHERE sim > 0.15) {_majority_sql('v')}")
+def agg11(spark, d):
+    return _links(L.weighted_sum_links(D.pairs(spark, d), D.call_edges(spark, d), 0.8, F.lit(0.05), F.lit(0.15)))
+
+
+@query("agg12_weighted_vectors", f"{_PAIRS}, cgb AS (SELECT caller AS elem, callee AS other FROM cg UNION ALL SELECT callee, caller FROM cg), x AS (SELECT elem, unnest(vec) AS x, unnest(range(64)) AS i FROM code_el), n AS (SELECT c.elem, x.i, avg(x.x) AS x FROM cgb c JOIN x ON x.elem = c.other JOIN code_el k ON k.elem = c.elem GROUP BY ALL), b AS (SELECT x.elem, x.i, CASE WHEN n.x IS NULL THEN x.x ELSE 0.8 * x.x + 0.2 * n.x END AS x FROM x LEFT JOIN n USING (elem, i)), v AS (SELECT elem, list(x ORDER BY i) AS vec FROM b GROUP BY elem), red AS (SELECT k.code, v.elem, r.req, max(list_dot_product(v.vec, r.vec) / sqrt(list_dot_product(v.vec, v.vec) * list_dot_product(r.vec, r.vec))) AS sim FROM v JOIN code_el k USING (elem), req_el r GROUP BY ALL), w AS (SELECT * FROM red WHERE sim > 0.15) {_majority_sql('w')}")
+def agg12(spark, d):
+    c = D.code_elements(spark, d)
+    e = D.call_edges(spark, d)
+    both = e.select(F.col("caller").alias("elem"), F.col("callee").alias("other")).unionByName(e.select(F.col("callee").alias("elem"), F.col("caller").alias("other")))
+    near = V.mean_vector(both.join(c.select(F.col("elem").alias("other"), "vec"), "other"), ["elem"], "vec").select("elem", F.col("vec").alias("n"))
+    mixed = c.join(near, "elem", "left").withColumn("vec", F.when(F.col("n").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "n", lambda x, y: 0.8 * x + 0.2 * y))).select("code", "elem", "vec")
+    return _links(L.majority(L.threshold(L.reduce_requirements(similarity.cosine_pairs(mixed, D.req_parts(spark, d))), F.lit(0.15))))
+
+
+_TWO = f"{_PAIRS}, a AS (SELECT code, elem, req, max(sim) AS sim FROM pairs WHERE part % 2 = 0 GROUP BY ALL HAVING max(sim) > 0.1), b AS (SELECT code, elem, req, max(sim) AS sim FROM pairs WHERE part % 2 = 1 GROUP BY ALL HAVING max(sim) > 0.12)"
+
+
+def _two(spark, d):
+    p = D.pairs(spark, d)
+    return [L.threshold(L.reduce_requirements(p.filter(F.col("part") % 2 == k)), F.lit(t)) for k, t in ((0, 0.1), (1, 0.12))]
+
+
+@query("agg13_separate", f"{_TWO}, la AS ({_majority_sql('a')}), lb AS ({_majority_sql('b')}) SELECT code, req, max(sim) AS sim FROM (SELECT * FROM la UNION ALL SELECT * FROM lb) GROUP BY ALL")
+def agg13(spark, d):
+    a, b = _two(spark, d)
+    return L.separate_majorities(L.majority(a), L.majority(b)).withColumn("sim", F.round("sim", 6))
+
+
+@query("agg14_union", f"{_TWO}, u AS (SELECT code, req, sim FROM a UNION ALL SELECT code, req, sim FROM b) {_majority_sql('u')}")
+def agg14(spark, d):
+    return _links(L.union_majority(*_two(spark, d)))
+
+
+@query("agg15_return_all", f"{_TWO} SELECT code, req, round(max(sim), 6) AS sim FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL")
+def agg15(spark, d):
+    return L.return_all(*_two(spark, d)).withColumn("sim", F.round("sim", 6))
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------
+
+_PRF = "found, hits, gold, round(CASE WHEN found = 0 THEN 0 ELSE hits / found END, 6) AS precision, round(CASE WHEN gold = 0 THEN 0 ELSE hits / gold END, 6) AS recall, round(CASE WHEN hits = 0 THEN 0 ELSE 2 * hits / (found + gold) END, 6) AS f1"
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
+
+@query("agg16_prf1", f"WITH {D.TRACE_SQL} SELECT {_PRF} FROM (SELECT count(*) AS found, sum(hit)::BIGINT AS hits, (SELECT count(*) FROM gold) AS gold FROM hits WHERE sim > 0.5)")
+def agg16(spark, d):
+    return _rounded(M.evaluate(L.file_threshold(D.trace_scores(spark, d), F.lit(0.5)), D.trace_gold(spark, d)), "precision", "recall", "f1")
+
+
+@query("agg17_duplicates", f"WITH {D.TRACE_SQL} SELECT {_PRF} FROM (SELECT 2 * count(*) AS found, sum(hit)::BIGINT AS hits, (SELECT count(*) FROM gold) AS gold FROM hits)")
+def agg17(spark, d):
+    s = D.trace_scores(spark, d)
+    return _rounded(M.evaluate(s.unionByName(s.withColumn("req", F.upper("req"))), D.trace_gold(spark, d)), "precision", "recall", "f1")
+
+
+_RANK = "rk AS (SELECT *, row_number() OVER w AS rank, sum(hit) OVER (PARTITION BY req ORDER BY sim DESC, code, req ROWS UNBOUNDED PRECEDING) AS s FROM hits WINDOW w AS (PARTITION BY req ORDER BY sim DESC, code, req))"
+
+
+def _hits(spark, d):
+    return M.with_hits(D.trace_scores(spark, d), D.trace_gold(spark, d))
+
+
+@query("agg19_ap", f"WITH {D.TRACE_SQL}, {_RANK} SELECT req, round(CASE WHEN sum(hit) = 0 THEN 0 ELSE sum(s / rank * hit) / sum(hit) END, 6) AS ap, sum(hit)::BIGINT AS hits FROM rk GROUP BY req")
+def agg19(spark, d):
+    return _rounded(M.average_precision(_hits(spark, d), ("req",)), "ap")
+
+
+@query("agg20_map_at_k", f"WITH {D.TRACE_SQL}, {_RANK} SELECT round(sum(ap) / (SELECT count(DISTINCT req) FROM gold), 6) AS map, 3::BIGINT AS k FROM (SELECT req, CASE WHEN sum(hit) = 0 THEN 0 ELSE sum(s / rank * hit) / sum(hit) END AS ap FROM rk WHERE rank <= 3 GROUP BY req)")
+def agg20(spark, d):
+    n = D.trace_gold(spark, d).select("req").distinct().count()
+    return _rounded(M.map_at_k(_hits(spark, d), n, 3), "map")
+
+
+@query("agg21_map_recall", f"WITH {D.TRACE_SQL}, {_RANK}, ks AS (SELECT unnest(range(1, 11)) AS k), ap AS (SELECT k, req, CASE WHEN sum(hit) = 0 THEN 0 ELSE sum(s / rank * hit) / sum(hit) END AS ap, sum(hit) AS h FROM ks JOIN rk ON rank <= k GROUP BY ALL) SELECT k, round(sum(ap) / (SELECT count(DISTINCT req) FROM gold), 6) AS map, round(sum(h) / (SELECT count(*) FROM gold), 6) AS recall FROM ap GROUP BY k")
+def agg21(spark, d):
+    g = D.trace_gold(spark, d).agg(F.countDistinct("req"), F.count("*")).first()
+    return _rounded(M.map_and_recall(_hits(spark, d), g[0], g[1], 10), "map", "recall")
+
+
+_SWEEP_F = "fs AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS f), cells AS (SELECT f, count(*) AS found, sum(hit)::BIGINT AS hits, (SELECT count(*) FROM gold) AS gold FROM fs JOIN hits ON sim > f GROUP BY f)"
+
+
+def _cells(spark, d):
+    fs = F.broadcast(spark.createDataFrame([(x / 10,) for x in range(1, 9)], "f double"))
+    s = D.trace_scores(spark, d)
+    return M.evaluate(s.join(fs, s["sim"] > fs["f"]), D.trace_gold(spark, d), ("f",))
+
+
+@query("agg22_integral_ap", f"WITH {D.TRACE_SQL}, {_SWEEP_F}, c AS (SELECT hits / gold AS recall, max(hits / found) AS precision FROM cells GROUP BY 1) SELECT round(sum((recall - p) * precision), 6) AS ap FROM (SELECT *, coalesce(lag(recall) OVER (ORDER BY recall), 0) AS p FROM c)")
+def agg22(spark, d):
+    return _rounded(M.integral_average_precision(M.curve(_cells(spark, d))), "ap")
+
+
+@query("agg23_curves", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT 'max' AS rule, round(hits / gold, 6) AS recall, round(max(hits / found), 6) AS precision FROM cells GROUP BY hits / gold UNION ALL SELECT 'last', round(hits / gold, 6), round(arg_max(hits / found, f), 6) FROM cells GROUP BY hits / gold")
+def agg23(spark, d):
+    c = materialize(_cells(spark, d), "cells")
+    both = M.curve(c).withColumn("rule", F.lit("max")).unionByName(M.curve(c, (), "last", F.col("f")).withColumn("rule", F.lit("last")))
+    return _rounded(both, "recall", "precision").select("rule", "recall", "precision")
+
+
+@query("agg24_best_f1", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT f, {_PRF} FROM cells ORDER BY 2 * hits / (found + gold) DESC, f LIMIT 1")
+def agg24(spark, d):
+    return _rounded(M.best_cell(_cells(spark, d), ["f"]), "precision", "recall", "f1")
+
+
+@query("agg25_grouped", "SELECT dataset, count(*) AS n, array_to_string(list_sort(list(DISTINCT lower(code_filename))), ' ') AS codes FROM trace_link WHERE code_filename IS NOT NULL GROUP BY dataset")
+def agg25(spark, d):
+    t = load(spark, d, "trace_link").filter("code_filename is not null")
+    return t.groupBy("dataset").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set(F.lower("code_filename"))), " ").alias("codes"))
+
+
+@query("agg26_gold_statistics", f"WITH {D.TRACE_SQL} SELECT count(*) AS links, count(DISTINCT req) AS reqs, count(DISTINCT code) AS codes FROM gold")
+def agg26(spark, d):
+    return M.gold_statistics(D.trace_gold(spark, d))
+
+
+_BY_SET = "g AS (SELECT DISTINCT dataset, lower(req_filename) AS req, lower(code_filename) AS code FROM trace_link WHERE req_filename IS NOT NULL AND code_filename IS NOT NULL), gn AS (SELECT dataset, count(*) AS gold FROM g GROUP BY 1), sc AS (SELECT dataset, tool AS technique, lower(req_filename) AS req, lower(code_filename) AS code, max(score) AS sim FROM trace_score WHERE score IS NOT NULL AND NOT isnan(score) AND req_filename IS NOT NULL AND code_filename IS NOT NULL GROUP BY ALL), fs AS (SELECT unnest([0.2, 0.4, 0.6])::DOUBLE AS f), cells AS (SELECT s.dataset, technique, f, count(*) AS found, count(g.req) AS hits, any_value(gold) AS gold FROM sc s JOIN fs ON sim > f JOIN gn USING (dataset) LEFT JOIN g ON g.dataset = s.dataset AND g.req = s.req AND g.code = s.code GROUP BY ALL), f1 AS (SELECT *, 2 * hits / (found + gold) AS f1 FROM cells)"
+
+
+def _by_set(spark, d):
+    t = load(spark, d, "trace_link").filter("req_filename is not null and code_filename is not null").select("dataset", F.lower("req_filename").alias("req"), F.lower("code_filename").alias("code")).distinct().withColumn("hit", F.lit(1))
+    s = L.finite(load(spark, d, "trace_score"), "score").filter("req_filename is not null and code_filename is not null").groupBy("dataset", F.col("tool").alias("technique"), F.lower("req_filename").alias("req"), F.lower("code_filename").alias("code")).agg(F.max("score").alias("sim"))
+    fs = F.broadcast(spark.createDataFrame([(0.2,), (0.4,), (0.6,)], "f double"))
+    c = s.join(fs, s["sim"] > fs["f"]).join(t, ["dataset", "req", "code"], "left").groupBy("dataset", "technique", "f").agg(F.count("*").alias("found"), F.count("hit").alias("hits"))
+    gold = t.groupBy("dataset").agg(F.count("*").alias("gold"))
+    return c.join(F.broadcast(gold), "dataset").withColumn("f1", 2 * F.col("hits") / (F.col("found") + F.col("gold")))
+
+
+@query("agg27_cross_project", f"WITH {_BY_SET} SELECT technique, f, round(avg(f1), 6) AS mean_f1 FROM f1 GROUP BY technique, f HAVING count(DISTINCT dataset) = 6")
+def agg27(spark, d):
+    return _rounded(M.best_config(_by_set(spark, d), ["technique", "f"], 6), "mean_f1")
+
+
+@query("agg28_best_technique", f"WITH {_BY_SET} SELECT technique, round(avg(f1), 6) AS mean_best_f1 FROM (SELECT technique, dataset, max(f1) AS f1 FROM f1 GROUP BY ALL) GROUP BY technique")
+def agg28(spark, d):
+    return _rounded(M.best_technique(_by_set(spark, d)), "mean_best_f1")
+
+
+@query("agg29_label_balance", f"WITH {D.TRACE_SQL} SELECT sum(hit)::BIGINT AS valid, sum(1 - hit)::BIGINT AS invalid FROM hits")
+def agg29(spark, d):
+    return _hits(spark, d).agg(F.sum("hit").alias("valid"), F.sum(1 - F.col("hit")).alias("invalid"))
+
+
+@query("agg30_issue_report", "WITH i AS (SELECT req_id, any_value(dataset) AS dataset, any_value(req_text) AS t, any_value(code) AS c, any_value(children) AS ch FROM issue_entry GROUP BY req_id) SELECT dataset, count(*) AS issues, count(*) FILTER (WHERE len(c) > 0) AS with_code, coalesce(sum(len(c)), 0)::BIGINT AS code_links, count(*) FILTER (WHERE cardinality(ch) > 0) AS with_children FROM i GROUP BY dataset")
+def agg30(spark, d):
+    i = load(spark, d, "issue_entry").select("req_id", "dataset", F.size("code").alias("c"), F.size("children").alias("ch")).distinct()
+    return i.groupBy("dataset").agg(F.count("*").alias("issues"), F.count(F.when(F.col("c") > 0, 1)).alias("with_code"), F.coalesce(F.sum(F.greatest("c", F.lit(0))), F.lit(0)).cast("long").alias("code_links"), F.count(F.when(F.col("ch") > 0, 1)).alias("with_children"))
+
+
+@query("win01_precision_at", f"WITH {D.TRACE_SQL}, {_RANK} SELECT req, code, rank, round(s / rank, 6) AS precision_at FROM rk")
+def win01(spark, d):
+    return M.ranked(_hits(spark, d), ("req",)).select("req", "code", F.col("rank").cast("long").alias("rank"), F.round("precision_at", 6).alias("precision_at"))
+
+
+@query("win05_crowding", f"WITH {_POINTS}, p AS (SELECT ind, ind % 5 AS front, a, b FROM pt), l AS (SELECT ind, front, 'a' AS dim, a AS v FROM p UNION ALL SELECT ind, front, 'b', b FROM p), g AS (SELECT ind, front, CASE WHEN mx = mn THEN 0 WHEN lo IS NULL OR hi IS NULL THEN 'inf'::DOUBLE ELSE (hi - lo) / (2 * (mx - mn)) END AS g FROM (SELECT *, lag(v) OVER w AS lo, lead(v) OVER w AS hi, max(v) OVER (PARTITION BY front, dim) AS mx, min(v) OVER (PARTITION BY front, dim) AS mn FROM l WINDOW w AS (PARTITION BY front, dim ORDER BY v, ind))) SELECT ind, front, CASE WHEN isinf(sum(g)) THEN -1 ELSE round(sum(g), 6) END AS crowding FROM g GROUP BY ind, front")
+def win05(spark, d):
+    c = evolve.crowding(_points(spark, d).withColumn("front", F.col("ind") % 5), ["a", "b"])
+    return c.withColumn("crowding", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 6)))
+
+
+@query("win08_call_tree", "WITH x AS (SELECT l_orderkey AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_partkey, l_suppkey FROM lineitem), t AS (SELECT file, n, CASE WHEN n = 1 THEN 0 ELSE least(n - 1, l_suppkey % 3) END AS depth, 'f' || (l_partkey % 50) AS name FROM x), p AS (SELECT c.file, c.n, c.name, max(q.n) AS pn FROM t c JOIN t q ON q.file = c.file AND q.n < c.n AND q.depth = c.depth - 1 GROUP BY ALL) SELECT p.file, t.name AS caller, p.name AS callee FROM p JOIN t ON t.file = p.file AND t.n = p.pn")
+def win08(spark, d):
+    """The lines of an order as an indented call tree of at most three levels."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    x = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.row_number().over(w).alias("line_no"), "l_partkey", "l_suppkey")
+    depth = F.when(F.col("line_no") == 1, 0).otherwise(F.least(F.col("line_no") - 1, F.col("l_suppkey") % 3)).cast("int")
+    return graph.call_tree_edges(x.select("file", "line_no", F.concat(F.repeat(F.lit("    "), depth), F.lit("f"), (F.col("l_partkey") % 50).cast("string"), F.lit("() <int f () at m.c:1>")).alias("line")))
+
+
+# --- sorts and sets --------------------------------------------------------------------------------------------
+
+
+@query("srt01_stable_order", f"WITH {D.TRACE_SQL} SELECT req, code, row_number() OVER (PARTITION BY req ORDER BY sim DESC, code) AS pos FROM scores")
+def srt01(spark, d):
+    w = Window.partitionBy("req").orderBy(F.col("sim").desc(), "code")
+    return D.trace_scores(spark, d).select("req", "code", F.row_number().over(w).cast("long").alias("pos"))
+
+
+@query("srt05_survivors", f"WITH {_POINTS} SELECT ind, ind % 5 AS front, a AS crowding FROM pt ORDER BY front, a DESC, ind LIMIT 50")
+def srt05(spark, d):
+    return evolve.survivors(_points(spark, d).select("ind", (F.col("ind") % 5).alias("front"), F.col("a").alias("crowding")), 50)
+
+
+@query("srt07_transpose", "SELECT o_orderpriority AS req, o_orderstatus AS code, round(sum(o_totalprice), 2) AS sim FROM orders GROUP BY 1, 2")
+def srt07(spark, d):
+    long = load(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("code"), F.col("o_orderpriority").alias("req")).agg(F.round(F.sum("o_totalprice"), 2).alias("sim"))
+    wide = S.to_matrix(long, "code", "req")
+    names = [c for c in wide.columns if c != "code"]
+    return wide.unpivot(["code"], names, "req", "sim").filter("sim is not null").select("req", "code", "sim")
+
+
+_TL = "SELECT dataset, req_filename, code_filename FROM trace_link"
+
+
+@query("set01_union", f"SELECT * FROM ({_TL} WHERE dataset < 'd') UNION SELECT * FROM ({_TL} WHERE dataset > 'b')")
+def set01(spark, d):
+    t = load(spark, d, "trace_link")
+    return t.filter("dataset < 'd'").unionByName(t.filter("dataset > 'b'")).distinct()
+
+
+@query("set02_remove", f"SELECT DISTINCT lower(req_filename) AS req, lower(code_filename) AS code FROM trace_link WHERE code_filename IS NOT NULL AND lower(code_filename) NOT LIKE 'db%' AND req_filename IS NOT NULL")
+def set02(spark, d):
+    g = D.trace_gold(spark, d)
+    return g.join(g.filter("code like 'db%'"), ["req", "code"], "left_anti")
+
+
+@query("set03_multiset_equal", f"SELECT count(*) AS surplus FROM ({_TL} EXCEPT ALL SELECT DISTINCT * FROM ({_TL}))")
+def set03(spark, d):
+    t = load(spark, d, "trace_link")
+    return t.exceptAll(t.distinct()).agg(F.count("*").alias("surplus"))
+
+
+@query("set04_difference", f"SELECT * FROM ({_TL}) EXCEPT SELECT * FROM ({_TL} WHERE dataset = 'altavia')")
+def set04(spark, d):
+    t = load(spark, d, "trace_link")
+    return t.subtract(t.filter("dataset = 'altavia'"))
+
+
+@query("set05_first_links", "SELECT req, code, sim FROM (SELECT lower(req_filename) AS req, lower(code_filename) AS code, score AS sim, row_number() OVER (PARTITION BY lower(req_filename), lower(code_filename) ORDER BY tool, score) AS r FROM trace_score WHERE NOT isnan(score)) WHERE r = 1")
+def set05(spark, d):
+    s = load(spark, d, "trace_score").filter("score is not null and not isnan(score)").select(F.lower("req_filename").alias("req"), F.lower("code_filename").alias("code"), "tool", "score")
+    return s.groupBy("req", "code").agg(F.min(F.struct("tool", "score")).alias("m")).select("req", "code", F.col("m.score").alias("sim"))
+
+
+@query("set07_rules", f"{_PAIRS}, l AS (SELECT code, req, max(sim) AS sim FROM pairs GROUP BY ALL HAVING max(sim) > 0.3), u AS (SELECT code, req, sim FROM l UNION ALL SELECT super, req, NULL FROM l JOIN inh ON sub = code) SELECT count(*) AS n, count(sim) AS with_sim, count(DISTINCT (code, req)) AS pairs FROM u")
+def set07(spark, d):
+    links = D.pairs(spark, d).groupBy("code", "req").agg(F.max("sim").alias("sim")).filter("sim > 0.3")
+    u = L.rule_links(links, D.inherits(spark, d))
+    return u.groupBy("code", "req").agg(F.count("*").alias("n"), F.count("sim").alias("s")).agg(F.sum("n").alias("n"), F.sum("s").alias("with_sim"), F.count("*").alias("pairs"))
+
+
+@query("set08_word_sets", f"WITH {D.IDENT_SQL} SELECT method_id, len(list_distinct(t || ['int', 'String'])) AS both, len(list_intersect(t, ['int', 'String'])) AS shared FROM ident")
+def set08(spark, d):
+    other = F.array(F.lit("int"), F.lit("String"))
+    return D.identifiers(spark, d).select("method_id", F.size(F.array_union("t", other)).cast("long").alias("both"), F.size(F.array_intersect("t", other)).cast("long").alias("shared"))
+
+
+@query("set09_known_edges", f"{_PAIRS} SELECT DISTINCT caller, callee FROM cg WHERE caller < 300 AND callee < 300")
+def set09(spark, d):
+    nodes = D.elem(spark, d).filter("id < 300").select(F.col("id").alias("node"))
+    return graph.to_known(D.call_edges(spark, d), nodes)
+
+
+# --- sampling and labelled data --------------------------------------------------------------------------------
+
+
+@query("smp01_sample")
+def smp01(spark, d):
+    return sampling.sample_share(D.trace_gold(spark, d).withColumn("key", F.concat_ws("|", "req", "code")), "key", 0.3, 7).filter("chosen").select("req", "code")
+
+
+@query("smp02_split")
+def smp02(spark, d):
+    g = D.trace_gold(spark, d)
+    s = load(spark, d, "trace_score").filter("req_filename is not null and code_filename is not null")
+    r, c = sampling.split_gold(g, s.select(F.lower("req_filename").alias("req")), s.select(F.lower("code_filename").alias("code")), 0.5, 11)
+    return r.select(F.lit("req").alias("side"), F.col("req").alias("file"), "chosen").unionByName(c.select(F.lit("code").alias("side"), F.col("code").alias("file"), "chosen"))
+
+
+@query("smp04_entries", f"WITH {_ISSUE} SELECT req_id, i - 1 AS pos, regexp_replace(s[i], '[.!;?]$', '') AS requirement FROM (SELECT req_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT req_id, {_SENT.replace('text', 'txt')} AS s FROM iss WHERE txt IS NOT NULL))")
+def smp04(spark, d):
+    i = first_delivery(load(spark, d, "issue_entry").select("req_id", "req_text", "loaded_at"), "req_id").filter("req_text is not null")
+    s = i.select("req_id", F.posexplode(T.no_last_mark(T.sentences(F.col("req_text")))).alias("pos", "requirement"))
+    return s.withColumn("pos", F.col("pos").cast("long"))
+
+
+# --- evolutionary search ---------------------------------------------------------------------------------------
+
+
+@query("ga01_fitness", "SELECT o_custkey AS ind, round(avg(y.l_discount), 6) AS value FROM orders JOIN lineitem x ON x.l_orderkey = o_orderkey JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber GROUP BY 1")
+def ga01(spark, d):
+    ind = load(spark, d, "orders").join(load(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("ind"), F.col("l_orderkey").alias("req"), F.col("l_linenumber").alias("code"))
+    sims = load(spark, d, "lineitem").select(F.lit("x").alias("dim"), F.col("l_orderkey").alias("req"), F.col("l_linenumber").alias("code"), F.col("l_discount").alias("sim"))
+    return evolve.fitness(ind, sims).select("ind", F.round("value", 6).alias("value"))
+
+
+@query("ga07_twins", "SELECT count(*) AS kept FROM (SELECT DISTINCT list_sort(list(DISTINCT (l_partkey % 3, l_linenumber))) FROM lineitem GROUP BY l_orderkey)")
+def ga07(spark, d):
+    ind = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("ind"), (F.col("l_partkey") % 3).alias("req"), F.col("l_linenumber").alias("code"))
+    return evolve.without_twins(ind).select("ind").distinct().agg(F.count("*").alias("kept"))
+
+
+@query("ns03_dimensions", "SELECT l_orderkey AS ind, sum(l_quantity) AS q, round(avg(l_discount), 6) AS d FROM lineitem GROUP BY 1")
+def ns03(spark, d):
+    return load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("ind")).agg(F.sum("l_quantity").alias("q"), F.round(F.avg("l_discount"), 6).alias("d"))
+
+
+@query("ns04_front1", f"WITH {_POINTS} SELECT ind, a, b FROM pt x WHERE NOT EXISTS (SELECT 1 FROM pt y WHERE y.a >= x.a AND y.b >= x.b AND (y.a > x.a OR y.b > x.b))")
+def ns04(spark, d):
+    return evolve.first_front(_points(spark, d), ["a", "b"])
+
+
+@query("ns08_search")
+def ns08(spark, d):
+    """The last population of a search over the hundred best-scored pairs of two tools."""
+    s = L.finite(load(spark, d, "trace_score"), "score").filter("req_filename is not null and code_filename is not null")
+    two = s.groupBy("req_filename", "code_filename").agg(F.max(F.when(F.col("tool") == "tool_a", F.col("score"))).alias("a"), F.max(F.when(F.col("tool") == "tool_b", F.col("score"))).alias("b"))
+    pool = two.orderBy(F.greatest(F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))).desc(), "req_filename", "code_filename").limit(100)
+    sims = {(r[0], r[1]): (r[2] or 0.0, r[3] or 0.0) for r in pool.collect()}
+    found = evolve.search(sims, evolve.Settings(size=20, genes=10, generations=10))
+    return spark.createDataFrame([(i, len(p), *map(float, v)) for i, (p, v) in enumerate(found)], "ind int, links int, a double, b double")
+
+
+# --- sweeps ----------------------------------------------------------------------------------------------------
+
+_SWEEP = f"""{_PAIRS}, {_GRID}, em AS (SELECT DISTINCT e, m FROM grid),
+red AS (SELECT e, m, code, elem, req, max(sim) AS sim FROM pairs JOIN em ON sim > e GROUP BY ALL HAVING max(sim) > m),
+votes AS (SELECT e, m, code, req, count(*) AS n, max(sim) AS sim FROM red GROUP BY ALL),
+lk AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY e, m, code) AS mx FROM votes) WHERE n = mx),
+kept AS (SELECT e, m, f, l.code, l.req, l.sim FROM lk l JOIN grid USING (e, m) WHERE l.sim > f)"""
+
+
+@query("swp01_sweep", f"{_SWEEP} SELECT e, m, f, {_PRF} FROM (SELECT e, m, f, count(*) AS found, count(g.req) AS hits, (SELECT count(*) FROM gold) AS gold FROM kept k LEFT JOIN gold g ON g.req = k.req AND g.code = k.code GROUP BY e, m, f)")
+def swp01(spark, d):
+    return _rounded(techniques.sweep(D.pairs(spark, d), _grid(spark), D.gold(spark, d)), "precision", "recall", "f1")
+
+
+@query("swp01_sweep_reverse", f"""{_PAIRS}, ge AS (SELECT unnest([0.95, 0.9])::DOUBLE AS e), gm AS (SELECT unnest([0.9, 0.8])::DOUBLE AS m), gf AS (SELECT unnest([0.85, 0.75])::DOUBLE AS f), grid AS (SELECT * FROM ge, gm, gf WHERE e >= m AND m >= f), em AS (SELECT DISTINCT e, m FROM grid),
+red AS (SELECT e, m, code, elem, req, min(1 - sim) AS sim FROM pairs JOIN em ON 1 - sim < e GROUP BY ALL HAVING min(1 - sim) < m),
+votes AS (SELECT e, m, code, req, count(*) AS n, min(sim) AS sim FROM red GROUP BY ALL), lk AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY e, m, code) AS mx FROM votes) WHERE n = mx),
+kept AS (SELECT e, m, f, l.code, l.req FROM lk l JOIN grid USING (e, m) WHERE l.sim <= f) SELECT e, m, f, {_PRF} FROM (SELECT e, m, f, count(*) AS found, count(g.req) AS hits, (SELECT count(*) FROM gold) AS gold FROM kept k LEFT JOIN gold g ON g.req = k.req AND g.code = k.code GROUP BY e, m, f)""")
+def swp01r(spark, d):
+    grid = spark.createDataFrame([(e, m, f) for e in (0.95, 0.9) for m in (0.9, 0.8) for f in (0.85, 0.75)], "e double, m double, f double")
+    p = D.pairs(spark, d).withColumn("sim", 1 - F.col("sim"))
+    return _rounded(techniques.sweep(p, grid, D.gold(spark, d), how_req="min", how_code="min", reverse=True), "precision", "recall", "f1")
+
+
+@query("swp02_topn_sizes", "SELECT DISTINCT round_even(n * p, 0)::BIGINT AS n FROM (SELECT count(DISTINCT dataset) AS n FROM trace_link), (SELECT unnest([0.2, 0.3, 0.5, 0.55])::DOUBLE AS p)")
+def swp02(spark, d):
+    n = load(spark, d, "trace_link").agg(F.countDistinct("dataset").alias("n"))
+    return n.select(F.explode(F.array(*(V.top_percent(F.col("n"), p) for p in (0.2, 0.3, 0.5, 0.55)))).alias("n")).distinct()
+
+
+@query("swp04_refine")
+def swp04(spark, d):
+    best = techniques.refine_best(materialize(D.pairs(spark, d), "pairs"), _grid(spark), D.gold(spark, d), rounds=3)
+    return spark.createDataFrame([tuple(float(best[k]) for k in ("e", "m", "f", "f1"))] if best else [], "e double, m double, f double, f1 double")
+
+
+@query("swp07_third_party", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT f, {_PRF} FROM cells")
+def swp07(spark, d):
+    return _rounded(_cells(spark, d), "precision", "recall", "f1")
+
+
+@query("swp08_techniques")
+def swp08(spark, d):
+    rows = [(t.name, t.level, t.parts, t.texts, t.voter.value, t.req_reduce) for t in techniques.word_bag_techniques().values()]
+    return spark.createDataFrame(rows, "name string, level string, parts string, texts string, voter string, req_reduce string")
+
+
+@query("swp10_rules_in_sweep", f"{_SWEEP}, k2 AS (SELECT e, m, f, code, req FROM kept UNION ALL SELECT e, m, f, super, req FROM kept JOIN inh ON sub = code) SELECT e, m, f, {_PRF} FROM (SELECT e, m, f, sum(n)::BIGINT AS found, count(g.req) AS hits, (SELECT count(*) FROM gold) AS gold FROM (SELECT e, m, f, code, req, count(*) AS n FROM k2 GROUP BY ALL) k LEFT JOIN gold g ON g.req = k.req AND g.code = k.code GROUP BY e, m, f)")
+def swp10(spark, d):
+    return _rounded(techniques.sweep(D.pairs(spark, d), _grid(spark), D.gold(spark, d), rules=D.inherits(spark, d)), "precision", "recall", "f1")
+
+
+@query("swp11_inheritance")
+def swp11(spark, d):
+    p = materialize(_parsed(spark, d).filter("kind in ('class', 'interface')").select("file", "ord", "name", "supers"), "classes")
+    files = graph.class_files(p.select(F.col("name").alias("class_name"), "file", F.struct("file", "ord").alias("ord")))
+    return graph.inheritance_edges(p.select("file", F.explode("supers").alias("super_class")), files)
+
+
+# --- sources and sinks: written into the shared folder and read again --------------------------------------------
+
+
+def _path(spark, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/linkloom/io/{name}-{uuid.uuid4().hex}"
+
+
+@query("src02_texts", "SELECT count(*) AS files, sum(length(regexp_replace(content, '^\ufeff', '')))::BIGINT AS chars FROM (SELECT file_id, any_value(content) AS content FROM code_file GROUP BY file_id) WHERE content IS NOT NULL AND content <> ''".replace("\\ufeff", chr(0xFEFF)).replace("\ufeff", chr(0xFEFF)))
+def src02(spark, d):
+    """Sources written as text files, one record a line with its line ends escaped, and read as whole texts."""
+    f = first_delivery(load(spark, d, "code_file").select("file_id", "content", "loaded_at"), "file_id").filter("content is not null and content <> ''")
+    p = _path(spark, "texts")
+    f.select(F.regexp_replace(F.base64(F.encode("content", "UTF-8")), r"\s", "").alias("value")).repartition(4).write.text(p)
+    lines = R.lines(R.texts(spark, p, "*.txt")).filter("line <> ''")
+    body = F.regexp_replace(F.unbase64("line").cast("string"), "^" + chr(0xFEFF), "")
+    return lines.agg(F.count("*").alias("files"), F.sum(F.length(body)).alias("chars"))
+
+
+@query("src04_csv", "SELECT dataset, req_filename, code_filename FROM trace_link WHERE code_filename IS NOT NULL")
+def src04(spark, d):
+    t = load(spark, d, "trace_link").filter("code_filename is not null").select("dataset", "req_filename", "code_filename")
+    p = _path(spark, "csv")
+    S.write_csv(t, p)
+    return R.csv(spark, p, "dataset string, req_filename string, code_filename string")
+
+
+@query("src06_matrix", "SELECT o_orderpriority AS req, o_orderstatus AS code, round(sum(o_totalprice), 2) AS sim FROM orders GROUP BY 1, 2")
+def src06(spark, d):
+    long = load(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("req"), F.col("o_orderstatus").alias("code")).agg(F.round(F.sum("o_totalprice"), 2).alias("sim"))
+    p = _path(spark, "matrix")
+    S.write_csv(S.to_matrix(long, columns=["F", "O", "P"]), p, single=True)
+    return R.matrix(spark, p).filter("sim is not null")
+
+
+@query("src07_json", "SELECT req_id, any_value(issueid) AS issueid, any_value(attributes).summary AS summary, len(any_value(code)) AS n_code FROM issue_entry GROUP BY req_id")
+def src07(spark, d):
+    i = first_delivery(load(spark, d, "issue_entry").select("req_id", "issueid", "attributes", "code", "loaded_at"), "req_id")
+    p = _path(spark, "json")
+    S.write_json(i.select("req_id", "issueid", "attributes", "code"), p)
+    j = spark.read.schema("req_id long, issueid string, attributes struct<summary:string,description:string>, code array<struct<filename:string>>").json(p)
+    return j.select("req_id", "issueid", F.col("attributes.summary").alias("summary"), F.when(F.col("code").isNotNull(), F.size("code")).cast("long").alias("n_code"))
+
+
+@query("src08_gold_xml", "SELECT DISTINCT lower(req_filename) AS req, lower(code_filename) AS code FROM trace_link WHERE req_filename IS NOT NULL AND code_filename IS NOT NULL")
+def src08(spark, d):
+    p = _path(spark, "xml")
+    x = D.trace_gold(spark, d).select(F.concat(F.lit("<links><link><req>"), "req", F.lit("</req><note/><code>"), "code", F.lit("</code></link></links>")).alias("value"))
+    x.repartition(1).write.text(p)
+    y = spark.read.text(p)
+    nodes = lambda which: F.expr(f"xpath(value, '//link/*[{which}]/text()')")
+    return y.select(F.explode(F.arrays_zip(nodes("1").alias("req"), nodes("last()").alias("code"))).alias("x")).select("x.req", "x.code").distinct()
+
+
+@query("src09_gold_text", "SELECT DISTINCT lower(req_filename) AS req, lower(code_filename) AS code FROM trace_link WHERE req_filename IS NOT NULL AND code_filename IS NOT NULL")
+def src09(spark, d):
+    p = _path(spark, "gold")
+    S.write_lines(S.gold_lines(D.trace_gold(spark, d)), p)
+    return R.gold_text(spark.read.text(p))
+
+
+@query("src10_combined_csv", "SELECT dataset, count(*) AS n FROM trace_link WHERE code_filename IS NOT NULL GROUP BY dataset")
+def src10(spark, d):
+    t = load(spark, d, "trace_link").filter("code_filename is not null").select("dataset", "req_filename", "code_filename")
+    a, b = _path(spark, "csv"), _path(spark, "csv")
+    S.write_csv(t.filter("dataset < 'd'"), a)
+    S.write_csv(t.filter("dataset >= 'd'"), b)
+    return R.csv(spark, [a, b], "dataset string, req_filename string, code_filename string").groupBy("dataset").agg(F.count("*").alias("n"))
+
+
+@query("src11_third_party", f"WITH {D.TRACE_SQL} SELECT regexp_replace(req, '[.]txt$', '') AS req, code, round(sim, 6) AS sim FROM scores")
+def src11(spark, d):
+    p = _path(spark, "scores")
+    D.trace_scores(spark, d).select(F.concat_ws(" ", "req", F.concat(F.lit("org.pkg."), "code"), F.col("sim").cast("string")).alias("value")).write.text(p)
+    lines = spark.read.text(p).select(F.lit(6).alias("pos"), F.col("value").alias("line"))
+    return R.third_party_scores(lines).withColumn("sim", F.round("sim", 6))
+
+
+@query("src12_call_graph", f"{_PAIRS} SELECT DISTINCT 'M' AS kind, 'org.app.C' || (caller // 20) AS caller_class, 'm' || caller || '(int)' AS caller, 'org.app.C' || (callee // 20) AS callee_class, 'm' || callee || '(int)' AS callee FROM cg WHERE caller % 4 <> 0")
+def src12(spark, d):
+    """The call graph as lines of text, a part of its calls coming from an external package, read and cleaned."""
+    e = D.call_edges(spark, d)
+    name = lambda c: F.concat(F.when(F.col("caller") % 4 == 0, "java.util.C").otherwise("org.app.C") if c == "caller" else F.lit("org.app.C"), F.floor(F.col(c) / 20).cast("string"))
+    lines = e.select(F.concat(F.lit("M:"), name("caller"), F.lit(":m"), F.col("caller").cast("string"), F.lit("(int) (M)"), name("callee"), F.lit(":m"), F.col("callee").cast("string"), F.lit("(int)")).alias("line"))
+    p = _path(spark, "calls")
+    S.write_lines(lines.select(F.col("line").alias("value")), p)
+    return graph.internal_edges(graph.call_graph_rows(spark.read.text(p).select(F.col("value").alias("line"))), ["org"])
+
+
+@query("src14_descendants", "WITH RECURSIVE i AS (SELECT req_id, any_value(issueid) AS issueid, any_value(children) AS ch FROM issue_entry GROUP BY req_id), e AS (SELECT DISTINCT issueid, unnest(flatten(map_values(ch))) AS child FROM i WHERE issueid IS NOT NULL), r(root, issueid) AS (SELECT DISTINCT issueid, issueid FROM i WHERE issueid IS NOT NULL UNION SELECT r.root, e.child FROM r JOIN e ON e.issueid = r.issueid WHERE e.child IS NOT NULL) SELECT root, count(*) AS reached FROM r GROUP BY root")
+def src14(spark, d):
+    i = load(spark, d, "issue_entry").select("req_id", "issueid", "children", "loaded_at")
+    return graph.descend(first_delivery(i, "req_id")).groupBy("root").agg(F.count("*").alias("reached"))
+
+
+@query("src15_trace_pairs", f"{_PAIRS} SELECT elem::VARCHAR AS elem, part::VARCHAR AS part, round(sim, 6) AS sim FROM pairs")
+def src15(spark, d):
+    s = D.pairs(spark, d).select(*(F.col(c).cast("string").alias(c) for c in ("code", "elem", "req", "part")), "sim")
+    p = _path(spark, "pairs")
+    S.write_json(S.nest_trace_pairs(s).select(F.array(F.struct("code_filename", "code_element_list")).alias("code_file_list")), p)
+    return R.trace_pairs(spark.read.schema(R.TRACE_PAIRS).json(p)).select("elem", "part", F.round("sim", 6).alias("sim"))
+
+
+@query("src16_embeddings", f"{_PAIRS} SELECT code::VARCHAR AS file, count(*) AS n, round(sum(vec[1]), 6) AS x FROM code_el GROUP BY 1")
+def src16(spark, d):
+    e = D.code_elements(spark, d).groupBy(F.col("code").cast("string").alias("file_path")).agg(F.collect_list("vec").alias("sub_vectors")).withColumn("vector", F.element_at("sub_vectors", 1))
+    p = _path(spark, "embeddings")
+    S.write_json(e, p)
+    return R.embeddings(spark.read.schema(R.EMBEDDING).json(p)).filter("pos >= 0").groupBy("file").agg(F.count("*").alias("n"), F.round(F.sum(F.element_at("vec", 1)), 6).alias("x"))
+
+
+@query("src17_eval_matrix", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT f, found, hits FROM cells")
+def src17(spark, d):
+    p = _path(spark, "eval")
+    S.write_json(_cells(spark, d), p)
+    return spark.read.schema("f double, found long, hits long").json(p)
+
+
+@query("src18_saved_links", f"{_SWEEP} SELECT req, code FROM kept WHERE e = 0.1 AND m = 0.2 AND f = 0.25")
+def src18(spark, d):
+    p = _path(spark, "links")
+    S.write_csv(S.links_of_cell(techniques.sweep_links(D.pairs(spark, d), techniques.valid_cells(_grid(spark))), 0.1, 0.2, 0.25), p)
+    return R.csv(spark, p, "req long, code long")
+
+
+@query("src19_inverted", "SELECT o_orderpriority AS req, o_orderstatus || '.java' AS code, round(1 - avg(o_totalprice) / 1000000, 6) AS sim FROM orders GROUP BY 1, 2")
+def src19(spark, d):
+    long = load(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("req"), F.concat("o_orderstatus", F.lit(".txt")).alias("code")).agg((F.avg("o_totalprice") / 1000000).alias("sim"))
+    p = _path(spark, "matrix")
+    S.write_csv(S.to_matrix(long, columns=["F.txt", "O.txt", "P.txt"]), p, single=True)
+    return R.similarity_matrix(spark, p, invert=True, extension="java").filter("sim is not null").withColumn("sim", F.round("sim", 6))
+
+
+@query("src20_word_vectors", f"{_PAIRS} SELECT elem::VARCHAR AS word, round(list_dot_product(vec, vec), 6) AS square FROM code_el")
+def src20(spark, d):
+    p = _path(spark, "vec")
+    D.code_elements(spark, d).select(F.concat_ws(" ", F.col("elem").cast("string"), F.array_join(F.transform("vec", lambda x: (x * 3).cast("string")), " ")).alias("value")).write.text(p)
+    return R.word_vector_text(spark, p).select("word", F.round(V.dot(F.col("vec"), F.col("vec")), 6).alias("square"))
+
+
+@query("src21_name_lists", "SELECT list_name, count(*) AS n FROM (SELECT DISTINCT list_name, trim(req_filename) AS f FROM split_list WHERE trim(req_filename) <> '') GROUP BY list_name")
+def src21(spark, d):
+    s = load(spark, d, "split_list")
+    out = [R.file_names(s.filter(F.col("list_name") == x).select(F.col("req_filename").alias("value"))).agg(F.count("*").alias("n")).select(F.lit(x).alias("list_name"), "n") for x in ("chosen", "remaining")]
+    return out[0].unionByName(out[1])
+
+
+@query("src23_counts", "SELECT count(*) AS files, count(DISTINCT file_name) AS names FROM (SELECT file_id, any_value(file_name) AS file_name FROM code_file GROUP BY file_id)")
+def src23(spark, d):
+    f = load(spark, d, "code_file").select("file_id", "file_name").distinct()
+    return f.groupBy("file_name").agg(F.count("*").alias("n")).agg(F.sum("n").alias("files"), F.count("file_name").alias("names"))
+
+
+@query("src24_stop_words", "SELECT unnest(" + _lit(T.CODE_STOP_WORDS) + ") AS word")
+def src24(spark, d):
+    return spark.createDataFrame([(w,) for w in T.CODE_STOP_WORDS], "word string")
+
+
+@query("src25_datasets")
+def src25(spark, d):
+    return spark.createDataFrame([(c.name, c.language, c.code_language, c.encoding, c.keys_with_extension, c.gold_format, len(c.headers)) for c in DATASETS.values()], "name string, language string, code_language string, encoding string, keys_with_extension boolean, gold_format string, headers int")
+
+
+@query("snk01_curve", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT round(hits / gold, 6) AS recall, round(max(hits / found), 6) AS precision FROM cells GROUP BY hits / gold")
+def snk01(spark, d):
+    p = _path(spark, "curve")
+    S.write_curve(M.curve(_cells(spark, d)), p)
+    return _rounded(R.csv(spark, p, "recall double, precision double"), "recall", "precision")
+
+
+@query("snk04_grid", f"{_SWEEP}, c AS (SELECT e, m, f, count(*) AS n FROM kept GROUP BY ALL) SELECT e, m, max(n) FILTER (WHERE f = 0.25) AS a, max(n) FILTER (WHERE f = 0.3) AS b FROM c GROUP BY e, m")
+def snk04(spark, d):
+    c = techniques.sweep_links(D.pairs(spark, d), techniques.valid_cells(_grid(spark))).groupBy("e", "m", "f").agg(F.count("*").alias("n"))
+    g = S.threshold_grid(c, "n")
+    return g.select("e", "m", F.col("`0.25`").alias("a"), F.col("`0.3`").alias("b"))
+
+
+@query("snk06_gold_lines", f"WITH {D.TRACE_SQL} SELECT req || ':' || array_to_string(list_sort(list(DISTINCT code)), ' ') AS value FROM gold GROUP BY req")
+def snk06(spark, d):
+    return S.gold_lines(D.trace_gold(spark, d))
+
+
+@query("snk08_partitioned", f"{_PAIRS} SELECT code, count(*) AS n FROM code_el WHERE code = 3 GROUP BY code")
+def snk08(spark, d):
+    p = S.output_path(_path(spark, "table"), "embedding", technique="plain")
+    S.write_table(D.code_elements(spark, d), p, "code")
+    return spark.read.parquet(p).filter("code = 3").groupBy(F.col("code").cast("long").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("snk10_token_dump", f"WITH {D.IDENT_SQL} SELECT array_to_string(t, ' ') AS value FROM ident WHERE len(t) > 0 AND array_to_string(t, ' ') <> ''")
+def snk10(spark, d):
+    p = _path(spark, "dump")
+    S.write_lines(S.text_lines(D.identifiers(spark, d), "t"), p)
+    return spark.read.text(p).filter("value <> ''")
+
+
+@query("snk12_valid_links", f"{_SWEEP} SELECT k.req, k.code FROM kept k JOIN gold g ON g.req = k.req AND g.code = k.code WHERE e = 0.1 AND m = 0.2 AND f = 0.25")
+def snk12(spark, d):
+    links = M.with_hits(techniques.sweep_links(D.pairs(spark, d), techniques.valid_cells(_grid(spark))), D.gold(spark, d))
+    return S.links_of_cell(links, 0.1, 0.2, 0.25, valid_only=True)

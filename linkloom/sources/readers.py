@@ -25,7 +25,8 @@ def files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
 def texts(spark: SparkSession, directory: str, pattern: str = "*", encoding: str = "UTF-8") -> DataFrame:
     """(path, file_name, stem, content) of whole files, without a byte order mark."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory)
-    content = F.regexp_replace(F.decode("content", encoding), "^﻿", "")
+    text = F.col("content").cast("string") if encoding.upper() == "UTF-8" else F.decode("content", encoding)
+    content = F.regexp_replace(text, "^\ufeff", "")
     return f.select("path", file_name(F.col("path")).alias("file_name"), stem(file_name(F.col("path"))).alias("stem"), content.alias("content"))
 
 
@@ -49,7 +50,7 @@ def matrix(spark: SparkSession, path: str, sep: str = ";", value: str = "sim") -
     """(req, code, value) of a matrix with an index column; its header row names the codes."""
     head = spark.read.text(path).first()[0].split(sep)
     wide = csv(spark, path, ", ".join(["req string", *(f"`{h}` double" for h in head[1:])]), sep)
-    return wide.unpivot(["req"], head[1:], "code", value)
+    return wide.unpivot(["req"], [f"`{h}`" for h in head[1:]], "code", value)
 
 
 def similarity_matrix(spark: SparkSession, path: str, invert: bool = False, extension: str | None = None) -> DataFrame:
