@@ -174,6 +174,16 @@ def tok07(spark, d):
     return _parsed(spark, d).select("file", "ord", "kind", "class_path", "name", "type", F.array_join("params", ",").alias("params"), F.array_join("supers", ",").alias("supers"), "line")
 
 
+@query("tok08_c_declarations")
+def tok08(spark, d):
+    return _parsed(spark, d).filter(F.col("file").rlike(r"\.[ch]$")).select("file", "ord", "kind", "name", "type", F.array_join("params", ",").alias("params"))
+
+
+@query("tok11_left_sides")
+def tok11(spark, d):
+    return _parsed(spark, d).filter(F.size("left_side") > 0).select("file", "ord", "name", F.array_join("left_side", " ").alias("left_side"))
+
+
 @query("tok09_comment_owner", """
 WITH ln AS (SELECT file_id AS file, i AS line, s[i] AS t FROM (SELECT file_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT file_id, string_split(replace(any_value(content), chr(13), ''), chr(10)) AS s FROM code_file WHERE file_name LIKE '%.java' GROUP BY file_id))),
 def AS (SELECT file, line, t AS definition, contains(t, 'class ') AS is_enum FROM ln WHERE regexp_matches(t, '^ *public .*[{]$')),
@@ -341,6 +351,32 @@ def emb04(spark, d):
     return _first_dims(features.mean_of_means(D.method_words(spark, d), D.word_vec(spark, d), ["file", "elem"], ["file"]), "file")
 
 
+def _letter_model():
+    """A stand-in for a sentence model: shares of letters. Real models are passed in the same way."""
+    return lambda texts: [[t.lower().count(c) / max(len(t), 1) for c in "abcdefghijklmnop"] for t in texts]
+
+
+@query("emb05_model_sentences", f"WITH s AS (SELECT doc_id, unnest({_SENT}) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, round(avg((length(s) - length(replace(replace(s, 'e', ''), 'E', ''))) / length(s)), 6) AS e FROM s GROUP BY doc_id")
+def emb05(spark, d):
+    s = load(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("text"))
+    m = V.mean_vector(similarity.model_vectors(spread(s), _letter_model), ["doc_id"], "vec")
+    return m.select("doc_id", F.round(F.element_at("vec", 5), 6).alias("e"))
+
+
+@query("emb06_use_case_parts", f"""
+WITH {D.METHOD_SQL}, ln AS (SELECT doc_id AS file, i - 1 AS pos, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE artefact_kind = 'use_case' AND text IS NOT NULL))),
+sec AS (SELECT file, line, coalesce(last_value(tag IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING), 'description') AS section FROM (SELECT *, {_headers_sql(ENGLISH_HEADERS)} AS tag FROM ln)),
+w AS (SELECT file, section, lower(unnest(regexp_extract_all(line, '[A-Za-z]+'))) AS word FROM sec WHERE section IN ('name', 'flow')),
+p AS (SELECT file, section, avg(vec[1]) AS x FROM w JOIN wv USING (word) GROUP BY ALL) SELECT file, round(avg(x), 6) AS x FROM p GROUP BY file""")
+def emb06(spark, d):
+    docs = load(spark, d, "documents").filter("artefact_kind = 'use_case' and text is not null")
+    lines = docs.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    tagged = graph.use_case_sections(lines, {k: f"(?={v})" for k, v in ENGLISH_HEADERS.items()}).filter("section in ('name', 'flow')")
+    w = tagged.select("file", "section", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("word")).withColumn("word", F.lower("word"))
+    out = features.mean_of_means(w, D.word_vec(spark, d), ["file", "section"], ["file"])
+    return out.select("file", F.round(F.element_at("vec", 1), 6).alias("x"))
+
+
 @query("emb08_flags")
 def emb08(spark, d):
     """The number of tokens each flag set of the class-element embeddings takes from the declarations of a file."""
@@ -890,11 +926,11 @@ def smp04(spark, d):
 # --- evolutionary search ---------------------------------------------------------------------------------------
 
 
-@query("ga01_fitness", "SELECT o_custkey AS ind, round(avg(y.l_discount), 6) AS value FROM orders JOIN lineitem x ON x.l_orderkey = o_orderkey JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber GROUP BY 1")
+@query("ga01_fitness", "SELECT o_custkey AS ind, round(avg(y.l_discount), 9) AS value FROM orders JOIN lineitem x ON x.l_orderkey = o_orderkey JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber GROUP BY 1")
 def ga01(spark, d):
     ind = load(spark, d, "orders").join(load(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("ind"), F.col("l_orderkey").alias("req"), F.col("l_linenumber").alias("code"))
     sims = load(spark, d, "lineitem").select(F.lit("x").alias("dim"), F.col("l_orderkey").alias("req"), F.col("l_linenumber").alias("code"), F.col("l_discount").alias("sim"))
-    return evolve.fitness(ind, sims).select("ind", F.round("value", 6).alias("value"))
+    return evolve.fitness(ind, sims).select("ind", F.round("value", 9).alias("value"))
 
 
 @query("ga07_twins", "SELECT count(*) AS kept FROM (SELECT DISTINCT list_sort(list(DISTINCT (l_partkey % 3, l_linenumber))) FROM lineitem GROUP BY l_orderkey)")
