@@ -37,7 +37,8 @@ _SQL = re.compile(r"\s*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|MERGE|WITH|AN
 _QUOTED = re.compile(r"'((?:[^']|'')*)'|\"([^\"]*)\"")
 _CODE_LINE = re.compile(r"[;{}]\s*$|==|!=|&&|\|\||^\s*[\w.]+\([^)]*\)\s*;?\s*$|^\s*[\w.]+\s*=\s|^\s*(?:import|package|#include)\b")
 _MARKER = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*+(?!/)|//+!?|#+!?)[ \t]?|\*+/[ \t]*$", re.M)
-_NOISE = re.compile(r"\{@\w+[^}]*\}|^[ \t]*@\w+.*$|\b\w+://\S*|\S+@\S+\.\S+|<[^<>\n]{0,40}>|&\w+;|%[-0-9.]*[a-zA-Z]|(?:^|(?<=\s))[./~]?(?:[\w.-]*/)+[\w.*-]*", re.M)
+_TAG = re.compile(r"\{@\w+[^}\n]*\}|@(?:see|since|param|return|returns|throws|author|version)\b[^\n]*")
+_NOISE = re.compile(r"\b\w+://\S*|\S+@\S+\.\S+|<[^<>\n]{0,40}>|&\w+;|%[-0-9.]*[a-zA-Z]|(?:^|(?<=\s))[./~]?(?:[\w.-]*/)+[\w.*-]*", re.M)
 _TODO = re.compile(r"\b(?:TODO|FIXME|XXX|NOTE)\b[:(]*")
 _SENTENCE = re.compile(r"(?<=[.?!])[\s\"'»)]+(?=[^\Wa-z\d_]|[¿¡«\"(])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -60,7 +61,7 @@ def prose(text: str, labels: bool = False) -> str:
 
     Prose has at least three words, and three words in five parts; a list of labels may have fewer.
     """
-    lines = [x for x in text.split("\n") if not _CODE_LINE.search(_TODO.sub("", x))]
+    lines = [x for x in _TAG.sub(" ", text).split("\n") if not _CODE_LINE.search(_TODO.sub("", x))]
     text = _NOISE.sub(" ", _TODO.sub(" ", "\n".join(lines)))
     parts = text.split()
     good = sum(map(_is_word, parts))
