@@ -91,7 +91,7 @@ def word_movers_distance(a: list[str], b: list[str], vectors: dict[str, np.ndarr
         return 0.0
     (wa, ca), (wb, cb) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
     x, y = np.array([vectors[w] for w in wa]), np.array([vectors[w] for w in wb])
-    cost = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+    cost = np.linalg.norm(x[:, None] - y[None], axis=2)
     return float("inf") if not cost.any() else _transport(cost, ca / ca.sum(), cb / cb.sum())
 
 

@@ -103,13 +103,10 @@ def test_word_movers_distance(spark):
         a, b = rng.choice(list(words), 4).tolist(), rng.choice(list(words), 3).tolist()
         got = word_movers_distance(a, b, words)
         # every unit of twelve by brute force over assignments
-        import itertools
-
         big_a, big_b = [x for x in a for _ in range(3)], [x for x in b for _ in range(4)]
         cost = np.array([[np.linalg.norm(words[p] - words[q]) for q in big_b] for p in big_a])
         best = _assign(cost) / 12
         assert got == pytest.approx(best, abs=1e-9)
-        assert itertools
     vec = spark.createDataFrame([(k, x.tolist()) for k, x in v.items()], "word string, vec array<double>")
     a, b = spark.createDataFrame([(1, "x"), (1, "y")], "a int, word string"), spark.createDataFrame([(2, "x")], "b int, word string")
     assert relaxed_wmd(a, b, vec, spark.createDataFrame([(1, 2)], "a int, b int")).first()["rwmd"] == pytest.approx(0.5)
