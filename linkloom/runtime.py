@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -68,6 +68,7 @@ class Table:
 
     def __init__(self, spark: SparkSession, path: str, schema):
         self.spark, self.path, self.schema = spark, path, schema
+        self.counted: int | None = None
 
     @property
     def df(self) -> DataFrame:
@@ -78,12 +79,20 @@ class Table:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def write_table(df: DataFrame, name: str = "t") -> Table:
-    """Write df into the shared folder; later plans read the written columns only."""
+def write_table(df: DataFrame, name: str = "t", count: str | None = None) -> Table:
+    """Write df into the shared folder; later plans read the written columns only.
+
+    With `count`, a condition, the table's `counted` holds the number of rows that satisfy it, without a pass of its own.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
+    table = Table(spark, path, df.schema)
+    if count:
+        seen = Observation()
+        df = df.observe(seen, F.coalesce(F.sum(F.when(F.expr(count), 1).otherwise(0)), F.lit(0)).alias("n"))
     df.write.option("compression", "zstd").parquet(path)
-    return Table(spark, path, df.schema)
+    table.counted = seen.get["n"] if count else None
+    return table
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
@@ -98,7 +107,7 @@ def first_delivery(df: DataFrame, key: str, late: str = "loaded_at") -> DataFram
     if late not in df.columns:
         return df.dropDuplicates([key])
     cols = [c for c in df.columns if c != key]
-    kept = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*cols), F.col(late)).alias("_r"))
+    kept = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(F.col(late).isNull(), F.col(late))).alias("_r"))
     return kept.select(key, "_r.*").select(*df.columns).unionByName(df.filter(F.col(key).isNull()))
 
 
