@@ -24,7 +24,7 @@ from linkloom.runtime import first_delivery, materialize, spread
 LANGUAGES = ("de", "en", "es", "fr", "it")
 SHARE = 0.05
 #: Labelled documents per language that the language model is fitted on.
-SAMPLE_PER_LANGUAGE = 120
+SAMPLE_PER_LANGUAGE = 60
 
 _C_TOKEN = re.compile(r'/\*.*?(?:\*/|\Z)|//[^\n\r]*|"""(?:[^\\]|\\.)*?(?:"""|\Z)|"(?:[^"\\\n\r]|\\.)*"|\'(?:[^\'\\\n\r]|\\.){1,8}\'', re.S)
 _PY_TOKEN = re.compile(r'#[^\n\r]*|[rbuf]{0,2}(?:"""(?:[^\\]|\\.)*?(?:"""|\Z)|\'\'\'(?:[^\\]|\\.)*?(?:\'\'\'|\Z)|"(?:[^"\\\n\r]|\\.)*"|\'(?:[^\'\\\n\r]|\\.)*\')', re.S)
