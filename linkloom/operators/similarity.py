@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions.vectors import mean_vector
+from linkloom.functions.vectors import dot, mean_vector, unit
 from linkloom.runtime import spread
 
 #: The smaller side of a scoring of all pairs is sent to all executors in blocks of at most so many rows.
 BLOCK_ROWS = 20_000
-_OUT_ROWS = 100_000
 
 
 def blocks(small: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> list[DataFrame]:
@@ -25,44 +21,17 @@ def blocks(small: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> list[Dat
     return [small] if k == 1 else [small.filter(F.pmod(F.xxhash64(key), F.lit(k)) == i) for i in range(k)]
 
 
-def _matrix(vecs: pa.Array) -> np.ndarray:
-    """The vectors of a list array, all of one length, at length 1; zero vectors stay zero."""
-    flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vecs), -1)
-    n = np.sqrt((flat * flat).sum(1, keepdims=True))
-    return np.divide(flat, n, out=np.zeros_like(flat), where=n > 0)
-
-
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, req, part = shared.value
-        step = max(1, _OUT_ROWS // max(len(v), 1))
-        for b in batches:
-            for lo in range(0, b.num_rows, step):
-                x = b.slice(lo, step)
-                sim = _matrix(x.column("vec")) @ v.T
-                i, j = np.divmod(np.arange(sim.size), len(v))
-                yield pa.RecordBatch.from_arrays([x.column("code").take(pa.array(i)), x.column("elem").take(pa.array(i)), req.take(pa.array(j)), part.take(pa.array(j)), pa.array(sim.ravel())], names=["code", "elem", "req", "part", "sim"])
-
-    return run
-
-
 def cosine_pairs(code: DataFrame, req: DataFrame) -> DataFrame:
-    """(code, elem, req, part, sim) for all pairs of code (code, elem, vec) and req (req, part, vec); 0 with a zero vector. Null vectors are left out.
+    """(code, elem, req, part, sim) for all pairs of code (code, elem, vec) and req (req, part, vec).
 
-    Every pair is a result row, so the work is the output. The requirement side goes to all executors as a matrix,
-    block after block of bounded size; the code side stays in place and is multiplied by it batch by batch. A
-    product inside Spark's array functions would be interpreted, and a filter on it would compute it twice.
+    Every pair is a result row, so the work is the output. Both sides are brought to length 1 once; the requirement
+    side goes to all executors block after block, the code side stays in place.
     """
-    spark = code.sparkSession
-    c = spread(code.select("code", "elem", "vec").filter(F.col("vec").isNotNull()))
-    kinds = {f.name: f.dataType.simpleString() for f in [*code.schema, *req.schema]}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in ("code", "elem", "req", "part")), "sim double"])
-    out = spark.createDataFrame([], schema)
-    for block in blocks(req.select("req", "part", "vec").filter(F.col("vec").isNotNull()), "part"):
-        rows = block.toArrow().combine_chunks()
-        if rows.num_rows:
-            cols = [rows.column(k).combine_chunks() for k in ("vec", "req", "part")]
-            out = out.unionByName(c.mapInArrow(_score(spark.sparkContext.broadcast((_matrix(cols[0]), *cols[1:]))), schema))
+    c = spread(code.select("code", "elem", unit(F.col("vec")).alias("_u")))
+    out = None
+    for block in blocks(req.select("req", "part", unit(F.col("vec")).alias("_v")), "part"):
+        scored = c.join(F.broadcast(block)).select("code", "elem", "req", "part", dot(F.col("_u"), F.col("_v")).alias("sim"))
+        out = scored if out is None else out.unionByName(scored)
     return out
 
 
