@@ -52,7 +52,7 @@ def trace_gold(spark: SparkSession, d: str) -> DataFrame:
 
 def trace_scores(spark: SparkSession, d: str) -> DataFrame:
     """The best score of each pair of one tool, without null and NaN."""
-    s = load(spark, d, "trace_score").filter("tool = 'tool_a' and score is not null and not isnan(score) and req_filename is not null and code_filename is not null")
+    s = load(spark, d, "trace_score").filter("tool = 'tool_b' and score is not null and not isnan(score) and req_filename is not null and code_filename is not null")
     return s.groupBy(F.lower("req_filename").alias("req"), F.lower("code_filename").alias("code")).agg(F.max("score").alias("sim"))
 
 
@@ -96,7 +96,7 @@ inh AS (SELECT file AS sub, file // 2 AS super FROM files WHERE file > 0)
 """
 TRACE_SQL = """
 gold AS (SELECT DISTINCT lower(req_filename) AS req, lower(code_filename) AS code FROM trace_link WHERE req_filename IS NOT NULL AND code_filename IS NOT NULL),
-scores AS (SELECT lower(req_filename) AS req, lower(code_filename) AS code, max(score) AS sim FROM trace_score WHERE tool = 'tool_a' AND score IS NOT NULL AND NOT isnan(score) AND req_filename IS NOT NULL AND code_filename IS NOT NULL GROUP BY 1, 2),
+scores AS (SELECT lower(req_filename) AS req, lower(code_filename) AS code, max(score) AS sim FROM trace_score WHERE tool = 'tool_b' AND score IS NOT NULL AND NOT isnan(score) AND req_filename IS NOT NULL AND code_filename IS NOT NULL GROUP BY 1, 2),
 hits AS (SELECT s.*, CASE WHEN g.req IS NULL THEN 0 ELSE 1 END AS hit FROM scores s LEFT JOIN gold g USING (req, code))
 """
 IDENT_SQL = "ident AS (SELECT method_id, list_filter([any_value(class_name), any_value(method_name)] || coalesce(any_value(params), []), lambda x: x IS NOT NULL) AS t FROM code_method GROUP BY method_id)"
