@@ -73,7 +73,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
     """Passages that agree in at least 0.7 of the weight of their word pairs."""
-    out = leaks.leaked_passages(load(spark, d, "documents"), load(spark, d, "eval_item"), min_similarity=0.7)
+    out = leaks.leaked_passages(load(spark, d, "documents"), load(spark, d, "eval_item"), radius=None, min_similarity=0.7)
     return out.select("doc_id", "item_id", "windows", F.round("similarity", 6).alias("similarity"), "verbatim")
 
 

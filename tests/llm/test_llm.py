@@ -266,6 +266,37 @@ def test_leaks(spark, block):
     assert leaks.leaked_passages(df, q.limit(0)).count() == 0 and leaks.leaked_passages(df.limit(0), q).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.4, 0.7])
+def test_edited_leaks(spark, least):
+    rng = random.Random(12)
+    items = [phrase(rng, 30) for _ in range(12)] + ["again and " * 8, "too short", None]
+    texts = list(ODD) + ["x again and again and again and again y " * 2]
+    for _ in range(80):
+        w, src = phrase(rng, 40).split(), items[rng.randrange(12)].split()
+        n = rng.choice([8, 9, 10, 14])
+        a = rng.randrange(0, len(src) - n)
+        w[20:20] = src[a : a + n]
+        w[20 + rng.randrange(n)] = "changed"
+        texts.append(" ".join(w))
+    cut = lambda ts: [(i, w[k : k + 10]) for i, t in enumerate(ts) for w in [words(t)] for k in range(len(w) - 9)]
+    two = lambda w: set(zip(w, w[1:], strict=False))
+    win = [(i, two(w)) for i, w in cut(items)]
+    n, df = len({tuple(w) for _, w in cut(items)}), defaultdict(int)
+    for w in {tuple(w) for _, w in cut(items)}:
+        for p in zip(w, w[1:], strict=False):
+            df[p] += 1
+    weight = lambda ps: sum(math.log1p(n / max(df.get(p, 1), 1)) for p in ps)
+    true = defaultdict(lambda: [0, 0.0])
+    for d, w in cut(texts):
+        for i, b in win:
+            if (a := two(w)) & b and (s := weight(a & b) / weight(a | b)) >= least - 1e-12:
+                x = true[d, i]
+                x[:] = x[0] + 1, max(x[1], s)
+    got = leaks.leaked_passages(docs(spark, texts), docs(spark, items, "item_id", extra=False), radius=None, min_similarity=least).collect()
+    assert sum(not r.verbatim for r in got) > (2 if least > 0.5 else 20)
+    assert {(r.doc_id, r.item_id): [r.windows, round(r.similarity, 9)] for r in got} == {k: [x, round(s, 9)] for k, (x, s) in true.items()}
+
+
 def test_hamming_blocks_find_all():
     rng = np.random.default_rng(10)
     ids, texts = list(range(40)), [" ".join(f"w{x}" for x in rng.integers(0, 50, 30)) for _ in range(40)]
