@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.vectors import dot, mean_vector, unit
-from linkloom.runtime import spread
+from linkloom.runtime import materialize, spread
 
 #: The smaller side of a scoring of all pairs is sent to all executors in blocks of at most so many rows.
 BLOCK_ROWS = 20_000
@@ -82,6 +85,14 @@ def _transport(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
     return float((flow * cost).sum())
 
 
+def _transport_two(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    """_transport from two words: the first takes what costs it least more than the second, as far as its mass goes."""
+    more = cost[0] - cost[1]
+    order = np.argsort(more, kind="stable")
+    taken = np.clip(a[0] - (np.cumsum(b[order]) - b[order]), 0.0, b[order])
+    return float((cost[1] * b).sum() + (taken * more[order]).sum())
+
+
 def word_movers_distance(a: list[str], b: list[str], vectors: dict[str, np.ndarray]) -> float:
     """Infinite if a side has no known word or all distances are 0; 0 if both have the same single word."""
     a, b = [w for w in a if w in vectors], [w for w in b if w in vectors]
@@ -124,6 +135,75 @@ def relaxed_wmd(a: DataFrame, b: DataFrame, word_vec: DataFrame, pairs: DataFram
     return one.join(two, ["a", "b"]).select("a", "b", F.greatest("_p", "_q").alias("rwmd"))
 
 
+def _packed(rows: list, key: str) -> tuple[np.ndarray, ...]:
+    """Word bags of at least one known word: keys, starts, the words' places in the vectors, shares of the words, vectors, words."""
+    vecs = {w["word"]: w["vec"] for r in rows for w in r["bag"]}
+    place = {w: i for i, w in enumerate(vecs)}
+    n = np.array([len(r["bag"]) for r in rows], np.int64)
+    share = np.array([w["n"] for r in rows for w in r["bag"]], float)
+    start = np.cumsum(n) - n
+    share /= np.repeat(np.add.reduceat(share, start), n) if len(n) else 1.0
+    return np.array([r[key] for r in rows], np.int64), start, np.array([place[w["word"]] for r in rows for w in r["bag"]], np.int64), share, np.array(list(vecs.values()), float), np.array(list(vecs))
+
+
+def wmd_all(a: DataFrame, b: DataFrame, word_vec: DataFrame, exact: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, rwmd) for all pairs of word bags a (a, word) and b (b, word), with repeated words and long keys.
+
+    rwmd is the relaxed distance; with exact also `wmd`, which is equal to it where a side has one distinct word and is
+    worked out from the costs elsewhere. Both are infinite if a side has no known word; wmd also if all distances of
+    several words are 0. Every pair is a result row; b goes to all executors block after block, a stays in place.
+    """
+    spark = a.sparkSession
+    schema = "a long, b long, rwmd double" + ", wmd double" * exact
+
+    def bags(t: DataFrame, key: str) -> DataFrame:
+        n = t.groupBy(F.col(key).cast("long").alias(key), "word").agg(F.count("*").alias("n")).join(word_vec.select("word", "vec"), "word", "left")
+        return n.groupBy(key).agg(F.collect_list(F.when(F.col("vec").isNotNull(), F.struct("word", "vec", "n"))).alias("bag"))
+
+    def run_with(block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kb, sb, wb, nb, vb, tb, lone = block.value
+            ends = np.append(sb, len(wb))
+            for rows in (batch.slice(i, 200).to_pylist() for batch in batches for i in range(0, batch.num_rows, 200)):
+                ka, sa, wa, na, va, ta = _packed([r for r in rows if r["bag"]], "a")
+                none = np.array([r["a"] for r in rows if not r["bag"]], np.int64)
+                for keys, others in ((none, np.append(kb, lone)), (ka, lone)):
+                    if len(keys) and len(others):
+                        far = np.full(len(keys) * len(others), np.inf)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(keys, len(others)), np.tile(others, len(keys)), far, far)[: 3 + exact]], names=["a", "b", "rwmd", "wmd"][: 3 + exact])
+                for lo in range(0, len(kb) if len(ka) else 0, 500):
+                    own = slice(ends[lo], ends[min(lo + 500, len(kb))])
+                    words, at = np.unique(wb[own], return_inverse=True)
+                    start, n = sb[lo : lo + 500] - ends[lo], nb[own]
+                    cost = np.linalg.norm(va[:, None] - vb[words][None], axis=2)
+                    there = np.add.reduceat(np.minimum.reduceat(cost[:, at], start, axis=1)[wa] * na[:, None], sa, axis=0)
+                    back = np.add.reduceat(np.minimum.reduceat(cost[wa], sa, axis=0)[:, at] * n, start, axis=1)
+                    far = np.maximum(there, back)
+                    out = [np.repeat(ka, len(start)), np.tile(kb[lo : lo + 500], len(ka)), far.ravel()]
+                    if exact:
+                        true, ea, eb = far.copy(), np.append(sa, len(wa)), np.append(start, len(at))
+                        for i, j in np.ndindex(*far.shape):
+                            x, y = slice(ea[i], ea[i + 1]), slice(eb[j], eb[j + 1])
+                            c = cost[wa[x]][:, at[y]]
+                            if not c.any():
+                                true[i, j] = 0.0 if c.size == 1 and ta[wa[x]] == tb[words[at[y]]] else np.inf
+                            elif min(c.shape) > 1:
+                                true[i, j] = _transport_two(c, na[x], n[y]) if len(c) == 2 else _transport(c, na[x], n[y])
+                        out.append(true.ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b", "rwmd", "wmd"][: len(out)])
+
+        return run
+
+    left, out = materialize(bags(a, "a"), "bags"), None
+    right = materialize(bags(b, "b"), "bags")
+    for part in blocks(right, "b", block_rows):
+        rows = part.collect()
+        packed = (*_packed([r for r in rows if r["bag"]], "b"), np.array([r["b"] for r in rows if not r["bag"]], np.int64))
+        scored = spread(left).mapInArrow(run_with(spark.sparkContext.broadcast(packed)), schema)
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def subword_vectors(words: DataFrame, gram_vec: DataFrame, dims: int, shortest: int = 3, longest: int = 6) -> DataFrame:
     """(word, vec): the mean of the vectors of the known n-grams of <word>, zeros without any."""
     t = words.select("word", F.concat(F.lit("<"), "word", F.lit(">")).alias("_w"))

@@ -73,9 +73,18 @@ def doc_words(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("doc_id").alias("file"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)).alias("word"))
 
 
+def part_words(spark: SparkSession, d: str) -> DataFrame:
+    """(part, word): lower-cased words of the requirement texts, with repetition, part = record."""
+    r = load(spark, d, "issue_entry").select("req_id", "req_text").filter("req_id is not null and req_text is not null").dropDuplicates(["req_id"])
+    return r.select(F.col("req_id").alias("part"), F.explode(F.regexp_extract_all(F.lower("req_text"), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("word"))
+
+
 def word_vec(spark: SparkSession, d: str) -> DataFrame:
     """(word, vec): every word of the method names has the vector of a row of embeddings."""
-    w = method_words(spark, d).select("word").distinct()
+    return vectors_of(method_words(spark, d).select("word").distinct(), spark, d)
+
+
+def vectors_of(w: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "embeddings").select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
     return w.withColumn("vec_id", (F.ascii("word") * 31 + F.length("word") * 7).cast("long") % 500).filter("vec_id % 11 <> 0").join(F.broadcast(e.filter("vec_id < 500")), "vec_id").select("word", "vec")
 

@@ -296,7 +296,7 @@ def num13(spark, d):
 
 
 def _wmd_inputs(spark, d):
-    """Methods of the classes of repository objects against the ten first requirements' words, by key."""
+    """Every twentieth method against those seven places on, pairs with a common word, as the DuckDB twin states them."""
     w = materialize(D.method_words(spark, d), "method-words")
     vec = materialize(D.word_vec(spark, d), "word-vectors")
     a = w.filter(F.col("elem") % 20 == 0).select(F.col("elem").alias("a"), "word")
@@ -318,13 +318,24 @@ def num10r(spark, d):
     return similarity.relaxed_wmd(a, b, vec, pairs).select("a", "b", F.round("rwmd", 6).alias("rwmd"))
 
 
+def _wmd_parts(spark, d, exact):
+    """All methods (a) against all requirement parts (b)."""
+    a = materialize(D.method_words(spark, d).select(F.col("elem").alias("a"), "word"), "method-words")
+    b = materialize(D.part_words(spark, d).select(F.col("part").alias("b"), "word"), "part-words")
+    vec = materialize(D.vectors_of(a.select("word").union(b.select("word")).distinct(), spark, d), "word-vectors")
+    return similarity.wmd_all(a, b, vec, exact)
+
+
+@query("num10_relaxed_wmd_parts")
+def num10p(spark, d):
+    """Relaxed distances of all methods to all requirement parts."""
+    return _wmd_parts(spark, d, False).select("a", "b", F.round("rwmd", 6).alias("rwmd"))
+
+
 @query("num10_exact_wmd")
 def num10(spark, d):
-    """Exact distances of the pairs, with the share of them that is not below the relaxed bound (always 1)."""
-    a, b, vec, pairs = _wmd_inputs(spark, d)
-    bag = lambda t, k: t.groupBy(k).agg(F.collect_list("word").alias(f"{k}_words"))
-    exact = similarity.wmd_pairs(pairs.join(bag(a, "a"), "a").join(bag(b, "b"), "b"), vec)
-    return exact.select("a", "b", F.round("wmd", 6).alias("wmd"))
+    """Exact distances of all methods to all requirement parts."""
+    return _wmd_parts(spark, d, True).select("a", "b", F.round("wmd", 6).alias("wmd"))
 
 
 # --- features --------------------------------------------------------------------------------------------------

@@ -200,3 +200,29 @@ def test_row_order_does_not_matter(spark, sims):
     a = sorted(map(tuple, techniques.sweep(sims, grid, gold).collect()))
     b = sorted(map(tuple, techniques.sweep(sims.orderBy(F.desc("elem")), grid, gold).collect()))
     assert a == b and a[0][3] >= a[1][3]
+
+
+def test_wmd_of_all_methods_and_parts(spark, small):
+    from linkloom import queries as Q
+    from linkloom.operators import similarity
+    from linkloom.plans import domain as D
+
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "x"), (3, "odd"), (4, "z"), (4, "odd")], "a long, word string")
+    b = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (2, "twin"), (3, "odd"), (4, "twin"), (5, "x"), (5, "twin")], "b long, word string")
+    vec = {"x": [0.0, 1.0], "y": [2.0, 0.5], "z": [-1.0, 3.0], "twin": [0.0, 1.0]}
+    bags = [{}, {}]
+    for bag, t in zip(bags, (a, b), strict=True):
+        for k, w in t.collect():
+            bag.setdefault(k, []).append(w)
+    table = spark.createDataFrame(list(vec.items()), "word string, vec array<double>")
+    for rows in (2, 100):
+        got = {(r.a, r.b): r for r in similarity.wmd_all(a, b, table, True, rows).collect()}
+        assert len(got) == 20
+        for (i, j), r in got.items():
+            want = similarity.word_movers_distance(bags[0][i], bags[1][j], {k: np.array(v) for k, v in vec.items()})
+            assert r.wmd == want or abs(r.wmd - want) < 1e-9
+            assert r.rwmd <= r.wmd + 1e-9
+        want = {(r.a, r.b): r.rwmd for r in similarity.relaxed_wmd(a, b, table, a.select("a").distinct().join(b.select("b").distinct())).collect()}
+        assert all(abs(got[k].rwmd - x) < 1e-9 for k, x in want.items()) and {k for k, r in got.items() if r.rwmd < float("inf")} == set(want)
+    n = D.method_words(spark, small).select("elem").distinct().count() * D.part_words(spark, small).select("part").distinct().count()
+    assert Q.queries()["num10_relaxed_wmd_parts"](spark, small).select("a", "b").distinct().count() == n > 10_000
