@@ -75,6 +75,16 @@ def map_and_recall(links: DataFrame, n_reqs: int, n_gold: int, n_codes: int, rev
     return rows.groupBy(F.col("k").cast("long").alias("k")).agg((F.sum("ap") / n_reqs).alias("map"), (F.sum("hits_so_far") / n_gold).alias("recall")).filter(F.col("k") <= n_codes)
 
 
+def map_and_recall_of_all(links: DataFrame, n_reqs: int, n_gold: int, n_codes: int, reverse: bool = False) -> DataFrame:
+    """map_and_recall for any number of code files: both stay as they are beyond the longest ranking, so rankings are only followed to there."""
+    longest = links.groupBy("req").count().agg(F.max("count")).first()[0] or 0
+    out = map_and_recall(links, n_reqs, n_gold, min(longest, n_codes), reverse)
+    if longest >= n_codes:
+        return out
+    rest = links.sparkSession.range(longest + 1, n_codes + 1).select(F.col("id").alias("k"))
+    return out.unionByName(rest.join(F.broadcast(out.filter(F.col("k") == longest).select("map", "recall"))))
+
+
 def integral_average_precision(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The discrete integral of precision over recall. A curve has few points, one for each distinct recall."""
     w = Window.partitionBy(*by).orderBy("recall")

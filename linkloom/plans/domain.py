@@ -50,9 +50,9 @@ def trace_gold(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.lower("req_filename").alias("req"), F.lower("code_filename").alias("code")).distinct()
 
 
-def trace_scores(spark: SparkSession, d: str) -> DataFrame:
+def trace_scores(spark: SparkSession, d: str, tool: str | None = "tool_b") -> DataFrame:
     """The best score of each pair of one tool, without null and NaN."""
-    s = load(spark, d, "trace_score").filter("tool = 'tool_b' and score is not null and not isnan(score) and req_filename is not null and code_filename is not null")
+    s = load(spark, d, "trace_score").filter(F.col("tool").eqNullSafe(F.lit(tool)) & F.expr("score is not null and not isnan(score) and req_filename is not null and code_filename is not null"))
     return s.groupBy(F.lower("req_filename").alias("req"), F.lower("code_filename").alias("code")).agg(F.max("score").alias("sim"))
 
 

@@ -243,8 +243,8 @@ def num04(spark, d):
 
 
 @query("num05_minmax", f"WITH {D.TRACE_SQL} SELECT req, code, round((sim - (SELECT min(sim) FROM scores)) / ((SELECT max(sim) FROM scores) - (SELECT min(sim) FROM scores)), 6) AS sim FROM scores")
-def num05(spark, d):
-    return L.normalise(D.trace_scores(spark, d)).select("req", "code", F.round("sim", 6).alias("sim"))
+def num05(spark, d, tool="tool_b"):
+    return L.normalise(D.trace_scores(spark, d, tool)).select("req", "code", F.round("sim", 6).alias("sim"))
 
 
 @query("num06_range", "SELECT round(0.2 + i * 0.05, 2)::DOUBLE AS t FROM range(13) r(i)")
@@ -482,8 +482,8 @@ def jn06(spark, d):
 
 
 @query("jn07_semi", f"WITH {D.TRACE_SQL} SELECT req, code, round(sim, 6) AS sim FROM hits WHERE hit = 1")
-def jn07(spark, d):
-    return M.with_hits(D.trace_scores(spark, d), D.trace_gold(spark, d)).filter("hit = 1").select("req", "code", F.round("sim", 6).alias("sim"))
+def jn07(spark, d, tool="tool_b"):
+    return M.with_hits(D.trace_scores(spark, d, tool), D.trace_gold(spark, d)).filter("hit = 1").select("req", "code", F.round("sim", 6).alias("sim"))
 
 
 @query("jn08_completion", f"WITH {D.TRACE_SQL}, r AS (SELECT DISTINCT req FROM scores WHERE req LIKE 'st-1%'), c AS (SELECT DISTINCT code FROM scores WHERE code LIKE 'db%') SELECT req, code, round(coalesce(sim, 0), 6) AS sim FROM (SELECT * FROM r, c) LEFT JOIN scores USING (req, code)")
@@ -530,8 +530,8 @@ def jn14(spark, d):
 
 
 @query("jn15_difference", f"WITH {D.TRACE_SQL} SELECT req, code FROM scores EXCEPT SELECT req, code FROM gold")
-def jn15(spark, d):
-    return D.trace_scores(spark, d).select("req", "code").join(D.trace_gold(spark, d), ["req", "code"], "left_anti").distinct()
+def jn15(spark, d, tool="tool_b"):
+    return D.trace_scores(spark, d, tool).select("req", "code").join(D.trace_gold(spark, d), ["req", "code"], "left_anti").distinct()
 
 
 _POINTS = "pt AS (SELECT l_orderkey AS ind, sum(l_quantity) AS a, round(sum(l_discount), 4) AS b FROM lineitem GROUP BY 1)"
@@ -559,8 +559,8 @@ def flt01(spark, d):
 
 
 @query("flt04_file_threshold", f"WITH {D.TRACE_SQL} SELECT count(*) FILTER (WHERE sim > 0.5) AS larger, count(*) FILTER (WHERE sim <= 0.5) AS reverse FROM scores")
-def flt04(spark, d):
-    s = D.trace_scores(spark, d)
+def flt04(spark, d, tool="tool_b"):
+    s = D.trace_scores(spark, d, tool)
     t = F.lit(0.5)
     x = L.file_threshold(s, t).select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(L.file_threshold(s, t, True).select(F.lit(0).alias("a"), F.lit(1).alias("b")))
     return x.agg(F.sum("a").alias("larger"), F.sum("b").alias("reverse"))
@@ -713,64 +713,64 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 @query("agg16_prf1", f"WITH {D.TRACE_SQL} SELECT {_PRF} FROM (SELECT count(*) AS found, sum(hit)::BIGINT AS hits, (SELECT count(*) FROM gold) AS gold FROM hits WHERE sim > 0.5)")
-def agg16(spark, d):
-    return _rounded(M.evaluate(L.file_threshold(D.trace_scores(spark, d), F.lit(0.5)), D.trace_gold(spark, d)), "precision", "recall", "f1")
+def agg16(spark, d, tool="tool_b"):
+    return _rounded(M.evaluate(L.file_threshold(D.trace_scores(spark, d, tool), F.lit(0.5)), D.trace_gold(spark, d)), "precision", "recall", "f1")
 
 
 @query("agg17_duplicates", f"WITH {D.TRACE_SQL} SELECT {_PRF} FROM (SELECT 2 * count(*) AS found, sum(hit)::BIGINT AS hits, (SELECT count(*) FROM gold) AS gold FROM hits)")
-def agg17(spark, d):
-    s = D.trace_scores(spark, d)
+def agg17(spark, d, tool="tool_b"):
+    s = D.trace_scores(spark, d, tool)
     return _rounded(M.evaluate(s.unionByName(s.withColumn("req", F.upper("req"))), D.trace_gold(spark, d)), "precision", "recall", "f1")
 
 
 _RANK = "rk AS (SELECT *, row_number() OVER w AS rank, sum(hit) OVER (PARTITION BY req ORDER BY sim DESC, code, req ROWS UNBOUNDED PRECEDING) AS s FROM hits WINDOW w AS (PARTITION BY req ORDER BY sim DESC, code, req))"
 
 
-def _hits(spark, d):
-    return M.with_hits(D.trace_scores(spark, d), D.trace_gold(spark, d))
+def _hits(spark, d, tool="tool_b"):
+    return M.with_hits(D.trace_scores(spark, d, tool), D.trace_gold(spark, d))
 
 
 @query("agg19_ap", f"WITH {D.TRACE_SQL}, {_RANK} SELECT req, round(CASE WHEN sum(hit) = 0 THEN 0 ELSE sum(s / rank * hit) / sum(hit) END, 6) AS ap, sum(hit)::BIGINT AS hits FROM rk GROUP BY req")
-def agg19(spark, d):
-    return _rounded(M.average_precision(_hits(spark, d), ("req",)), "ap")
+def agg19(spark, d, tool="tool_b"):
+    return _rounded(M.average_precision(_hits(spark, d, tool), ("req",)), "ap")
 
 
 @query("agg20_map_at_k", f"WITH {D.TRACE_SQL}, {_RANK} SELECT round(sum(ap) / (SELECT count(DISTINCT req) FROM gold), 6) AS map, 3::BIGINT AS k FROM (SELECT req, CASE WHEN sum(hit) = 0 THEN 0 ELSE sum(s / rank * hit) / sum(hit) END AS ap FROM rk WHERE rank <= 3 GROUP BY req)")
-def agg20(spark, d):
+def agg20(spark, d, tool="tool_b"):
     n = D.trace_gold(spark, d).select("req").distinct().count()
-    return _rounded(M.map_at_k(_hits(spark, d), n, 3), "map")
+    return _rounded(M.map_at_k(_hits(spark, d, tool), n, 3), "map")
 
 
 @query("agg21_map_recall", f"WITH {D.TRACE_SQL}, {_RANK}, ks AS (SELECT unnest(range(1, 11)) AS k), ap AS (SELECT k, req, CASE WHEN sum(hit) = 0 THEN 0 ELSE sum(s / rank * hit) / sum(hit) END AS ap, sum(hit) AS h FROM ks JOIN rk ON rank <= k GROUP BY ALL) SELECT k, round(sum(ap) / (SELECT count(DISTINCT req) FROM gold), 6) AS map, round(sum(h) / (SELECT count(*) FROM gold), 6) AS recall FROM ap GROUP BY k")
-def agg21(spark, d):
+def agg21(spark, d, tool="tool_b"):
     g = D.trace_gold(spark, d).agg(F.countDistinct("req"), F.count("*")).first()
-    return _rounded(M.map_and_recall(_hits(spark, d), g[0], g[1], 10), "map", "recall")
+    return _rounded(M.map_and_recall(_hits(spark, d, tool), g[0], g[1], 10), "map", "recall")
 
 
 _SWEEP_F = "fs AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS f), cells AS (SELECT f, count(*) AS found, sum(hit)::BIGINT AS hits, (SELECT count(*) FROM gold) AS gold FROM fs JOIN hits ON sim > f GROUP BY f)"
 
 
-def _cells(spark, d):
+def _cells(spark, d, tool="tool_b"):
     fs = F.broadcast(spark.createDataFrame([(x / 10,) for x in range(1, 9)], "f double"))
-    s = D.trace_scores(spark, d)
+    s = D.trace_scores(spark, d, tool)
     return M.evaluate(s.join(fs, s["sim"] > fs["f"]), D.trace_gold(spark, d), ("f",))
 
 
 @query("agg22_integral_ap", f"WITH {D.TRACE_SQL}, {_SWEEP_F}, c AS (SELECT hits / gold AS recall, max(hits / found) AS precision FROM cells GROUP BY 1) SELECT round(sum((recall - p) * precision), 6) AS ap FROM (SELECT *, coalesce(lag(recall) OVER (ORDER BY recall), 0) AS p FROM c)")
-def agg22(spark, d):
-    return _rounded(M.integral_average_precision(M.curve(_cells(spark, d))), "ap")
+def agg22(spark, d, tool="tool_b"):
+    return _rounded(M.integral_average_precision(M.curve(_cells(spark, d, tool))), "ap")
 
 
 @query("agg23_curves", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT 'max' AS rule, round(hits / gold, 6) AS recall, round(max(hits / found), 6) AS precision FROM cells GROUP BY hits / gold UNION ALL SELECT 'last', round(hits / gold, 6), round(arg_max(hits / found, f), 6) FROM cells GROUP BY hits / gold")
-def agg23(spark, d):
-    c = materialize(_cells(spark, d), "cells")
+def agg23(spark, d, tool="tool_b"):
+    c = materialize(_cells(spark, d, tool), "cells")
     both = M.curve(c).withColumn("rule", F.lit("max")).unionByName(M.curve(c, (), "last", F.col("f")).withColumn("rule", F.lit("last")))
     return _rounded(both, "recall", "precision").select("rule", "recall", "precision")
 
 
 @query("agg24_best_f1", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT f, {_PRF} FROM cells ORDER BY 2 * hits / (found + gold) DESC, f LIMIT 1")
-def agg24(spark, d):
-    return _rounded(M.best_cell(_cells(spark, d), ["f"]), "precision", "recall", "f1")
+def agg24(spark, d, tool="tool_b"):
+    return _rounded(M.best_cell(_cells(spark, d, tool), ["f"]), "precision", "recall", "f1")
 
 
 @query("agg25_grouped", "SELECT dataset, count(*) AS n, array_to_string(list_sort(list(DISTINCT lower(code_filename))), ' ') AS codes FROM trace_link WHERE code_filename IS NOT NULL GROUP BY dataset")
@@ -807,8 +807,8 @@ def agg28(spark, d):
 
 
 @query("agg29_label_balance", f"WITH {D.TRACE_SQL} SELECT sum(hit)::BIGINT AS valid, sum(1 - hit)::BIGINT AS invalid FROM hits")
-def agg29(spark, d):
-    return _hits(spark, d).agg(F.sum("hit").alias("valid"), F.sum(1 - F.col("hit")).alias("invalid"))
+def agg29(spark, d, tool="tool_b"):
+    return _hits(spark, d, tool).agg(F.sum("hit").alias("valid"), F.sum(1 - F.col("hit")).alias("invalid"))
 
 
 @query("agg30_issue_report", "WITH i AS (SELECT req_id, any_value(dataset) AS dataset, any_value(req_text) AS t, any_value(code) AS c, any_value(children) AS ch FROM issue_entry GROUP BY req_id) SELECT dataset, count(*) AS issues, count(*) FILTER (WHERE len(c) > 0) AS with_code, coalesce(sum(len(c)), 0)::BIGINT AS code_links, count(*) FILTER (WHERE cardinality(ch) > 0) AS with_children FROM i GROUP BY dataset")
@@ -818,8 +818,8 @@ def agg30(spark, d):
 
 
 @query("win01_precision_at", f"WITH {D.TRACE_SQL}, {_RANK} SELECT req, code, rank, round(s / rank, 6) AS precision_at FROM rk")
-def win01(spark, d):
-    return M.ranked(_hits(spark, d), ("req",)).select("req", "code", F.col("rank").cast("long").alias("rank"), F.round("precision_at", 6).alias("precision_at"))
+def win01(spark, d, tool="tool_b"):
+    return M.ranked(_hits(spark, d, tool), ("req",)).select("req", "code", F.col("rank").cast("long").alias("rank"), F.round("precision_at", 6).alias("precision_at"))
 
 
 @query("win05_crowding", f"WITH {_POINTS}, p AS (SELECT ind, ind % 5 AS front, a, b FROM pt), l AS (SELECT ind, front, 'a' AS dim, a AS v FROM p UNION ALL SELECT ind, front, 'b', b FROM p), g AS (SELECT ind, front, CASE WHEN mx = mn THEN 0 WHEN lo IS NULL OR hi IS NULL THEN 'inf'::DOUBLE ELSE (hi - lo) / (2 * (mx - mn)) END AS g FROM (SELECT *, lag(v) OVER w AS lo, lead(v) OVER w AS hi, max(v) OVER (PARTITION BY front, dim) AS mx, min(v) OVER (PARTITION BY front, dim) AS mn FROM l WINDOW w AS (PARTITION BY front, dim ORDER BY v, ind))) SELECT ind, front, CASE WHEN isinf(sum(g)) THEN -1 ELSE round(sum(g), 6) END AS crowding FROM g GROUP BY ind, front")
@@ -841,9 +841,9 @@ def win08(spark, d):
 
 
 @query("srt01_stable_order", f"WITH {D.TRACE_SQL} SELECT req, code, row_number() OVER (PARTITION BY req ORDER BY sim DESC, code) AS pos FROM scores")
-def srt01(spark, d):
+def srt01(spark, d, tool="tool_b"):
     w = Window.partitionBy("req").orderBy(F.col("sim").desc(), "code")
-    return D.trace_scores(spark, d).select("req", "code", F.row_number().over(w).cast("long").alias("pos"))
+    return D.trace_scores(spark, d, tool).select("req", "code", F.row_number().over(w).cast("long").alias("pos"))
 
 
 @query("srt05_survivors", f"WITH {_POINTS} SELECT ind, ind % 5 AS front, a AS crowding FROM pt ORDER BY front, a DESC, ind LIMIT 50")
@@ -1008,8 +1008,8 @@ def swp04(spark, d):
 
 
 @query("swp07_third_party", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT f, {_PRF} FROM cells")
-def swp07(spark, d):
-    return _rounded(_cells(spark, d), "precision", "recall", "f1")
+def swp07(spark, d, tool="tool_b"):
+    return _rounded(_cells(spark, d, tool), "precision", "recall", "f1")
 
 
 @query("swp08_techniques")
@@ -1102,9 +1102,9 @@ def src10(spark, d):
 
 
 @query("src11_third_party", f"WITH {D.TRACE_SQL} SELECT regexp_replace(req, '[.]txt$', '') AS req, code, round(sim, 6) AS sim FROM scores")
-def src11(spark, d):
+def src11(spark, d, tool="tool_b"):
     p = _path(spark, "scores")
-    D.trace_scores(spark, d).select(F.concat_ws(" ", "req", F.concat(F.lit("org.pkg."), "code"), F.col("sim").cast("string")).alias("value")).write.text(p)
+    D.trace_scores(spark, d, tool).select(F.concat_ws(" ", "req", F.concat(F.lit("org.pkg."), "code"), F.col("sim").cast("string")).alias("value")).write.text(p)
     lines = spark.read.text(p).select(F.lit(6).alias("pos"), F.col("value").alias("line"))
     return R.third_party_scores(lines).withColumn("sim", F.round("sim", 6))
 
@@ -1143,9 +1143,9 @@ def src16(spark, d):
 
 
 @query("src17_eval_matrix", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT f, found, hits FROM cells")
-def src17(spark, d):
+def src17(spark, d, tool="tool_b"):
     p = _path(spark, "eval")
-    S.write_json(_cells(spark, d), p)
+    S.write_json(_cells(spark, d, tool), p)
     return spark.read.schema("f double, found long, hits long").json(p)
 
 
@@ -1195,9 +1195,9 @@ def src25(spark, d):
 
 
 @query("snk01_curve", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT round(hits / gold, 6) AS recall, round(max(hits / found), 6) AS precision FROM cells GROUP BY hits / gold")
-def snk01(spark, d):
+def snk01(spark, d, tool="tool_b"):
     p = _path(spark, "curve")
-    S.write_curve(M.curve(_cells(spark, d)), p)
+    S.write_curve(M.curve(_cells(spark, d, tool)), p)
     return _rounded(R.csv(spark, p, "recall double, precision double"), "recall", "precision")
 
 
@@ -1231,3 +1231,35 @@ def snk10(spark, d):
 def snk12(spark, d):
     links = M.with_hits(techniques.sweep_links(D.pairs(spark, d), techniques.valid_cells(_grid(spark))), D.gold(spark, d))
     return S.links_of_cell(links, 0.1, 0.2, 0.25, valid_only=True)
+
+
+# --- all tools -------------------------------------------------------------------------------------------------
+
+
+def _of_tools(name: str, of_tool) -> None:
+    """Registers NAME_tools, the query NAME for each tool of the score table in one plan, with the column tool."""
+
+    def all_tools(spark, d):
+        out = None
+        for (tool,) in load(spark, d, "trace_score").select("tool").distinct().orderBy("tool").collect():
+            one = of_tool(spark, d, tool).withColumn("tool", F.lit(tool).cast("string"))
+            out = one if out is None else out.unionByName(one)
+        return of_tool(spark, d).withColumn("tool", F.lit("")).limit(0) if out is None else out
+
+    query(name + "_tools")(all_tools)
+
+
+def _map_recall_of_all_k(spark, d, tool="tool_b"):
+    """MAP and recall for every k up to the number of code files."""
+    hits, gold = materialize(_hits(spark, d, tool), "hits"), D.trace_gold(spark, d)
+    g = gold.agg(F.countDistinct("req"), F.count("*")).first()
+    n_codes = hits.select("code").union(gold.select("code")).distinct().count()
+    return _rounded(M.map_and_recall_of_all(hits, g[0], g[1], n_codes), "map", "recall")
+
+
+for _name, _f in {
+    "num05_minmax": num05, "jn07_semi": jn07, "jn15_difference": jn15, "flt04_file_threshold": flt04, "agg16_prf1": agg16, "agg17_duplicates": agg17, "agg19_ap": agg19, "agg20_map_at_k": agg20,
+    "agg21_map_recall": _map_recall_of_all_k, "agg22_integral_ap": agg22, "agg23_curves": agg23, "agg24_best_f1": agg24, "agg29_label_balance": agg29, "win01_precision_at": win01, "srt01_stable_order": srt01,
+    "src11_third_party": src11, "src17_eval_matrix": src17, "snk01_curve": snk01, "swp07_third_party": swp07,
+}.items():
+    _of_tools(_name, _f)

@@ -226,3 +226,33 @@ def test_wmd_of_all_methods_and_parts(spark, small):
         assert all(abs(got[k].rwmd - x) < 1e-9 for k, x in want.items()) and {k for k, r in got.items() if r.rwmd < float("inf")} == set(want)
     n = D.method_words(spark, small).select("elem").distinct().count() * D.part_words(spark, small).select("part").distinct().count()
     assert Q.queries()["num10_relaxed_wmd_parts"](spark, small).select("a", "b").distinct().count() == n > 10_000
+
+
+def test_evaluation_of_every_tool(spark, small):
+    from linkloom import queries as Q
+    from linkloom.plans import domain as D
+
+    tools = {r.tool for r in spark.read.parquet(f"{small}/trace_score.parquet").select("tool").distinct().collect()}
+    assert len(tools) > 1
+    gold = {(r.req, r.code) for r in D.trace_gold(spark, small).collect()}
+    scores = {}
+    for r in spark.read.parquet(f"{small}/trace_score.parquet").collect():
+        if r.score is not None and not math.isnan(r.score) and r.req_filename is not None and r.code_filename is not None:
+            k = (r.tool, r.req_filename.lower(), r.code_filename.lower())
+            scores[k] = max(scores.get(k, r.score), r.score)
+    got = {(r.tool, r.f): (r.found, r.hits, r.gold) for r in Q.queries()["swp07_third_party_tools"](spark, small).collect()}
+    want = {}
+    for f in (x / 10 for x in range(1, 9)):
+        for t in tools:
+            found = [k[1:] for k, s in scores.items() if k[0] == t and s > f]
+            if found:
+                want[t, f] = (len(found), len(gold & set(found)), len(gold))
+    assert got == want
+    assert len([n for n in Q.queries() if n.endswith("_tools")]) == 19
+
+
+def test_map_and_recall_beyond_the_longest_ranking(spark):
+    rows = [("r", f"c{i:02}", 1.0 - i / 100, int(i in (0, 11))) for i in range(12)] + [("q", "c00", 0.5, 1)]
+    links = spark.createDataFrame(rows, "req string, code string, sim double, hit int")
+    got = {r.k: (round(r.map, 9), round(r.recall, 9)) for r in M.map_and_recall_of_all(links, 2, 4, 15).collect()}
+    assert got == {k: (1.0, 0.5) if k < 12 else (round((1 + (1 + 2 / 12) / 2) / 2, 9), 0.75) for k in range(1, 16)}
