@@ -5,12 +5,15 @@ A population is small by its parameters (population size times genes), whatever
 
 from __future__ import annotations
 
+import itertools
 import random
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from linkloom.runtime import materialize
 
@@ -48,10 +51,53 @@ def first_front(points: DataFrame, dims: list[str], key: str = "ind") -> DataFra
     return undominated(local.withColumn("block_", F.lit(0)), ["block_"]).drop("block_")
 
 
-def fronts(points: DataFrame, dims: list[str], key: str = "ind", most: int = 50) -> DataFrame:
-    """points with `front`, peeled one front after the other; what is left after `most` fronts has none."""
+def _distinct_points(points: DataFrame, dims: list[str]) -> list:
+    return points.filter(" and ".join(f"{d} is not null" for d in dims)).groupBy(*dims).agg(F.count("*").alias("n")).orderBy(*(F.col(d).desc() for d in dims)).collect()
+
+
+def dominations(points: DataFrame, x: str, y: str) -> int:
+    """The number of pairs of points of which the first dominates the second in x and y, exactly.
+
+    Equal points are counted together; with the distinct ones in falling order of x, then y, those before a point
+    that are at least as large in y dominate it, and a tree of counts by y gives their number. Distinct points
+    go to the driver.
+    """
+    rows = _distinct_points(points, [x, y])
+    place = {v: i + 1 for i, v in enumerate(sorted({r[y] for r in rows}, reverse=True))}
+    tree, total = [0] * (len(place) + 1), 0
+    for r in rows:
+        i = at = place[r[y]]
+        while i:
+            total += tree[i] * r["n"]
+            i &= i - 1
+        while at < len(tree):
+            tree[at] += r["n"]
+            at += at & -at
+    return total
+
+
+def fronts_of_two(points: DataFrame, x: str, y: str) -> DataFrame:
+    """points with `front` in the dimensions x and y, all fronts in one pass over the distinct points, on the driver.
+
+    In falling order of x, then y, a point belongs to the first front whose smallest y so far is smaller than its own:
+    a front's last point in this order has its smallest y, and if that is at least as large, it dominates the point.
+    Points without a value have no front.
+    """
+    rows, low = _distinct_points(points, [x, y]), []
+    found = []
+    for r in rows:
+        k = bisect_left(low, True, key=lambda v: v < r[y])
+        low[k : k + 1] = [r[y]]
+        found.append((r[x], r[y], k + 1))
+    types = {f.name: f.dataType for f in points.schema.fields}
+    schema = StructType([StructField(x, types[x]), StructField(y, types[y]), StructField("front", IntegerType())])
+    return points.join(F.broadcast(points.sparkSession.createDataFrame(found, schema)), [x, y], "left").select(*points.columns, "front")
+
+
+def fronts(points: DataFrame, dims: list[str], key: str = "ind", most: int | None = None) -> DataFrame:
+    """points with `front`, peeled one front after the other until nothing is left, or `most` fronts."""
     left, out = points, None
-    for k in range(1, most + 1):
+    for k in itertools.count(1) if most is None else range(1, most + 1):
         front = materialize(first_front(left, dims, key).withColumn("front", F.lit(k)), "front")
         if front.isEmpty():
             break

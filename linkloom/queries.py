@@ -549,6 +549,12 @@ def jn16(spark, d):
     return x.join(y, "g").filter("a >= c and b >= e and (a > c or b > e)").agg(F.count("*").alias("pairs"))
 
 
+@query("jn16_domination_all", f"WITH {_POINTS} SELECT count(*) AS pairs FROM pt x JOIN pt y ON x.a >= y.a AND x.b >= y.b AND (x.a > y.a OR x.b > y.b)")
+def jn16_all(spark, d):
+    """Pairs of points of which the first dominates the second, over all points."""
+    return spark.createDataFrame([(evolve.dominations(_points(spark, d), "a", "b"),)], "pairs long")
+
+
 # --- filters ---------------------------------------------------------------------------------------------------
 
 
@@ -960,6 +966,12 @@ def ns04(spark, d):
     return evolve.first_front(_points(spark, d), ["a", "b"])
 
 
+@query("ns04_fronts")
+def ns04_all(spark, d):
+    """All points with the number of their front."""
+    return evolve.fronts_of_two(_points(spark, d), "a", "b")
+
+
 @query("ns08_search")
 def ns08(spark, d):
     """The last population of a search over the hundred best-scored pairs of two tools."""

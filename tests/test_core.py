@@ -256,3 +256,20 @@ def test_map_and_recall_beyond_the_longest_ranking(spark):
     links = spark.createDataFrame(rows, "req string, code string, sim double, hit int")
     got = {r.k: (round(r.map, 9), round(r.recall, 9)) for r in M.map_and_recall_of_all(links, 2, 4, 15).collect()}
     assert got == {k: (1.0, 0.5) if k < 12 else (round((1 + (1 + 2 / 12) / 2) / 2, 9), 0.75) for k in range(1, 16)}
+
+
+def test_dominations_and_all_fronts(spark):
+    rng = np.random.default_rng(16)
+    pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.integers(0, 12, (150, 2)))] + [(150 + i, 20.0 + i, 20.0 + i) for i in range(60)]
+    df = spark.createDataFrame(pts, "ind long, a double, b double")
+    over = lambda p, q: p[1] >= q[1] and p[2] >= q[2] and p[1:] != q[1:]
+    assert evolve.dominations(df, "a", "b") == sum(over(p, q) for p in pts for q in pts)
+    left, want = set(pts), {}
+    for k in range(1, len(pts) + 1):
+        front = {q for q in left if not any(over(p, q) for p in left)}
+        want |= {q[0]: k for q in front}
+        left -= front
+    assert max(want.values()) > 60
+    assert {r.ind: r.front for r in evolve.fronts_of_two(df, "a", "b").collect()} == want
+    few = spark.createDataFrame([(i, float(i), float(i)) for i in range(4)], "ind long, a double, b double")
+    assert {r.ind: r.front for r in evolve.fronts(few, ["a", "b"]).collect()} == {3: 1, 2: 2, 1: 3, 0: 4}
