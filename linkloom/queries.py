@@ -529,6 +529,21 @@ def jn14(spark, d):
     return sampling.labelled_pairs(r, c, g, "all")
 
 
+@query("jn14_labelled_pairs_all")
+def jn14_all(spark, d):
+    """Every requirement against every code file of the gold links of its dataset."""
+    t = load(spark, d, "trace_link").filter("dataset is not null and req_filename is not null and code_filename is not null")
+    g = materialize(t.select("dataset", F.lower("req_filename").alias("req"), F.lower("code_filename").alias("code")).distinct(), "gold")
+    out = None
+    for (dataset,) in g.select("dataset").distinct().orderBy("dataset").collect():
+        own = g.filter(F.col("dataset") == dataset).select("req", "code")
+        r = own.select("req").distinct().withColumn("requirement", F.concat(F.lit("r "), "req"))
+        c = own.select("code").distinct().withColumn("code_entry", F.concat(F.lit("c "), "code"))
+        one = sampling.labelled_pairs(r, c, own, dataset)
+        out = one if out is None else out.unionByName(one)
+    return jn14(spark, d).limit(0) if out is None else out
+
+
 @query("jn15_difference", f"WITH {D.TRACE_SQL} SELECT req, code FROM scores EXCEPT SELECT req, code FROM gold")
 def jn15(spark, d, tool="tool_b"):
     return D.trace_scores(spark, d, tool).select("req", "code").join(D.trace_gold(spark, d), ["req", "code"], "left_anti").distinct()
@@ -917,6 +932,11 @@ def set09(spark, d):
     return graph.to_known(D.call_edges(spark, d), nodes)
 
 
+@query("set09_known_edges_all")
+def set09_all(spark, d):
+    return graph.to_known(D.call_edges(spark, d), D.elem(spark, d).select(F.col("id").alias("node")))
+
+
 # --- sampling and labelled data --------------------------------------------------------------------------------
 
 
@@ -1269,9 +1289,16 @@ def _map_recall_of_all_k(spark, d, tool="tool_b"):
     return _rounded(M.map_and_recall_of_all(hits, g[0], g[1], n_codes), "map", "recall")
 
 
+def _completed(spark, d, tool="tool_b"):
+    """The scores of a tool, with 0 for the missing pairs of all of its requirements and code files."""
+    s = materialize(D.trace_scores(spark, d, tool), "scores")
+    return M.complete(s, s, s).select("req", "code", F.round("sim", 6).alias("sim"))
+
+
 for _name, _f in {
     "num05_minmax": num05, "jn07_semi": jn07, "jn15_difference": jn15, "flt04_file_threshold": flt04, "agg16_prf1": agg16, "agg17_duplicates": agg17, "agg19_ap": agg19, "agg20_map_at_k": agg20,
     "agg21_map_recall": _map_recall_of_all_k, "agg22_integral_ap": agg22, "agg23_curves": agg23, "agg24_best_f1": agg24, "agg29_label_balance": agg29, "win01_precision_at": win01, "srt01_stable_order": srt01,
+    "jn08_completion": _completed,
     "src11_third_party": src11, "src17_eval_matrix": src17, "snk01_curve": snk01, "swp07_third_party": swp07,
 }.items():
     _of_tools(_name, _f)

@@ -248,7 +248,7 @@ def test_evaluation_of_every_tool(spark, small):
             if found:
                 want[t, f] = (len(found), len(gold & set(found)), len(gold))
     assert got == want
-    assert len([n for n in Q.queries() if n.endswith("_tools")]) == 19
+    assert len([n for n in Q.queries() if n.endswith("_tools")]) == 20
 
 
 def test_map_and_recall_beyond_the_longest_ranking(spark):
@@ -273,3 +273,24 @@ def test_dominations_and_all_fronts(spark):
     assert {r.ind: r.front for r in evolve.fronts_of_two(df, "a", "b").collect()} == want
     few = spark.createDataFrame([(i, float(i), float(i)) for i in range(4)], "ind long, a double, b double")
     assert {r.ind: r.front for r in evolve.fronts(few, ["a", "b"]).collect()} == {3: 1, 2: 2, 1: 3, 0: 4}
+
+
+def test_pairs_of_all_files(spark, small):
+    from linkloom import queries as Q
+    from linkloom.plans import domain as D
+
+    got = {(r.tool, r.req, r.code): r.sim for r in Q.queries()["jn08_completion_tools"](spark, small).collect()}
+    for tool in {k[0] for k in got}:
+        s = {(r.req, r.code): round(r.sim, 6) for r in D.trace_scores(spark, small, tool).collect()}
+        pairs = {(r, c) for r in {k[0] for k in s} for c in {k[1] for k in s}}
+        assert {k[1:]: x for k, x in got.items() if k[0] == tool} == {k: s.get(k, 0.0) for k in pairs}
+    gold = {}
+    for r in spark.read.parquet(f"{small}/trace_link.parquet").collect():
+        if r.dataset is not None and r.req_filename is not None and r.code_filename is not None:
+            gold.setdefault(r.dataset, set()).add((r.req_filename.lower(), r.code_filename.lower()))
+    want = sorted((d, r, c, int((r, c) in g)) for d, g in gold.items() for r in {k[0] for k in g} for c in {k[1] for k in g})
+    assert sorted((r.dataset, r.requirement_filename, r.code_filename, r.valid) for r in Q.queries()["jn14_labelled_pairs_all"](spark, small).collect()) == want
+    nodes = {r.id for r in D.elem(spark, small).collect()}
+    assert max(nodes) > 300
+    edges = {(r.caller, r.callee) for r in D.call_edges(spark, small).collect()}
+    assert {(r.caller, r.callee) for r in Q.queries()["set09_known_edges_all"](spark, small).collect()} == {e for e in edges if set(e) <= nodes}
