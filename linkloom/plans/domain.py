@@ -79,6 +79,12 @@ def part_words(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("req_id").alias("part"), F.explode(F.regexp_extract_all(F.lower("req_text"), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("word"))
 
 
+def all_doc_words(spark: SparkSession, d: str) -> DataFrame:
+    """(file, word) of the words of all documents in any script, with repetition."""
+    t = load(spark, d, "documents").filter("text is not null")
+    return t.select(F.col("doc_id").alias("file"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)).alias("word"))
+
+
 def word_vec(spark: SparkSession, d: str) -> DataFrame:
     """(word, vec): every word of the method names has the vector of a row of embeddings."""
     return vectors_of(method_words(spark, d).select("word").distinct(), spark, d)

@@ -83,11 +83,16 @@ _tokens("fn18_chain_code_en", "ident", T.CHAINS["code_en"], _CODE_CHAIN.format(t
 
 
 @query("fn08_tfidf_filter", f"WITH {D.WORDS_SQL}, tf AS (SELECT file, word, count(*) AS c FROM dw WHERE length(word) >= 2 GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT file, word, c * (ln((1 + (SELECT count(DISTINCT file) FROM tf)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (word)), wt AS (SELECT file, word, x / sqrt(sum(x * x) OVER (PARTITION BY file)) AS weight FROM raw) SELECT file, count(*) AS kept FROM dw JOIN wt USING (file, word) WHERE weight > 0.123456 GROUP BY file")
-def fn08(spark, d):
-    t = materialize(D.doc_words(spark, d), "tokens")
+def fn08(spark, d, doc_words=D.doc_words):
+    t = materialize(doc_words(spark, d), "tokens")
     return features.tfidf_filter(t, features.tfidf(t), 0.123456).groupBy("file").agg(F.count("*").alias("kept"))
 
 
+@query("fn08_tfidf_filter_all")
+def fn08_all(spark, d):
+    return fn08(spark, d, D.all_doc_words)
+
+
 @query("fn10_lemmas", f"WITH {D.METHOD_SQL}, lem AS (SELECT DISTINCT word, substr(word, 1, 4) AS lemma FROM mw WHERE length(word) > 6) SELECT coalesce(lemma, word) AS lemma, count(*) AS n FROM mw LEFT JOIN lem USING (word) GROUP BY 1")
 def fn10(spark, d):
     """Lookup form of the lemmatiser: the lemma table is joined, unknown words stay."""
@@ -420,8 +425,13 @@ def emb13(spark, d):
 
 
 @query("emb15_tfidf", f"WITH {D.WORDS_SQL}, {_TFIDF.format('dw')} SELECT file, word, round(weight, 6) AS weight FROM wt")
-def emb15(spark, d):
-    return features.tfidf(D.doc_words(spark, d)).select("file", "word", F.round("weight", 6).alias("weight"))
+def emb15(spark, d, doc_words=D.doc_words):
+    return features.tfidf(doc_words(spark, d)).select("file", "word", F.round("weight", 6).alias("weight"))
+
+
+@query("emb15_tfidf_all")
+def emb15_all(spark, d):
+    return emb15(spark, d, D.all_doc_words)
 
 
 @query("emb16_tfidf_cosine", f"WITH {D.METHOD_SQL}, {_TFIDF.format('mw')} SELECT p.file AS a, q.file AS b, round(sum(p.weight * q.weight), 6) AS sim FROM wt p JOIN wt q ON p.word = q.word AND p.file LIKE 'DB%' AND q.file NOT LIKE 'DB%' GROUP BY 1, 2")
@@ -513,11 +523,16 @@ def jn11(spark, d):
 
 
 @query("jn12_file_word_weight", f"WITH {D.WORDS_SQL}, {_TFIDF.format('dw')} SELECT file, round(sum(weight), 6) AS total FROM dw JOIN wt USING (file, word) GROUP BY file")
-def jn12(spark, d):
-    t = D.doc_words(spark, d)
+def jn12(spark, d, doc_words=D.doc_words):
+    t = doc_words(spark, d)
     return t.join(features.tfidf(t), ["file", "word"]).groupBy("file").agg(F.round(F.sum("weight"), 6).alias("total"))
 
 
+@query("jn12_file_word_weight_all")
+def jn12_all(spark, d):
+    return jn12(spark, d, D.all_doc_words)
+
+
 _ISSUE = "iss AS (SELECT req_id, any_value(req_filename) AS req, any_value(req_text) AS txt, any_value(code) AS code FROM issue_entry GROUP BY req_id)"
 
 

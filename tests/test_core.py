@@ -294,3 +294,16 @@ def test_pairs_of_all_files(spark, small):
     assert max(nodes) > 300
     edges = {(r.caller, r.callee) for r in D.call_edges(spark, small).collect()}
     assert {(r.caller, r.callee) for r in Q.queries()["set09_known_edges_all"](spark, small).collect()} == {e for e in edges if set(e) <= nodes}
+
+
+def test_tfidf_of_all_documents(spark, small, tmp_path):
+    from linkloom import queries as Q
+
+    rows = [(1, "Über die naïve 漢字", "code"), (2, "die e\u0301tude", "issue"), (3, "die x9", None), (4, None, "note"), (5, "die wort", "note")]
+    spark.createDataFrame(rows, "doc_id long, text string, artefact_kind string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda n: Q.queries()[n](spark, str(tmp_path)).collect()
+    got = {(r.file, r.word): r.weight for r in run("emb15_tfidf_all")}
+    assert set(got) == {(1, "über"), (1, "die"), (1, "naïve"), (1, "漢字"), (2, "die"), (2, "e\u0301tude"), (3, "die"), (3, "x9"), (5, "die"), (5, "wort")}
+    rare = math.log(5 / 2) + 1
+    assert got[3, "x9"] == round(rare / math.hypot(rare, 1), 6)
+    assert {r.file for r in run("jn12_file_word_weight_all")} == {r.file for r in run("fn08_tfidf_filter_all")} == {1, 2, 3, 5}
