@@ -1050,7 +1050,7 @@ def swp02(spark, d):
 
 @query("swp04_refine")
 def swp04(spark, d):
-    best = techniques.refine_best(materialize(D.pairs(spark, d), "pairs"), _grid(spark), D.gold(spark, d), rounds=3)
+    best = techniques.refine_best(materialize(D.pairs(spark, d), "pairs"), _grid(spark), D.gold(spark, d))
     return spark.createDataFrame([tuple(float(best[k]) for k in ("e", "m", "f", "f1"))] if best else [], "e double, m double, f double, f1 double")
 
 

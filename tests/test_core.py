@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
@@ -307,3 +308,17 @@ def test_tfidf_of_all_documents(spark, small, tmp_path):
     rare = math.log(5 / 2) + 1
     assert got[3, "x9"] == round(rare / math.hypot(rare, 1), 6)
     assert {r.file for r in run("jn12_file_word_weight_all")} == {r.file for r in run("fn08_tfidf_filter_all")} == {1, 2, 3, 5}
+
+
+def test_refinement_goes_on_while_f1_improves(spark, monkeypatch):
+    grid = spark.createDataFrame([(0.3, 0.3, 0.3)], "e double, m double, f double")
+    steps = iter(range(100))
+
+    class Best:
+        def first(self):
+            n = min(next(steps), 30)
+            return Row(e=0.3, m=0.3, f=0.3, f1=n / 100)
+
+    monkeypatch.setattr(techniques, "sweep", lambda *a, **k: None)
+    monkeypatch.setattr(techniques.M, "best_cell", lambda *a, **k: Best())
+    assert techniques.refine_best(grid, grid, grid)["f1"] == 0.3
