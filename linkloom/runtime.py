@@ -31,21 +31,35 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(df: DataFrame) -> int:
-    return df._jdf.queryExecution().toRdd().getNumPartitions()
+def partitions(df: DataFrame) -> int | None:
+    """The number of partitions of a plan without a shuffle, known from its splits; None for one with a shuffle.
+
+    How many partitions an adaptive plan has is known only once its shuffles have run, so it is not asked.
+    """
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return None
+    return execution.toRdd().getNumPartitions()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread an input of fewer partitions than cores, such as one small file, over the cluster.
 
-    Large inputs have a partition for each split already and pass unchanged, without a shuffle.
+    Large inputs have a partition for each split already and pass unchanged, without a shuffle; so do plans that
+    end with a shuffle of their own.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if partitions(df) >= cores:
+    cores, have = df.sparkSession.sparkContext.defaultParallelism, partitions(df)
+    if have is None or have >= cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
+def together(df: DataFrame, key: str) -> DataFrame:
+    """Rows of one key in one partition and next to each other; rows with a null key are spread by their content."""
+    route = F.when(F.col(key).isNull(), F.xxhash64(*df.columns)).otherwise(F.xxhash64(key))
+    return df.repartition(route).sortWithinPartitions(key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; in local tests, where it is unset, a folder of our own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
@@ -109,7 +123,3 @@ def first_delivery(df: DataFrame, key: str, late: str = "loaded_at") -> DataFram
     cols = [c for c in df.columns if c != key]
     kept = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(F.col(late).isNull(), F.col(late))).alias("_r"))
     return kept.select(key, "_r.*").select(*df.columns).unionByName(df.filter(F.col(key).isNull()))
-
-
-def env_cores() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
