@@ -18,13 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.words import once
 from linkloom.operators.skew import hot_join
-from linkloom.runtime import first_delivery, materialize, spread
+from linkloom.runtime import materialize, together
 
 LANGUAGES = ("de", "en", "es", "fr", "it")
 SHARE = 0.05
-#: Labelled documents per language that the language model is fitted on.
-SAMPLE_PER_LANGUAGE = 60
+#: Labelled documents per language that the language model is fitted on, and their lengths.
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 60, (200, 20_000)
+#: Hash ranges of each language, of which each gives one document to choose from.
+SAMPLE_BUCKETS = 256
 
 _C_TOKEN = re.compile(r'/\*.*?(?:\*/|\Z)|//[^\n\r]*|"""(?:[^\\]|\\.)*?(?:"""|\Z)|"(?:[^"\\\n\r]|\\.)*"|\'(?:[^\'\\\n\r]|\\.){1,8}\'', re.S)
 _PY_TOKEN = re.compile(r'#[^\n\r]*|[rbuf]{0,2}(?:"""(?:[^\\]|\\.)*?(?:"""|\Z)|\'\'\'(?:[^\\]|\\.)*?(?:\'\'\'|\Z)|"(?:[^"\\\n\r]|\\.)*"|\'(?:[^\'\\\n\r]|\\.)*\')', re.S)
@@ -151,7 +154,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file, length, hash, weight, text) of every span; the task sends the text of a span once."""
     known: set[int] = set()
     names = ["file_id", "length", "hi", "lo", "weight", "bytes", "text"]
-    for b in batches:
+    for b in once(batches, "file_id"):
         out: list[tuple] = []
         for key, name, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             for text in spans(content, is_python(name, content)):
@@ -192,12 +195,20 @@ class LanguageModel:
 
 
 def fit_language_model(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
-    """A model fitted on at most per_language documents of each language, those of the smallest hashed ids; None without any."""
-    labelled = docs.select("doc_id", F.lower(F.trim("lang")).alias("lang"), "text").filter(F.col("lang").isin(*LANGUAGES) & (F.length("text") >= 200))
+    """A model fitted on at most per_language documents of each language; None without any.
+
+    Of every language and hash range the document of the smallest hash is looked up by its id and language alone,
+    so the texts are read once, and at most SAMPLE_BUCKETS of a language come to the driver.
+    """
+    lang, rank = F.lower(F.trim("lang")), F.xxhash64("doc_id", F.lower(F.trim("lang")))
+    labelled = docs.select(lang.alias("lang"), rank.alias("rank"), "text").filter(F.col("lang").isin(*LANGUAGES))
+    drawn = [r[0] for r in labelled.groupBy("lang", F.pmod("rank", F.lit(SAMPLE_BUCKETS))).agg(F.min("rank").alias("rank")).select("rank").collect()]
+    size = F.length("text")
+    rows = labelled.filter(F.col("rank").isin(drawn) & (size >= SAMPLE_CHARS[0]) & (size <= SAMPLE_CHARS[1])).dropDuplicates(["lang", "rank"]).collect() if drawn else []
     samples: dict[str, list[str]] = {}
-    for lang in LANGUAGES:
-        for (text,) in labelled.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(per_language).collect():
-            samples.setdefault(lang, []).append(text)
+    for name, _, text in sorted(rows, key=lambda r: (r.lang, r.rank)):
+        if len(samples.setdefault(name, [])) < per_language:
+            samples[name].append(text)
     return LanguageModel(samples) if samples else None
 
 
@@ -220,10 +231,8 @@ def language_shares(files: DataFrame, docs: DataFrame) -> DataFrame:
     is for an empty table.
     """
     spark = files.sparkSession
-    src = files.filter("file_id is not null and content is not null and content <> ''")
-    cols = [c for c in ("file_id", "file_name", "content", "loaded_at") if c in src.columns]
-    src = spread(first_delivery(src.select(*cols), "file_id").select(F.col("file_id").cast("long"), "file_name", "content"))
-    found = materialize(src.mapInArrow(_scan, "file_id long, length long, hi long, lo long, weight long, bytes long, text string"), "spans")
+    src = files.filter("file_id is not null and content is not null and content <> ''").select(F.col("file_id").cast("long"), "file_name", "content")
+    found = materialize(together(src, "file_id").mapInArrow(_scan, "file_id long, length long, hi long, lo long, weight long, bytes long, text string"), "spans")
     model = fit_language_model(docs)
     if model is None:
         return spark.createDataFrame([], "file_id long, lang string, chars long, bytes long, length long, share double")

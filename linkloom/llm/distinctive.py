@@ -15,22 +15,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import words
+from linkloom.llm.words import once, words
 from linkloom.operators.skew import hot_join
-from linkloom.runtime import materialize
+from linkloom.runtime import materialize, together
 
 EM_STEPS = 30
 
 
 def _record_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct terms of every record with their counts; a record delivered again is left out."""
-    keys: set[int] = set()
-    for b in batches:
+    for b in once(batches):
         ids, lengths, sizes, terms, counts = [], [], [0], [], []
         for key, text in zip(b.column("_id").to_pylist(), b.column("_text").to_pylist(), strict=True):
-            if key in keys:
-                continue
-            keys.add(key)
             found = words(text)
             if not found:
                 continue
@@ -112,7 +108,7 @@ def distinctive_terms(records: DataFrame, id_col: str = "req_id", text_col: str
     and wordless texts have no rows; an empty table gives an empty result. Other columns are not read.
     """
     src = records.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null and _text is not null")
-    rows = materialize(src.repartition("_id").mapInArrow(_record_terms, "req_id long, n_words int, terms array<string>, counts array<int>"), "record-terms")
+    rows = materialize(together(src, "_id").mapInArrow(_record_terms, "req_id long, n_words int, terms array<string>, counts array<int>"), "record-terms")
     total, pairs = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     flat = rows.select("req_id", "n_words", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("req_id", "n_words", F.col("x.terms").alias("term"), F.col("x.counts").alias("count"))
     hist = flat.groupBy("term", "count").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("records"), F.collect_list(F.struct(F.col("count").alias("k"), "n")).alias("hist"))

@@ -1,7 +1,7 @@
 """Frequency of every distinct term or n-gram and the number of records that hold it, by sorted suffixes.
 
 Every position of a record gives its suffix, truncated to max_terms words. Suffixes go to the partition of their
-first word (and a salt of the second, so that a frequent first word is spread), are sorted there in reverse
+first word (with the second one, so that a frequent first word is spread), are sorted there in reverse
 lexicographic order and read once with a stack that holds one count for each prefix of the suffix at hand: when
 the next suffix leaves a prefix, the prefix is complete and its count moves to the prefix below.
 
@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import words
-from linkloom.runtime import materialize
+from linkloom.llm.words import once, words
+from linkloom.runtime import materialize, together
 
 RARE_RECORDS, RARE_OCCURRENCES, COMMON_SHARE = 2, 3, 0.10
 #: Distinct suffixes that a task adds up before it sends them on.
 FLUSH = 200_000
-SALTS = 32
 
 
 def _suffixes(max_terms: int):
@@ -36,13 +35,8 @@ def _suffixes(max_terms: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[str, list[int]] = {}
-        keys: set[int] = set()
-        for b in batches:
-            for key, text in zip(b.column("_id").to_pylist(), b.column("_text").to_pylist(), strict=True):
-                if key is not None:
-                    if key in keys:
-                        continue
-                    keys.add(key)
+        for b in once(batches):
+            for text in b.column("_text").to_pylist():
                 found = words(text)
                 if not found:
                     continue
@@ -130,13 +124,10 @@ def term_frequencies(records: DataFrame, max_terms: int = 1, id_col: str = "req_
     gives an empty result. Other columns are not read.
     """
     src = records.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null")
-    # rows of one id meet in one partition; null ids are spread by their text
-    src = src.repartition(F.coalesce(F.col("_id").cast("string"), F.xxhash64("_text").cast("string")))
-    parts = materialize(src.mapInArrow(_suffixes(max_terms), "suffix string, n long, fresh array<long>"), "suffixes")
+    parts = materialize(together(src, "_id").mapInArrow(_suffixes(max_terms), "suffix string, n long, fresh array<long>"), "suffixes")
     # few rows, one per flush of a task, so the total can come to the driver
     total = parts.filter("suffix = ''").agg(F.coalesce(F.sum(F.element_at("fresh", 1)), F.lit(0))).first()[0]
-    second = F.get(F.split("suffix", " ", 3), F.lit(1)) if max_terms > 1 else F.lit(None)
-    routed = parts.filter("suffix <> ''").repartition(F.substring_index("suffix", " ", 1), F.pmod(F.xxhash64(second), F.lit(SALTS)))
+    routed = parts.filter("suffix <> ''").repartition(F.substring_index("suffix", " ", min(max_terms, 2)))
     counted = routed.sortWithinPartitions(F.col("suffix").desc()).mapInArrow(_stack(max_terms), "term string, n_terms int, occurrences long, records long")
     if max_terms > 1:  # a first word may have come in several parts
         counted = counted.groupBy("term", "n_terms").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))

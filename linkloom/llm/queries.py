@@ -78,7 +78,13 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetitive_documents(load(spark, d, "documents")).filter(F.col("rule").isNotNull() & (F.col("run5_share") >= repetition.SHARE)).select("doc_id")
+    """Documents that the learned list marks, after the exact check of the marked ones."""
+    return repetition.repetitive_documents(load(spark, d, "documents")).filter("confirmed").select("doc_id")
+
+
+def p8_marked(spark: SparkSession, d: str) -> DataFrame:
+    """What the learned list alone says, with the outcome of the check: its recall and precision can be read from here."""
+    return repetition.repetitive_documents(load(spark, d, "documents")).select("doc_id", "rule", "confirmed", F.round("run5_share", 6).alias("run5_share"))
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +93,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_shares, p2_found, p2_terms, p2_ngrams, p3_found, p3_weights, p4_found, p4_groups, p5_found, p5_splits, p6_ids, p7_found, p7_near, p8_found, p8_statistics)
+    found = (p1_found, p1_shares, p2_found, p2_terms, p2_ngrams, p3_found, p3_weights, p4_found, p4_groups, p5_found, p5_splits, p6_ids, p7_found, p7_near, p8_found, p8_marked, p8_statistics)
     return {f.__name__: f for f in found}
 
 

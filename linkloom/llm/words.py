@@ -12,6 +12,7 @@ from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _WORD = re.compile(r"[^\W_]+")
@@ -82,5 +83,17 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterat
     return run
 
 
+def once(batches: Iterator[pa.RecordBatch], key: str = "_id") -> Iterator[pa.RecordBatch]:
+    """The first row of each key, where rows of one key come next to each other; all rows with a null key."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(key)
+        before = pa.concat_arrays([pa.array([last], keys.type), keys.slice(0, len(keys) - 1)])
+        last = keys[len(keys) - 1].as_py()
+        yield b.filter(pc.fill_null(pc.not_equal(keys, before), True))
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)

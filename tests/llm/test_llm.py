@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,13 @@ def test_words():
 
 # --- 1 ---------------------------------------------------------------------------------------------------------
 
+def test_once_keeps_the_first_row_of_a_key_and_every_row_without_one():
+    from linkloom.llm.words import once
+
+    b = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(v)], names=["_id", "v"]) for k, v in (([None, None, 1, 1], [0, 1, 2, 3]), ([1, 2], [4, 5]), ([], pa.array([], pa.int64())), ([2, 3], [6, 7]))]
+    assert [x for r in once(iter(b)) for x in r.column("v").to_pylist()] == [0, 1, 2, 5, 7]
+
+
 JAVA = '''// if (x == 3) return y;
 /** The system asks the nurse to print the form
  *  before the daily closing starts. @see #x {@code y} */
@@ -220,6 +228,18 @@ def test_closest_counts():
         assert all(k <= sizes[s] for s, k in c.items()) and total in reach and abs(total - target) == min(abs(r - target) for r in reach)
 
 
+def test_filling_counts_beyond_the_window():
+    rng = random.Random(14)
+    for _ in range(200):
+        sizes = {rng.randint(1, 40): rng.randint(1, 30) for _ in range(rng.randint(2, 8))} | {1: 60}
+        target = rng.randint(0, sum(s * n for s, n in sizes.items()))
+        c = splits.filling_counts(sizes, target, window=50)
+        assert all(n <= sizes[s] for s, n in c.items()) and sum(s * n for s, n in c.items()) == target
+    assert splits.filling_counts({70: 10}, 1000, 50) == {70: 10}
+    assert splits.filling_counts({70: 3, 4: 1}, 142, 5) == {70: 2, 4: 0} or sum(s * n for s, n in splits.filling_counts({70: 3, 4: 1}, 142, 5).items()) in (140, 144)
+    assert sum(s * n for s, n in splits.filling_counts({900: 2, 1000: 1}, 1200, 10).items()) == 1000
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------
 
 
@@ -333,18 +353,39 @@ def test_repetition(spark):
     df = docs(spark, texts)
     rows = repetition.repetitive_documents(df).collect()
     assert {r.doc_id: round(r.run5_share, 9) for r in rows} == {i: round(share(t), 9) for i, t in enumerate(texts)}
-    assert {r.doc_id for r in rows if r.rule is not None and r.run5_share >= 0.3} == {i for i, t in enumerate(texts) if share(t) >= 0.3}
+    assert {r.doc_id for r in rows if r.confirmed} == {i for i, t in enumerate(texts) if share(t) >= 0.3}
+    assert all((r.confirmed is None) == (r.rule is None) for r in rows)
     assert repetition.repetitive_documents(df.limit(0)).count() == 0
     only = docs(spark, ["one two three four five six"] * 3)
     assert repetition.repetitive_documents(only).filter("rule is not null").count() == 0
 
 
+def test_list_is_learned_on_a_bounded_sample_without_its_label(spark):
+    assert repetition.LABEL not in repetition.FEATURES
+    rng = np.random.default_rng(13)
+    n = 6000
+    share = np.where(rng.random(n) < 0.1, rng.uniform(0.4, 1, n), rng.uniform(0, 0.2, n))
+    cols = {"doc_id": np.arange(n), "run5_share": share, "run3_share": np.clip(share + rng.uniform(0, 0.1, n), 0, 1), "run8_share": share * rng.uniform(0.5, 1, n)}
+    cols |= {f: rng.random(n) for f in repetition.FEATURES if f not in cols}
+    import pandas as pd
+
+    stats = spark.createDataFrame(pd.DataFrame(cols)).repartition(5)
+    sample = repetition.labelled_sample(stats, 500, n)
+    assert len(sample) == 500
+    rules = repetition.learned_rules(stats, n, 500)
+    unseen = ~np.isin(cols["doc_id"], sample["doc_id"])
+    hit, y = np.logical_or.reduce([repetition._holds(r, cols, n) for r in rules])[unseen], (share >= 0.3)[unseen]
+    assert hit[y].mean() == 1 and y[hit].mean() > 0.5  # one row in ten is positive
+    # nothing to learn from: the rule that holds for every positive document
+    assert repetition.learned_rules(stats.filter("run5_share < 0.3"), n, 500) == [repetition.last_rule()]
+
+
 def test_decision_list_learns_a_conjunction():
     rng = np.random.default_rng(12)
     x = {"a": rng.random(2000), "b": rng.random(2000), "noise": rng.random(2000)}
     y = (x["a"] > 0.6) & (x["b"] < 0.3) | (x["a"] < 0.1)
     rules = repetition.learn_decision_list(x, y)
     hit = np.logical_or.reduce([np.logical_and.reduce([c.holds(x) for c in r]) for r in rules])
-    assert (hit == y).mean() > 0.98 and len(rules) <= repetition.MAX_RULES
+    assert (hit == y).mean() > 0.98 and all(len(r) <= repetition.MAX_CONDITIONS for r in rules)
     assert repetition.learn_decision_list(x, np.zeros(2000, bool)) == [] and repetition.learn_decision_list(x, np.ones(2000, bool)) == [[]]
     assert re.search("CASE WHEN", str(repetition.as_expression(rules)))
