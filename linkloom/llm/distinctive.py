@@ -20,6 +20,8 @@ from linkloom.operators.skew import hot_join
 from linkloom.runtime import materialize, together
 
 EM_STEPS = 30
+#: Below this posterior a term says nothing about a record; the README has the recall by cut.
+ELITE_CUT = 0.005
 
 
 def _record_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,13 @@
 """Groups of records that share most of their content although edited: an exact set-similarity join.
 
-Records become sets of hashed runs of `shingle` words; records of one set form a class. Any two classes whose
-Jaccard similarity is at least t share an element among the |A| - ceil(t |A|) + 1 first ones of each, in any fixed
-order of the elements. The order is by frequency, counted over all records in a sketch of fixed size, so that the
-first elements are the rare ones. Prefixes are routed to tiles by element; within a tile, classes of one element
-are compared only if their size bands allow it. Each class has a hashed bitmap of its set: the number of bits in
-which two bitmaps differ bounds the overlap from above, before the exact intersection of the sorted arrays.
+Records become sets of hashed runs of `shingle` words, written once; records of one set form a class. Any two
+classes whose Jaccard similarity is at least t share an element among the |A| - ceil(t |A|) + 1 first ones of each,
+in any fixed order of the elements. The order is by frequency, counted over all records in a sketch of fixed size,
+so that the first elements are the rare ones. Prefixes are routed to tiles by element, with a hashed bitmap of their
+set; an element of very many classes is cut into blocks of classes, and each two blocks make a tile of their own.
+Within a tile, classes of one element are compared in size bands: only if their sizes allow the threshold, and the
+number of bits in which their bitmaps differ bounds the overlap from above. What is left is verified by the exact
+intersection of the sorted arrays.
 """
 
 from __future__ import annotations
@@ -14,24 +16,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import hashed, mix, runs
-from linkloom.runtime import materialize, spread, write_table
+from linkloom.llm.words import hashed, mix, per_batch, runs
+from linkloom.runtime import materialize, spread
 
 SHINGLE, THRESHOLD, MIN_WORDS = 3, 0.5, 20
-#: Bits of a slot of the frequency sketch, whose counters are bytes that stop at 255, and the parts in which tasks send it, compressed.
-SKETCH_BITS, SKETCH_PARTS = 24, 16
+#: Bits of a slot of the frequency sketch, and the parts in which the tasks' counts are added up.
+SKETCH_BITS, PARTS = 24, 256
 SKETCH = 1 << SKETCH_BITS
+#: Steps of a frequency's code per doubling: a byte holds counts up to 2**31.
+CODE_STEPS = 8
 #: Bits of the filter that keeps classes in no candidate pair out of the last shuffle; only its size is bounded.
 FILTER_BITS = 1 << 24
-#: Bits of a class's bitmap.
-BITMAP_WORDS = 4
+#: 64-bit words of a class's bitmap.
+BITMAP_WORDS = 2
+#: An element of more classes than that is cut into blocks of about so many.
+HOT_CLASSES = 8192
 #: Up to this many copies a class is written out as all pairs; larger ones as pairs with their smallest member.
 ALL_PAIRS_MAX = 64
-_CHUNK_PAIRS = 2_000_000
+_CHUNK_PAIRS = 1_000_000
 _TAG = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -79,108 +85,152 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _count(shingle: int, min_words: int):
-    """Class of each record, and the task's share of the frequency sketch."""
-    schema = pa.schema([("_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("size", pa.int32()), ("part", pa.int32()), ("sketch", pa.binary())])
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Rows of 8-byte numbers, as many as sizes says, as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes * 8)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _numbers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The flat 8-byte numbers of a binary column and the sizes of its rows; nulls and empty values have none."""
+    col = pc.fill_null(col, b"")
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = col.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(np.uint64) if data is not None and off[-1] > off[0] else np.empty(0, np.uint64)
+    return flat, np.diff(off) // 8
+
+
+def _write_sets(shingle: int, min_words: int):
+    """Class of each record, with the class's bitmap and sorted elements where the task meets it for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.uint8)
         known: set[tuple[int, int]] = set()
-        for b in batches:
+        for b in (x.slice(lo, 20_000) for x in batches for lo in range(0, x.num_rows, 20_000)):
             s = Sets(b, shingle, min_words)
-            n = len(s.id)
-            yield pa.RecordBatch.from_arrays([pa.array(s.id), pa.array(s.hi), pa.array(s.lo), pa.array(s.size, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-            slot, count = np.unique(_slot(s.flat(s.distinct(known))[1]), return_counts=True)
-            sketch[slot] = np.minimum(sketch[slot].astype(np.int64) + count, 255)
-        if known:
-            parts = sketch.reshape(SKETCH_PARTS, -1)
-            null = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([null, null, null, pa.nulls(SKETCH_PARTS, pa.int32()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], schema=schema)
+            if not len(s.id):
+                continue
+            which = s.distinct(known)
+            owner, key = s.flat(which)
+            bits = np.zeros((len(which), BITMAP_WORDS * 64), np.uint8)
+            bits[owner, (mix(key) % np.uint64(BITMAP_WORDS * 64)).astype(np.int64)] = 1
+            first = np.zeros(len(s.id), np.int64)
+            first[which] = 1
+            yield pa.RecordBatch.from_arrays([
+                pa.array(s.id), pa.array(s.hi), pa.array(s.lo), pa.array(s.size, pa.int32()), _binary(np.packbits(bits, axis=1), first * BITMAP_WORDS), _binary(key, first * s.size),
+            ], names=["id", "hi", "lo", "size", "bitmap", "elements"])
 
     return run
 
 
-def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's counts of the slots, part by part: slots that have any, and their counts."""
+    sketch = np.zeros(SKETCH, np.uint32)
+    for b in batches:
+        slot, n = np.unique(_slot(_numbers(b.column("elements"))[0]), return_counts=True)
+        sketch[slot] += n.astype(np.uint32)
+    slot = np.flatnonzero(sketch)
+    cut = np.searchsorted(slot, np.arange(PARTS + 1) * (SKETCH // PARTS))
+    used = [k for k in range(PARTS) if cut[k + 1] > cut[k]]
+    part = [slot[cut[k] : cut[k + 1]] for k in used]
+    yield pa.RecordBatch.from_arrays([
+        pa.array(used, pa.int32()), pa.array([(p % (SKETCH // PARTS)).astype(np.uint16).tobytes() for p in part], pa.binary()), pa.array([sketch[p].tobytes() for p in part], pa.binary()),
+    ], names=["part", "slots", "counts"])
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the parts, as codes of the logarithm, a byte for each slot, and as a total."""
     total: dict[int, np.ndarray] = {}
     for b in batches:
-        for part, data in zip(b.column("part").to_pylist(), b.column("sketch"), strict=True):
-            x = np.frombuffer(zstandard.decompress(data.as_py()), np.uint8)
-            total[part] = np.minimum(total.get(part, 0) + x.astype(np.uint16), 255)
+        for part, slots, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            x = total.setdefault(part, np.zeros(SKETCH // PARTS, np.int64))
+            x[np.frombuffer(slots, np.uint16)] += np.frombuffer(counts, np.uint32)
     for part, x in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(x.astype(np.uint8).tobytes(), 1)], pa.binary())], names=["part", "sketch"])
+        code = np.minimum(np.ceil(np.log2(np.maximum(x, 1)) * CODE_STEPS) + (x > 0), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([code.tobytes()], pa.binary()), pa.array([int(x.sum())], pa.int64())], names=["part", "codes", "total"])
 
 
-def _frequencies(counted: DataFrame) -> np.ndarray:
-    """The sketch of all records, of fixed size (SKETCH bytes) whatever the input."""
-    rows = counted.filter("part is not null").select("part", "sketch").repartition(SKETCH_PARTS, "part").mapInArrow(_add_sketches, "part int, sketch binary").collect()
-    out = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.uint8)
-    for part, data in rows:
-        out[part] = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return out.ravel()
+def _frequencies(sets: DataFrame) -> tuple[np.ndarray, float]:
+    """The coded frequencies of all slots, SKETCH bytes whatever the input, and the mean count of a slot."""
+    rows = sets.filter("elements is not null and length(elements) > 0").select("elements").mapInArrow(_count, "part int, slots binary, counts binary").repartition(PARTS, "part").mapInArrow(_add_counts, "part int, codes binary, total long").collect()
+    out = np.zeros((PARTS, SKETCH // PARTS), np.uint8)
+    for part, codes, _ in rows:
+        out[part] = np.frombuffer(codes, np.uint8)
+    return out.ravel(), sum(r[2] for r in rows) / SKETCH
 
 
-def _prefixes(sketch, tiles: int, shingle: int, min_words: int, threshold: float):
-    """Prefix elements of the task's classes, packed by tile: element, class and size as arrays of bytes."""
+def _prefixes(sketch, mean: float, tiles: int, threshold: float, hot_classes: int):
+    """Prefix elements of the task's classes, packed by tile: element and side, and of each class its key, size and bitmap, as arrays of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[tuple[int, int]] = set()
         freq: np.ndarray = sketch.value
-        for b in (x.slice(lo, 50_000) for x in batches for lo in range(0, x.num_rows, 50_000)):
-            s = Sets(b, shingle, min_words)
-            which = s.distinct(known)
-            if not len(which):
-                continue
-            owner, key = s.flat(which)
-            n = s.size[which]
+        for b in batches:
+            key, n = _numbers(b.column("elements"))
+            owner = np.repeat(np.arange(len(n)), n)
             count = freq[_slot(key)]
             order = np.lexsort((key, count, owner))
             rank = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
             prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             # an element counted once in all records stands in one class
             keep = order[(rank < np.repeat(prefix, n)) & (count[order] > 1)]
-            key, owner = mix(key[keep]), owner[keep]
+            key, owner, count = mix(key[keep]), owner[keep], count[keep]
+            lo, side = b.column("lo").to_numpy().view(np.uint64), np.zeros(len(key), np.uint8)
+            # blocks of the classes of an element: what other elements of its slot may count is left out
+            blocks = np.ceil((np.exp2((count.astype(float) - 1) / CODE_STEPS) - mean) / hot_classes).astype(np.int64)
+            hot = np.flatnonzero(blocks > 1)
+            if len(hot):
+                k = blocks[hot]
+                own = (mix(lo[owner[hot]]) % k.astype(np.uint64)).astype(np.int64)
+                each = np.repeat(np.arange(len(hot)), k)
+                other = np.arange(len(each)) - np.repeat(np.cumsum(k) - k, k)
+                mine = own[each]
+                pair = (np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other)).astype(np.uint64)
+                cold = np.flatnonzero(blocks <= 1)
+                side = np.append(side[cold], np.sign(other - mine) + (other != mine) * 2).astype(np.uint8)  # 0 within a block, else 1 for the later and 3 for the earlier one
+                key = np.append(key[cold], mix(key[hot][each] ^ mix(pair + np.uint64(1))))
+                owner = np.append(owner[cold], owner[hot][each])
             tile = (key % np.uint64(tiles)).astype(np.int64)
             order = np.lexsort((owner, tile))
-            key, owner, tile = key[order], owner[order], tile[order]
+            key, owner, tile, side = key[order], owner[order], tile[order], side[order]
             at, first = np.unique(tile, return_index=True)
             last = np.append(first[1:], len(tile))
-            lo = s.lo[which]
-            cols: list[list] = [[], [], [], []]
+            bitmap = _numbers(b.column("bitmap"))[0].reshape(-1, BITMAP_WORDS)
+            size = b.column("size").to_numpy()
+            cols: list[list] = [[] for _ in range(6)]
             for a, z in zip(first, last, strict=True):
                 classes, local = np.unique(owner[a:z], return_inverse=True)
-                cols[0].append((key[a:z] >> np.uint64(32)).astype(np.uint32).tobytes())
-                cols[1].append(local.astype(np.uint16).tobytes())
-                cols[2].append(lo[classes].tobytes())
-                cols[3].append(n[classes].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["tile", "elements", "local", "classes", "sizes"])
+                for c, x in zip(cols, ((key[a:z] >> np.uint64(32)).astype(np.uint32), side[a:z], local.astype(np.uint32), lo[classes], size[classes].astype(np.int32), bitmap[classes]), strict=True):
+                    c.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["tile", "elements", "sides", "local", "classes", "sizes", "bitmaps"])
 
     return run
 
 
 def _compare(threshold: float):
-    """Distinct candidate pairs of the classes of a tile: same element, and size bands that allow the threshold.
+    """Distinct candidate pairs of the classes of a tile: same element, size bands that allow the threshold, and bitmaps that allow it.
 
     A class goes by the lower half of its key here; should two classes share it, both are verified.
     """
     names = ["a_lo", "b_lo"]
 
     def tile_pairs(blobs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        element = np.concatenate([np.frombuffer(x[0], np.uint32) for x in blobs])
-        cls = np.concatenate([np.frombuffer(x[2], np.int64) for x in blobs])
-        size = np.concatenate([np.frombuffer(x[3], np.int32) for x in blobs])
-        base = np.cumsum([0, *(len(x[3]) // 4 for x in blobs)])[:-1]
-        local = np.concatenate([np.frombuffer(x[1], np.uint16).astype(np.int64) + k for x, k in zip(blobs, base, strict=True)])
+        element, side, cls, size, bitmap = (np.concatenate([np.frombuffer(x[i], t) for x in blobs]) for i, t in ((0, np.uint32), (1, np.uint8), (3, np.int64), (4, np.int32), (5, np.uint64)))
+        bitmap = bitmap.reshape(-1, BITMAP_WORDS)
+        base = np.cumsum([0, *(len(x[4]) // 4 for x in blobs)])[:-1]
+        local = np.concatenate([np.frombuffer(x[2], np.uint32).astype(np.int64) + k for x, k in zip(blobs, base, strict=True)])
         # one number for each class, in the order of the class keys
         order = np.argsort(cls, kind="stable")
         new = np.append(True, np.diff(cls[order]) != 0) if len(order) else np.empty(0, bool)
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
-        cls, size = cls[order[new]], size[order[new]]
+        cls, size, bitmap = cls[order[new]], size[order[new]], bitmap[order[new]]
         who = number[local]
         order = np.lexsort((who, size[who], element))
-        element, who = element[order], who[order]
+        element, who, side = element[order], who[order], side[order]
         keep = np.append(True, (element[1:] != element[:-1]) | (who[1:] != who[:-1]))
-        element, who = element[keep], who[keep]
+        element, who, side = element[keep], who[keep], side[keep]
         # the partners of a class among the following, larger ones of its element reach to size / threshold
         bound = element.astype(np.int64) << 31
         reach = np.searchsorted(bound + size[who], bound + np.floor(size[who] / threshold + 1e-9).astype(np.int64), side="right")
@@ -193,19 +243,23 @@ def _compare(threshold: float):
             m = n[lo:hi]
             a = np.repeat(np.arange(lo, hi), m)
             b = a + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            x, y = np.minimum(who[a], who[b]), np.maximum(who[a], who[b])
-            code = np.unique(x * len(size) + y)
-            if len(seen) < 4 * _CHUNK_PAIRS:  # repeats beyond it are dropped after the shuffle
+            met = (side[a] == 0) | (side[a] != side[b])  # two of one block meet in the tile of that block
+            a, b = who[a[met]], who[b[met]]
+            # elements of only one set make at most as many bits differ as there are of them
+            both = size[a].astype(np.int64) + size[b]
+            differ = np.bitwise_count(bitmap[a] ^ bitmap[b]).sum(1, dtype=np.int64)
+            can = (both - differ) * (1 + threshold) >= 2 * threshold * both
+            code = np.unique(np.minimum(a[can], b[can]) * len(size) + np.maximum(a[can], b[can]))
+            if len(seen) < 8 * _CHUNK_PAIRS:  # repeats beyond it are dropped after the shuffle
                 code = np.setdiff1d(code, seen, assume_unique=True)
                 seen = np.union1d(seen, code)
-            x, y = code // len(size), code % len(size)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cls[x], cls[y])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[c]) for c in (code // len(size), code % len(size))], names=names)
             lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for b in batches:
-            for tile, *blob in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for tile, *blob in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if tile != now and blobs:
                     yield from tile_pairs(blobs)
                     blobs = []
@@ -217,66 +271,63 @@ def _compare(threshold: float):
     return run
 
 
-def _filter_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's part of the filter of classes in candidate pairs, of fixed size."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's marks of classes in candidate pairs, part by part, of fixed size."""
+    bits = np.zeros(FILTER_BITS, bool)
     for b in batches:
-        slot = (b.column("lo").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-        np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+        for c in ("a_lo", "b_lo"):
+            bits[(b.column(c).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)] = True
+    parts = bits.reshape(PARTS, -1)
+    used = np.flatnonzero(parts.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.packbits(parts[k]).tobytes() for k in used], pa.binary())], names=["part", "bits"])
 
 
-def _members(wanted, shingle: int, min_words: int):
-    """Size, bitmap and sorted elements of the task's classes that pass the filter."""
-    names = ["hi", "lo", "size", *(f"w{k}" for k in range(BITMAP_WORDS)), "elements"]
+def _add_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, data in zip(b.column("part").to_pylist(), b.column("bits").to_pylist(), strict=True):
+            x = np.frombuffer(data, np.uint8)
+            total[part] = total[part] | x if part in total else x
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "bits"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[tuple[int, int]] = set()
+
+def _wanted(candidates: DataFrame) -> bytes:
+    """The filter of the classes in candidate pairs, FILTER_BITS whatever the input."""
+    out = np.zeros((PARTS, FILTER_BITS // PARTS // 8), np.uint8)
+    for part, data in candidates.mapInArrow(_mark, "part int, bits binary").repartition(PARTS, "part").mapInArrow(_add_marks, "part int, bits binary").collect():
+        out[part] = np.frombuffer(data, np.uint8)
+    return out.tobytes()
+
+
+def _chosen(wanted):
+    """Rows whose class passes the filter."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bits = np.frombuffer(wanted.value, np.uint8)
-        for b in batches:
-            s = Sets(b, shingle, min_words)
-            which = s.distinct(known)
-            slot = (s.lo[which].view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-            which = which[(bits[slot >> 3] >> (slot & 7) & 1).astype(bool)]
-            if not len(which):
-                continue
-            owner, key = s.flat(which)
-            bitmap = np.zeros((len(which), BITMAP_WORDS * 64), np.uint8)
-            bitmap[owner, (mix(key) % np.uint64(BITMAP_WORDS * 64)).astype(np.int64)] = 1
-            packed = np.packbits(bitmap, axis=1).view(np.int64)
-            elements = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(s.size[which])), pa.int32()), pa.array(key.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(s.hi[which]), pa.array(s.lo[which]), pa.array(s.size[which], pa.int32()), *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(BITMAP_WORDS)), elements], names=names)
+        slot = (b.column("lo").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+        return b.filter(pa.array((bits[slot >> 3] << (slot & 7) & 128).astype(bool)))
 
-    return run
+    return per_batch(run)
 
 
 def _verify(threshold: float):
     """Exact similarity of candidate pairs by intersecting their sorted arrays."""
+    keys = ["a_hi", "a_lo", "b_hi", "b_lo"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column("a_elements"), b.column("b_elements")
-            n = b.num_rows
-            keys = []
-            for c in (x, y):
-                off = c.offsets.to_numpy()
-                owner = np.repeat(np.arange(n), np.diff(off)).astype(np.uint64)
-                keys.append((owner, c.values.to_numpy()[off[0] : off[-1]].view(np.uint64)))
-            owner = np.concatenate([keys[0][0], keys[1][0]])
-            value = np.concatenate([keys[0][1], keys[1][1]])
-            order = np.lexsort((value, owner))
-            same = (value[order][1:] == value[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-            both = np.bincount(owner[order][1:][same].astype(np.int64), minlength=n)
-            total = np.diff(x.offsets.to_numpy()) + np.diff(y.offsets.to_numpy())
-            sim = both / np.maximum(total - both, 1)
-            good = pa.array(sim >= threshold - 1e-12)
-            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a_hi", "a_lo", "b_hi", "b_lo")), pa.array(sim)], names=["a_hi", "a_lo", "b_hi", "b_lo", "similarity"])
-            yield out.filter(good)
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        (x, nx), (y, ny) = (_numbers(b.column(c)) for c in ("a_elements", "b_elements"))
+        rows = np.arange(b.num_rows)
+        owner, value = np.append(np.repeat(rows, nx), np.repeat(rows, ny)), np.append(x, y)
+        order = np.lexsort((value, owner))
+        owner, value = owner[order], value[order]
+        both = np.bincount(owner[1:][(value[1:] == value[:-1]) & (owner[1:] == owner[:-1])], minlength=b.num_rows)
+        sim = both / np.maximum(nx + ny - both, 1)
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array(sim)], names=[*keys, "similarity"]).filter(pa.array(sim >= threshold - 1e-12))
 
-    return run
+    return per_batch(run)
 
 
-def near_copy_classes(records: DataFrame, id_col: str = "method_id", text_col: str = "body", shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def near_copy_classes(records: DataFrame, id_col: str = "method_id", text_col: str = "body", shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, hot_classes: int = HOT_CLASSES) -> tuple[DataFrame, DataFrame]:
     """(membership, pairs): membership (id, hi, lo) gives each record of at least min_words words its class of equal sets;
     pairs (a_hi, a_lo, b_hi, b_lo, similarity) all pairs of different classes of similarity at least threshold.
 
@@ -285,40 +336,31 @@ def near_copy_classes(records: DataFrame, id_col: str = "method_id", text_col: s
     """
     spark = records.sparkSession
     src = spread(records.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null and _text is not null"))
-    counted = write_table(src.mapInArrow(_count(shingle, min_words), "_id long, hi long, lo long, size int, part int, sketch binary"), "classes").df
-    membership = counted.filter("_id is not null").select(F.col("_id").alias("id"), "hi", "lo").distinct()
-    sketch = spark.sparkContext.broadcast(_frequencies(counted))
+    sets = materialize(src.mapInArrow(_write_sets(shingle, min_words), "id long, hi long, lo long, size int, bitmap binary, elements binary"), "sets")
+    membership = sets.select("id", "hi", "lo").distinct()
+    first = sets.filter("length(elements) > 0")
+    codes, mean = _frequencies(first)
+    sketch = spark.sparkContext.broadcast(codes)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = parts
-    postings = src.mapInArrow(_prefixes(sketch, tiles, shingle, min_words, threshold), "tile int, elements binary, local binary, classes binary, sizes binary")
+    postings = first.select("lo", "size", "bitmap", "elements").mapInArrow(_prefixes(sketch, mean, parts, threshold, hot_classes), "tile int, elements binary, sides binary, local binary, classes binary, sizes binary, bitmaps binary")
     found = postings.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_compare(threshold), "a_lo long, b_lo long")
     candidates = materialize(found.distinct(), "candidates")
-    ends = candidates.select(F.col("a_lo").alias("lo")).union(candidates.select(F.col("b_lo").alias("lo")))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for (data,) in ends.repartition(4).mapInArrow(_filter_part, "bits binary").toLocalIterator():  # four parts of fixed size
-        bits |= np.frombuffer(data, np.uint8)
-    wanted = spark.sparkContext.broadcast(bits.tobytes())
-    words = [f"w{k}" for k in range(BITMAP_WORDS)]
-    sets = materialize(src.mapInArrow(_members(wanted, shingle, min_words), ", ".join(["hi long", "lo long", "size int", *(f"{w} long" for w in words), "elements array<long>"])), "sets")
-    side = lambda p, *cols: sets.dropDuplicates(["hi", "lo"]).select(*(F.col(c).alias(f"{p}_{c}") for c in ("hi", "lo", *cols)))
-    signed = candidates.join(side("a", "size", *words), "a_lo").join(side("b", "size", *words), "b_lo")
-    differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words[1:]), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
-    # elements of only one set make at most as many bits differ as there are of them
-    bound = (F.col("a_size") + F.col("b_size") - differ) / 2
-    kept = signed.filter(bound * (1 + threshold) >= threshold * (F.col("a_size") + F.col("b_size"))).select("a_hi", "a_lo", "b_hi", "b_lo")
-    full = kept.join(side("a", "elements"), ["a_hi", "a_lo"]).join(side("b", "elements"), ["b_hi", "b_lo"])
+    wanted = spark.sparkContext.broadcast(_wanted(candidates))
+    chosen = first.select("hi", "lo", "elements").mapInArrow(_chosen(wanted), "hi long, lo long, elements binary").repartition("lo").dropDuplicates(["hi", "lo"])
+    side = lambda p: chosen.select(*(F.col(c).alias(f"{p}_{c}") for c in ("hi", "lo", "elements")))
+    full = candidates.join(side("a"), "a_lo").join(side("b"), "b_lo")
     pairs = full.select("a_hi", "a_lo", "b_hi", "b_lo", "a_elements", "b_elements").mapInArrow(_verify(threshold), "a_hi long, a_lo long, b_hi long, b_lo long, similarity double")
     return membership, pairs
 
 
-def near_copy_pairs(records: DataFrame, id_col: str = "method_id", text_col: str = "body", shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+def near_copy_pairs(records: DataFrame, id_col: str = "method_id", text_col: str = "body", shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """Rows (id_a, id_b, similarity), id_a < id_b: pairs of records of similarity at least threshold.
 
     Records of equal sets: all pairs for up to ALL_PAIRS_MAX of them; a larger group is stated as the pairs of its
     smallest id with each other member, and that id stands for it in pairs with other texts, so no link is lost
     and the output stays in proportion to the groups.
     """
-    membership, pairs = near_copy_classes(records, id_col, text_col, shingle, threshold, min_words)
+    membership, pairs = near_copy_classes(records, id_col, text_col, shingle, threshold, min_words, hot_classes)
     membership = materialize(membership, "membership")
     pairs = materialize(pairs, "class-pairs")
     classes = membership.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("id").alias("rep"))

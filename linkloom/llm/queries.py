@@ -41,11 +41,13 @@ def p3_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    out = distinctive.distinctive_terms(load(spark, d, "issue_entry"))
+    """Terms whose elite posterior reaches the cut, then the exact check by weight and number of records."""
+    out = distinctive.distinctive_terms(load(spark, d, "issue_entry")).filter(F.col("elite") >= distinctive.ELITE_CUT)
     return out.filter("n_words >= 12 and weight >= 0.45 and records >= 2 and records <= 0.05 * total").select("req_id", "term")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs; more than 64 copies of one set are stated as pairs with their smallest id, which stands for them in other pairs."""
     out = near_copies.near_copy_pairs(load(spark, d, "code_method"))
     return out.select(F.col("id_a").alias("method_a"), F.col("id_b").alias("method_b"))
 
@@ -157,6 +159,22 @@ mk AS (SELECT group_id, count(*) AS n, bool_or(c) AS c, bool_or(r) AS r FROM grp
 SELECT req_id, group_id FROM grp JOIN mk USING (group_id) WHERE n > 1 AND c AND r""",
         "p7_found": f"WITH {_DOCS}q AS (SELECT item_id, {_WORDS.format('text')} AS ws FROM eval_item WHERE text IS NOT NULL), qg AS ({_runs('q', 'item_id', 10)}), dg AS ({_runs('d', 'doc_id', 10)}) "
         "SELECT DISTINCT doc_id, item_id FROM dg JOIN qg USING (g)",
+        "p7_near": f"""
+WITH {_DOCS}q AS (SELECT item_id, {_WORDS.format('text')} AS ws FROM eval_item WHERE text IS NOT NULL),
+qw AS (SELECT DISTINCT item_id, ws[i:i + 9] AS w FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 8)) AS i FROM q)),
+win AS (SELECT w, row_number() OVER () AS k FROM (SELECT DISTINCT w FROM qw)),
+kp AS (SELECT k, p, count(*) AS c FROM (SELECT k, w[j] || ' ' || w[j + 1] AS p FROM (SELECT k, w, unnest(range(1, 10)) AS j FROM win)) GROUP BY ALL),
+wt AS (SELECT p, ln(1 + (SELECT count(*) FROM win) / sum(c)) AS x FROM kp GROUP BY p),
+kw AS (SELECT k, sum(x) AS total FROM kp JOIN wt USING (p) GROUP BY k),
+dp AS (SELECT doc_id, j, ws[j] || ' ' || ws[j + 1] AS p FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS j FROM d WHERE len(ws) >= 10)),
+dw AS (SELECT doc_id, unnest(range(greatest(1, j - 8), j + 1)) AS i, p FROM dp),
+n AS (SELECT doc_id, len(ws) AS n FROM d),
+dd AS (SELECT DISTINCT doc_id, i, p FROM dw JOIN n USING (doc_id) WHERE i + 9 <= n),
+dt AS (SELECT doc_id, i, sum(coalesce(x, ln(1 + (SELECT count(*) FROM win)))) AS total FROM dd LEFT JOIN wt USING (p) GROUP BY doc_id, i),
+shared AS (SELECT doc_id, i, k, sum(x) AS b FROM dd JOIN wt USING (p) JOIN kp USING (p) GROUP BY doc_id, i, k),
+sim AS (SELECT doc_id, i, k, b / (dt.total + kw.total - b) AS s FROM shared JOIN dt USING (doc_id, i) JOIN kw USING (k)),
+hit AS (SELECT doc_id, i, k, s, d.ws[i:i + 9] = win.w AS v, win.w FROM sim JOIN d USING (doc_id) JOIN win USING (k) WHERE s >= 0.7 - 1e-12)
+SELECT doc_id, item_id, count(*) AS windows, round(max(s), 6) AS similarity, bool_or(v) AS verbatim FROM hit JOIN qw USING (w) GROUP BY doc_id, item_id""",
         "p8_found": p8 + "SELECT doc_id FROM st WHERE run5_share >= 0.3",
         "p8_statistics": p8 + "SELECT doc_id, n_words, round(run5_share, 6) AS run5_share FROM st",
     }

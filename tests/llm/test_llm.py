@@ -138,7 +138,9 @@ def test_two_poisson_finds_the_rates():
 # --- 4 ---------------------------------------------------------------------------------------------------------
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("block", [near_copies.HOT_CLASSES, 3])
+def test_near_copies(spark, block):
+    """Also where elements of a few classes are cut into blocks."""
     rng = random.Random(3)
     texts = list(ODD)
     for _ in range(40):
@@ -155,7 +157,7 @@ def test_near_copies(spark):
     df = docs(spark, texts, "method_id", "body")
     sets = {i: frozenset(zip(w, w[1:], w[2:])) for i, t in enumerate(texts) if len(w := words(t)) >= 20}
     true = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 2 >= len(sets[a] | sets[b])}
-    got = near_copies.near_copy_pairs(df.unionByName(df)).collect()
+    got = near_copies.near_copy_pairs(df.unionByName(df), hot_classes=block).collect()
     pairs = {(r.id_a, r.id_b) for r in got}
     assert len(got) == len(pairs) and pairs <= true
     # the ninety copies are stated by their smallest id, everything else in full
@@ -165,6 +167,26 @@ def test_near_copies(spark):
     assert near_copies.near_copy_pairs(df.limit(0)).count() == 0
 
 
+def test_an_element_of_many_classes_is_cut_into_blocks():
+    """A planted element that every class holds: all pairs of its blocks meet, each once, and no tile holds more than two blocks."""
+    n, hot = 600, 50
+    rng = np.random.default_rng(15)
+    common = np.uint64(1 << 45)
+    sets = [np.sort(np.append(rng.integers(0, 1 << 63, 2, dtype=np.uint64), common)) for _ in range(n)]
+    freq = np.zeros(near_copies.SKETCH, np.uint8)
+    freq[near_copies._slot(np.array([common]))] = 1 + round(np.log2(n) * near_copies.CODE_STEPS)
+
+    class Sent:
+        value = freq
+
+    b = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([3] * n, pa.int32()), pa.array([b"\0" * 8 * near_copies.BITMAP_WORDS] * n, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["lo", "size", "bitmap", "elements"])
+    tiles = 1_000_003
+    posted = list(near_copies._prefixes(Sent, 0.0, tiles, 0.2, hot)(iter([b])))
+    assert max(len(x) // 8 for p in posted for x in p.column("classes").to_pylist()) < 3 * hot
+    got = [(x, y) for r in near_copies._compare(0.2)(iter(posted)) for x, y in zip(r.column("a_lo").to_pylist(), r.column("b_lo").to_pylist(), strict=True)]
+    assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == {(i, j) for i in range(n) for j in range(i + 1, n)}
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------
 
 
