@@ -20,7 +20,7 @@ from linkloom.runtime import spread, write_table
 RUN = 5
 SHARE = 0.30
 #: Rows of the labelled sample, the ones of the smallest hashed ids.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 5_000
 #: Hash values of the sampling; a sample is cut from the rows whose hash lies below a threshold.
 HASHES = 1 << 20
 MAX_CONDITIONS = 3
