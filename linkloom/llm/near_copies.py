@@ -154,7 +154,7 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequencies(sets: DataFrame) -> tuple[np.ndarray, float]:
     """The coded frequencies of all slots, SKETCH bytes whatever the input, and the mean count of a slot."""
-    rows = sets.filter("elements is not null and length(elements) > 0").select("elements").mapInArrow(_count, "part int, slots binary, counts binary").repartition(PARTS, "part").mapInArrow(_add_counts, "part int, codes binary, total long").collect()
+    rows = sets.filter("elements is not null and length(elements) > 0").select("elements").mapInArrow(_count, "part int, slots binary, counts binary").repartition("part").mapInArrow(_add_counts, "part int, codes binary, total long").collect()
     out = np.zeros((PARTS, SKETCH // PARTS), np.uint8)
     for part, codes, _ in rows:
         out[part] = np.frombuffer(codes, np.uint8)
@@ -294,7 +294,7 @@ def _add_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _wanted(candidates: DataFrame) -> bytes:
     """The filter of the classes in candidate pairs, FILTER_BITS whatever the input."""
     out = np.zeros((PARTS, FILTER_BITS // PARTS // 8), np.uint8)
-    for part, data in candidates.mapInArrow(_mark, "part int, bits binary").repartition(PARTS, "part").mapInArrow(_add_marks, "part int, bits binary").collect():
+    for part, data in candidates.mapInArrow(_mark, "part int, bits binary").repartition("part").mapInArrow(_add_marks, "part int, bits binary").collect():
         out[part] = np.frombuffer(data, np.uint8)
     return out.tobytes()
 

@@ -12,6 +12,7 @@ the number of records is then the number of new occurrences, which can be added
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +23,8 @@ from linkloom.llm.words import once, words
 from linkloom.runtime import materialize, together
 
 RARE_RECORDS, RARE_OCCURRENCES, COMMON_SHARE = 2, 3, 0.10
+#: Words of the suffixes of one run; the counts of single terms are its prefixes of length one.
+MAX_TERMS = 3
 #: Distinct suffixes that a task adds up before it sends them on.
 FLUSH = 200_000
 
@@ -30,42 +33,34 @@ def _suffixes(max_terms: int):
     """Suffixes of the records of a partition, with occurrences and new occurrences by prefix length; the empty suffix counts the records that have a word."""
     schema = pa.schema([("suffix", pa.string()), ("n", pa.int64()), ("fresh", pa.list_(pa.int64()))])
 
-    def flush(table: dict[str, list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(table), pa.string()), pa.array([v[0] for v in table.values()], pa.int64()), pa.array([v[1:] for v in table.values()], pa.list_(pa.int64()))], schema=schema)
+    def flush(n: Counter[str], fresh: list[Counter[str]], words_, records: int) -> pa.RecordBatch:
+        suffixes = ["", *n]
+        new = [[records] + [0] * (max_terms - 1), *map(list, zip(*(map(f.__getitem__, n) for f in fresh), strict=True))]
+        return pa.RecordBatch.from_arrays([pa.array(suffixes, pa.string()), pa.array([words_, *n.values()], pa.int64()), pa.array(new, pa.list_(pa.int64()))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[str, list[int]] = {}
+        n, fresh, total, records = Counter(), [Counter() for _ in range(max_terms)], 0, 0
         for b in once(batches):
             for text in b.column("_text").to_pylist():
                 found = words(text)
                 if not found:
                     continue
-                seen: set[str] = set()
-                x = table.setdefault("", [0] * (max_terms + 1))
-                x[0] += len(found)
-                x[1] += 1
-                for i in range(len(found)):
-                    suffix, fresh = found[i], 0
-                    for k in range(1, max_terms + 1):
-                        if k > 1:
-                            if i + k > len(found):
-                                break
-                            suffix = f"{suffix} {found[i + k - 1]}"
-                        if not fresh and suffix not in seen:
-                            fresh = k
-                        if fresh:
-                            seen.add(suffix)
-                    x = table.get(suffix)
-                    if x is None:
-                        x = table[suffix] = [0] * (max_terms + 1)
-                    x[0] += 1
-                    if fresh:
-                        x[fresh] += 1
-            if len(table) > FLUSH:
-                yield flush(table)
-                table.clear()
-        if table:
-            yield flush(table)
+                total += len(found)
+                records += 1
+                grams = [found, *(list(map(" ".join, zip(*(found[j:] for j in range(k)), strict=False))) for k in range(2, max_terms + 1))]
+                suffixes = grams[-1] + [" ".join(found[i:]) for i in range(len(grams[-1]), len(found))]
+                n.update(suffixes)
+                seen: set[int] = set()
+                for k, g in enumerate(grams):
+                    # the first position of each gram; where a shorter prefix is new, this one was counted with it
+                    first = set(dict(zip(reversed(g), range(len(g) - 1, -1, -1), strict=True)).values()) - seen
+                    fresh[k].update([suffixes[i] for i in first])
+                    seen |= first
+            if len(n) > FLUSH:
+                yield flush(n, fresh, total, records)
+                n, fresh, total, records = Counter(), [Counter() for _ in range(max_terms)], 0, 0
+        if records:
+            yield flush(n, fresh, total, records)
 
     return run
 
@@ -114,7 +109,7 @@ def _stack(max_terms: int):
     return run
 
 
-def term_frequencies(records: DataFrame, max_terms: int = 1, id_col: str = "req_id", text_col: str = "req_text") -> DataFrame:
+def term_frequencies(records: DataFrame, max_terms: int = MAX_TERMS, id_col: str = "req_id", text_col: str = "req_text") -> DataFrame:
     """Rows (term, n_terms, occurrences, records, total, mark): every n-gram of one to max_terms words of the whole collection.
 
     `total` is the number of records with at least one word. `mark` is 'rare' if the term stands in at most 2

@@ -24,15 +24,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_terms(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.term_frequencies(load(spark, d, "issue_entry")).select("term", "occurrences", "records", "total", "mark")
+    """The single terms of the run that counts all n-grams."""
+    return ngrams.term_frequencies(load(spark, d, "issue_entry")).filter("n_terms = 1").select("term", "occurrences", "records", "total", "mark")
 
 
 def p2_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.term_frequencies(load(spark, d, "issue_entry"), max_terms=3).select("term", "n_terms", "occurrences", "records", "mark")
+    return ngrams.term_frequencies(load(spark, d, "issue_entry")).select("term", "n_terms", "occurrences", "records", "mark")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.term_frequencies(load(spark, d, "issue_entry")).filter("mark is not null").select("term", "mark")
+    return ngrams.term_frequencies(load(spark, d, "issue_entry")).filter("n_terms = 1 and mark is not null").select("term", "mark")
 
 
 def p3_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +112,23 @@ _WEIGHTS = (
     "raw AS (SELECT req_id, term, c, n_words, records, n, c * ln((1 + n) / (1 + records)) AS x FROM tf JOIN df USING (term), tot), "
     "wt AS (SELECT *, CASE WHEN sum(x * x) OVER (PARTITION BY req_id) > 0 THEN x / sqrt(sum(x * x) OVER (PARTITION BY req_id)) ELSE 0 END AS weight FROM raw) "
 )
+#: The mixture of every term by thirty steps of expectation-maximisation on its histogram.
+_EM = (
+    _WEIGHTS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"""
+, hist AS (SELECT term, list(c::DOUBLE) AS k, list(m::DOUBLE) AS m, sum(m)::DOUBLE AS df, sum(c * m)::DOUBLE AS s FROM (SELECT term, c, count(*) AS m FROM tf GROUP BY term, c) GROUP BY term),
+init AS (SELECT hist.*, n::DOUBLE AS n, greatest(n - df, 0) AS zeros FROM hist, tot),
+em AS (
+  SELECT 0 AS step, term, greatest(s / greatest(n, 1) * 0.5, 1e-9) AS low, greatest(s / greatest(df, 1e-300), 2 * greatest(s / greatest(n, 1) * 0.5, 1e-9)) AS high, least(greatest(df / greatest(n, 1), 1e-12), 0.5) AS share FROM init
+  UNION ALL
+  SELECT step + 1, term, least(a, b), greatest(a, b), least(greatest(elite / greatest(n, 1), 1e-12), 1 - 1e-12) FROM (
+    SELECT step, term, n, elite, greatest((s - zk) / greatest(n - elite, 1e-300), 1e-9) AS a, greatest(zk / greatest(elite, 1e-300), 1e-9) AS b FROM (
+      SELECT step, term, n, s, list_sum(list_transform(range(1, len(k) + 1), lambda i: z[i] * m[i])) + z0 * zeros AS elite, list_sum(list_transform(range(1, len(k) + 1), lambda i: z[i] * m[i] * k[i])) AS zk FROM (
+        SELECT step, term, n, s, k, m, zeros, 1 / (1 + (1 - share) / share * exp(least(700, greatest(-700, high - low)))) AS z0,
+          list_transform(k, lambda x: 1 / (1 + (1 - share) / share * exp(least(700, greatest(-700, x * ln(low / high) + high - low))))) AS z
+        FROM em JOIN init USING (term) WHERE step < {distinctive.EM_STEPS})))),
+model AS (SELECT term, low, high, share FROM em WHERE step = {distinctive.EM_STEPS}) """
+)
 _NAME = "lower(regexp_replace({0}, '^[\\s ]+|[\\s ]+$', '', 'g'))"
 _RAW = "CASE WHEN {0} NOT IN ('', 'unknown', 'n/a', 'tbd', '-') AND {1} NOT IN ('', 'unknown', 'n/a', 'tbd', '-') THEN {1} END"
 _FILE = "nullif(regexp_replace(regexp_replace(" + _NAME + ", '^.*[/\\\\]', ''), '\\.txt$', ''), '')"
@@ -134,6 +152,13 @@ def _runs(table: str, key: str, n: int) -> str:
     return f"SELECT {key}, i, array_to_string(ws[i:i + {n - 1}], ' ') AS g FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM {table})"
 
 
+_COPIES = f"""m AS (SELECT method_id, {_WORDS.format('any_value(body)')} AS ws FROM code_method WHERE body IS NOT NULL GROUP BY method_id),
+g AS (SELECT DISTINCT method_id, g FROM ({_runs("(SELECT * FROM m WHERE len(ws) >= 20)", 'method_id', 3)})),
+n AS (SELECT method_id, count(*) AS n FROM g GROUP BY method_id),
+p AS (SELECT a.method_id AS method_a, b.method_id AS method_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.method_id < b.method_id GROUP BY 1, 2),
+near AS (SELECT method_a, method_b FROM p JOIN n x ON x.method_id = method_a JOIN n y ON y.method_id = method_b WHERE c >= 0.5 * (x.n + y.n - c))"""
+
+
 def oracle_sql() -> dict[str, str]:
     p8 = (
         f"WITH {_DOCS}g AS ({_runs('d', 'doc_id', 5)}), rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS k FROM g) WHERE k > 1), "
@@ -147,12 +172,9 @@ def oracle_sql() -> dict[str, str]:
         + "g AS (" + " UNION ALL ".join(f"SELECT req_id, {k}::INTEGER AS n_terms, g AS term FROM ({_runs('r', 'req_id', k)})" for k in (1, 2, 3))
         + f"), df AS (SELECT term, n_terms, count(*) AS occurrences, count(DISTINCT req_id) AS records FROM g GROUP BY term, n_terms) SELECT term, n_terms, occurrences, records, {_MARK} AS mark FROM df, tot",
         "p3_found": _WEIGHTS + "SELECT req_id, term FROM wt WHERE n_words >= 12 AND weight >= 0.45 AND records >= 2 AND records <= 0.05 * n",
-        "p4_found": f"""
-WITH m AS (SELECT method_id, {_WORDS.format('any_value(body)')} AS ws FROM code_method WHERE body IS NOT NULL GROUP BY method_id),
-g AS (SELECT DISTINCT method_id, g FROM ({_runs("(SELECT * FROM m WHERE len(ws) >= 20)", 'method_id', 3)})),
-n AS (SELECT method_id, count(*) AS n FROM g GROUP BY method_id),
-p AS (SELECT a.method_id AS method_a, b.method_id AS method_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.method_id < b.method_id GROUP BY 1, 2)
-SELECT method_a, method_b FROM p JOIN n x ON x.method_id = method_a JOIN n y ON y.method_id = method_b WHERE c >= 0.5 * (x.n + y.n - c)""",
+        "p3_weights": _EM + "SELECT req_id, term, c AS count, records, round(weight, 6) AS weight, round(1 / (1 + (1 - share) / share * exp(least(700, greatest(-700, c * ln(low / high) + high - low)))), 6) AS elite FROM wt JOIN model USING (term)",
+        "p4_found": f"WITH {_COPIES} SELECT method_a, method_b FROM near",
+        "p4_groups": f"WITH RECURSIVE {_COPIES}, both_ways AS (SELECT method_a AS x, method_b AS y FROM near UNION SELECT method_b, method_a FROM near), reach(x, y) AS (SELECT x, x FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y) SELECT x AS method_id, min(y) AS group_id FROM reach GROUP BY x",
         "p5_found": _GROUPS + f"""
 lst AS (SELECT {_FILE.format('req_filename')} AS f, bool_or({_NAME.format('list_name')} = 'chosen') AS c, bool_or({_NAME.format('list_name')} = 'remaining') AS r FROM split_list GROUP BY 1),
 mk AS (SELECT group_id, count(*) AS n, bool_or(c) AS c, bool_or(r) AS r FROM grp JOIN rec USING (req_id) LEFT JOIN lst ON lst.f = {_FILE.format('req_filename')} GROUP BY group_id)
