@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 Step = Callable[[Column], Column]
 
-# Java keywords and other words of code that carry no meaning of their own.
-CODE_STOP_WORDS = [
-    "abstract", "assert", "boolean", "break", "byte", "case", "catch", "char", "class", "const", "continue", "default", "do", "double", "else", "enum", "extends", "false", "final",
-    "finally", "float", "for", "get", "goto", "if", "implements", "import", "instanceof", "int", "interface", "long", "native", "new", "null", "package", "private", "protected", "public",
-    "return", "set", "short", "static", "strictfp", "string", "super", "switch", "synchronized", "this", "throw", "throws", "transient", "true", "try", "void", "volatile", "while",
-]
-# Frequent function words.
+# Words of code that carry no meaning of their own, with English and with Italian programmers.
+CODE_STOP_WORDS = (
+    "abstract assert boolean break byte case catch char class continue default do double else enum extends final finally float for goto if implements import instanceof int interface long "
+    "native new null package parameter private protected public return short static strictfp super switch synchronized this throws throw transient try void volatile while string integer "
+    "get set exception array hash struct unsigned union"
+).split()
+ITALIAN_CODE_STOP_WORDS = (
+    "abstract assert boolean break byte case catch char class continue default do double else enum extends final finally float for goto if implements import instanceof int interface long "
+    "native new null package parameter private protected public return short static strictfp super switch synchronized this throws throw transient try void exception volatile while string "
+    "integer ottenere settare eccezione array hash struct unsigned union"
+).split()
+#: Frequent function words, own short lists; other lists are passed to stop_words().
 ENGLISH_STOP_WORDS = ["a", "about", "after", "all", "an", "and", "any", "are", "as", "at", "be", "been", "before", "but", "by", "can", "could", "do", "does", "for", "from", "had", "has", "have", "he", "her", "his", "how", "i", "if", "in", "into", "is", "it", "its", "me", "more", "most", "my", "no", "not", "of", "on", "or", "our", "she", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to", "was", "we", "were", "what", "when", "which", "while", "who", "why", "will", "with", "would", "you", "your"]
 ITALIAN_STOP_WORDS = ["a", "ad", "agli", "ai", "al", "alla", "alle", "allo", "anche", "che", "chi", "ci", "come", "con", "cui", "da", "dagli", "dai", "dal", "dalla", "dalle", "degli", "dei", "del", "della", "delle", "dello", "di", "e", "ed", "gli", "ha", "hanno", "i", "il", "in", "io", "la", "le", "lo", "ma", "ne", "negli", "nei", "nel", "nella", "nelle", "non", "o", "per", "più", "quale", "quando", "quella", "quello", "questa", "questo", "se", "si", "sono", "su", "sua", "sugli", "sui", "sul", "sulla", "sulle", "suo", "tra", "tutti", "tutto", "un", "una", "uno"]
 URL = r"https?://\S+|www\.\S+"
@@ -51,6 +56,7 @@ one_space = each(lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
 full_stop = each(lambda x: F.when(x.rlike(r"[.!;?]\z") | (x == ""), x).otherwise(F.concat(x, F.lit("."))))
 no_last_mark = each(lambda x: F.regexp_replace(x, r"[.!;?]\z", ""))
 drop_empty = keep(lambda x: x != "")
+left_trimmed = each(lambda x: F.regexp_replace(x, r"^\s+", ""))
 
 
 def stop_words(words: Sequence[str]) -> Step:
@@ -62,6 +68,16 @@ def longer_than(n: int) -> Step:
     return keep(lambda x: F.length(x) > n)
 
 
+# Endings that a noun may lose, and what stands in their place.
+NOUN_ENDINGS = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
+
+
+def base_forms(word: Column) -> Column:
+    """The word and what it becomes by each ending it has; those in a lexicon are its possible lemmas."""
+    forms = [F.when(word.endswith(old), F.concat(F.substring(word, F.lit(1), F.length(word) - len(old)), F.lit(new))) for old, new in NOUN_ENDINGS]
+    return F.array_compact(F.array(word, *forms))
+
+
 def lemmas(table: Column) -> Step:
     """Replaces tokens by their lemma in a MAP<STRING, STRING>; unknown ones stay."""
     return each(lambda x: F.coalesce(F.try_element_at(table, x), x))
@@ -83,20 +99,21 @@ CHAINS: dict[str, Step] = {
     "req_en": pipeline(no_urls, separate, letters_only, camel_case, lower_case, stop_words(ENGLISH_STOP_WORDS), longer_than(2), drop_empty),
     "req_it": pipeline(no_urls, separate, letters_only, camel_case, lower_case, stop_words(ITALIAN_STOP_WORDS), longer_than(2), drop_empty),
     "code_en": pipeline(separate, letters_only, camel_case, stop_words(CODE_STOP_WORDS), lower_case, stop_words(ENGLISH_STOP_WORDS), longer_than(2), drop_empty),
-    "code_it": pipeline(separate, letters_only, camel_case, stop_words(CODE_STOP_WORDS), lower_case, stop_words(ITALIAN_STOP_WORDS), longer_than(2), drop_empty),
+    "code_it": pipeline(separate, letters_only, camel_case, stop_words(ITALIAN_CODE_STOP_WORDS), lower_case, stop_words(ITALIAN_STOP_WORDS), longer_than(2), drop_empty),
     "sentence": pipeline(no_urls, one_space, full_stop, drop_empty),
 }
 
 
 def word_tokens(text: Column, italian: bool = False) -> Column:
-    """Runs of letters and digits, and every other mark by itself; in Italian an apostrophe ends a token first."""
+    """Runs of letters and digits of any script, and every other mark by itself; in Italian an apostrophe ends a token first."""
     if italian:
         text = F.regexp_replace(text, "'", "' ")
-    return F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9]+|[^\sA-Za-z0-9])"), 1)
+    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}])"), 1)
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\x01"), "\x01", -1), lambda x: F.trim(x) != "")
+    """Cut after a full stop, exclamation or question mark, white space and anything but a lower-case letter, so not after most abbreviations."""
+    return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+([^\p{Ll}\s])", "$1\x01$2"), "\x01", -1), lambda x: F.trim(x) != "")
 
 
 def words_by_sentence(text: Column) -> Column:

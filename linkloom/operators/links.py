@@ -151,3 +151,21 @@ def rule_links(links: DataFrame, relation: DataFrame, direction: str = "up") ->
     rel = {"up": up, "down": down, "both": up.unionByName(down)}[direction]
     new = links.join(rel, "code").select(F.col("_o").alias("code"), "req", F.lit(None).cast("double").alias("sim"))
     return links.select("code", "req", "sim").unionByName(new)
+
+
+def merged(a: DataFrame, b: DataFrame, duplicates: bool = False) -> DataFrame:
+    """The pairs of two containers; a pair in both counts once unless duplicates are wanted."""
+    both = a.select("req", "code").unionByName(b.select("req", "code"))
+    return both if duplicates else both.distinct()
+
+
+def removed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Container a without the pairs of b, however often they are in a."""
+    return a.join(b.select("req", "code").distinct(), ["req", "code"], "left_anti")
+
+
+def same_class(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (caller, callee) between elements of one class, from classes (elem, owner); owner is the class name, or the file where a language has no classes."""
+    c = classes.select(F.col("elem").alias("caller"), F.col("owner").alias("_a"))
+    e = classes.select(F.col("elem").alias("callee"), F.col("owner").alias("_b"))
+    return edges.join(c, "caller").join(e, "callee").filter("_a = _b").select("caller", "callee")

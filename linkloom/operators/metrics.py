@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.operators.similarity import blocks
+from linkloom.runtime import spread
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
@@ -36,6 +39,11 @@ def evaluate(links: DataFrame, gold: DataFrame, run: tuple[str, ...] = ()) -> Da
     return cell.join(F.broadcast(size), "_k").select(*run, "found", "hits", "gold", *precision_recall(F.col("found"), F.col("hits"), F.col("gold")))
 
 
+def evaluate_tuples(tuples: DataFrame, gold: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
+    """evaluate() of a set of tuples `link` (req, code); a tuple counts once."""
+    return evaluate(tuples.select(*run, "link").distinct().select(*run, "link.req", "link.code"), gold, run)
+
+
 def ranked(links: DataFrame, by: tuple[str, ...], reverse: bool = False) -> DataFrame:
     """Links with rank, running hits and precision@k within `by`; equal similarities by code, then requirement."""
     w = Window.partitionBy(*by).orderBy(F.col("sim").asc() if reverse else F.col("sim").desc(), "code", "req")
@@ -51,38 +59,42 @@ def average_precision(links: DataFrame, by: tuple[str, ...], reverse: bool = Fal
     return r.groupBy(*by).agg(F.when(s == 0, F.lit(0.0)).otherwise(F.sum(F.col("precision_at") * F.col("hit")) / s).alias("ap"), s.cast("long").alias("hits"))
 
 
-def complete(links: DataFrame, reqs: DataFrame, codes: DataFrame, reverse: bool = False) -> DataFrame:
-    """links with a link of the worst similarity for every missing pair; the pairs wanted are all of the two lists."""
-    pairs = reqs.select("req").distinct().join(F.broadcast(codes.select("code").distinct()))
-    missing = pairs.join(links.select("req", "code"), ["req", "code"], "left_anti").withColumn("sim", F.lit(1.0 if reverse else 0.0))
-    return links.select("req", "code", "sim").unionByName(missing.select("req", "code", "sim"))
+def complete(links: DataFrame, reqs: DataFrame, codes: DataFrame, reverse: bool = False, run: tuple[str, ...] = ()) -> DataFrame:
+    """links with a link of the worst similarity for every missing pair; the pairs wanted are all of the two lists, within a run.
 
+    The code files go to all executors in blocks of bounded size, the requirements stay in place.
+    """
+    left, pairs = spread(reqs.select(*run, "req").distinct()), None
+    for block in blocks(codes.select(*run, "code").distinct(), "code"):
+        part = left.join(F.broadcast(block), list(run)) if run else left.join(F.broadcast(block))
+        pairs = part if pairs is None else pairs.unionByName(part)
+    missing = pairs.join(links.select(*run, "req", "code"), [*run, "req", "code"], "left_anti").withColumn("sim", F.lit(1.0 if reverse else 0.0))
+    return links.select(*run, "req", "code", "sim").unionByName(missing.select(*run, "req", "code", "sim"))
 
-def map_at_k(links: DataFrame, n_reqs: int, k: int, reverse: bool = False) -> DataFrame:
-    """The sum of average precisions over the first k links of each requirement, divided by the number of requirements."""
-    return average_precision(links, ("req",), reverse, k).agg((F.sum("ap") / n_reqs).alias("map")).withColumn("k", F.lit(k).cast("long"))
 
+def map_at_k(links: DataFrame, n_reqs: int, k: int, reverse: bool = False, run: tuple[str, ...] = ()) -> DataFrame:
+    """The sum of average precisions over the first k links of each requirement, divided by the number of requirements, by run."""
+    return average_precision(links, (*run, "req"), reverse, k).groupBy(*run).agg((F.sum("ap") / n_reqs).alias("map")).withColumn("k", F.lit(k).cast("long"))
 
-def map_and_recall(links: DataFrame, n_reqs: int, n_gold: int, n_codes: int, reverse: bool = False) -> DataFrame:
-    """(k, map, recall) for every k from 1 to n_codes, from one ranking: the average precision at k comes from running sums."""
-    r = ranked(links, ("req",), reverse)
-    w = Window.partitionBy("req").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    at = r.withColumn("_s", F.sum(F.col("precision_at") * F.col("hit")).over(w)).withColumn("ap", F.when(F.col("hits_so_far") == 0, 0.0).otherwise(F.col("_s") / F.col("hits_so_far")))
-    # a requirement with fewer links keeps its last value for all larger k
-    last = Window.partitionBy("req").orderBy("rank")
-    nxt = at.withColumn("_to", F.coalesce(F.lead("rank").over(last) - 1, F.lit(n_codes)))
-    rows = nxt.select(F.explode(F.sequence(F.col("rank"), F.greatest("rank", "_to"))).alias("k"), "ap", "hits_so_far")
-    return rows.groupBy(F.col("k").cast("long").alias("k")).agg((F.sum("ap") / n_reqs).alias("map"), (F.sum("hits_so_far") / n_gold).alias("recall")).filter(F.col("k") <= n_codes)
 
+def map_and_recall(links: DataFrame, n_reqs: int, n_gold: int, n_codes: int, reverse: bool = False, run: tuple[str, ...] = ()) -> DataFrame:
+    """(run, k, map, recall) for every k from 1 to n_codes, from one ranking: the average precision at k comes from running sums.
 
-def map_and_recall_of_all(links: DataFrame, n_reqs: int, n_gold: int, n_codes: int, reverse: bool = False) -> DataFrame:
-    """map_and_recall for any number of code files: both stay as they are beyond the longest ranking, so rankings are only followed to there."""
-    longest = links.groupBy("req").count().agg(F.max("count")).first()[0] or 0
-    out = map_and_recall(links, n_reqs, n_gold, min(longest, n_codes), reverse)
+    Both stay as they are beyond the longest ranking of all, so rankings are only followed to there.
+    """
+    r = ranked(links, (*run, "req"), reverse)
+    longest = min(r.agg(F.max("rank")).first()[0] or 0, n_codes)
+    w = Window.partitionBy(*run, "req").orderBy("rank")
+    at = r.withColumn("_s", F.sum(F.col("precision_at") * F.col("hit")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = at.withColumn("ap", F.when(F.col("hits_so_far") == 0, 0.0).otherwise(F.col("_s") / F.col("hits_so_far")))
+    # a requirement with fewer links keeps its last value for all larger k
+    nxt = at.withColumn("_to", F.coalesce(F.lead("rank").over(w) - 1, F.lit(longest)))
+    rows = nxt.filter(F.col("rank") <= longest).select(*run, F.explode(F.sequence(F.col("rank"), F.greatest("rank", "_to"))).alias("k"), "ap", "hits_so_far")
+    out = rows.groupBy(*run, F.col("k").cast("long").alias("k")).agg((F.sum("ap") / n_reqs).alias("map"), (F.sum("hits_so_far") / n_gold).alias("recall"))
     if longest >= n_codes:
         return out
     rest = links.sparkSession.range(longest + 1, n_codes + 1).select(F.col("id").alias("k"))
-    return out.unionByName(rest.join(F.broadcast(out.filter(F.col("k") == longest).select("map", "recall"))))
+    return out.unionByName(rest.join(F.broadcast(out.filter(F.col("k") == longest).select(*run, "map", "recall"))).select(*run, "k", "map", "recall"))
 
 
 def integral_average_precision(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.vectors import dot, mean_vector, unit
@@ -204,6 +205,25 @@ def wmd_all(a: DataFrame, b: DataFrame, word_vec: DataFrame, exact: bool = False
     return out
 
 
+def nearest_by_wmd(a: DataFrame, b: DataFrame, word_vec: DataFrame, k: int) -> DataFrame:
+    """(b, rank, a, wmd): for each b the k nearest a by the exact distance, ties by a.
+
+    Exact for every k: first the exact distances of the k pairs of the smallest relaxed distance, then those of all
+    other pairs whose relaxed distance doesn't exceed the k-th of them. Pairs without a known word are left out.
+    """
+    bound = materialize(wmd_all(a, b, word_vec).filter("rwmd < double('inf')"), "relaxed")
+    w = Window.partitionBy("b")
+    ranked = bound.withColumn("_r", F.row_number().over(w.orderBy("rwmd", "a")))
+    bags = lambda t, key: t.join(word_vec.select("word"), "word").groupBy(key).agg(F.collect_list("word").alias(f"{key}_words"))
+    left, right = materialize(bags(a, "a"), "bags"), materialize(bags(b, "b"), "bags")
+    exact = lambda pairs: wmd_pairs(spread(pairs.select("a", "b").join(left, "a").join(right, "b")), word_vec).filter("wmd < double('inf')")
+    first = materialize(exact(ranked.filter(F.col("_r") <= k)), "exact")
+    reach = first.groupBy("b").agg(F.max("wmd").alias("_most"), F.count("*").alias("_n"))
+    more = ranked.filter(F.col("_r") > k).join(reach, "b", "left").filter(F.col("_most").isNull() | (F.col("_n") < k) | (F.col("rwmd") <= F.col("_most")))
+    every = first.unionByName(exact(more).select(*first.columns))
+    return every.withColumn("rank", F.row_number().over(w.orderBy("wmd", "a"))).filter(F.col("rank") <= k).select("b", "rank", "a", "wmd")
+
+
 def subword_vectors(words: DataFrame, gram_vec: DataFrame, dims: int, shortest: int = 3, longest: int = 6) -> DataFrame:
     """(word, vec): the mean of the vectors of the known n-grams of <word>, zeros without any."""
     t = words.select("word", F.concat(F.lit("<"), "word", F.lit(">")).alias("_w"))
@@ -228,3 +248,58 @@ def model_vectors(texts: DataFrame, load_model, text_col: str = "text") -> DataF
         return pd.Series([list(map(float, v)) for v in model(batches.tolist())])
 
     return texts.withColumn("vec", embed(text_col))
+
+
+#: Labelled pairs of each kind that a pair classifier is fitted on.
+SAMPLE_PAIRS = 5_000
+PAIR_FEATURES = 12
+
+
+def pair_features(a: list[str], b: list[str]) -> list[float]:
+    """Overlaps of two word lists: as sets, by letters, by endings and beginnings, and their sizes."""
+    x, y = set(a), set(b)
+    gram = lambda w, n: {t[i : i + n] for t in w for i in range(max(len(t) - n + 1, 1))}
+    share = lambda p, q: len(p & q) / len(p | q) if p | q else 0.0
+    cover = lambda p, q: len(p & q) / len(q) if q else 0.0
+    tri, bi = (gram(x, 3), gram(y, 3)), (gram(x, 2), gram(y, 2))
+    return [1.0, share(x, y), cover(x, y), cover(y, x), share(*tri), cover(*tri), cover(tri[1], tri[0]), share(*bi), cover({t[:4] for t in x}, {t[:4] for t in y}), cover({t[-3:] for t in x}, {t[-3:] for t in y}), math.log1p(len(a)), math.log1p(len(b))]
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps if len(y) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        move = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        w += move
+        if np.abs(move).max() < 1e-8:
+            break
+    return w
+
+
+def pair_probabilities(pairs: DataFrame, label: str, sample: int = SAMPLE_PAIRS) -> DataFrame:
+    """pairs (a, b as word lists) with `probability`: a classifier fitted on at most `sample` pairs of each label, those of the smallest hashes; all pairs are scored.
+
+    Where the sample has one label only, that label's share is the probability.
+    """
+    hash_ = F.xxhash64("a", "b")
+    n = {r[0]: r[1] for r in pairs.groupBy(label).count().collect()}
+    part = None
+    for v in n:
+        below = min(1.0, 2 * sample / n[v])
+        few = pairs.filter((F.col(label) == v) & (F.pmod(hash_, F.lit(1 << 20)) < int(below * (1 << 20)))).orderBy(hash_).limit(sample).select("a", "b", label)
+        part = few if part is None else part.unionByName(few)
+    rows = part.collect() if part is not None else []
+    x, y = np.array([pair_features(r["a"], r["b"]) for r in rows]).reshape(-1, PAIR_FEATURES), np.array([float(r[label]) for r in rows])
+    weights = fit_logistic(x, y) if len(set(y.tolist())) > 1 else None
+    alone = float(y.mean()) if len(y) else 0.0
+
+    @F.pandas_udf("double")
+    def probability(a: pd.Series, b: pd.Series) -> pd.Series:
+        if weights is None:
+            return pd.Series(np.full(len(a), alone))
+        z = np.array([pair_features(list(p), list(q)) for p, q in zip(a, b, strict=True)]).reshape(-1, PAIR_FEATURES) @ weights
+        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    return pairs.withColumn("probability", probability("a", "b"))

@@ -50,10 +50,10 @@ def trace_gold(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.lower("req_filename").alias("req"), F.lower("code_filename").alias("code")).distinct()
 
 
-def trace_scores(spark: SparkSession, d: str, tool: str | None = "tool_b") -> DataFrame:
-    """The best score of each pair of one tool, without null and NaN."""
-    s = load(spark, d, "trace_score").filter(F.col("tool").eqNullSafe(F.lit(tool)) & F.expr("score is not null and not isnan(score) and req_filename is not null and code_filename is not null"))
-    return s.groupBy(F.lower("req_filename").alias("req"), F.lower("code_filename").alias("code")).agg(F.max("score").alias("sim"))
+def trace_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(tool, req, code, sim): the best score of each pair by each tool, without null and NaN."""
+    s = load(spark, d, "trace_score").filter("score is not null and not isnan(score) and req_filename is not null and code_filename is not null")
+    return s.groupBy(F.coalesce("tool", F.lit("")).alias("tool"), F.lower("req_filename").alias("req"), F.lower("code_filename").alias("code")).agg(F.max("score").alias("sim"))
 
 
 def identifiers(spark: SparkSession, d: str) -> DataFrame:
@@ -67,10 +67,16 @@ def text_tokens(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").filter("text is not null").select("doc_id", F.split("text", " ", -1).alias("t"))
 
 
+def requirement_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(req, text): the text of the record delivered first of each requirement file."""
+    r = load(spark, d, "issue_entry").filter("req_filename is not null and req_text is not null").select(F.lower("req_filename").alias("req"), "req_id", "req_text")
+    return r.groupBy("req").agg(F.min_by("req_text", "req_id").alias("text"))
+
+
 def doc_words(spark: SparkSession, d: str) -> DataFrame:
-    """(file, word) of the requirements' and notes' ASCII words, with repetition."""
-    t = load(spark, d, "documents").filter("text is not null and artefact_kind in ('requirement', 'note')")
-    return t.select(F.col("doc_id").alias("file"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)).alias("word"))
+    """(file, word) of the words of all documents in any script, with repetition."""
+    t = load(spark, d, "documents").filter("text is not null")
+    return t.select(F.col("doc_id").alias("file"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)).alias("word"))
 
 
 def part_words(spark: SparkSession, d: str) -> DataFrame:
@@ -79,20 +85,17 @@ def part_words(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("req_id").alias("part"), F.explode(F.regexp_extract_all(F.lower("req_text"), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("word"))
 
 
-def all_doc_words(spark: SparkSession, d: str) -> DataFrame:
-    """(file, word) of the words of all documents in any script, with repetition."""
-    t = load(spark, d, "documents").filter("text is not null")
-    return t.select(F.col("doc_id").alias("file"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)).alias("word"))
-
-
 def word_vec(spark: SparkSession, d: str) -> DataFrame:
     """(word, vec): every word of the method names has the vector of a row of embeddings."""
     return vectors_of(method_words(spark, d).select("word").distinct(), spark, d)
 
 
 def vectors_of(w: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "embeddings").select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return w.withColumn("vec_id", (F.ascii("word") * 31 + F.length("word") * 7).cast("long") % 500).filter("vec_id % 11 <> 0").join(F.broadcast(e.filter("vec_id < 500")), "vec_id").select("word", "vec")
+    """(word, vec): words get the vectors of all rows of embeddings by a rule; some words have none."""
+    e = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    n = e.agg(F.count("*").alias("n")).withColumn("k", F.lit(1))
+    rows = w.withColumn("k", F.lit(1)).join(F.broadcast(n), "k").withColumn("vec_id", (F.ascii("word") * 31 + F.length("word") * 7 + F.ascii(F.reverse("word")) * 13).cast("long") % F.col("n")).filter("vec_id % 11 <> 0")
+    return rows.join(e, "vec_id").select("word", "vec")
 
 
 def method_words(spark: SparkSession, d: str) -> DataFrame:
@@ -111,14 +114,14 @@ inh AS (SELECT file AS sub, file // 2 AS super FROM files WHERE file > 0)
 """
 TRACE_SQL = """
 gold AS (SELECT DISTINCT lower(req_filename) AS req, lower(code_filename) AS code FROM trace_link WHERE req_filename IS NOT NULL AND code_filename IS NOT NULL),
-scores AS (SELECT lower(req_filename) AS req, lower(code_filename) AS code, max(score) AS sim FROM trace_score WHERE tool = 'tool_b' AND score IS NOT NULL AND NOT isnan(score) AND req_filename IS NOT NULL AND code_filename IS NOT NULL GROUP BY 1, 2),
+scores AS (SELECT coalesce(tool, '') AS tool, lower(req_filename) AS req, lower(code_filename) AS code, max(score) AS sim FROM trace_score WHERE score IS NOT NULL AND NOT isnan(score) AND req_filename IS NOT NULL AND code_filename IS NOT NULL GROUP BY 1, 2, 3),
 hits AS (SELECT s.*, CASE WHEN g.req IS NULL THEN 0 ELSE 1 END AS hit FROM scores s LEFT JOIN gold g USING (req, code))
 """
 IDENT_SQL = "ident AS (SELECT method_id, list_filter([any_value(class_name), any_value(method_name)] || coalesce(any_value(params), []), lambda x: x IS NOT NULL) AS t FROM code_method GROUP BY method_id)"
 TOKENS_SQL = "toks AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents WHERE text IS NOT NULL)"
-WORDS_SQL = "dw AS (SELECT doc_id AS file, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents WHERE text IS NOT NULL AND artefact_kind IN ('requirement', 'note'))"
+WORDS_SQL = "dw AS (SELECT doc_id AS file, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+')) AS word FROM documents WHERE text IS NOT NULL)"
 METHOD_SQL = """
 meth AS (SELECT method_id, any_value(class_name) AS file, any_value(method_name) AS mn FROM code_method GROUP BY method_id),
 mw AS (SELECT file, method_id AS elem, lower(unnest(regexp_extract_all(mn, '[A-Z]?[a-z]+'))) AS word FROM meth WHERE file IS NOT NULL AND mn IS NOT NULL),
-wv AS (SELECT word, embedding::DOUBLE[] AS vec FROM (SELECT DISTINCT word, (ascii(word) * 31 + length(word) * 7) % 500 AS vec_id FROM mw) JOIN embeddings USING (vec_id) WHERE vec_id % 11 <> 0)
+wv AS (SELECT word, embedding::DOUBLE[] AS vec FROM (SELECT DISTINCT word, (ascii(word) * 31 + length(word) * 7 + ascii(reverse(word)) * 13) % (SELECT count(*) FROM embeddings) AS vec_id FROM mw) JOIN embeddings USING (vec_id) WHERE vec_id % 11 <> 0)
 """

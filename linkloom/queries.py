@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,12 +16,13 @@ from linkloom.operators import metrics as M
 from linkloom.operators.code_parser import parse_sources
 from linkloom.plans import domain as D
 from linkloom.plans import techniques
-from linkloom.plans.datasets import DATASETS, ENGLISH_HEADERS
-from linkloom.runtime import first_delivery, load, materialize, shared_dir, spread
+from linkloom.plans.datasets import PROJECT_HEADERS, any_language
+from linkloom.runtime import first_delivery, load, materialize, own_dir, spread
 from linkloom.sources import readers as R
 from linkloom.sources import writers as S
 
 Query = Callable[[SparkSession, str], DataFrame]
+HEADERS = any_language(PROJECT_HEADERS)
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
@@ -83,22 +85,16 @@ _tokens("fn18_chain_code_en", "ident", T.CHAINS["code_en"], _CODE_CHAIN.format(t
 
 
 @query("fn08_tfidf_filter", f"WITH {D.WORDS_SQL}, tf AS (SELECT file, word, count(*) AS c FROM dw WHERE length(word) >= 2 GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT file, word, c * (ln((1 + (SELECT count(DISTINCT file) FROM tf)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (word)), wt AS (SELECT file, word, x / sqrt(sum(x * x) OVER (PARTITION BY file)) AS weight FROM raw) SELECT file, count(*) AS kept FROM dw JOIN wt USING (file, word) WHERE weight > 0.123456 GROUP BY file")
-def fn08(spark, d, doc_words=D.doc_words):
-    t = materialize(doc_words(spark, d), "tokens")
+def fn08(spark, d):
+    t = materialize(D.doc_words(spark, d), "tokens")
     return features.tfidf_filter(t, features.tfidf(t), 0.123456).groupBy("file").agg(F.count("*").alias("kept"))
 
 
-@query("fn08_tfidf_filter_all")
-def fn08_all(spark, d):
-    return fn08(spark, d, D.all_doc_words)
-
-
-@query("fn10_lemmas", f"WITH {D.METHOD_SQL}, lem AS (SELECT DISTINCT word, substr(word, 1, 4) AS lemma FROM mw WHERE length(word) > 6) SELECT coalesce(lemma, word) AS lemma, count(*) AS n FROM mw LEFT JOIN lem USING (word) GROUP BY 1")
+@query("fn10_lemmas", f"WITH {D.METHOD_SQL}, v AS (SELECT DISTINCT word FROM mw), rules AS (SELECT unnest(['s', 'ses', 'ves', 'xes', 'zes', 'ches', 'shes', 'men', 'ies']) AS a, unnest(['', 's', 'f', 'x', 'z', 'ch', 'sh', 'man', 'y']) AS b), base AS (SELECT word, word AS form FROM v UNION SELECT word, left(word, length(word) - length(a)) || b FROM v, rules WHERE ends_with(word, a)), lem AS (SELECT word, form AS lemma FROM (SELECT base.word, form, row_number() OVER (PARTITION BY base.word ORDER BY length(form), form) AS r FROM base JOIN v x ON x.word = form) WHERE r = 1) SELECT lemma, count(*) AS n FROM mw JOIN lem USING (word) GROUP BY lemma")
 def fn10(spark, d):
-    """Lookup form of the lemmatiser: the lemma table is joined, unknown words stay."""
-    w = D.method_words(spark, d)
-    lem = w.select("word").distinct().filter(F.length("word") > 6).withColumn("lemma", F.substring("word", 1, 4))
-    return w.groupBy("word").agg(F.count("*").alias("c")).join(lem, "word", "left").groupBy(F.coalesce("lemma", "word").alias("lemma")).agg(F.sum("c").alias("n"))
+    """Lemmas by ending rules and a lexicon, here the words of the table themselves."""
+    w = materialize(D.method_words(spark, d).groupBy("word").agg(F.count("*").alias("c")), "words")
+    return w.join(features.noun_lemmas(w.select("word"), w.select("word")), "word").groupBy("lemma").agg(F.sum("c").alias("n"))
 
 
 @query("fn19_paths", "SELECT file_id, list_last(string_split_regex(p, '[/\\\\]')) AS file_name, regexp_replace(list_last(string_split_regex(p, '[/\\\\]')), '\\.[^.]*$', '') || '.txt' AS renamed FROM (SELECT file_id, any_value(file_path) AS p FROM code_file GROUP BY file_id)")
@@ -115,7 +111,7 @@ def fn20(spark, d):
 
 # --- tokenizers ------------------------------------------------------------------------------------------------
 
-_TOK = "regexp_extract_all({0}, '[A-Za-z0-9]+|[^\\t\\n\\r\\f\\x0b A-Za-z0-9]')"
+_TOK = "regexp_extract_all({0}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+|[^\\t\\n\\r\\f\\x0b \\p{{L}}\\p{{M}}\\p{{N}}]')"
 
 
 @query("tok01_words", f"SELECT doc_id, len({_TOK.format('text')}) AS n, array_to_string({_TOK.format('text')}, ' ') AS tokens FROM documents WHERE text IS NOT NULL")
@@ -129,7 +125,7 @@ def tok01_it(spark, d):
     return load(spark, d, "documents").filter("lower(lang) = 'it' and text is not null").select("doc_id", F.size(T.word_tokens(F.col("text"), italian=True)).cast("long").alias("n"))
 
 
-_SENT = "list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\x0b]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
+_SENT = "list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\x0b]+([^\\p{Ll} \\t\\n\\r\\f\\x0b])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x) <> '')"
 
 
 @query("tok02_sentences", f"SELECT doc_id, i - 1 AS pos, s[i] AS sentence FROM (SELECT doc_id, {_SENT} AS s, unnest(range(1, len({_SENT}) + 1)) AS i FROM documents WHERE text IS NOT NULL)")
@@ -144,22 +140,17 @@ def tok03(spark, d):
 
 
 def _headers_sql(h: dict[str, str], col: str = "line") -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({col}, '(?i)^{p}') THEN '{n}'" for n, p in reversed(h.items())) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({col}, '(?i)^{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in reversed(h.items())) + " END"
 
 
 @query("tok04_usecase_sections", f"""
 WITH ln AS (SELECT doc_id AS file, i - 1 AS pos, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE artefact_kind = 'use_case' AND text IS NOT NULL))),
-tg AS (SELECT *, {_headers_sql(ENGLISH_HEADERS)} AS tag FROM ln)
+tg AS (SELECT *, {_headers_sql(HEADERS)} AS tag FROM ln)
 SELECT file, section, count(*) AS lines FROM (SELECT file, coalesce(last_value(tag IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING), 'description') AS section FROM tg) GROUP BY file, section""")
 def tok04(spark, d):
     docs = load(spark, d, "documents").filter("artefact_kind = 'use_case' and text is not null")
     lines = docs.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return graph.use_case_sections(lines, ENGLISH_HEADERS).groupBy("file", "section").agg(F.count("*").alias("lines"))
-
-
-@query("tok05_templates")
-def tok05(spark, d):
-    return spark.createDataFrame([(c.name, c.language, k, v) for c in DATASETS.values() for k, v in sorted(c.headers.items())], "dataset string, language string, section string, pattern string")
+    return graph.use_case_sections(lines, HEADERS).groupBy("file", "section").agg(F.count("*").alias("lines"))
 
 
 @query("tok06_javadoc", "SELECT file_id, i - 1 AS pos, regexp_replace(c[i], '(?is)@(param|throws|author|version|return).*$', '') AS description FROM (SELECT file_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT file_id, regexp_extract_all(any_value(content), '(?s)/\\*\\*.*?\\*/') AS c FROM code_file GROUP BY file_id))")
@@ -189,19 +180,24 @@ def tok11(spark, d):
     return _parsed(spark, d).filter(F.size("left_side") > 0).select("file", "ord", "name", F.array_join("left_side", " ").alias("left_side"))
 
 
-@query("tok09_comment_owner", """
-WITH ln AS (SELECT file_id AS file, i AS line, s[i] AS t FROM (SELECT file_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT file_id, string_split(replace(any_value(content), chr(13), ''), chr(10)) AS s FROM code_file WHERE file_name LIKE '%.java' GROUP BY file_id))),
-def AS (SELECT file, line, t AS definition, contains(t, 'class ') AS is_enum FROM ln WHERE regexp_matches(t, '^ *public .*[{]$')),
-com AS (SELECT file, line, line AS end_line, t AS comment FROM ln WHERE regexp_matches(t, '^ */[*].*[*]/$')),
+_DEF = "^ *(?:public .*|[A-Za-z_][A-Za-z_0-9 *]*[(][^;]*[)] *)[{]$"
+
+
+@query("tok09_comment_owner", f"""
+WITH ln AS (SELECT file_id AS file, i AS line, s[i] AS t FROM (SELECT file_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT file_id, string_split(replace(any_value(content), chr(13), ''), chr(10)) AS s FROM code_file WHERE file_name LIKE '%.java' OR file_name LIKE '%.c' GROUP BY file_id))),
+def AS (SELECT file, line, t AS definition, contains(t, 'class ') AS is_enum FROM ln WHERE regexp_matches(t, '{_DEF}')),
+blk AS (SELECT *, sum(CASE WHEN regexp_matches(t, '^ */[*]') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line) AS g FROM ln),
+fin AS (SELECT file, g, min(line) AS first, min(line) FILTER (WHERE contains(t, '*/')) AS last FROM blk WHERE g > 0 GROUP BY file, g),
+com AS (SELECT file, first AS line, last AS end_line, string_agg(t, chr(10) ORDER BY b.line) AS comment FROM blk b JOIN fin USING (file, g) WHERE b.line <= last GROUP BY file, first, last),
 direct AS (SELECT c.file, c.comment, c.line, f.definition FROM com c JOIN def f ON f.file = c.file AND f.line = c.end_line + 1),
 above AS (SELECT c.file, c.comment, c.line, f.definition, f.is_enum FROM (SELECT c.* FROM com c WHERE NOT EXISTS (SELECT 1 FROM def f WHERE f.file = c.file AND f.line = c.end_line + 1)) c ASOF JOIN def f ON f.file = c.file AND c.line >= f.line)
 SELECT * FROM direct UNION ALL SELECT file, comment, line, definition FROM above WHERE NOT is_enum""")
 def tok09(spark, d):
-    f = first_delivery(load(spark, d, "code_file").select("file_id", "file_name", "content", "loaded_at").filter("file_name like '%.java'"), "file_id")
+    """Block comments of one or more lines of Java and C sources, each with the definition it belongs to."""
+    f = first_delivery(load(spark, d, "code_file").select("file_id", "file_name", "content", "loaded_at").filter("file_name like '%.java' or file_name like '%.c'"), "file_id")
     ln = f.select(F.col("file_id").alias("file"), F.posexplode(F.split(F.regexp_replace("content", "\r", ""), "\n", -1)).alias("p", "t")).select("file", (F.col("p") + 1).cast("long").alias("line"), "t")
-    defs = ln.filter(F.col("t").rlike("^ *public .*[{]$")).select("file", "line", F.col("t").alias("definition"), F.col("t").contains("class ").alias("is_enum"))
-    com = ln.filter(F.col("t").rlike("^ */[*].*[*]/$")).select("file", "line", F.col("line").alias("end_line"), F.col("t").alias("comment"))
-    return graph.nearest_definition(com, defs)
+    defs = ln.filter(F.col("t").rlike(_DEF)).select("file", "line", F.col("t").alias("definition"), F.col("t").contains("class ").alias("is_enum"))
+    return graph.nearest_definition(graph.block_comments(ln), defs)
 
 
 @query("tok10_array_suffix", "SELECT p_partkey, p_type || repeat('[]', p_size % 3) AS t FROM part")
@@ -247,9 +243,9 @@ def num04(spark, d):
     return load(spark, d, "part").select("p_partkey", F.round(V.min_max(F.col("p_retailprice"), 900, 2100), 6).alias("v"))
 
 
-@query("num05_minmax", f"WITH {D.TRACE_SQL} SELECT req, code, round((sim - (SELECT min(sim) FROM scores)) / ((SELECT max(sim) FROM scores) - (SELECT min(sim) FROM scores)), 6) AS sim FROM scores")
-def num05(spark, d, tool="tool_b"):
-    return L.normalise(D.trace_scores(spark, d, tool)).select("req", "code", F.round("sim", 6).alias("sim"))
+@query("num05_minmax", f"WITH {D.TRACE_SQL} SELECT tool, req, code, round((sim - min(sim) OVER (PARTITION BY tool)) / (max(sim) OVER (PARTITION BY tool) - min(sim) OVER (PARTITION BY tool)), 6) AS sim FROM scores")
+def num05(spark, d):
+    return L.normalise(D.trace_scores(spark, d), ("tool",)).select("tool", "req", "code", F.round("sim", 6).alias("sim"))
 
 
 @query("num06_range", "SELECT round(0.2 + i * 0.05, 2)::DOUBLE AS t FROM range(13) r(i)")
@@ -268,23 +264,22 @@ def num08(spark, d):
     return load(spark, d, "nation").select("n_nationkey", V.complement(F.col("n_nationkey") / 30).alias("c"))
 
 
-@query("num09_jaccard", f"WITH {D.IDENT_SQL} SELECT method_id, round(CASE WHEN len(list_distinct(t || p)) = 0 THEN 0 ELSE len(list_intersect(t, p)) / len(list_distinct(t || p)) END, 6) AS sim FROM (SELECT method_id, t, lead(t, 1, []) OVER (ORDER BY method_id) AS p FROM ident)")
+@query("num09_jaccard", "WITH m AS (SELECT method_id, list_distinct(list_transform(regexp_extract_all(any_value(class_name), '[A-Z]?[a-z]+'), lambda x: lower(x))) AS a, list_distinct(list_transform(regexp_extract_all(any_value(method_name), '[A-Z]?[a-z]+'), lambda x: lower(x))) AS b FROM code_method GROUP BY method_id) SELECT method_id, round(CASE WHEN len(list_distinct(a || b)) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END, 6) AS sim FROM (SELECT method_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM m)")
 def num09(spark, d):
-    t = D.identifiers(spark, d)
-    ids = t.select("method_id")
-    nxt = ids.withColumn("n", F.lead("method_id").over(Window.orderBy("method_id")))
-    empty = F.array().cast("array<string>")
-    x = t.join(nxt, "method_id").join(t.select(F.col("method_id").alias("n"), F.col("t").alias("p")), "n", "left")
-    return x.select("method_id", F.round(V.jaccard(F.col("t"), F.coalesce("p", empty)), 6).alias("sim"))
+    """The words of a method's class against those of its own name."""
+    m = load(spark, d, "code_method").select("method_id", "class_name", "method_name").dropDuplicates(["method_id"])
+    words = lambda c: F.coalesce(F.transform(F.regexp_extract_all(c, F.lit("([A-Z]?[a-z]+)"), 1), F.lower), F.array().cast("array<string>"))
+    return m.select("method_id", F.round(V.jaccard(words("class_name"), words("method_name")), 6).alias("sim"))
 
 
-@query("num11_subword", "WITH w AS (SELECT DISTINCT p_brand AS word FROM part), g AS (SELECT word, '<' || word || '>' AS x, unnest([3, 4, 5, 6]) AS n FROM w), h AS (SELECT word, substr(x, i, n) AS gram FROM (SELECT word, x, n, unnest(range(1, length(x) - n + 2)) AS i FROM g)), v AS (SELECT word, gram, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM h JOIN embeddings ON vec_id = (ascii(gram) * 31 + length(gram)) % 500) SELECT word, i, round(avg(x), 6) AS x FROM v GROUP BY word, i")
+@query("num11_subword", "WITH w AS (SELECT DISTINCT p_brand AS word FROM part), g AS (SELECT word, '<' || word || '>' AS x, unnest([3, 4, 5, 6]) AS n FROM w), h AS (SELECT word, substr(x, i, n) AS gram FROM (SELECT word, x, n, unnest(range(1, length(x) - n + 2)) AS i FROM g)), v AS (SELECT word, gram, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM h JOIN embeddings ON vec_id = (ascii(gram) * 31 + length(gram) + ascii(reverse(gram)) * 7) % (SELECT count(*) FROM embeddings)) SELECT word, i, round(avg(x), 6) AS x FROM v GROUP BY word, i")
 def num11(spark, d):
     words = load(spark, d, "part").select(F.col("p_brand").alias("word")).distinct()
     w = F.concat(F.lit("<"), "word", F.lit(">"))
     grams = words.select(F.explode(F.array(*(F.lit(n) for n in (3, 4, 5, 6)))).alias("n"), w.alias("x")).filter("length(x) >= n").select(F.explode(F.expr("transform(sequence(1, length(x) - n + 1), i -> substring(x, i, n))")).alias("word")).distinct()
     e = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    vecs = grams.withColumn("vec_id", ((F.ascii("word") * 31 + F.length("word")) % 500).cast("long")).join(e, "vec_id").select("word", "vec")
+    n = e.agg(F.count("*").alias("n")).withColumn("k", F.lit(1))
+    vecs = grams.withColumn("k", F.lit(1)).join(F.broadcast(n), "k").withColumn("vec_id", (F.ascii("word") * 31 + F.length("word") + F.ascii(F.reverse("word")) * 7).cast("long") % F.col("n")).join(e, "vec_id").select("word", "vec")
     out = similarity.subword_vectors(words, vecs, 64)
     return out.select("word", F.posexplode("vec").alias("i", "x")).select("word", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
@@ -301,46 +296,33 @@ def num13(spark, d):
 
 
 def _wmd_inputs(spark, d):
-    """Every twentieth method against those seven places on, pairs with a common word, as the DuckDB twin states them."""
-    w = materialize(D.method_words(spark, d), "method-words")
-    vec = materialize(D.word_vec(spark, d), "word-vectors")
-    a = w.filter(F.col("elem") % 20 == 0).select(F.col("elem").alias("a"), "word")
-    b = w.filter(F.col("elem") % 20 == 7).select(F.col("elem").alias("b"), "word")
-    pairs = a.join(b, "word").select("a", "b").distinct()
-    return a, b, vec, pairs
+    """All methods (a), the requirements whose id is divisible by 20 as queries (b), and the vectors of their words."""
+    a = materialize(D.method_words(spark, d).select(F.col("elem").alias("a"), "word"), "method-words")
+    b = materialize(D.part_words(spark, d).filter("part % 20 = 0").select(F.col("part").alias("b"), "word"), "part-words")
+    return a, b, materialize(D.vectors_of(a.select("word").union(b.select("word")).distinct(), spark, d), "word-vectors")
 
 
-_WMD_SQL = f"""WITH {D.METHOD_SQL}, a AS (SELECT elem AS a, word FROM mw WHERE elem % 20 = 0), b AS (SELECT elem AS b, word FROM mw WHERE elem % 20 = 7), p AS (SELECT DISTINCT a, b FROM a JOIN b USING (word)),
-va AS (SELECT a, word AS wa, vec AS xa, count(*) AS na FROM a JOIN wv USING (word) GROUP BY ALL), vb AS (SELECT b, word AS wb, vec AS xb, count(*) AS nb FROM b JOIN wv USING (word) GROUP BY ALL),
-x AS (SELECT a, b, wa, na, wb, nb, list_distance(xa, xb) AS d FROM p JOIN va USING (a) JOIN vb USING (b)),
-o AS (SELECT a, b, sum(d * na) / sum(na) AS c FROM (SELECT a, b, wa, na, min(d) AS d FROM x GROUP BY ALL) GROUP BY a, b), t AS (SELECT a, b, sum(d * nb) / sum(nb) AS c FROM (SELECT a, b, wb, nb, min(d) AS d FROM x GROUP BY ALL) GROUP BY a, b)
-SELECT a, b, round(greatest(o.c, t.c), 6) AS rwmd FROM o JOIN t USING (a, b)"""
+_WMD_SQL = f"""WITH {D.METHOD_SQL}, a AS (SELECT elem AS a, word FROM mw), b AS (SELECT req_id AS b, unnest(regexp_extract_all(lower(any_value(req_text)), '[\\p{{L}}\\p{{N}}]+')) AS word FROM issue_entry WHERE req_id % 20 = 0 AND req_text IS NOT NULL GROUP BY req_id),
+w AS (SELECT word, embedding::DOUBLE[] AS vec FROM (SELECT DISTINCT word, (ascii(word) * 31 + length(word) * 7 + ascii(reverse(word)) * 13) % (SELECT count(*) FROM embeddings) AS vec_id FROM (SELECT word FROM a UNION SELECT word FROM b)) JOIN embeddings USING (vec_id) WHERE vec_id % 11 <> 0),
+wa AS (SELECT DISTINCT word FROM a), wb AS (SELECT DISTINCT word FROM b), dist AS (SELECT x.word AS p, y.word AS q, list_distance(v.vec, u.vec) AS d FROM wa x JOIN w v ON v.word = x.word, wb y JOIN w u ON u.word = y.word),
+ca AS (SELECT a, word, count(*) AS n FROM a JOIN w USING (word) GROUP BY ALL), cb AS (SELECT b, word, count(*) AS n FROM b JOIN w USING (word) GROUP BY ALL),
+there AS (SELECT a.a, m.b, sum(m.d * a.n) / sum(a.n) AS c FROM ca a JOIN (SELECT p, b, min(d) AS d FROM dist JOIN cb ON cb.word = q GROUP BY p, b) m ON m.p = a.word GROUP BY a.a, m.b),
+back AS (SELECT m.a, b.b, sum(m.d * b.n) / sum(b.n) AS c FROM cb b JOIN (SELECT q, a, min(d) AS d FROM dist JOIN ca ON ca.word = p GROUP BY q, a) m ON m.q = b.word GROUP BY m.a, b.b)
+SELECT a, b, round(greatest(t.c, k.c), 6) AS rwmd FROM there t JOIN back k USING (a, b)"""
 
 
 @query("num10_relaxed_wmd", _WMD_SQL)
 def num10r(spark, d):
-    a, b, vec, pairs = _wmd_inputs(spark, d)
-    return similarity.relaxed_wmd(a, b, vec, pairs).select("a", "b", F.round("rwmd", 6).alias("rwmd"))
-
-
-def _wmd_parts(spark, d, exact):
-    """All methods (a) against all requirement parts (b)."""
-    a = materialize(D.method_words(spark, d).select(F.col("elem").alias("a"), "word"), "method-words")
-    b = materialize(D.part_words(spark, d).select(F.col("part").alias("b"), "word"), "part-words")
-    vec = materialize(D.vectors_of(a.select("word").union(b.select("word")).distinct(), spark, d), "word-vectors")
-    return similarity.wmd_all(a, b, vec, exact)
-
-
-@query("num10_relaxed_wmd_parts")
-def num10p(spark, d):
-    """Relaxed distances of all methods to all requirement parts."""
-    return _wmd_parts(spark, d, False).select("a", "b", F.round("rwmd", 6).alias("rwmd"))
+    """Relaxed distances of all methods to the queries; pairs in which a side has no known word have none."""
+    a, b, vec = _wmd_inputs(spark, d)
+    return similarity.wmd_all(a, b, vec).filter("rwmd < double('inf')").select("a", "b", F.round("rwmd", 6).alias("rwmd"))
 
 
 @query("num10_exact_wmd")
 def num10(spark, d):
-    """Exact distances of all methods to all requirement parts."""
-    return _wmd_parts(spark, d, True).select("a", "b", F.round("wmd", 6).alias("wmd"))
+    """For each query the ten nearest methods by the exact distance; the relaxed one, which is never larger, leaves out what can't be among them."""
+    a, b, vec = _wmd_inputs(spark, d)
+    return similarity.nearest_by_wmd(a, b, vec, 10).select("b", "rank", "a", F.round("wmd", 6).alias("wmd"))
 
 
 # --- features --------------------------------------------------------------------------------------------------
@@ -381,28 +363,18 @@ def emb05(spark, d):
 
 @query("emb06_use_case_parts", f"""
 WITH {D.METHOD_SQL}, ln AS (SELECT doc_id AS file, i - 1 AS pos, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE artefact_kind = 'use_case' AND text IS NOT NULL))),
-sec AS (SELECT file, line, coalesce(last_value(tag IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING), 'description') AS section FROM (SELECT *, {_headers_sql(ENGLISH_HEADERS)} AS tag FROM ln)),
+sec AS (SELECT file, line, coalesce(last_value(tag IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING), 'description') AS section FROM (SELECT *, {_headers_sql(HEADERS)} AS tag FROM ln)),
 w AS (SELECT file, section, lower(unnest(regexp_extract_all(line, '[A-Za-z]+'))) AS word FROM sec WHERE section IN ('name', 'flow')),
 p AS (SELECT file, section, avg(vec[1]) AS x FROM w JOIN wv USING (word) GROUP BY ALL) SELECT file, round(avg(x), 6) AS x FROM p GROUP BY file""")
 def emb06(spark, d):
     docs = load(spark, d, "documents").filter("artefact_kind = 'use_case' and text is not null")
     lines = docs.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    tagged = graph.use_case_sections(lines, {k: f"(?={v})" for k, v in ENGLISH_HEADERS.items()}).filter("section in ('name', 'flow')")
+    tagged = graph.use_case_sections(lines, {k: f"(?={v})" for k, v in HEADERS.items()}).filter("section in ('name', 'flow')")
     w = tagged.select("file", "section", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("word")).withColumn("word", F.lower("word"))
     out = features.mean_of_means(w, D.word_vec(spark, d), ["file", "section"], ["file"])
     return out.select("file", F.round(F.element_at("vec", 1), 6).alias("x"))
 
 
-@query("emb08_flags")
-def emb08(spark, d):
-    """The number of tokens each flag set of the class-element embeddings takes from the declarations of a file."""
-    p = materialize(_parsed(spark, d), "declarations")
-    word = lambda c: F.array_compact(F.array(c))
-    parts = {"class_name": F.when(F.col("kind").isin("class", "interface", "enum"), word(F.col("name"))), "super": F.col("supers"), "methods": F.when(F.col("kind") == "method", F.concat(word(F.col("name")), "params", "param_names")), "attributes": F.when(F.col("kind") == "attribute", word(F.col("name"))), "class_comment": F.when(F.col("kind") == "class", F.split("comment", " ")), "method_comment": F.when(F.col("kind") == "method", F.split("comment", " ")), "method_body": F.when(F.col("kind") == "method", F.col("body_words"))}
-    cols = [F.sum(F.size(features.element_text({f: f in flags for f in techniques.ELEMENT_FLAGS}, parts))).alias(name) for name, flags in sorted(techniques.element_techniques().items())]
-    return p.groupBy("file").agg(*cols)
-
-
 @query("emb10_distinct_words", f"{_MEAN_W}, s AS (SELECT DISTINCT file, word, i, x FROM x) SELECT file, i, round(avg(x), 6) AS x FROM s GROUP BY file, i")
 def emb10(spark, d):
     return _first_dims(features.word_mean(D.method_words(spark, d), D.word_vec(spark, d), ["file"], distinct=True), "file")
@@ -425,25 +397,32 @@ def emb13(spark, d):
 
 
 @query("emb15_tfidf", f"WITH {D.WORDS_SQL}, {_TFIDF.format('dw')} SELECT file, word, round(weight, 6) AS weight FROM wt")
-def emb15(spark, d, doc_words=D.doc_words):
-    return features.tfidf(doc_words(spark, d)).select("file", "word", F.round("weight", 6).alias("weight"))
+def emb15(spark, d):
+    return features.tfidf(D.doc_words(spark, d)).select("file", "word", F.round("weight", 6).alias("weight"))
+
+
+_REQ_WORDS = "rw AS (SELECT 'r' || req_id AS file, unnest(regexp_extract_all(lower(any_value(req_text)), '[\\p{L}\\p{N}]+')) AS word FROM issue_entry WHERE req_id % 20 = 0 AND req_text IS NOT NULL GROUP BY req_id), cw AS (SELECT 'c' || file AS file, word FROM mw), aw AS (SELECT * FROM rw UNION ALL SELECT * FROM cw)"
+
 
+def _req_words(spark, d):
+    """Words of the requirements whose id is divisible by 20, the queries of the search."""
+    return D.part_words(spark, d).filter("part % 20 = 0").select(F.concat(F.lit("r"), F.col("part").cast("string")).alias("file"), "word")
 
-@query("emb15_tfidf_all")
-def emb15_all(spark, d):
-    return emb15(spark, d, D.all_doc_words)
 
+def _class_words(spark, d):
+    return D.method_words(spark, d).select(F.concat(F.lit("c"), "file").alias("file"), "word")
 
-@query("emb16_tfidf_cosine", f"WITH {D.METHOD_SQL}, {_TFIDF.format('mw')} SELECT p.file AS a, q.file AS b, round(sum(p.weight * q.weight), 6) AS sim FROM wt p JOIN wt q ON p.word = q.word AND p.file LIKE 'DB%' AND q.file NOT LIKE 'DB%' GROUP BY 1, 2")
+
+@query("emb16_tfidf_cosine", f"WITH {D.METHOD_SQL}, {_REQ_WORDS}, {_TFIDF.format('aw')} SELECT p.file AS a, q.file AS b, round(sum(p.weight * q.weight), 6) AS sim FROM wt p JOIN wt q ON p.word = q.word AND p.file LIKE 'r%' AND q.file LIKE 'c%' GROUP BY 1, 2")
 def emb16(spark, d):
-    w = materialize(features.tfidf(D.method_words(spark, d)), "tfidf")
-    return features.sparse_cosine(w.filter("file like 'DB%'"), w.filter("file not like 'DB%'")).select("a", "b", F.round("sim", 6).alias("sim"))
+    """Requirements (queries) against all classes over a shared vocabulary."""
+    w = materialize(features.tfidf(_req_words(spark, d).unionByName(_class_words(spark, d))), "tfidf")
+    return features.sparse_cosine(w.filter("file like 'r%'"), w.filter("file like 'c%'")).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query("emb17_jaccard", f"WITH {D.METHOD_SQL}, x AS (SELECT DISTINCT file, word FROM mw), n AS (SELECT file, count(*) AS n FROM x GROUP BY 1), c AS (SELECT p.file AS a, q.file AS b, count(*) AS c FROM x p JOIN x q ON p.word = q.word AND p.file LIKE 'DB%' AND q.file NOT LIKE 'DB%' GROUP BY 1, 2) SELECT a, b, round(c / (m.n + k.n - c), 6) AS sim FROM c JOIN n m ON m.file = a JOIN n k ON k.file = b")
+@query("emb17_jaccard", f"WITH {D.METHOD_SQL}, {_REQ_WORDS}, x AS (SELECT DISTINCT file, word FROM aw), n AS (SELECT file, count(*) AS n FROM x GROUP BY 1), c AS (SELECT p.file AS a, q.file AS b, count(*) AS c FROM x p JOIN x q ON p.word = q.word AND p.file LIKE 'r%' AND q.file LIKE 'c%' GROUP BY 1, 2) SELECT a, b, round(c / (m.n + k.n - c), 6) AS sim FROM c JOIN n m ON m.file = a JOIN n k ON k.file = b")
 def emb17(spark, d):
-    w = D.method_words(spark, d).select("file", "word").distinct()
-    return features.sparse_jaccard(w.filter("file like 'DB%'").withColumnRenamed("file", "a"), w.filter("file not like 'DB%'").withColumnRenamed("file", "b")).select("a", "b", F.round("sim", 6).alias("sim"))
+    return features.sparse_jaccard(_req_words(spark, d).withColumnRenamed("file", "a"), _class_words(spark, d).withColumnRenamed("file", "b")).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 # --- joins -----------------------------------------------------------------------------------------------------
@@ -461,10 +440,11 @@ def jn02(spark, d):
     return similarity.cosine_pairs(c, r).select("code", "req", F.round("sim", 6).alias("sim"))
 
 
-@query("jn03_selected_parts", f"{_PAIRS} SELECT elem, part, round(sim, 6) AS sim FROM pairs WHERE part % 20 IN (0, 5)")
+@query("jn03_whole_requirement", f"{_PAIRS}, x AS (SELECT req, unnest(vec) AS x, unnest(range(64)) AS i FROM req_el), m AS (SELECT req, list(x ORDER BY i) AS vec FROM (SELECT req, i, avg(x) AS x FROM x GROUP BY ALL) GROUP BY req) SELECT elem, req, round(list_dot_product(c.vec, m.vec) / sqrt(list_dot_product(c.vec, c.vec) * list_dot_product(m.vec, m.vec)), 6) AS sim FROM code_el c, m")
 def jn03(spark, d):
-    r = D.req_parts(spark, d).filter("part % 20 in (0, 5)")
-    return similarity.cosine_pairs(D.code_elements(spark, d), r).select("elem", "part", F.round("sim", 6).alias("sim"))
+    """Methods against whole requirements, the mean of their parts."""
+    r = V.mean_vector(D.req_parts(spark, d), ["req"], "vec").withColumn("part", F.col("req"))
+    return similarity.cosine_pairs(D.code_elements(spark, d), r).select("elem", "req", F.round("sim", 6).alias("sim"))
 
 
 @query("jn05_combination", f"{_PAIRS}, a AS (SELECT code, count(*) AS ids FROM pairs WHERE sim > 0.2 GROUP BY code), b AS (SELECT code, count(*) AS comments FROM pairs WHERE sim > 0.35 GROUP BY code) SELECT code, ids, coalesce(comments, 0) AS comments FROM a LEFT JOIN b USING (code)")
@@ -491,16 +471,16 @@ def jn06(spark, d):
     return _rows(spark, d).groupBy("elem", "req", "near").agg(F.count("*").alias("n"), F.round(F.sum("sim"), 6).alias("total"))
 
 
-@query("jn07_semi", f"WITH {D.TRACE_SQL} SELECT req, code, round(sim, 6) AS sim FROM hits WHERE hit = 1")
-def jn07(spark, d, tool="tool_b"):
-    return M.with_hits(D.trace_scores(spark, d, tool), D.trace_gold(spark, d)).filter("hit = 1").select("req", "code", F.round("sim", 6).alias("sim"))
+@query("jn07_semi", f"WITH {D.TRACE_SQL} SELECT tool, req, code, round(sim, 6) AS sim FROM hits WHERE hit = 1")
+def jn07(spark, d):
+    return M.with_hits(D.trace_scores(spark, d), D.trace_gold(spark, d)).filter("hit = 1").select("tool", "req", "code", F.round("sim", 6).alias("sim"))
 
 
-@query("jn08_completion", f"WITH {D.TRACE_SQL}, r AS (SELECT DISTINCT req FROM scores WHERE req LIKE 'st-1%'), c AS (SELECT DISTINCT code FROM scores WHERE code LIKE 'db%') SELECT req, code, round(coalesce(sim, 0), 6) AS sim FROM (SELECT * FROM r, c) LEFT JOIN scores USING (req, code)")
+@query("jn08_completion", f"WITH {D.TRACE_SQL}, r AS (SELECT DISTINCT tool, req FROM scores), c AS (SELECT DISTINCT tool, code FROM scores) SELECT tool, req, code, round(coalesce(sim, 0), 6) AS sim FROM (SELECT tool, req, code FROM r JOIN c USING (tool)) LEFT JOIN scores USING (tool, req, code)")
 def jn08(spark, d):
-    s = D.trace_scores(spark, d).filter("req like 'st-1%' and code like 'db%'")
-    all_ = D.trace_scores(spark, d)
-    return M.complete(s, all_.filter("req like 'st-1%'"), all_.filter("code like 'db%'")).select("req", "code", F.round("sim", 6).alias("sim"))
+    """The scores of each tool, with 0 for the missing pairs of all of its requirements and code files."""
+    s = materialize(D.trace_scores(spark, d), "scores")
+    return M.complete(s, s, s, run=("tool",)).select("tool", "req", "code", F.round("sim", 6).alias("sim"))
 
 
 @query("jn09_inheritance_rule", f"{_PAIRS}, l AS (SELECT code, req, max(sim) AS sim FROM pairs GROUP BY ALL HAVING max(sim) > 0.3) SELECT code, req, round(sim, 6) AS sim FROM l UNION ALL SELECT super, req, NULL FROM l JOIN inh ON sub = code")
@@ -523,45 +503,27 @@ def jn11(spark, d):
 
 
 @query("jn12_file_word_weight", f"WITH {D.WORDS_SQL}, {_TFIDF.format('dw')} SELECT file, round(sum(weight), 6) AS total FROM dw JOIN wt USING (file, word) GROUP BY file")
-def jn12(spark, d, doc_words=D.doc_words):
-    t = doc_words(spark, d)
+def jn12(spark, d):
+    t = D.doc_words(spark, d)
     return t.join(features.tfidf(t), ["file", "word"]).groupBy("file").agg(F.round(F.sum("weight"), 6).alias("total"))
 
 
-@query("jn12_file_word_weight_all")
-def jn12_all(spark, d):
-    return jn12(spark, d, D.all_doc_words)
-
-
 _ISSUE = "iss AS (SELECT req_id, any_value(req_filename) AS req, any_value(req_text) AS txt, any_value(code) AS code FROM issue_entry GROUP BY req_id)"
 
 
-@query("jn14_labelled_pairs", "WITH g AS (SELECT DISTINCT lower(req_filename) AS req, lower(code_filename) AS code FROM trace_link WHERE req_filename IS NOT NULL AND code_filename IS NOT NULL), r AS (SELECT DISTINCT req FROM g WHERE req LIKE 'dd-1%'), c AS (SELECT DISTINCT code FROM g WHERE code LIKE 'db%') SELECT 'r ' || r.req AS requirement, 'c ' || c.code AS code_entry, CASE WHEN g.req IS NULL THEN 0 ELSE 1 END AS valid, r.req AS requirement_filename, c.code AS code_filename, 'all' AS dataset FROM r, c LEFT JOIN g ON g.req = r.req AND g.code = c.code")
+@query("jn14_labelled_pairs", "WITH g AS (SELECT DISTINCT dataset, lower(req_filename) AS req, lower(code_filename) AS code FROM trace_link WHERE dataset IS NOT NULL AND req_filename IS NOT NULL AND code_filename IS NOT NULL), r AS (SELECT DISTINCT dataset, req FROM g), c AS (SELECT DISTINCT dataset, code FROM g) SELECT 'r ' || r.req AS requirement, 'c ' || c.code AS code_entry, CASE WHEN g.req IS NULL THEN 0 ELSE 1 END AS valid, r.req AS requirement_filename, c.code AS code_filename, r.dataset FROM r JOIN c USING (dataset) LEFT JOIN g ON g.dataset = r.dataset AND g.req = r.req AND g.code = c.code")
 def jn14(spark, d):
-    g = D.trace_gold(spark, d)
-    r = g.filter("req like 'dd-1%'").select("req").distinct().withColumn("requirement", F.concat(F.lit("r "), "req"))
-    c = g.filter("code like 'db%'").select("code").distinct().withColumn("code_entry", F.concat(F.lit("c "), "code"))
-    return sampling.labelled_pairs(r, c, g, "all")
-
-
-@query("jn14_labelled_pairs_all")
-def jn14_all(spark, d):
     """Every requirement against every code file of the gold links of its dataset."""
     t = load(spark, d, "trace_link").filter("dataset is not null and req_filename is not null and code_filename is not null")
     g = materialize(t.select("dataset", F.lower("req_filename").alias("req"), F.lower("code_filename").alias("code")).distinct(), "gold")
-    out = None
-    for (dataset,) in g.select("dataset").distinct().orderBy("dataset").collect():
-        own = g.filter(F.col("dataset") == dataset).select("req", "code")
-        r = own.select("req").distinct().withColumn("requirement", F.concat(F.lit("r "), "req"))
-        c = own.select("code").distinct().withColumn("code_entry", F.concat(F.lit("c "), "code"))
-        one = sampling.labelled_pairs(r, c, own, dataset)
-        out = one if out is None else out.unionByName(one)
-    return jn14(spark, d).limit(0) if out is None else out
+    r = g.select("dataset", "req").distinct().withColumn("requirement", F.concat(F.lit("r "), "req"))
+    c = g.select("dataset", "code").distinct().withColumn("code_entry", F.concat(F.lit("c "), "code"))
+    return sampling.labelled_pairs(r, c, g)
 
 
-@query("jn15_difference", f"WITH {D.TRACE_SQL} SELECT req, code FROM scores EXCEPT SELECT req, code FROM gold")
-def jn15(spark, d, tool="tool_b"):
-    return D.trace_scores(spark, d, tool).select("req", "code").join(D.trace_gold(spark, d), ["req", "code"], "left_anti").distinct()
+@query("jn15_difference", f"WITH {D.TRACE_SQL} SELECT tool, req, code FROM hits WHERE hit = 0")
+def jn15(spark, d):
+    return D.trace_scores(spark, d).select("tool", "req", "code").join(D.trace_gold(spark, d), ["req", "code"], "left_anti").select("tool", "req", "code")
 
 
 _POINTS = "pt AS (SELECT l_orderkey AS ind, sum(l_quantity) AS a, round(sum(l_discount), 4) AS b FROM lineitem GROUP BY 1)"
@@ -571,20 +533,6 @@ def _points(spark, d):
     return load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("ind")).agg(F.sum("l_quantity").alias("a"), F.round(F.sum("l_discount"), 4).alias("b"))
 
 
-@query("jn16_domination", f"WITH {_POINTS} SELECT count(*) AS pairs FROM pt x JOIN pt y ON x.ind % 40 = y.ind % 40 AND x.a >= y.a AND x.b >= y.b AND (x.a > y.a OR x.b > y.b)")
-def jn16(spark, d):
-    """Pairs of points of one group of which the first dominates the second."""
-    x = _points(spark, d).withColumn("g", F.col("ind") % 40)
-    y = x.select("g", F.col("a").alias("c"), F.col("b").alias("e"))
-    return x.join(y, "g").filter("a >= c and b >= e and (a > c or b > e)").agg(F.count("*").alias("pairs"))
-
-
-@query("jn16_domination_all", f"WITH {_POINTS} SELECT count(*) AS pairs FROM pt x JOIN pt y ON x.a >= y.a AND x.b >= y.b AND (x.a > y.a OR x.b > y.b)")
-def jn16_all(spark, d):
-    """Pairs of points of which the first dominates the second, over all points."""
-    return spark.createDataFrame([(evolve.dominations(_points(spark, d), "a", "b"),)], "pairs long")
-
-
 # --- filters ---------------------------------------------------------------------------------------------------
 
 
@@ -594,12 +542,11 @@ def flt01(spark, d):
     return p.groupBy("req").agg(F.count(F.when(V.better(F.col("sim"), t), 1)).alias("above"), F.count(F.when(V.better(F.col("sim"), t, True), 1)).alias("below"))
 
 
-@query("flt04_file_threshold", f"WITH {D.TRACE_SQL} SELECT count(*) FILTER (WHERE sim > 0.5) AS larger, count(*) FILTER (WHERE sim <= 0.5) AS reverse FROM scores")
-def flt04(spark, d, tool="tool_b"):
-    s = D.trace_scores(spark, d, tool)
-    t = F.lit(0.5)
-    x = L.file_threshold(s, t).select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(L.file_threshold(s, t, True).select(F.lit(0).alias("a"), F.lit(1).alias("b")))
-    return x.agg(F.sum("a").alias("larger"), F.sum("b").alias("reverse"))
+@query("flt04_file_threshold", f"WITH {D.TRACE_SQL} SELECT tool, count(*) FILTER (WHERE sim > 0.5) AS larger, count(*) FILTER (WHERE sim <= 0.5) AS reverse FROM scores GROUP BY tool")
+def flt04(spark, d):
+    s, t = D.trace_scores(spark, d), F.lit(0.5)
+    x = L.file_threshold(s, t).select("tool", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(L.file_threshold(s, t, True).select("tool", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return x.groupBy("tool").agg(F.sum("a").alias("larger"), F.sum("b").alias("reverse"))
 
 
 @query("flt05_finite", "SELECT tool, count(*) AS n FROM trace_score WHERE score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score) GROUP BY tool")
@@ -748,65 +695,68 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-@query("agg16_prf1", f"WITH {D.TRACE_SQL} SELECT {_PRF} FROM (SELECT count(*) AS found, sum(hit)::BIGINT AS hits, (SELECT count(*) FROM gold) AS gold FROM hits WHERE sim > 0.5)")
-def agg16(spark, d, tool="tool_b"):
-    return _rounded(M.evaluate(L.file_threshold(D.trace_scores(spark, d, tool), F.lit(0.5)), D.trace_gold(spark, d)), "precision", "recall", "f1")
+@query("agg16_prf1", f"WITH {D.TRACE_SQL} SELECT tool, {_PRF} FROM (SELECT tool, count(*) AS found, sum(hit)::BIGINT AS hits, (SELECT count(*) FROM gold) AS gold FROM hits WHERE sim > 0.5 GROUP BY tool)")
+def agg16(spark, d):
+    return _rounded(M.evaluate(L.file_threshold(D.trace_scores(spark, d), F.lit(0.5)), D.trace_gold(spark, d), ("tool",)), "precision", "recall", "f1")
 
 
-@query("agg17_duplicates", f"WITH {D.TRACE_SQL} SELECT {_PRF} FROM (SELECT 2 * count(*) AS found, sum(hit)::BIGINT AS hits, (SELECT count(*) FROM gold) AS gold FROM hits)")
-def agg17(spark, d, tool="tool_b"):
-    s = D.trace_scores(spark, d, tool)
-    return _rounded(M.evaluate(s.unionByName(s.withColumn("req", F.upper("req"))), D.trace_gold(spark, d)), "precision", "recall", "f1")
+@query("agg17_duplicates", f"WITH {D.TRACE_SQL} SELECT tool, {_PRF} FROM (SELECT tool, 2 * count(*) AS found, sum(hit)::BIGINT AS hits, (SELECT count(*) FROM gold) AS gold FROM hits GROUP BY tool)")
+def agg17(spark, d):
+    s = D.trace_scores(spark, d)
+    return _rounded(M.evaluate(s.unionByName(s.withColumn("req", F.upper("req"))), D.trace_gold(spark, d), ("tool",)), "precision", "recall", "f1")
 
 
-_RANK = "rk AS (SELECT *, row_number() OVER w AS rank, sum(hit) OVER (PARTITION BY req ORDER BY sim DESC, code, req ROWS UNBOUNDED PRECEDING) AS s FROM hits WINDOW w AS (PARTITION BY req ORDER BY sim DESC, code, req))"
+_RANK = "rk AS (SELECT *, row_number() OVER w AS rank, sum(hit) OVER (PARTITION BY tool, req ORDER BY sim DESC, code, req ROWS UNBOUNDED PRECEDING) AS s FROM hits WINDOW w AS (PARTITION BY tool, req ORDER BY sim DESC, code, req))"
 
 
-def _hits(spark, d, tool="tool_b"):
-    return M.with_hits(D.trace_scores(spark, d, tool), D.trace_gold(spark, d))
+def _hits(spark, d):
+    return M.with_hits(D.trace_scores(spark, d), D.trace_gold(spark, d))
 
 
-@query("agg19_ap", f"WITH {D.TRACE_SQL}, {_RANK} SELECT req, round(CASE WHEN sum(hit) = 0 THEN 0 ELSE sum(s / rank * hit) / sum(hit) END, 6) AS ap, sum(hit)::BIGINT AS hits FROM rk GROUP BY req")
-def agg19(spark, d, tool="tool_b"):
-    return _rounded(M.average_precision(_hits(spark, d, tool), ("req",)), "ap")
+@query("agg19_ap", f"WITH {D.TRACE_SQL}, {_RANK} SELECT tool, req, round(CASE WHEN sum(hit) = 0 THEN 0 ELSE sum(s / rank * hit) / sum(hit) END, 6) AS ap, sum(hit)::BIGINT AS hits FROM rk GROUP BY tool, req")
+def agg19(spark, d):
+    return _rounded(M.average_precision(_hits(spark, d), ("tool", "req")), "ap")
 
 
-@query("agg20_map_at_k", f"WITH {D.TRACE_SQL}, {_RANK} SELECT round(sum(ap) / (SELECT count(DISTINCT req) FROM gold), 6) AS map, 3::BIGINT AS k FROM (SELECT req, CASE WHEN sum(hit) = 0 THEN 0 ELSE sum(s / rank * hit) / sum(hit) END AS ap FROM rk WHERE rank <= 3 GROUP BY req)")
-def agg20(spark, d, tool="tool_b"):
+@query("agg20_map_at_k", f"WITH {D.TRACE_SQL}, {_RANK} SELECT tool, round(sum(ap) / (SELECT count(DISTINCT req) FROM gold), 6) AS map, 3::BIGINT AS k FROM (SELECT tool, req, CASE WHEN sum(hit) = 0 THEN 0 ELSE sum(s / rank * hit) / sum(hit) END AS ap FROM rk WHERE rank <= 3 GROUP BY tool, req) GROUP BY tool")
+def agg20(spark, d):
     n = D.trace_gold(spark, d).select("req").distinct().count()
-    return _rounded(M.map_at_k(_hits(spark, d, tool), n, 3), "map")
+    return _rounded(M.map_at_k(_hits(spark, d), n, 3, run=("tool",)), "map")
 
 
-@query("agg21_map_recall", f"WITH {D.TRACE_SQL}, {_RANK}, ks AS (SELECT unnest(range(1, 11)) AS k), ap AS (SELECT k, req, CASE WHEN sum(hit) = 0 THEN 0 ELSE sum(s / rank * hit) / sum(hit) END AS ap, sum(hit) AS h FROM ks JOIN rk ON rank <= k GROUP BY ALL) SELECT k, round(sum(ap) / (SELECT count(DISTINCT req) FROM gold), 6) AS map, round(sum(h) / (SELECT count(*) FROM gold), 6) AS recall FROM ap GROUP BY k")
-def agg21(spark, d, tool="tool_b"):
-    g = D.trace_gold(spark, d).agg(F.countDistinct("req"), F.count("*")).first()
-    return _rounded(M.map_and_recall(_hits(spark, d, tool), g[0], g[1], 10), "map", "recall")
+@query("agg21_map_recall", f"WITH {D.TRACE_SQL}, {_RANK}, ks AS (SELECT unnest(range(1, (SELECT count(DISTINCT code) FROM (SELECT code FROM scores UNION SELECT code FROM gold)) + 1)) AS k), ap AS (SELECT tool, k, req, CASE WHEN sum(hit) = 0 THEN 0 ELSE sum(s / rank * hit) / sum(hit) END AS ap, sum(hit) AS h FROM ks JOIN rk ON rank <= k GROUP BY ALL) SELECT tool, k, round(sum(ap) / (SELECT count(DISTINCT req) FROM gold), 6) AS map, round(sum(h) / (SELECT count(*) FROM gold), 6) AS recall FROM ap GROUP BY tool, k")
+def agg21(spark, d):
+    """MAP and recall of each tool for every k up to the number of code files."""
+    hits, gold = materialize(_hits(spark, d), "hits"), D.trace_gold(spark, d)
+    g = gold.agg(F.countDistinct("req"), F.count("*")).first()
+    n_codes = hits.select("code").union(gold.select("code")).distinct().count()
+    return _rounded(M.map_and_recall(hits, g[0], g[1], n_codes, run=("tool",)), "map", "recall")
 
 
-_SWEEP_F = "fs AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS f), cells AS (SELECT f, count(*) AS found, sum(hit)::BIGINT AS hits, (SELECT count(*) FROM gold) AS gold FROM fs JOIN hits ON sim > f GROUP BY f)"
+_SWEEP_F = "fs AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS f), cells AS (SELECT tool, f, count(*) AS found, sum(hit)::BIGINT AS hits, (SELECT count(*) FROM gold) AS gold FROM fs JOIN hits ON sim > f GROUP BY tool, f)"
 
 
-def _cells(spark, d, tool="tool_b"):
+def _cells(spark, d):
     fs = F.broadcast(spark.createDataFrame([(x / 10,) for x in range(1, 9)], "f double"))
-    s = D.trace_scores(spark, d, tool)
-    return M.evaluate(s.join(fs, s["sim"] > fs["f"]), D.trace_gold(spark, d), ("f",))
+    s = D.trace_scores(spark, d)
+    return M.evaluate(s.join(fs, s["sim"] > fs["f"]), D.trace_gold(spark, d), ("tool", "f"))
 
 
-@query("agg22_integral_ap", f"WITH {D.TRACE_SQL}, {_SWEEP_F}, c AS (SELECT hits / gold AS recall, max(hits / found) AS precision FROM cells GROUP BY 1) SELECT round(sum((recall - p) * precision), 6) AS ap FROM (SELECT *, coalesce(lag(recall) OVER (ORDER BY recall), 0) AS p FROM c)")
-def agg22(spark, d, tool="tool_b"):
-    return _rounded(M.integral_average_precision(M.curve(_cells(spark, d, tool))), "ap")
+@query("agg22_integral_ap", f"WITH {D.TRACE_SQL}, {_SWEEP_F}, c AS (SELECT tool, hits / gold AS recall, max(hits / found) AS precision FROM cells GROUP BY 1, 2) SELECT tool, round(sum((recall - p) * precision), 6) AS ap FROM (SELECT *, coalesce(lag(recall) OVER (PARTITION BY tool ORDER BY recall), 0) AS p FROM c) GROUP BY tool")
+def agg22(spark, d):
+    return _rounded(M.integral_average_precision(M.curve(_cells(spark, d), ("tool",)), ("tool",)), "ap")
 
 
-@query("agg23_curves", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT 'max' AS rule, round(hits / gold, 6) AS recall, round(max(hits / found), 6) AS precision FROM cells GROUP BY hits / gold UNION ALL SELECT 'last', round(hits / gold, 6), round(arg_max(hits / found, f), 6) FROM cells GROUP BY hits / gold")
-def agg23(spark, d, tool="tool_b"):
-    c = materialize(_cells(spark, d, tool), "cells")
-    both = M.curve(c).withColumn("rule", F.lit("max")).unionByName(M.curve(c, (), "last", F.col("f")).withColumn("rule", F.lit("last")))
-    return _rounded(both, "recall", "precision").select("rule", "recall", "precision")
+@query("agg23_curves", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT tool, 'max' AS rule, round(hits / gold, 6) AS recall, round(max(hits / found), 6) AS precision FROM cells GROUP BY tool, hits / gold UNION ALL SELECT tool, 'last', round(hits / gold, 6), round(arg_max(hits / found, f), 6) FROM cells GROUP BY tool, hits / gold")
+def agg23(spark, d):
+    c = materialize(_cells(spark, d), "cells")
+    both = M.curve(c, ("tool",)).withColumn("rule", F.lit("max")).unionByName(M.curve(c, ("tool",), "last", F.col("f")).withColumn("rule", F.lit("last")))
+    return _rounded(both, "recall", "precision").select("tool", "rule", "recall", "precision")
 
 
-@query("agg24_best_f1", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT f, {_PRF} FROM cells ORDER BY 2 * hits / (found + gold) DESC, f LIMIT 1")
-def agg24(spark, d, tool="tool_b"):
-    return _rounded(M.best_cell(_cells(spark, d, tool), ["f"]), "precision", "recall", "f1")
+@query("agg24_best_f1", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT tool, f, {_PRF} FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY 2 * hits / (found + gold) DESC, f) AS r FROM cells) WHERE r = 1")
+def agg24(spark, d):
+    return _rounded(M.best_cell(_cells(spark, d), ["f"], ("tool",)), "precision", "recall", "f1")
 
 
 @query("agg25_grouped", "SELECT dataset, count(*) AS n, array_to_string(list_sort(list(DISTINCT lower(code_filename))), ' ') AS codes FROM trace_link WHERE code_filename IS NOT NULL GROUP BY dataset")
@@ -842,9 +792,9 @@ def agg28(spark, d):
     return _rounded(M.best_technique(_by_set(spark, d)), "mean_best_f1")
 
 
-@query("agg29_label_balance", f"WITH {D.TRACE_SQL} SELECT sum(hit)::BIGINT AS valid, sum(1 - hit)::BIGINT AS invalid FROM hits")
-def agg29(spark, d, tool="tool_b"):
-    return _hits(spark, d, tool).agg(F.sum("hit").alias("valid"), F.sum(1 - F.col("hit")).alias("invalid"))
+@query("agg29_label_balance", f"WITH {D.TRACE_SQL} SELECT tool, sum(hit)::BIGINT AS valid, sum(1 - hit)::BIGINT AS invalid FROM hits GROUP BY tool")
+def agg29(spark, d):
+    return _hits(spark, d).groupBy("tool").agg(F.sum("hit").alias("valid"), F.sum(1 - F.col("hit")).alias("invalid"))
 
 
 @query("agg30_issue_report", "WITH i AS (SELECT req_id, any_value(dataset) AS dataset, any_value(req_text) AS t, any_value(code) AS c, any_value(children) AS ch FROM issue_entry GROUP BY req_id) SELECT dataset, count(*) AS issues, count(*) FILTER (WHERE len(c) > 0) AS with_code, coalesce(sum(len(c)), 0)::BIGINT AS code_links, count(*) FILTER (WHERE cardinality(ch) > 0) AS with_children FROM i GROUP BY dataset")
@@ -853,9 +803,9 @@ def agg30(spark, d):
     return i.groupBy("dataset").agg(F.count("*").alias("issues"), F.count(F.when(F.col("c") > 0, 1)).alias("with_code"), F.coalesce(F.sum(F.greatest("c", F.lit(0))), F.lit(0)).cast("long").alias("code_links"), F.count(F.when(F.col("ch") > 0, 1)).alias("with_children"))
 
 
-@query("win01_precision_at", f"WITH {D.TRACE_SQL}, {_RANK} SELECT req, code, rank, round(s / rank, 6) AS precision_at FROM rk")
-def win01(spark, d, tool="tool_b"):
-    return M.ranked(_hits(spark, d, tool), ("req",)).select("req", "code", F.col("rank").cast("long").alias("rank"), F.round("precision_at", 6).alias("precision_at"))
+@query("win01_precision_at", f"WITH {D.TRACE_SQL}, {_RANK} SELECT tool, req, code, rank, round(s / rank, 6) AS precision_at FROM rk")
+def win01(spark, d):
+    return M.ranked(_hits(spark, d), ("tool", "req")).select("tool", "req", "code", F.col("rank").cast("long").alias("rank"), F.round("precision_at", 6).alias("precision_at"))
 
 
 @query("win05_crowding", f"WITH {_POINTS}, p AS (SELECT ind, ind % 5 AS front, a, b FROM pt), l AS (SELECT ind, front, 'a' AS dim, a AS v FROM p UNION ALL SELECT ind, front, 'b', b FROM p), g AS (SELECT ind, front, CASE WHEN mx = mn THEN 0 WHEN lo IS NULL OR hi IS NULL THEN 'inf'::DOUBLE ELSE (hi - lo) / (2 * (mx - mn)) END AS g FROM (SELECT *, lag(v) OVER w AS lo, lead(v) OVER w AS hi, max(v) OVER (PARTITION BY front, dim) AS mx, min(v) OVER (PARTITION BY front, dim) AS mn FROM l WINDOW w AS (PARTITION BY front, dim ORDER BY v, ind))) SELECT ind, front, CASE WHEN isinf(sum(g)) THEN -1 ELSE round(sum(g), 6) END AS crowding FROM g GROUP BY ind, front")
@@ -876,10 +826,10 @@ def win08(spark, d):
 # --- sorts and sets --------------------------------------------------------------------------------------------
 
 
-@query("srt01_stable_order", f"WITH {D.TRACE_SQL} SELECT req, code, row_number() OVER (PARTITION BY req ORDER BY sim DESC, code) AS pos FROM scores")
-def srt01(spark, d, tool="tool_b"):
-    w = Window.partitionBy("req").orderBy(F.col("sim").desc(), "code")
-    return D.trace_scores(spark, d, tool).select("req", "code", F.row_number().over(w).cast("long").alias("pos"))
+@query("srt01_stable_order", f"WITH {D.TRACE_SQL} SELECT tool, req, code, row_number() OVER (PARTITION BY tool, req ORDER BY sim DESC, code) AS pos FROM scores")
+def srt01(spark, d):
+    w = Window.partitionBy("tool", "req").orderBy(F.col("sim").desc(), "code")
+    return D.trace_scores(spark, d).select("tool", "req", "code", F.row_number().over(w).cast("long").alias("pos"))
 
 
 @query("srt05_survivors", f"WITH {_POINTS} SELECT ind, ind % 5 AS front, a AS crowding FROM pt ORDER BY front, a DESC, ind LIMIT 50")
@@ -941,14 +891,8 @@ def set08(spark, d):
     return D.identifiers(spark, d).select("method_id", F.size(F.array_union("t", other)).cast("long").alias("both"), F.size(F.array_intersect("t", other)).cast("long").alias("shared"))
 
 
-@query("set09_known_edges", f"{_PAIRS} SELECT DISTINCT caller, callee FROM cg WHERE caller < 300 AND callee < 300")
+@query("set09_known_edges", f"{_PAIRS} SELECT DISTINCT caller, callee FROM cg JOIN elem x ON x.id = caller JOIN elem y ON y.id = callee")
 def set09(spark, d):
-    nodes = D.elem(spark, d).filter("id < 300").select(F.col("id").alias("node"))
-    return graph.to_known(D.call_edges(spark, d), nodes)
-
-
-@query("set09_known_edges_all")
-def set09_all(spark, d):
     return graph.to_known(D.call_edges(spark, d), D.elem(spark, d).select(F.col("id").alias("node")))
 
 
@@ -996,28 +940,6 @@ def ns03(spark, d):
     return load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("ind")).agg(F.sum("l_quantity").alias("q"), F.round(F.avg("l_discount"), 6).alias("d"))
 
 
-@query("ns04_front1", f"WITH {_POINTS} SELECT ind, a, b FROM pt x WHERE NOT EXISTS (SELECT 1 FROM pt y WHERE y.a >= x.a AND y.b >= x.b AND (y.a > x.a OR y.b > x.b))")
-def ns04(spark, d):
-    return evolve.first_front(_points(spark, d), ["a", "b"])
-
-
-@query("ns04_fronts")
-def ns04_all(spark, d):
-    """All points with the number of their front."""
-    return evolve.fronts_of_two(_points(spark, d), "a", "b")
-
-
-@query("ns08_search")
-def ns08(spark, d):
-    """The last population of a search over the hundred best-scored pairs of two tools."""
-    s = L.finite(load(spark, d, "trace_score"), "score").filter("req_filename is not null and code_filename is not null")
-    two = s.groupBy("req_filename", "code_filename").agg(F.max(F.when(F.col("tool") == "tool_a", F.col("score"))).alias("a"), F.max(F.when(F.col("tool") == "tool_b", F.col("score"))).alias("b"))
-    pool = two.orderBy(F.greatest(F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))).desc(), "req_filename", "code_filename").limit(100)
-    sims = {(r[0], r[1]): (r[2] or 0.0, r[3] or 0.0) for r in pool.collect()}
-    found = evolve.search(sims, evolve.Settings(size=20, genes=10, generations=10))
-    return spark.createDataFrame([(i, len(p), *map(float, v)) for i, (p, v) in enumerate(found)], "ind int, links int, a double, b double")
-
-
 # --- sweeps ----------------------------------------------------------------------------------------------------
 
 _SWEEP = f"""{_PAIRS}, {_GRID}, em AS (SELECT DISTINCT e, m FROM grid),
@@ -1054,15 +976,9 @@ def swp04(spark, d):
     return spark.createDataFrame([tuple(float(best[k]) for k in ("e", "m", "f", "f1"))] if best else [], "e double, m double, f double, f1 double")
 
 
-@query("swp07_third_party", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT f, {_PRF} FROM cells")
-def swp07(spark, d, tool="tool_b"):
-    return _rounded(_cells(spark, d, tool), "precision", "recall", "f1")
-
-
-@query("swp08_techniques")
-def swp08(spark, d):
-    rows = [(t.name, t.level, t.parts, t.texts, t.voter.value, t.req_reduce) for t in techniques.word_bag_techniques().values()]
-    return spark.createDataFrame(rows, "name string, level string, parts string, texts string, voter string, req_reduce string")
+@query("swp07_third_party", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT tool, f, {_PRF} FROM cells")
+def swp07(spark, d):
+    return _rounded(_cells(spark, d), "precision", "recall", "f1")
 
 
 @query("swp10_rules_in_sweep", f"{_SWEEP}, k2 AS (SELECT e, m, f, code, req FROM kept UNION ALL SELECT e, m, f, super, req FROM kept JOIN inh ON sub = code) SELECT e, m, f, {_PRF} FROM (SELECT e, m, f, sum(n)::BIGINT AS found, count(g.req) AS hits, (SELECT count(*) FROM gold) AS gold FROM (SELECT e, m, f, code, req, count(*) AS n FROM k2 GROUP BY ALL) k LEFT JOIN gold g ON g.req = k.req AND g.code = k.code GROUP BY e, m, f)")
@@ -1070,20 +986,11 @@ def swp10(spark, d):
     return _rounded(techniques.sweep(D.pairs(spark, d), _grid(spark), D.gold(spark, d), rules=D.inherits(spark, d)), "precision", "recall", "f1")
 
 
-@query("swp11_inheritance")
-def swp11(spark, d):
-    p = materialize(_parsed(spark, d).filter("kind in ('class', 'interface')").select("file", "ord", "name", "supers"), "classes")
-    files = graph.class_files(p.select(F.col("name").alias("class_name"), "file", F.struct("file", "ord").alias("ord")))
-    return graph.inheritance_edges(p.select("file", F.explode("supers").alias("super_class")), files)
-
-
 # --- sources and sinks: written into the shared folder and read again --------------------------------------------
 
 
 def _path(spark, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/linkloom/io/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/io/{name}-{uuid.uuid4().hex}"
 
 
 @query("src02_texts", "SELECT count(*) AS files, sum(length(regexp_replace(content, '^\ufeff', '')))::BIGINT AS chars FROM (SELECT file_id, any_value(content) AS content FROM code_file GROUP BY file_id) WHERE content IS NOT NULL AND content <> ''".replace("\\ufeff", chr(0xFEFF)).replace("\ufeff", chr(0xFEFF)))
@@ -1124,12 +1031,12 @@ def src07(spark, d):
 
 @query("src08_gold_xml", "SELECT DISTINCT lower(req_filename) AS req, lower(code_filename) AS code FROM trace_link WHERE req_filename IS NOT NULL AND code_filename IS NOT NULL")
 def src08(spark, d):
+    """The gold set as XML documents, one for each kind of requirement, read as whole documents."""
     p = _path(spark, "xml")
-    x = D.trace_gold(spark, d).select(F.concat(F.lit("<links><link><req>"), "req", F.lit("</req><note/><code>"), "code", F.lit("</code></link></links>")).alias("value"))
-    x.repartition(1).write.text(p)
-    y = spark.read.text(p)
-    nodes = lambda which: F.expr(f"xpath(value, '//link/*[{which}]/text()')")
-    return y.select(F.explode(F.arrays_zip(nodes("1").alias("req"), nodes("last()").alias("code"))).alias("x")).select("x.req", "x.code").distinct()
+    link = F.concat(F.lit("<link><req>"), "req", F.lit("</req><note/><code>"), "code", F.lit("</code></link>"))
+    docs = D.trace_gold(spark, d).groupBy(F.pmod(F.xxhash64("req"), F.lit(64)).alias("part")).agg(F.concat(F.lit("<links>"), F.concat_ws("", F.collect_list(link)), F.lit("</links>")).alias("value"))
+    docs.repartition("part").write.partitionBy("part").text(p)
+    return R.gold_xml(spark, p)
 
 
 @query("src09_gold_text", "SELECT DISTINCT lower(req_filename) AS req, lower(code_filename) AS code FROM trace_link WHERE req_filename IS NOT NULL AND code_filename IS NOT NULL")
@@ -1148,12 +1055,13 @@ def src10(spark, d):
     return R.csv(spark, [a, b], "dataset string, req_filename string, code_filename string").groupBy("dataset").agg(F.count("*").alias("n"))
 
 
-@query("src11_third_party", f"WITH {D.TRACE_SQL} SELECT regexp_replace(req, '[.]txt$', '') AS req, code, round(sim, 6) AS sim FROM scores")
-def src11(spark, d, tool="tool_b"):
+@query("src11_third_party", f"WITH {D.TRACE_SQL} SELECT tool, regexp_replace(req, '[.]txt$', '') AS req, code, round(sim, 6) AS sim FROM scores")
+def src11(spark, d):
+    """One directory of score files for each tool, written and read again."""
     p = _path(spark, "scores")
-    D.trace_scores(spark, d, tool).select(F.concat_ws(" ", "req", F.concat(F.lit("org.pkg."), "code"), F.col("sim").cast("string")).alias("value")).write.text(p)
-    lines = spark.read.text(p).select(F.lit(6).alias("pos"), F.col("value").alias("line"))
-    return R.third_party_scores(lines).withColumn("sim", F.round("sim", 6))
+    D.trace_scores(spark, d).select("tool", F.concat_ws(" ", "req", F.concat(F.lit("org.pkg."), "code"), F.col("sim").cast("string")).alias("value")).write.partitionBy("tool").text(p)
+    lines = spark.read.schema("value string, tool string").text(p).select(F.lit(6).alias("pos"), F.col("value").alias("line"), "tool")
+    return R.third_party_scores(lines, keep=("tool",)).withColumn("sim", F.round("sim", 6))
 
 
 @query("src12_call_graph", f"{_PAIRS} SELECT DISTINCT 'M' AS kind, 'org.app.C' || (caller // 20) AS caller_class, 'm' || caller || '(int)' AS caller, 'org.app.C' || (callee // 20) AS callee_class, 'm' || callee || '(int)' AS callee FROM cg WHERE caller % 4 <> 0")
@@ -1189,11 +1097,11 @@ def src16(spark, d):
     return R.embeddings(spark.read.schema(R.EMBEDDING).json(p)).filter("pos >= 0").groupBy("file").agg(F.count("*").alias("n"), F.round(F.sum(F.element_at("vec", 1)), 6).alias("x"))
 
 
-@query("src17_eval_matrix", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT f, found, hits FROM cells")
-def src17(spark, d, tool="tool_b"):
+@query("src17_eval_matrix", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT tool, f, found, hits FROM cells")
+def src17(spark, d):
     p = _path(spark, "eval")
-    S.write_json(_cells(spark, d, tool), p)
-    return spark.read.schema("f double, found long, hits long").json(p)
+    S.write_json(_cells(spark, d), p)
+    return spark.read.schema("tool string, f double, found long, hits long").json(p)
 
 
 @query("src18_saved_links", f"{_SWEEP} SELECT req, code FROM kept WHERE e = 0.1 AND m = 0.2 AND f = 0.25")
@@ -1231,21 +1139,11 @@ def src23(spark, d):
     return f.groupBy("file_name").agg(F.count("*").alias("n")).agg(F.sum("n").alias("files"), F.count("file_name").alias("names"))
 
 
-@query("src24_stop_words", "SELECT unnest(" + _lit(T.CODE_STOP_WORDS) + ") AS word")
-def src24(spark, d):
-    return spark.createDataFrame([(w,) for w in T.CODE_STOP_WORDS], "word string")
-
-
-@query("src25_datasets")
-def src25(spark, d):
-    return spark.createDataFrame([(c.name, c.language, c.code_language, c.encoding, c.keys_with_extension, c.gold_format, len(c.headers)) for c in DATASETS.values()], "name string, language string, code_language string, encoding string, keys_with_extension boolean, gold_format string, headers int")
-
-
-@query("snk01_curve", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT round(hits / gold, 6) AS recall, round(max(hits / found), 6) AS precision FROM cells GROUP BY hits / gold")
-def snk01(spark, d, tool="tool_b"):
+@query("snk01_curve", f"WITH {D.TRACE_SQL}, {_SWEEP_F} SELECT tool, round(hits / gold, 6) AS recall, round(max(hits / found), 6) AS precision FROM cells GROUP BY tool, hits / gold")
+def snk01(spark, d):
     p = _path(spark, "curve")
-    S.write_curve(M.curve(_cells(spark, d, tool)), p)
-    return _rounded(R.csv(spark, p, "recall double, precision double"), "recall", "precision")
+    S.write_curve(M.curve(_cells(spark, d), ("tool",)), p, ("tool",))
+    return _rounded(R.csv(spark, p, "tool string, recall double, precision double"), "recall", "precision")
 
 
 @query("snk04_grid", f"{_SWEEP}, c AS (SELECT e, m, f, count(*) AS n FROM kept GROUP BY ALL) SELECT e, m, max(n) FILTER (WHERE f = 0.25) AS a, max(n) FILTER (WHERE f = 0.3) AS b FROM c GROUP BY e, m")
@@ -1260,11 +1158,11 @@ def snk06(spark, d):
     return S.gold_lines(D.trace_gold(spark, d))
 
 
-@query("snk08_partitioned", f"{_PAIRS} SELECT code, count(*) AS n FROM code_el WHERE code = 3 GROUP BY code")
+@query("snk08_partitioned", f"{_PAIRS} SELECT code, count(*) AS n FROM code_el GROUP BY code")
 def snk08(spark, d):
     p = S.output_path(_path(spark, "table"), "embedding", technique="plain")
     S.write_table(D.code_elements(spark, d), p, "code")
-    return spark.read.parquet(p).filter("code = 3").groupBy(F.col("code").cast("long").alias("code")).agg(F.count("*").alias("n"))
+    return spark.read.parquet(p).groupBy(F.col("code").cast("long").alias("code")).agg(F.count("*").alias("n"))
 
 
 @query("snk10_token_dump", f"WITH {D.IDENT_SQL} SELECT array_to_string(t, ' ') AS value FROM ident WHERE len(t) > 0 AND array_to_string(t, ' ') <> ''")
@@ -1280,40 +1178,6 @@ def snk12(spark, d):
     return S.links_of_cell(links, 0.1, 0.2, 0.25, valid_only=True)
 
 
-# --- all tools -------------------------------------------------------------------------------------------------
-
-
-def _of_tools(name: str, of_tool) -> None:
-    """Registers NAME_tools, the query NAME for each tool of the score table in one plan, with the column tool."""
-
-    def all_tools(spark, d):
-        out = None
-        for (tool,) in load(spark, d, "trace_score").select("tool").distinct().orderBy("tool").collect():
-            one = of_tool(spark, d, tool).withColumn("tool", F.lit(tool).cast("string"))
-            out = one if out is None else out.unionByName(one)
-        return of_tool(spark, d).withColumn("tool", F.lit("")).limit(0) if out is None else out
-
-    query(name + "_tools")(all_tools)
-
-
-def _map_recall_of_all_k(spark, d, tool="tool_b"):
-    """MAP and recall for every k up to the number of code files."""
-    hits, gold = materialize(_hits(spark, d, tool), "hits"), D.trace_gold(spark, d)
-    g = gold.agg(F.countDistinct("req"), F.count("*")).first()
-    n_codes = hits.select("code").union(gold.select("code")).distinct().count()
-    return _rounded(M.map_and_recall_of_all(hits, g[0], g[1], n_codes), "map", "recall")
-
-
-def _completed(spark, d, tool="tool_b"):
-    """The scores of a tool, with 0 for the missing pairs of all of its requirements and code files."""
-    s = materialize(D.trace_scores(spark, d, tool), "scores")
-    return M.complete(s, s, s).select("req", "code", F.round("sim", 6).alias("sim"))
-
+# --- further modules -------------------------------------------------------------------------------------------
 
-for _name, _f in {
-    "num05_minmax": num05, "jn07_semi": jn07, "jn15_difference": jn15, "flt04_file_threshold": flt04, "agg16_prf1": agg16, "agg17_duplicates": agg17, "agg19_ap": agg19, "agg20_map_at_k": agg20,
-    "agg21_map_recall": _map_recall_of_all_k, "agg22_integral_ap": agg22, "agg23_curves": agg23, "agg24_best_f1": agg24, "agg29_label_balance": agg29, "win01_precision_at": win01, "srt01_stable_order": srt01,
-    "jn08_completion": _completed,
-    "src11_third_party": src11, "src17_eval_matrix": src17, "snk01_curve": snk01, "swp07_third_party": swp07,
-}.items():
-    _of_tools(_name, _f)
+from linkloom import evolution_queries, io_queries, technique_queries  # noqa: E402, F401

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 _own_dirs: dict[str, str] = {}
+_kept: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
@@ -77,6 +78,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
+def own_dir(spark: SparkSession) -> str:
+    """Where this application writes what it needs itself; dropped when it ends."""
+    path = f"{shared_dir(spark)}/linkloom/{spark.sparkContext.applicationId}"
+    if path not in _kept:
+        _kept.add(path)
+        atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session is gone; the folder's name says whose it was
+        pass
+
+
 class Table:
     """A written intermediate table: survives lost executors, can be dropped once no plan needs it."""
 
@@ -89,8 +107,7 @@ class Table:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _drop(self.spark, self.path)
 
 
 def write_table(df: DataFrame, name: str = "t", count: str | None = None) -> Table:
@@ -99,7 +116,7 @@ def write_table(df: DataFrame, name: str = "t", count: str | None = None) -> Tab
     With `count`, a condition, the table's `counted` holds the number of rows that satisfy it, without a pass of its own.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     table = Table(spark, path, df.schema)
     if count:
         seen = Observation()

@@ -82,14 +82,14 @@ def gold_text(df: DataFrame, delimiter: str = ":", req_ext: str | None = None, c
     return rows if duplicates else rows.distinct()
 
 
-def third_party_scores(df: DataFrame, header_lines: int = 6) -> DataFrame:
+def third_party_scores(df: DataFrame, header_lines: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
     """(req, code, sim) of lines 'req code sim' after a header, from (pos, line): no package, extensions in lower case, .jsp and .txt names bare."""
     p = F.split(F.trim("line"), r"\s+", -1)
     name = lambda c: F.concat(stem(c), F.lower(F.regexp_extract(c, r"(\.[^.]*)$", 1)))
     bare = lambda c: F.regexp_replace(c, r"\.(jsp|txt)$", "")
     code = F.regexp_replace(p[1], r"^.*\.(?=[^.]+\.[^.]+$)", "")
     rows = df.filter((F.col("pos") >= header_lines) & (F.size(p) == 3))
-    return rows.select(bare(name(p[0])).alias("req"), bare(name(code)).alias("code"), p[2].cast("double").alias("sim"))
+    return rows.select(*keep, bare(name(p[0])).alias("req"), bare(name(code)).alias("code"), p[2].cast("double").alias("sim"))
 
 
 def trace_pairs(df: DataFrame) -> DataFrame:
@@ -106,6 +106,11 @@ def embeddings(df: DataFrame) -> DataFrame:
     return df.select(F.col("file_path").alias("file"), F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.col("vector").alias("vec"))), F.transform(F.coalesce("sub_vectors", F.array().cast("array<array<double>>")), lambda v, i: F.struct(i.alias("pos"), v.alias("vec"))))).alias("x")).select("file", "x.pos", "x.vec")
 
 
+def embeddings_at_hand(df: DataFrame, file: str, pos: str, vec: str) -> DataFrame:
+    """(file, pos, vec) of a table of embeddings, as embeddings() gives them from storage."""
+    return df.select(F.col(file).cast("string").alias("file"), F.col(pos).alias("pos"), F.col(vec).alias("vec"))
+
+
 def call_graph(df: DataFrame, graph_col: str = "graph") -> tuple[DataFrame, DataFrame]:
     """(nodes (node, class_name, method_name, params), edges (caller, callee)) of a method call graph kept as a map."""
     n = df.select(F.explode(graph_col).alias("node", "x"))

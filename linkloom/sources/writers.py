@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def output_path(base: str, kind: str, **keys: str) -> str:
-    """base/kind/key=value/..., the layout that partition pruning understands."""
-    return "/".join([base.rstrip("/"), kind, *(f"{k}={v}" for k, v in sorted(keys.items()))])
+def output_path(base: str, name: str, **keys: str) -> str:
+    """base/name/key=value/..., the layout that partition pruning understands."""
+    return "/".join([base.rstrip("/"), name, *(f"{k}={v}" for k, v in sorted(keys.items()))])
+
+
+def reset_directory(spark: SparkSession, path: str) -> None:
+    """An empty directory at the path, which must be one of the engine's own output paths."""
+    if "/linkloom/" not in path:
+        raise ValueError(f"not an output path of the engine: {path}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at, True)
+    fs.mkdirs(at)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";", single: bool = False) -> None:
@@ -16,9 +26,9 @@ def write_csv(df: DataFrame, path: str, sep: str = ";", single: bool = False) ->
     (df.coalesce(1) if single else df).write.mode("overwrite").option("sep", sep).option("header", True).csv(path)
 
 
-def write_curve(curve: DataFrame, path: str) -> None:
-    """recall and precision, by recall."""
-    curve.select("recall", "precision").orderBy("recall").coalesce(1).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+def write_curve(curve: DataFrame, path: str, run: tuple[str, ...] = ()) -> None:
+    """recall and precision, by recall, of each run."""
+    curve.select(*run, "recall", "precision").orderBy(*run, "recall").coalesce(1).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
 
 
 def to_matrix(long: DataFrame, index: str = "req", column: str = "code", value: str = "sim", columns: list | None = None) -> DataFrame:

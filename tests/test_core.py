@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
 from linkloom.functions import vectors as V
-from linkloom.operators import evolve, features, graph, sampling
+from linkloom.operators import evolve, features, graph, sampling, similarity
 from linkloom.operators import links as L
 from linkloom.operators import metrics as M
 from linkloom.operators.code_parser import declarations
@@ -204,8 +204,6 @@ def test_row_order_does_not_matter(spark, sims):
 
 
 def test_wmd_of_all_methods_and_parts(spark, small):
-    from linkloom import queries as Q
-    from linkloom.operators import similarity
     from linkloom.plans import domain as D
 
     a = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "x"), (3, "odd"), (4, "z"), (4, "odd")], "a long, word string")
@@ -226,7 +224,7 @@ def test_wmd_of_all_methods_and_parts(spark, small):
         want = {(r.a, r.b): r.rwmd for r in similarity.relaxed_wmd(a, b, table, a.select("a").distinct().join(b.select("b").distinct())).collect()}
         assert all(abs(got[k].rwmd - x) < 1e-9 for k, x in want.items()) and {k for k, r in got.items() if r.rwmd < float("inf")} == set(want)
     n = D.method_words(spark, small).select("elem").distinct().count() * D.part_words(spark, small).select("part").distinct().count()
-    assert Q.queries()["num10_relaxed_wmd_parts"](spark, small).select("a", "b").distinct().count() == n > 10_000
+    assert n > 10_000
 
 
 def test_evaluation_of_every_tool(spark, small):
@@ -241,7 +239,7 @@ def test_evaluation_of_every_tool(spark, small):
         if r.score is not None and not math.isnan(r.score) and r.req_filename is not None and r.code_filename is not None:
             k = (r.tool, r.req_filename.lower(), r.code_filename.lower())
             scores[k] = max(scores.get(k, r.score), r.score)
-    got = {(r.tool, r.f): (r.found, r.hits, r.gold) for r in Q.queries()["swp07_third_party_tools"](spark, small).collect()}
+    got = {(r.tool, r.f): (r.found, r.hits, r.gold) for r in Q.queries()["swp07_third_party"](spark, small).collect()}
     want = {}
     for f in (x / 10 for x in range(1, 9)):
         for t in tools:
@@ -249,13 +247,12 @@ def test_evaluation_of_every_tool(spark, small):
             if found:
                 want[t, f] = (len(found), len(gold & set(found)), len(gold))
     assert got == want
-    assert len([n for n in Q.queries() if n.endswith("_tools")]) == 20
 
 
 def test_map_and_recall_beyond_the_longest_ranking(spark):
     rows = [("r", f"c{i:02}", 1.0 - i / 100, int(i in (0, 11))) for i in range(12)] + [("q", "c00", 0.5, 1)]
     links = spark.createDataFrame(rows, "req string, code string, sim double, hit int")
-    got = {r.k: (round(r.map, 9), round(r.recall, 9)) for r in M.map_and_recall_of_all(links, 2, 4, 15).collect()}
+    got = {r.k: (round(r.map, 9), round(r.recall, 9)) for r in M.map_and_recall(links, 2, 4, 15).collect()}
     assert got == {k: (1.0, 0.5) if k < 12 else (round((1 + (1 + 2 / 12) / 2) / 2, 9), 0.75) for k in range(1, 16)}
 
 
@@ -264,7 +261,8 @@ def test_dominations_and_all_fronts(spark):
     pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.integers(0, 12, (150, 2)))] + [(150 + i, 20.0 + i, 20.0 + i) for i in range(60)]
     df = spark.createDataFrame(pts, "ind long, a double, b double")
     over = lambda p, q: p[1] >= q[1] and p[2] >= q[2] and p[1:] != q[1:]
-    assert evolve.dominations(df, "a", "b") == sum(over(p, q) for p in pts for q in pts)
+    for size in (1000, 7):
+        assert evolve.dominations(df, "a", "b", size).first()[0] == sum(over(p, q) for p in pts for q in pts)
     left, want = set(pts), {}
     for k in range(1, len(pts) + 1):
         front = {q for q in left if not any(over(p, q) for p in left)}
@@ -280,9 +278,9 @@ def test_pairs_of_all_files(spark, small):
     from linkloom import queries as Q
     from linkloom.plans import domain as D
 
-    got = {(r.tool, r.req, r.code): r.sim for r in Q.queries()["jn08_completion_tools"](spark, small).collect()}
+    got = {(r.tool, r.req, r.code): r.sim for r in Q.queries()["jn08_completion"](spark, small).collect()}
     for tool in {k[0] for k in got}:
-        s = {(r.req, r.code): round(r.sim, 6) for r in D.trace_scores(spark, small, tool).collect()}
+        s = {(r.req, r.code): round(r.sim, 6) for r in D.trace_scores(spark, small).filter(F.col("tool") == tool).collect()}
         pairs = {(r, c) for r in {k[0] for k in s} for c in {k[1] for k in s}}
         assert {k[1:]: x for k, x in got.items() if k[0] == tool} == {k: s.get(k, 0.0) for k in pairs}
     gold = {}
@@ -290,11 +288,11 @@ def test_pairs_of_all_files(spark, small):
         if r.dataset is not None and r.req_filename is not None and r.code_filename is not None:
             gold.setdefault(r.dataset, set()).add((r.req_filename.lower(), r.code_filename.lower()))
     want = sorted((d, r, c, int((r, c) in g)) for d, g in gold.items() for r in {k[0] for k in g} for c in {k[1] for k in g})
-    assert sorted((r.dataset, r.requirement_filename, r.code_filename, r.valid) for r in Q.queries()["jn14_labelled_pairs_all"](spark, small).collect()) == want
+    assert sorted((r.dataset, r.requirement_filename, r.code_filename, r.valid) for r in Q.queries()["jn14_labelled_pairs"](spark, small).collect()) == want
     nodes = {r.id for r in D.elem(spark, small).collect()}
     assert max(nodes) > 300
     edges = {(r.caller, r.callee) for r in D.call_edges(spark, small).collect()}
-    assert {(r.caller, r.callee) for r in Q.queries()["set09_known_edges_all"](spark, small).collect()} == {e for e in edges if set(e) <= nodes}
+    assert {(r.caller, r.callee) for r in Q.queries()["set09_known_edges"](spark, small).collect()} == {e for e in edges if set(e) <= nodes}
 
 
 def test_tfidf_of_all_documents(spark, small, tmp_path):
@@ -303,11 +301,11 @@ def test_tfidf_of_all_documents(spark, small, tmp_path):
     rows = [(1, "Über die naïve 漢字", "code"), (2, "die e\u0301tude", "issue"), (3, "die x9", None), (4, None, "note"), (5, "die wort", "note")]
     spark.createDataFrame(rows, "doc_id long, text string, artefact_kind string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda n: Q.queries()[n](spark, str(tmp_path)).collect()
-    got = {(r.file, r.word): r.weight for r in run("emb15_tfidf_all")}
+    got = {(r.file, r.word): r.weight for r in run("emb15_tfidf")}
     assert set(got) == {(1, "über"), (1, "die"), (1, "naïve"), (1, "漢字"), (2, "die"), (2, "e\u0301tude"), (3, "die"), (3, "x9"), (5, "die"), (5, "wort")}
     rare = math.log(5 / 2) + 1
     assert got[3, "x9"] == round(rare / math.hypot(rare, 1), 6)
-    assert {r.file for r in run("jn12_file_word_weight_all")} == {r.file for r in run("fn08_tfidf_filter_all")} == {1, 2, 3, 5}
+    assert {r.file for r in run("jn12_file_word_weight")} == {r.file for r in run("fn08_tfidf_filter")} == {1, 2, 3, 5}
 
 
 def test_refinement_goes_on_while_f1_improves(spark, monkeypatch):
@@ -322,3 +320,214 @@ def test_refinement_goes_on_while_f1_improves(spark, monkeypatch):
     monkeypatch.setattr(techniques, "sweep", lambda *a, **k: None)
     monkeypatch.setattr(techniques.M, "best_cell", lambda *a, **k: Best())
     assert techniques.refine_best(grid, grid, grid)["f1"] == 0.3
+
+
+# --- populations -----------------------------------------------------------------------------------------------
+
+
+def _pop(spark, links):
+    return spark.createDataFrame([(i, r, c) for i, gs in links.items() for r, c in gs], "ind long, req string, code string")
+
+
+def _groups(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.ind, set()).add((r.req, r.code))
+    return out
+
+
+def test_population_operators(spark):
+    a, b, c, d, e = (("r", x) for x in "abcde")
+    pop = _pop(spark, {1: [a, b, c], 2: [c, d], 3: [e]})
+    couples = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert _groups(evolve.swapped(pop, couples, 1)) == {1: {b, c, d}, 2: {c, a}, 3: {e}}
+    assert _groups(evolve.swapped(pop, couples, 9)) == {1: {b, c, d}, 2: {c, a}, 3: {e}}  # two has one to give
+    fresh = _pop(spark, {1: [a, e], 2: [a, b, e]})
+    assert _groups(evolve.replaced(pop, fresh, 2)) == {1: {b, c, e}, 2: {a, b}, 3: {e}}
+    pool = evolve.numbered(spark.createDataFrame([a, b, c, d, e], "req string, code string"), ["req", "code"])
+    assert {(r.code, r["at"]) for r in pool.collect()} == {(x, i) for i, x in enumerate("abcde", 1)}
+    sizes = spark.createDataFrame([(1, 2), (2, 4), (3, 9), (4, 2), (5, 0)], "ind long, size int")
+    assert _groups(evolve.trimmed(pop, pool, sizes)) == {1: {a, b}, 2: {a, b, c, d}, 3: {a, b, c, d, e}, 4: {a, b}}
+    ranked = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.1), (3, 1, 0.7)], "ind long, front int, crowding double")
+    matches = spark.createDataFrame([(7, 1), (7, 2), (8, 2), (8, 3)], "match long, ind long")
+    assert {(r.match, r.ind) for r in evolve.winners(matches, ranked).collect()} == {(7, 2), (8, 3)}
+    v = lambda xs: spark.createDataFrame(xs, "ind long, value double")
+    old, new = v([(1, 0.9), (2, 0.1)]), v([(3, 0.5), (4, 0.4)])
+    assert [[r.ind for r in evolve.elite(old, new, 2, p).collect()] for p in ("merge", "first", "none")] == [[1, 3], [1, 3], [3, 4]]
+
+
+def test_a_search_draws_from_the_whole_table(spark):
+    rows = [(f"r{i}", f"c{j}", 1.0 if i == j else 0.1, float(j) / 20) for i in range(30) for j in range(20)]
+    pool = evolve.TablePool(spark.createDataFrame(rows, "req string, code string, x double, y double"), ["x", "y"])
+    assert len(pool) == 600
+    s = evolve.Settings(size=12, genes=5, generations=4)
+    found = evolve.search(pool, s)
+    assert found and all(len(p) == 5 for p, _ in found) and len(pool.values) > 150
+    assert evolve.search(evolve.TablePool(spark.createDataFrame(rows, "req string, code string, x double, y double"), ["x", "y"]), s) == found
+    assert evolve.search(evolve.TablePool(spark.createDataFrame([], "req string, code string, x double"), ["x"]), s) == []
+
+
+# --- techniques ------------------------------------------------------------------------------------------------
+
+SOURCES = [
+    ("a.java", "/** Tourist data of the house */ public class TouristHouse extends Base { private String streetName; /** gives the street of the house */ public String getStreet(int houseNumber) { return findHouse(houseNumber); } public House findHouse(int n) { return null; } int hidden() { return 1; } }"),
+    ("b.java", "public interface MenuCard { String dish(int index); }"),
+    ("c.java", "public class Printer { }"),
+]
+
+
+@pytest.fixture(scope="module")
+def inputs(spark):
+    from linkloom.operators.code_parser import parse_sources
+    from linkloom.plans import runner
+
+    code = parse_sources(spark.createDataFrame(SOURCES, "file string, content string")).cache()
+    reqs = spark.createDataFrame([("r1", "Tourist house\nThe street of the house. It has a number."), ("r2", "Menu\nA dish of the card."), ("r3", "")], "req string, text string")
+    words = sorted({w for t in ("tourist house street number the of it has a dish menu card printer get find index data gives base name n string int",) for w in t.split()})
+    rng = np.random.default_rng(18)
+    vec = spark.createDataFrame([(w, rng.normal(size=4).tolist()) for w in words], "word string, vec array<double>")
+    return runner.Inputs(reqs, code, vec, spark.createDataFrame([("r1", "a.java"), ("r2", "b.java")], "req string, code string"), {})
+
+
+def test_declarations_that_are_public(inputs):
+    got = {(r.file, r.kind, r.name) for r in inputs.code.collect()}
+    assert {("a.java", "method", "getStreet"), ("a.java", "method", "findHouse"), ("b.java", "method", "dish"), ("a.java", "attribute", "streetName")} <= got
+    assert ("a.java", "method", "hidden") not in got
+
+
+def test_parts_and_bags(inputs):
+    from linkloom.plans import runner
+
+    def bags(df, key, owner):
+        out = {}
+        for r in df.collect():
+            out.setdefault((r[owner], r[key]), []).append(r.word)
+        return sorted((k[0], sorted(v)) for k, v in out.items())
+
+    assert bags(runner.requirement_parts(inputs, "N,D"), "part", "req") == [("r1", ["a", "has", "house", "it", "number", "of", "street", "the", "the"]), ("r1", ["house", "tourist"]), ("r2", ["a", "card", "dish", "of", "the"]), ("r2", ["menu"])]
+    assert len(bags(runner.requirement_parts(inputs, "S"), "part", "req")) == 3
+    assert bags(runner.code_bags(inputs.code, "element", "cls+m"), "elem", "code") == [("a.java", ["find", "house", "house", "int", "tourist"]), ("a.java", ["get", "house", "int", "street", "tourist"]), ("a.java", ["house", "tourist"]), ("b.java", ["card", "dish", "int", "menu"]), ("b.java", ["card", "menu"]), ("c.java", ["printer"])]
+    votes = lambda v: sorted((r.code, r.is_class) for r in runner.voting(runner.code_bags(inputs.code, "element", "cls+m"), v).collect())
+    methods = [("a.java", False), ("a.java", False), ("b.java", False)]
+    assert votes(techniques.Voter.NEVER) == methods and votes(techniques.Voter.OPTIONAL) == sorted([*methods, ("c.java", True)]) and len(votes(techniques.Voter.ALWAYS)) == 6
+
+
+def test_word_bag_techniques_against_brute_force(spark, inputs):
+    from linkloom.plans import runner
+
+    vec = {r.word: np.array(r.vec) for r in inputs.word_vec.collect()}
+    two = [techniques.WordBagTechnique("element", "S", "cls+m", techniques.Voter.ALWAYS), techniques.WordBagTechnique("file", "T", "cls+m", techniques.Voter.NEVER)]
+    got = {(r.technique, r.code, r.req): (r.votes, round(r.sim, 9)) for r in runner.run_word_bags(two, inputs).collect()}
+
+    def rwmd(a, b):
+        a, b = [w for w in a if w in vec], [w for w in b if w in vec]
+        side = lambda x, y: np.mean([min(np.linalg.norm(vec[p] - vec[q]) for q in y) for p in x])
+        return max(side(a, b), side(b, a))
+
+    want = {}
+    for t in two:
+        bag = lambda df, k, o: {key: [r.word for r in rows] for key, rows in _by(df.collect(), k, o).items()}
+        elems, parts = bag(runner.code_bags(inputs.code, t.level, t.texts), "elem", "code"), bag(runner.requirement_parts(inputs, t.parts), "part", "req")
+        votes = {}
+        for (e, code), words in elems.items():
+            best = {}
+            for (_, req), other in parts.items():
+                best[req] = min(best.get(req, 9e9), rwmd(words, other))
+            req = min(best, key=lambda r: (best[r], r))
+            votes.setdefault(code, []).append((req, best[req]))
+        for code, vs in votes.items():
+            n = {r: sum(x == r for x, _ in vs) for r, _ in vs}
+            for r in n:
+                if n[r] == max(n.values()):
+                    want[t.name, code, r] = (n[r], round(-min(s for x, s in vs if x == r), 9))
+    assert got == want
+
+
+def _by(rows, *keys):
+    out = {}
+    for r in rows:
+        out.setdefault(tuple(r[k] for k in keys), []).append(r)
+    return out
+
+
+def test_element_techniques(inputs):
+    from linkloom.plans import runner
+
+    sets = {k: techniques.element_techniques()[k] for k in ("identifiers", "comment_to_class", "attributes", "only_methods", "tfidf_identifiers")}
+    got = {}
+    for r in runner.element_tokens(inputs.code, sets).filter("code = 'a.java'").collect():
+        got.setdefault(r.technique, {}).setdefault(r.elem, []).append(r.word)
+    bags = {t: sorted(sorted(v) for v in x.values()) for t, x in got.items()}
+    own = [["find", "house", "house", "int", "n", "tourist"], ["get", "house", "house", "int", "number", "street", "tourist"]]
+    assert bags["identifiers"] == sorted([["house", "tourist"], *own]) == bags["tfidf_identifiers"] and bags["only_methods"] == own
+    assert sorted(["name", "street"]) in bags["attributes"] and sorted("tourist house gives the street of the house".split()) in bags["comment_to_class"]
+    v = runner.file_vectors(runner.element_vectors(inputs.code, sets, inputs.word_vec)).collect()
+    assert {(r.technique, r.code) for r in v} >= {(t, "a.java") for t in sets} and {r.elements for r in v if r.code == "a.java" and r.technique == "identifiers"} == {3}
+    out = runner.evaluated(runner.run_elements(sets, inputs), inputs).collect()
+    assert {r.technique for r in out} == set(sets) and all(r.gold == 2 for r in out)
+    with pytest.raises(ValueError, match="unknown flags"):
+        runner.element_tokens(inputs.code, {"x": frozenset({"nothing"})})
+
+
+def test_processors_and_calls(inputs):
+    from linkloom.plans import runner
+
+    assert runner.body_calls(inputs.code).count() == 1  # getStreet calls findHouse
+    out = {name: {(r.code, r.req) for r in df.collect()} for name, df in runner.processors(inputs).items()}
+    assert len(out) == 6 and all(len({c for c, _ in v}) >= 2 for v in out.values())
+
+
+def test_nearest_by_exact_distance(spark):
+    rng = np.random.default_rng(19)
+    words = [f"w{i}" for i in range(30)]
+    vec = {w: rng.normal(size=3) for w in words}
+    table = spark.createDataFrame([(w, v.tolist()) for w, v in vec.items()], "word string, vec array<double>")
+    bag = lambda n, m: {i: [words[j] for j in rng.integers(0, 30, rng.integers(1, m))] for i in range(n)}
+    a, b = bag(40, 5), bag(6, 6)
+    a[40], b[6] = ["unknown"], ["unknown"]
+    df = lambda x, k: spark.createDataFrame([(i, w) for i, ws in x.items() for w in ws], f"{k} long, word string")
+    got = {(r.b, r.rank): (r.a, round(r.wmd, 7)) for r in similarity.nearest_by_wmd(df(a, "a"), df(b, "b"), table, 3).collect()}
+    for j, ws in b.items():
+        d = sorted((round(word_movers_distance(x, ws, vec), 7), i) for i, x in a.items())
+        assert [got.get((j, k)) for k in (1, 2, 3)] == ([(i, x) for x, i in d[:3]] if j < 6 else [None] * 3)
+
+
+def test_pair_classifier_on_unseen_pairs(spark):
+    rng = np.random.default_rng(20)
+    words = [f"{x}{y}" for x in ("tour", "menu", "card", "street", "house", "drone", "badge", "guest") for y in ("ist", "list", "form", "page")]
+    rows = []
+    for i in range(3000):
+        a = rng.choice(words, 6).tolist()
+        hit = int(i % 5 == 0)
+        rows.append((i, a, (rng.choice(a, 2) if hit else rng.choice(words, 2)).tolist(), hit))
+    p = spark.createDataFrame(rows, "i long, a array<string>, b array<string>, hit int")
+    out = similarity.pair_probabilities(p, "hit", 300).collect()
+    hits = [r.probability for r in out if r.hit]
+    rest = [r.probability for r in out if not r.hit]
+    assert len(out) == 3000 and np.mean([h > x for h in hits[:200] for x in rest[:500]]) > 0.9  # held-out: the sample has 600 of 3,000
+    assert similarity.pair_probabilities(p.limit(0), "hit").count() == 0
+    assert {r.probability for r in similarity.pair_probabilities(p.filter("hit = 1").limit(5), "hit").collect()} == {1.0}
+
+
+def test_lemmas(spark):
+    w = lambda xs: spark.createDataFrame([(x,) for x in xs], "word string")
+    got = {r.word: r.lemma for r in features.noun_lemmas(w(["houses", "house", "boxes", "box", "cities", "city", "men", "glass", "bus"]), w(["house", "box", "city", "man", "bus", "glass"])).collect()}
+    assert got == {"houses": "house", "house": "house", "boxes": "box", "box": "box", "cities": "city", "city": "city", "men": "man", "glass": "glass", "bus": "bus"}
+
+
+def test_only_own_directories_are_reset(spark, tmp_path):
+    with pytest.raises(ValueError, match="not an output path"):
+        S.reset_directory(spark, f"file://{tmp_path}/other")
+    (tmp_path / "linkloom").mkdir()
+    (tmp_path / "linkloom" / "x").mkdir()
+    (tmp_path / "linkloom" / "x" / "f").write_text("1")
+    S.reset_directory(spark, f"file://{tmp_path}/linkloom/x")
+    assert list((tmp_path / "linkloom" / "x").iterdir()) == []
+
+
+def test_plans_with_a_shuffle_are_not_run_to_count_their_partitions(spark):
+    from linkloom.runtime import partitions, spread
+
+    df = spark.range(100)
+    assert partitions(df) == df.rdd.getNumPartitions() and partitions(df.groupBy("id").count()) is None
+    assert spread(df.groupBy("id").count()).count() == 100
