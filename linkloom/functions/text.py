@@ -113,7 +113,7 @@ def word_tokens(text: Column, italian: bool = False) -> Column:
 
 def sentences(text: Column) -> Column:
     """Cut after a full stop, exclamation or question mark, white space and anything but a lower-case letter, so not after most abbreviations."""
-    return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+([^\p{Ll}\s])", "$1\x01$2"), "\x01", -1), lambda x: F.trim(x) != "")
+    return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+([^\p{Ll}\s])", "$1\x01$2"), "\x01", -1), lambda x: x.rlike(r"[^\t\n\x0b\f\r\p{Z}]"))
 
 
 def words_by_sentence(text: Column) -> Column:

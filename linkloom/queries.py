@@ -125,7 +125,7 @@ def tok01_it(spark, d):
     return load(spark, d, "documents").filter("lower(lang) = 'it' and text is not null").select("doc_id", F.size(T.word_tokens(F.col("text"), italian=True)).cast("long").alias("n"))
 
 
-_SENT = "list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\x0b]+([^\\p{Ll} \\t\\n\\r\\f\\x0b])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x) <> '')"
+_SENT = "list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\x0b]+([^\\p{Ll} \\t\\n\\r\\f\\x0b])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: regexp_matches(x, '[^\\t\\n\\x0b\\f\\r\\p{Z}]'))"
 
 
 @query("tok02_sentences", f"SELECT doc_id, i - 1 AS pos, s[i] AS sentence FROM (SELECT doc_id, {_SENT} AS s, unnest(range(1, len({_SENT}) + 1)) AS i FROM documents WHERE text IS NOT NULL)")
