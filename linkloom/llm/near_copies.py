@@ -343,7 +343,7 @@ def near_copy_classes(records: DataFrame, id_col: str = "method_id", text_col: s
     sketch = spark.sparkContext.broadcast(codes)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = first.select("lo", "size", "bitmap", "elements").mapInArrow(_prefixes(sketch, mean, parts, threshold, hot_classes), "tile int, elements binary, sides binary, local binary, classes binary, sizes binary, bitmaps binary")
-    found = postings.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_compare(threshold), "a_lo long, b_lo long")
+    found = postings.repartitionById(parts, "tile").mapInArrow(_compare(threshold), "a_lo long, b_lo long")
     candidates = materialize(found.distinct(), "candidates")
     wanted = spark.sparkContext.broadcast(_wanted(candidates))
     chosen = first.select("hi", "lo", "elements").mapInArrow(_chosen(wanted), "hi long, lo long, elements binary").repartition("lo").dropDuplicates(["hi", "lo"])
