@@ -36,7 +36,7 @@ def ns04_first(spark, d):
     return evolve.first_front(points(spark, d), ["a", "b"])
 
 
-@query("ns04_fronts")
+@query("ns04_fronts", f"WITH RECURSIVE {_POINTS}, p AS (SELECT row_number() OVER (ORDER BY a DESC, b DESC) AS r, a, b FROM (SELECT DISTINCT a, b FROM pt)), rec(r, low, front) AS (SELECT 0::BIGINT, []::DOUBLE[], 0::BIGINT UNION ALL SELECT r, low[1:k - 1] || [b] || low[k + 1:], k FROM (SELECT p.r, p.b, low, coalesce(list_position(list_transform(low, lambda x: x < p.b), true), len(low) + 1)::BIGINT AS k FROM rec JOIN p ON p.r = rec.r + 1)) SELECT ind, a, b, front::INTEGER AS front FROM pt JOIN p USING (a, b) JOIN rec USING (r)")
 def ns04(spark, d):
     """All points with the number of their front."""
     return evolve.fronts_of_two(points(spark, d), "a", "b")

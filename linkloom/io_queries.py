@@ -47,6 +47,18 @@ def src05(spark, d):
     return R.csv_renamed(spark, p, ["a", "b", "c"])
 
 
+@query("src12_call_graph_json", f"{_PAIRS} SELECT DISTINCT 'C' || (caller // 20) || '.m' || caller AS caller, 'C' || (callee // 20) || '.m' || callee AS callee FROM cg")
+def src12_json(spark, d):
+    """The call graph as JSON maps of methods, one for each class, written and read again."""
+    cls, name = lambda c: F.concat(F.lit("C"), F.floor(F.col(c) / 20).cast("string")), lambda c: F.concat(F.lit("m"), F.col(c).cast("string"))
+    calls = D.call_edges(spark, d).groupBy("caller").agg(F.collect_list(F.array(cls("callee"), name("callee"))).alias("calls"))
+    none = F.array().cast("array<array<string>>")
+    node = F.struct(F.concat_ws(".", cls("caller"), name("caller")), F.struct("calls", none.alias("called_by"), cls("caller").alias("class_name"), name("caller").alias("method_name"), F.array(F.lit("int")).alias("params")))
+    p = _path(spark, "graph")
+    S.write_json(calls.groupBy(cls("caller").alias("c")).agg(F.map_from_entries(F.collect_list(node)).alias("graph")).select("graph"), p)
+    return R.call_graph(spark.read.schema(f"graph {R.CALL_GRAPH}").json(p))[1]
+
+
 @query("src22_in_memory", f"{_PAIRS} SELECT file::VARCHAR AS file, count(*) AS n, round(sum(vec[1]), 6) AS x FROM elem GROUP BY 1")
 def src22(spark, d):
     """Embeddings that are at hand as a table, taken as a source like stored ones."""
@@ -241,7 +253,7 @@ def smp03(spark, d):
     return R.csv(spark, p, R.LABELLED).select(F.substring_index("requirement", " ", 1).alias("part"), "valid").groupBy("part").agg(F.count("*").alias("n"), F.sum("valid").alias("valid"))
 
 
-@query("smp05_random_pairs")
+@query("smp05_random_pairs", f"WITH {D.TRACE_SQL} SELECT req, code, 'pair' AS what FROM (SELECT * FROM gold ORDER BY md5(req || '|' || code || '|5'), req, code LIMIT 1) UNION ALL SELECT req, code, 'two' FROM (SELECT * FROM gold ORDER BY md5(req || '|' || code || '|6'), req, code LIMIT 2)")
 def smp05(spark, d):
     """A repeatable random pair, element and two distinct elements of the gold set."""
     g = D.trace_gold(spark, d)

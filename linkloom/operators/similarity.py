@@ -235,7 +235,7 @@ def subword_vectors(words: DataFrame, gram_vec: DataFrame, dims: int, shortest:
 
 def hashed_vectors(words: DataFrame, dims: int) -> DataFrame:
     """A stand-in for a word-vector model, the same in every run: components in -1..1 from hashes of the word. For tests only."""
-    part = lambda i: (F.pmod(F.xxhash64("word", i), F.lit(2001)) - 1000) / 1000.0
+    part = lambda i: (F.conv(F.substring(F.md5(F.concat_ws("|", "word", i.cast("string"))), 1, 4), 16, 10).cast("long") % 2001 - 1000) / 1000.0
     return words.select("word").distinct().withColumn("vec", F.transform(F.sequence(F.lit(1), F.lit(dims)), part))
 
 

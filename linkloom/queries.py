@@ -290,9 +290,9 @@ def num12(spark, d):
     return p.agg(*(F.round(V.reduce_by(h)("sim"), 6).alias(a) for h, a in (("max", "mx"), ("min", "mn"), ("mean", "mean"))))
 
 
-@query("num13_mock_vectors")
+@query("num13_mock_vectors", f"WITH {D.METHOD_SQL}, h AS (SELECT word, i, md5(word || '|' || i) AS h FROM (SELECT DISTINCT word FROM mw), (SELECT unnest(range(1, 17)) AS i)) SELECT word, i - 1 AS i, round(((((strpos('0123456789abcdef', h[1]) - 1) * 16 + strpos('0123456789abcdef', h[2]) - 1) * 16 + strpos('0123456789abcdef', h[3]) - 1) * 16 + strpos('0123456789abcdef', h[4]) - 1) % 2001 - 1000, 0) / 1000 AS x FROM h")
 def num13(spark, d):
-    return similarity.hashed_vectors(D.method_words(spark, d), 16).select("word", F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"))
+    return _first_dims(similarity.hashed_vectors(D.method_words(spark, d), 16), "word")
 
 
 def _wmd_inputs(spark, d):
@@ -899,12 +899,17 @@ def set09(spark, d):
 # --- sampling and labelled data --------------------------------------------------------------------------------
 
 
-@query("smp01_sample")
+@query("smp01_sample", f"WITH {D.TRACE_SQL} SELECT req, code FROM (SELECT *, row_number() OVER (ORDER BY md5(req || '|' || code || '|7'), req || '|' || code) AS r FROM gold) WHERE r <= ceil((SELECT count(*) FROM gold) * 0.3)")
 def smp01(spark, d):
     return sampling.sample_share(D.trace_gold(spark, d).withColumn("key", F.concat_ws("|", "req", "code")), "key", 0.3, 7).filter("chosen").select("req", "code")
 
 
-@query("smp02_split")
+def _free_sql(side: str, column: str) -> str:
+    """Files of a side: linked ones are chosen with a chosen link, others by their own sample."""
+    return f"""{side}_linked AS (SELECT {side} AS file, bool_or(chosen) AS chosen FROM lk GROUP BY 1), {side}_free AS (SELECT file, row_number() OVER (ORDER BY md5(file || '|11'), file) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT lower({column}) AS file FROM trace_score WHERE req_filename IS NOT NULL AND code_filename IS NOT NULL) WHERE file NOT IN (SELECT file FROM {side}_linked))"""
+
+
+@query("smp02_split", f"WITH {D.TRACE_SQL}, lk AS (SELECT req, code, r <= ceil(n * 0.5) AS chosen FROM (SELECT *, row_number() OVER (ORDER BY md5(req || '|' || code || '|11'), req || '|' || code) AS r, count(*) OVER () AS n FROM gold)), {_free_sql('req', 'req_filename')}, {_free_sql('code', 'code_filename')} SELECT 'req' AS side, file, chosen FROM req_linked UNION ALL SELECT 'req', file, r <= ceil(n * 0.5) FROM req_free UNION ALL SELECT 'code', file, chosen FROM code_linked UNION ALL SELECT 'code', file, r <= ceil(n * 0.5) FROM code_free")
 def smp02(spark, d):
     g = D.trace_gold(spark, d)
     s = load(spark, d, "trace_score").filter("req_filename is not null and code_filename is not null")

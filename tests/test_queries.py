@@ -8,10 +8,8 @@ import pytest
 import __spark_entry__ as entry
 
 SAMPLE = """
-swp01_sweep fn01_camel fn07_code_stopwords fn08_tfidf_filter fn10_lemmas fn17_pruned fn18_chain_req_en fn18_chain_code_it fn18_chain_sentence tok01_words tok02_sentences tok04_usecase_sections tok05_templates
-tok07_declarations num05_minmax num09_jaccard num10_relaxed_wmd num11_subword emb01_directory_to_vectors emb12_tfidf_identifiers emb16_tfidf_cosine jn03_whole_requirement jn08_completion jn14_labelled_pairs jn16_domination
-flt08_same_class agg11_element_level agg18_tuples agg21_map_recall agg23_curves ga02_initial ga03_crossover ga04_mutation ga05_tournament ga06_elitism ns01_seed ns09_front_evaluation set06_containers smp03_train_test
-src01_directory src08_gold_xml src09_gold_text src24_stop_words src25_datasets snk11_precision_at snk12_valid_links snk14_reset swp06_strategies swp11_inheritance
+swp01_sweep fn10_lemmas fn17_pruned fn18_chain_code_it tok05_templates num10_relaxed_wmd jn08_completion jn14_labelled_pairs jn16_domination agg11_element_level agg21_map_recall ga02_initial ga03_crossover ga04_mutation
+ns04_fronts ns09_front_evaluation set06_containers smp02_split smp03_train_test src01_directory src09_gold_text snk11_precision_at snk12_valid_links swp06_strategies swp11_inheritance
 """.split()
 
 
