@@ -18,8 +18,8 @@ from linkloom.runtime import Table, materialize, write_table
 # Names that stand for no name.
 PLACEHOLDERS = ["", "unknown", "n/a", "tbd", "-"]
 PROPORTIONS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
-#: What is left to fill when the largest groups have been taken, and is filled exactly; a bitset has twice as many bits.
-WINDOW = 1 << 17
+#: Bits of the bitsets that the choice of groups keeps at a level of its walk back, 64 MB; only memory and time depend on it.
+WINDOW = 1 << 29
 _BLANK = r"(?U)^\s+|\s+$"
 
 
@@ -124,11 +124,13 @@ def torn_groups(records: DataFrame, lists: DataFrame) -> DataFrame:
     return hot_join(groups, torn, "group_id", "n", groups.count()).select("req_id", "group_id")
 
 
-def closest_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
+def closest_counts(sizes: dict[int, int], target: int, window: int = WINDOW) -> dict[int, int]:
     """How many groups of each size to take so that their total is closest to target; of equally close totals the smaller.
 
-    sizes: number of groups by size. Bitset s_k holds the totals reachable with the first k (size, power of two)
-    items; walking back through them gives the choice.
+    sizes: number of groups by size. Exact for targets of any size. A bitset holds the totals reachable with the first
+    k (size, power of two) items, largest first, and is extended until it holds the target; walking back through the
+    items gives the choice. The walk keeps bitsets of about `window` bits at a level and makes the ones between them
+    again, so window bears on memory and time, never on the choice.
     """
     items = []
     for size, count in sorted(sizes.items(), reverse=True):
@@ -138,56 +140,57 @@ def closest_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
             items.append((size, take))
             count -= take
             k *= 2
-    limit = (1 << (2 * target + 2)) - 1
-    reach = [1]
-    for size, take in items:
-        reach.append((reach[-1] | reach[-1] << (size * take)) & limit)
-    total = next((t for d in range(target + 2) for t in (target - d, target + d) if t >= 0 and reach[-1] >> t & 1), 0)
+
+    def extended(reach: int, i: int, top: int, limit: int) -> int:
+        step = items[i][0] * items[i][1]
+        return (reach | reach << step) & limit if step <= top else reach
+
+    # beyond twice the target the empty choice is closer
+    top = 2 * target
+    reach, end, limit = 1, 0, (1 << top + 1) - 1
+    while end < len(items) and not reach >> target & 1:
+        reach = extended(reach, end, top, limit)
+        end += 1
+    low = (reach & (1 << target + 1) - 1).bit_length() - 1
+    high = reach >> target + 1
+    above = target + (high & -high).bit_length() if high else None
+    total = above if above is not None and above - target < target - low else low
     chosen: dict[int, int] = {}
-    for i in range(len(items) - 1, -1, -1):
-        if not reach[i] >> total & 1:
-            size, take = items[i]
+
+    def walk(lo: int, hi: int, reach: int, total: int) -> int:
+        """Adds what is chosen of items[lo:hi] and returns what the items before them, which reach `reach`, have to give."""
+        limit = (1 << total + 1) - 1
+        reach &= limit
+        if reach >> total & 1:
+            return total
+        if hi - lo == 1:
+            size, take = items[lo]
             chosen[size] = chosen.get(size, 0) + take
-            total -= size * take
+            return total - size * take
+        step = -(-(hi - lo) // max(2, window // (total + 1)))
+        marks = [reach]
+        for i in range(lo, lo + (hi - lo - 1) // step * step):
+            reach = extended(reach, i, total, limit)
+            if (i + 1 - lo) % step == 0:
+                marks.append(reach)
+        while marks:
+            at = lo + (len(marks) - 1) * step
+            total = walk(at, min(at + step, hi), marks.pop(), total)
+        return total
+
+    walk(0, end, 1, total)
     return chosen
 
 
-def filling_counts(sizes: dict[int, int], target: int, window: int = WINDOW) -> dict[int, int]:
-    """closest_counts for targets of any size.
-
-    Groups are taken largest first until at most `window` is left to fill, which is then filled exactly from all
-    that remain; up to a target of `window` this is closest_counts itself. Beyond it, a total that equals the
-    target is as close as can be; where the groups that remain cannot give it, the total is the closest one that
-    contains those taken. Where what remains is in groups larger than what is left to fill, at most one is added.
-    """
-    left, taken, rest = dict(sizes), {}, target
-    for s in sorted(sizes, reverse=True):
-        n = min(left[s], max(0, rest - window) // s)
-        if n:
-            taken[s] = n
-            left[s] -= n
-            rest -= n * s
-
-    def with_more(more: dict[int, int]) -> dict[int, int]:
-        return {s: taken.get(s, 0) + more.get(s, 0) for s in {*taken, *more}}
-
-    if rest <= window:
-        return with_more(closest_counts({s: n for s, n in left.items() if n}, rest))
-    fits, over = max((s for s, n in left.items() if n and s <= rest), default=None), min((s for s, n in left.items() if n and s > rest), default=None)
-    choices: list[dict[int, int]] = [{}]
-    if fits is not None:
-        more = closest_counts({s: n - (s == fits) for s, n in left.items() if n - (s == fits) > 0}, rest - fits)
-        choices.append({**more, fits: more.get(fits, 0) + 1})
-    if over is not None:
-        choices.append({over: 1})
-    return with_more(min(choices, key=lambda c: abs(rest - sum(s * n for s, n in c.items()))))
+#: The earlier name of what fills targets of any size.
+filling_counts = closest_counts
 
 
 def assign_splits(groups: DataFrame, proportions: tuple[tuple[str, float], ...] = PROPORTIONS) -> DataFrame:
     """(req_id, group_id, split): groups stay whole, and the totals of the splits are as close to the proportions as group sizes allow.
 
     The driver holds the number of groups of each distinct size, of which there are at most the square root of
-    twice the records. Splits are filled one after another, the last of the list first, by filling_counts. Of groups
+    twice the records. Splits are filled one after another, the last of the list first, by closest_counts. Of groups
     of one size, those of the smallest group_id go to the last split of the list first. Deterministic.
     """
     sizes = materialize(groups.groupBy("group_id").agg(F.count("*").alias("size")), "sizes")
@@ -196,7 +199,7 @@ def assign_splits(groups: DataFrame, proportions: tuple[tuple[str, float], ...]
     used = dict.fromkeys(left, 0)
     bounds: list[tuple[str, int, int, int]] = []
     for name, share in reversed(proportions[1:]):
-        for s, n in filling_counts({s: n for s, n in left.items() if n}, round(share * total)).items():
+        for s, n in closest_counts({s: n for s, n in left.items() if n}, round(share * total)).items():
             if n:
                 bounds.append((name, s, used[s], used[s] + n))
                 used[s] += n

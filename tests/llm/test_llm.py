@@ -262,6 +262,22 @@ def test_filling_counts_beyond_the_window():
     assert sum(s * n for s, n in splits.filling_counts({900: 2, 1000: 1}, 1200, 10).items()) == 1000
 
 
+def test_filling_counts_is_closest_at_any_size():
+    """The choice does not depend on the window: with and without it the closest total, and the same groups."""
+    assert splits.filling_counts({250_000: 1, 200_000: 2}, 400_000) == {200_000: 2}
+    assert splits.filling_counts({3: 60_000, 250_000: 1, 200_000: 2}, 400_000) == splits.closest_counts({3: 60_000, 250_000: 1, 200_000: 2}, 400_000, 1)
+    rng = random.Random(16)
+    for _ in range(200):
+        sizes = {rng.randint(1, 40): rng.randint(1, 9) for _ in range(rng.randint(0, 6))}
+        target = rng.randint(0, 300)
+        reach = {0}
+        for s, n in sizes.items():
+            reach = {r + s * k for r in reach for k in range(n + 1)}
+        c = splits.filling_counts(sizes, target, window=50)
+        total = sum(s * n for s, n in c.items())
+        assert all(n <= sizes[s] for s, n in c.items()) and total == min(reach, key=lambda r: (abs(r - target), r)) and c == splits.closest_counts(sizes, target)
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------
 
 
