@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.words import hashed, mix, per_batch, runs
@@ -37,10 +37,23 @@ BITMAP_WORDS = 2
 HOT_CLASSES = 8192
 #: Up to this many copies a class is written out as all pairs; larger ones as pairs with their smallest member.
 ALL_PAIRS_MAX = 64
-_CHUNK_PAIRS = 1_000_000
+#: Bytes of texts or elements that a worker works on at a time, and pairs of a tile it compares at a time; both bear on memory only.
+_PIECE = 1 << 21
+_CHUNK_PAIRS = 250_000
+#: Candidate pairs of a tile that are remembered, so that they are sent once.
+_SEEN_MAX = 8_000_000
 _TAG = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
+def _pieces(b: pa.RecordBatch, *cols: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose columns cols, texts or binary values, hold about _PIECE bytes, in one row if it is larger."""
+    n = sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in cols)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(n) // _PIECE)) + 1).tolist(), b.num_rows]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        if hi > lo:
+            yield b.slice(lo, hi - lo)
+
+
 class Sets:
     """The distinct shingle sets of a batch: flat sorted elements with their bounds, the class key of each set, and the record of each set."""
 
@@ -104,7 +117,7 @@ def _write_sets(shingle: int, min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[tuple[int, int]] = set()
-        for b in (x.slice(lo, 20_000) for x in batches for lo in range(0, x.num_rows, 20_000)):
+        for b in (p for x in batches for p in _pieces(x, "_text")):
             s = Sets(b, shingle, min_words)
             if not len(s.id):
                 continue
@@ -250,7 +263,7 @@ def _compare(threshold: float):
             differ = np.bitwise_count(bitmap[a] ^ bitmap[b]).sum(1, dtype=np.int64)
             can = (both - differ) * (1 + threshold) >= 2 * threshold * both
             code = np.unique(np.minimum(a[can], b[can]) * len(size) + np.maximum(a[can], b[can]))
-            if len(seen) < 8 * _CHUNK_PAIRS:  # repeats beyond it are dropped after the shuffle
+            if len(seen) < _SEEN_MAX:  # repeats beyond it are dropped after the shuffle
                 code = np.setdiff1d(code, seen, assume_unique=True)
                 seen = np.union1d(seen, code)
             yield pa.RecordBatch.from_arrays([pa.array(cls[c]) for c in (code // len(size), code % len(size))], names=names)
@@ -314,7 +327,7 @@ def _verify(threshold: float):
     """Exact similarity of candidate pairs by intersecting their sorted arrays."""
     keys = ["a_hi", "a_lo", "b_hi", "b_lo"]
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    def similar(b: pa.RecordBatch) -> pa.RecordBatch:
         (x, nx), (y, ny) = (_numbers(b.column(c)) for c in ("a_elements", "b_elements"))
         rows = np.arange(b.num_rows)
         owner, value = np.append(np.repeat(rows, nx), np.repeat(rows, ny)), np.append(x, y)
@@ -324,7 +337,11 @@ def _verify(threshold: float):
         sim = both / np.maximum(nx + ny - both, 1)
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array(sim)], names=[*keys, "similarity"]).filter(pa.array(sim >= threshold - 1e-12))
 
-    return per_batch(run)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (p for x in batches for p in _pieces(x, "a_elements", "b_elements")):
+            yield similar(b)
+
+    return run
 
 
 def near_copy_classes(records: DataFrame, id_col: str = "method_id", text_col: str = "body", shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, hot_classes: int = HOT_CLASSES) -> tuple[DataFrame, DataFrame]:
@@ -346,7 +363,8 @@ def near_copy_classes(records: DataFrame, id_col: str = "method_id", text_col: s
     found = postings.repartitionById(parts, "tile").mapInArrow(_compare(threshold), "a_lo long, b_lo long")
     candidates = materialize(found.distinct(), "candidates")
     wanted = spark.sparkContext.broadcast(_wanted(candidates))
-    chosen = first.select("hi", "lo", "elements").mapInArrow(_chosen(wanted), "hi long, lo long, elements binary").repartition("lo").dropDuplicates(["hi", "lo"])
+    # told apart by lo first, so that the joins on lo need no sort of their own
+    chosen = first.select("hi", "lo", "elements").mapInArrow(_chosen(wanted), "hi long, lo long, elements binary").repartition("lo").dropDuplicates(["lo", "hi"])
     side = lambda p: chosen.select(*(F.col(c).alias(f"{p}_{c}") for c in ("hi", "lo", "elements")))
     full = candidates.join(side("a"), "a_lo").join(side("b"), "b_lo")
     pairs = full.select("a_hi", "a_lo", "b_hi", "b_lo", "a_elements", "b_elements").mapInArrow(_verify(threshold), "a_hi long, a_lo long, b_hi long, b_lo long, similarity double")
@@ -363,14 +381,14 @@ def near_copy_pairs(records: DataFrame, id_col: str = "method_id", text_col: str
     membership, pairs = near_copy_classes(records, id_col, text_col, shingle, threshold, min_words, hot_classes)
     membership = materialize(membership, "membership")
     pairs = materialize(pairs, "class-pairs")
-    classes = membership.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
-    several = classes.filter("n > 1")
-    small = membership.join(several.filter(F.col("n") <= ALL_PAIRS_MAX), ["hi", "lo"]).groupBy("hi", "lo").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    within = small.select(F.posexplode("ids").alias("i", "id_a"), "ids").select("id_a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("id_b"))
-    large = membership.join(several.filter(F.col("n") > ALL_PAIRS_MAX), ["hi", "lo"]).filter("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    # a class in words, written once: its members, or for a large one its smallest; no more of its ids are ever brought together
+    at = F.row_number().over(Window.partitionBy("hi", "lo").orderBy("id"))
+    members = membership.withColumn("at", at).filter(F.col("at") <= ALL_PAIRS_MAX + 1).groupBy("hi", "lo").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    members = members.withColumn("large", F.size("ids") > ALL_PAIRS_MAX)
+    shown = materialize(members.select("hi", "lo", "large", F.when(F.col("large"), F.slice("ids", 1, 1)).otherwise(F.col("ids")).alias("ids")), "classes")
+    within = shown.filter(F.size("ids") > 1).select(F.posexplode("ids").alias("i", "id_a"), "ids").select("id_a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("id_b"))
+    large = membership.join(shown.filter("large").select("hi", "lo", F.col("ids")[0].alias("rep")), ["hi", "lo"]).filter("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
     within = within.unionByName(large).withColumn("similarity", F.lit(1.0))
-    # a class in words: its members, or for a large one its smallest
-    shown = classes.filter(F.col("n") > ALL_PAIRS_MAX).select("hi", "lo", F.array("rep").alias("ids")).unionByName(small).unionByName(classes.filter("n = 1").select("hi", "lo", F.array("rep").alias("ids")))
     side = lambda p: shown.select(*(F.col(c).alias(f"{p}_{c}") for c in ("hi", "lo", "ids")))
     across = pairs.join(side("a"), ["a_hi", "a_lo"]).join(side("b"), ["b_hi", "b_lo"]).select(F.explode("a_ids").alias("x"), "b_ids", "similarity").select("x", F.explode("b_ids").alias("y"), "similarity")
     across = across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -187,6 +188,35 @@ def test_an_element_of_many_classes_is_cut_into_blocks():
     assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == {(i, j) for i in range(n) for j in range(i + 1, n)}
 
 
+def test_copies_up_to_the_limit_are_all_pairs(spark):
+    """64 copies give all pairs, 65 the pairs of the smallest id, which also stands for them in pairs with other texts."""
+    rng = random.Random(18)
+    most = near_copies.ALL_PAIRS_MAX
+    a, b = phrase(rng, 40).split(), phrase(rng, 40).split()
+    texts = [" ".join(a)] * most + [" ".join(b)] * (most + 1) + [" ".join([*a, "x"]), " ".join([*b, "x"])]
+    got = [(r.id_a, r.id_b) for r in near_copies.near_copy_pairs(docs(spark, texts, "method_id", "body")).collect()]
+    x = 2 * most + 1
+    true = {(i, j) for i in range(most) for j in range(i + 1, most)} | {(i, x) for i in range(most)} | {(most, j) for j in range(most + 1, x)} | {(most, x + 1)}
+    assert len(got) == len(set(got)) and set(got) == true
+
+
+def test_near_copies_hold_little_at_a_time():
+    """A large batch is worked on in pieces: the worker's peak does not grow with the batch, and every row comes out."""
+    rng = np.random.default_rng(17)
+    n, size = 10_000, 110
+    x = np.sort(rng.integers(0, 1 << 63, (n, size), dtype=np.uint64), axis=1)
+    flat = pa.array([r.tobytes() for r in x], pa.binary())
+    keys = pa.array(np.arange(n))
+    pairs = pa.RecordBatch.from_arrays([keys, keys, keys, keys, flat, flat], names=["a_hi", "a_lo", "b_hi", "b_lo", "a_elements", "b_elements"])
+    texts = pa.RecordBatch.from_arrays([keys, pa.array([" ".join(map(str, r % 1000)) for r in x])], names=["_id", "_text"])
+    for f, b in ((near_copies._verify(0.5), pairs), (near_copies._write_sets(3, 20), texts)):
+        tracemalloc.start()
+        rows = sum(r.num_rows for r in f(iter([b, b.slice(0, 0)])))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert rows == n and peak < 60
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------
 
 
