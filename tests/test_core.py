@@ -531,3 +531,15 @@ def test_plans_with_a_shuffle_are_not_run_to_count_their_partitions(spark):
     df = spark.range(100)
     assert partitions(df) == df.rdd.getNumPartitions() and partitions(df.groupBy("id").count()) is None
     assert spread(df.groupBy("id").count()).count() == 100
+
+
+def test_pairs_that_share_a_word_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(features, "blocks", lambda t, key: similarity.blocks(t, key, 2))
+    a = {f"r{i}": {f"w{j}" for j in range(9) if (i * 5 + j * 3) % 4 == 0} for i in range(5)}
+    b = {f"c{i}": {f"w{j}" for j in range(9) if (i + j * j) % 3 == 0} | {f"own{i}"} for i in range(7)}
+    rows = lambda t, key: spark.createDataFrame([(k, w) for k, ws in t.items() for w in ws], f"{key} string, word string")
+    got = features.sparse_jaccard(rows(a, "a"), rows(b, "b"))
+    assert {(r.a, r.b): round(r.sim, 9) for r in got.collect()} == {(x, y): round(len(v & w) / len(v | w), 9) for x, v in a.items() for y, w in b.items() if v & w}
+    for df in (got,):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
