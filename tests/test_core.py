@@ -540,6 +540,10 @@ def test_pairs_that_share_a_word_are_not_shuffled(spark, monkeypatch):
     rows = lambda t, key: spark.createDataFrame([(k, w) for k, ws in t.items() for w in ws], f"{key} string, word string")
     got = features.sparse_jaccard(rows(a, "a"), rows(b, "b"))
     assert {(r.a, r.b): round(r.sim, 9) for r in got.collect()} == {(x, y): round(len(v & w) / len(v | w), 9) for x, v in a.items() for y, w in b.items() if v & w}
-    for df in (got,):
+    weights = lambda t: spark.createDataFrame([(k, w, len(w) + len(k) / 7 + i) for k, ws in t.items() for i, w in enumerate(sorted(ws))], "file string, word string, weight double")
+    of = lambda t: {(r.file, r.word): r.weight for r in weights(t).collect()}
+    x, y, cosines = of(a), of(b), features.sparse_cosine(weights(a), weights(b))
+    assert {(r.a, r.b): round(r.sim, 9) for r in cosines.collect()} == {(p, q): round(sum(x[p, w] * y[q, w] for w in a[p] & b[q]), 9) for p in a for q in b if a[p] & b[q]}
+    for df in (got, cosines):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan
