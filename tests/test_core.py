@@ -547,3 +547,14 @@ def test_pairs_that_share_a_word_are_not_shuffled(spark, monkeypatch):
     for df in (got, cosines):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_labelled_pairs_are_not_shuffled(spark):
+    reqs = spark.createDataFrame([("d", f"R{i}", f"text {i}") for i in range(4)] + [("e", "R0", "other")], "dataset string, req string, requirement string")
+    codes = spark.createDataFrame([("d", f"C{i}", f"c{i}") for i in range(3)] + [("e", "C0", "c0")], "dataset string, code string, code_entry string")
+    gold = spark.createDataFrame([("d", "r1", "c2"), ("d", "R1", "C0"), ("d", "R3", "c1"), ("e", "R9", "c0")], "dataset string, req string, code string")
+    pairs = sampling.labelled_pairs(reqs, codes, gold)
+    got = sorted((r.dataset, r.requirement_filename, r.code_filename, r.valid) for r in pairs.collect())
+    hits = {("R1", "C2"), ("R1", "C0"), ("R3", "C1")}
+    assert got == sorted([("d", f"R{i}", f"C{j}", int((f"R{i}", f"C{j}") in hits)) for i in range(4) for j in range(3)] + [("e", "R0", "C0", 0)])
+    assert "LeftOuter" not in pairs._jdf.queryExecution().executedPlan().toString()
