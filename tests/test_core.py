@@ -558,3 +558,10 @@ def test_labelled_pairs_are_not_shuffled(spark):
     hits = {("R1", "C2"), ("R1", "C0"), ("R3", "C1")}
     assert got == sorted([("d", f"R{i}", f"C{j}", int((f"R{i}", f"C{j}") in hits)) for i in range(4) for j in range(3)] + [("e", "R0", "C0", 0)])
     assert "LeftOuter" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_completed_pairs_are_not_shuffled(spark):
+    links = spark.createDataFrame([("t", "R1", "C1", 0.5), ("t", "R1", "C1", 0.4), ("t", "R2", "C3", 0.1), ("u", "R1", "C2", 0.9)], "tool string, req string, code string, sim double")
+    done = M.complete(links, links, links, run=("tool",))
+    assert sorted((r.tool, r.req, r.code, r.sim) for r in done.collect()) == [("t", "R1", "C1", 0.4), ("t", "R1", "C1", 0.5), ("t", "R1", "C3", 0.0), ("t", "R2", "C1", 0.0), ("t", "R2", "C3", 0.1), ("u", "R1", "C2", 0.9)]
+    assert "LeftAnti" not in done._jdf.queryExecution().executedPlan().toString()
