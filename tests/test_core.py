@@ -565,3 +565,19 @@ def test_completed_pairs_are_not_shuffled(spark):
     done = M.complete(links, links, links, run=("tool",))
     assert sorted((r.tool, r.req, r.code, r.sim) for r in done.collect()) == [("t", "R1", "C1", 0.4), ("t", "R1", "C1", 0.5), ("t", "R1", "C3", 0.0), ("t", "R2", "C1", 0.0), ("t", "R2", "C3", 0.1), ("u", "R1", "C2", 0.9)]
     assert "LeftAnti" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_class_vectors_without_writing_elements(inputs):
+    from linkloom.plans import runner
+
+    sets = techniques.element_techniques()
+    vectors = runner.class_vectors(inputs.code, sets, inputs.word_vec)
+    old = {}
+    tokens = runner.element_tokens(inputs.code, sets).withColumn("doc", F.concat_ws("|", "technique", "code"))
+    plain = features.word_mean(tokens.filter("technique not like 'tfidf%'"), inputs.word_vec, ["technique", "code", "elem"])
+    w = tokens.filter("technique like 'tfidf%'")
+    weighted = features.weighted_word_mean(w, inputs.word_vec, features.tfidf(w, "doc"), ["technique", "code", "elem", "doc"], "doc").drop("doc")
+    for r in runner.file_vectors(plain.unionByName(weighted)).collect():
+        old[r.technique, r.code] = (r.elements, [round(x, 9) for x in r.vec])
+    assert {(r.technique, r.code): (r.elements, [round(x, 9) for x in r.vec]) for r in vectors.collect()} == old
+    assert "Aggregate" not in vectors._jdf.queryExecution().executedPlan().toString()
