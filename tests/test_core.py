@@ -581,3 +581,12 @@ def test_class_vectors_without_writing_elements(inputs):
         old[r.technique, r.code] = (r.elements, [round(x, 9) for x in r.vec])
     assert {(r.technique, r.code): (r.elements, [round(x, 9) for x in r.vec]) for r in vectors.collect()} == old
     assert "Aggregate" not in vectors._jdf.queryExecution().executedPlan().toString()
+
+
+def test_techniques_take_all_requirements(spark, small):
+    import duckdb
+
+    from linkloom import technique_queries
+
+    n = duckdb.sql(f"SELECT count(*) FROM (SELECT DISTINCT req_id, req_filename FROM '{small}/issue_entry.parquet' WHERE req_filename IS NOT NULL AND req_text IS NOT NULL)").fetchall()[0][0]
+    assert technique_queries.inputs(spark, small).reqs.count() == n
