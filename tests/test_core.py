@@ -590,3 +590,33 @@ def test_techniques_take_all_requirements(spark, small):
 
     n = duckdb.sql(f"SELECT count(*) FROM (SELECT DISTINCT req_id, req_filename FROM '{small}/issue_entry.parquet' WHERE req_filename IS NOT NULL AND req_text IS NOT NULL)").fetchall()[0][0]
     assert technique_queries.inputs(spark, small).reqs.count() == n
+
+
+@pytest.mark.parametrize("score", ["mean_cosine", "relaxed_wmd", "word_cosine"])
+def test_best_requirements_against_all_pairs(spark, inputs, monkeypatch, score):
+    from linkloom.operators import nearest
+    from linkloom.plans import runner
+
+    monkeypatch.setattr(nearest, "blocks", lambda t, key, n: similarity.blocks(t, key, 2))
+    words = nearest.Vocabulary(inputs.word_vec)
+    bags, parts = runner.code_bags(inputs.code, "element", "cls+m+c"), runner.requirement_parts(inputs, "S")
+    elements, distinct = nearest.word_bags(bags, ["code", "elem"], words)
+    best = nearest.best_requirements(distinct, nearest.part_bags(parts, words), words, score).join(elements, "bag")
+    want = L.top_n_votes(L.reduce_requirements(runner.scored(bags, parts, inputs.word_vec, score), "max"), 1)
+    plain = lambda df: sorted((r.code, r.elem, r.req, round(r.sim, 9)) for r in df.collect())
+    assert plain(best) == plain(want)
+
+
+def test_nearest_by_exact_distance_writes_no_pairs(spark, monkeypatch):
+    from linkloom.operators import nearest
+
+    monkeypatch.setattr(similarity, "wmd_all", None)
+    monkeypatch.setattr(nearest, "blocks", lambda t, key, n: similarity.blocks(t, key, 3))
+    vec = spark.createDataFrame([(w, [float(i), float(i * i % 5)]) for i, w in enumerate("pqrstu")], "word string, vec array<double>")
+    a = spark.createDataFrame([(i, w) for i, ws in enumerate(["pq", "q", "pq", "rst", "u", "st", "tt", "x"]) for w in ws], "a long, word string")
+    b = spark.createDataFrame([(i, w) for i, ws in enumerate(["p", "stu", "rrq", "x"]) for w in ws], "b long, word string")
+    got = {(r.b, r.rank): (r.a, round(r.wmd, 9)) for r in similarity.nearest_by_wmd(a, b, vec, 4).collect()}
+    known, text = {r.word: np.array(r.vec) for r in vec.collect()}, lambda t, k: t.groupBy(k).agg(F.collect_list("word")).collect()
+    for j, ws in text(b, "b"):
+        d = sorted((round(word_movers_distance(x, ws, known), 9), i) for i, x in text(a, "a"))
+        assert [got.get((j, k + 1)) for k in range(4)] == [(i, x) if x < math.inf else None for x, i in d[:4]]
